@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op8_packing
+from .pii import op1_pii
 from .sharding import op10_sharding
 from .tokens import op2_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
