@@ -8,10 +8,12 @@ from .packing import op8_packing
 from .pii import op1_pii
 from .sharding import op10_sharding
 from .tokens import op2_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
