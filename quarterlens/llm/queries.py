@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .near_dedup import op9_near_dedup
 from .packing import op8_packing
 from .pii import op1_pii
 from .sharding import op10_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
 }
 
