@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .near_dedup import op9_near_dedup
+from .neighbours import op3_neighbours
 from .packing import op8_packing
 from .pii import op1_pii
 from .sharding import op10_sharding
@@ -14,6 +15,7 @@ from .toxicity import op4_toxicity
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
+    "op3_neighbours": op3_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
