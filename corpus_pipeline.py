@@ -1,8 +1,67 @@
-"""The document pipeline."""
+"""The document pipeline: toxicity, exact dedup, near dedup, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame, which is
+written as Parquet and reread as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarterlens.llm import exact_dedup, near_dedup, packing, pii, toxicity
+from quarterlens.llm.common import ship, shared_dir, stored, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity operator predicts to be toxic; the model is fitted on the labelled ones."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_toxic_id"))
+    rejected = stored(spark, scored.distinct(), "pipeline-toxic")
+    return docs.join(rejected, docs["doc_id"] == rejected["_toxic_id"], "left_anti")
+
+
+def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in texts by its kind; every document stays, and n_chars follows the text."""
+    out = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", keep_one_of_equal),
+    ("near_dedup", keep_one_of_near),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express the toxicity model, the span classifier or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

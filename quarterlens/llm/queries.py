@@ -8,6 +8,7 @@ from .near_dedup import op9_near_dedup
 from .neighbours import op3_neighbours
 from .packing import op8_packing
 from .pii import op1_pii
+from .repeats import op6_repeats
 from .sharding import op10_sharding
 from .tokens import op2_token_counts
 from .toxicity import op4_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_neighbours": op3_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_repeats": op6_repeats,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
