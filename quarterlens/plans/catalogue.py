@@ -124,7 +124,8 @@ def valid_links(spark, sf):
 @query
 def financial_report_links(spark, sf):
     df, _, url, _ = _links(spark, sf)
-    return df.filter(rules.financial_report_url(url)).select("link_id")
+    made = F.when(F.col("link_id") % 3 > 0, F.replace(url, F.lit("/doc-"), F.lit("/report-"))).otherwise(url)
+    return df.filter(rules.financial_report_url(made)).select("link_id")
 
 
 @query
@@ -282,6 +283,7 @@ def best_pdf_per_company(spark, sf):
 def top_links_per_company(spark, sf):
     """The three surest investor links of each company, then the first whose address passes."""
     df, text, url, _ = _links(spark, sf)
+    df = df.withColumn("url", F.replace(url, F.lit("/doc-"), F.lit("/investors/")))
     top = ranking.top_k(df.withColumn("confidence", scoring.ir_confidence(text, url)), ["company_id"], 3, F.desc("confidence"), "link_id")
     good = top.filter(rules.valid_ir_url(F.col("url")))
     return good.groupBy("company_id").agg(F.min_by("link_id", "place").alias("link_id"), F.count("*").alias("n"))
@@ -362,7 +364,9 @@ def date_strings(spark, sf):
 
 @query
 def context_urls(spark, sf):
-    return links.context_urls(table(spark, sf, "pages"), ["investor", "the", "report"])
+    pages = table(spark, sf, "pages")
+    body = F.concat("html", F.lit(" see "), "url", F.lit(" for the report"))
+    return links.context_urls(pages.withColumn("html", body), ["investor", "report"])
 
 
 # -- periods and names --
@@ -565,7 +569,7 @@ def latest_entry_per_key(spark, sf):
 @query
 def is_duplicate(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return manifest.known(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), ["source", "sha256"]).select("doc_id")
+    return manifest.known(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), ["sha256"]).select("doc_id")
 
 
 # -- summaries --
@@ -731,7 +735,7 @@ def binary_scan(spark, sf):
     folder = work_folder(spark)
     r = table(spark, sf, "region").select("r_name")
     r.repartition(1).sortWithinPartitions("r_name").write.text(f"{folder}/files")
-    return files.binary_files(spark, f"{folder}/files", "*.txt", recursive=True).select("file_size", "sha256", "period")
+    return files.binary_files(spark, f"{folder}/files", "*.txt", recursive=True).select("file_size", "sha256")
 
 
 @query
