@@ -199,8 +199,8 @@ _INFO = (
 )
 SQL["date_info"] = f"{_INFO} SELECT link_id, year, quarter, is_earnings, is_annual FROM d"
 SQL["classify_links_legacy"] = f"""{_INFO} SELECT link_id,
-CASE WHEN NOT is_earnings THEN NULL WHEN year = 2025 THEN CASE WHEN quarter IS NOT NULL THEN round(1 + (4 - quarter) * 0.1, 6) WHEN is_annual THEN 2 ELSE 3 END
-  WHEN year = 2024 THEN CASE WHEN coalesce(quarter = 4, false) OR is_annual THEN 4 WHEN quarter IS NOT NULL THEN round(5 + (4 - quarter) * 0.1, 6) ELSE 6 END ELSE 8 END AS priority,
+CASE WHEN NOT is_earnings THEN NULL WHEN year = 2025 THEN CASE WHEN quarter IS NOT NULL THEN round(1 + (4 - quarter) * 0.1, 6)::DOUBLE WHEN is_annual THEN 2 ELSE 3 END
+  WHEN year = 2024 THEN CASE WHEN coalesce(quarter = 4, false) OR is_annual THEN 4 WHEN quarter IS NOT NULL THEN round(5 + (4 - quarter) * 0.1, 6)::DOUBLE ELSE 6 END ELSE 8 END AS priority,
 CASE WHEN NOT is_earnings THEN NULL WHEN year = 2025 THEN CASE WHEN quarter IS NOT NULL THEN '2025_Q' || quarter WHEN is_annual THEN '2025_annual' ELSE '2025' END
   WHEN year = 2024 THEN CASE WHEN coalesce(quarter = 4, false) OR is_annual THEN '2024_Q4_annual' WHEN quarter IS NOT NULL THEN '2024_Q' || quarter ELSE '2024' END ELSE coalesce(year::VARCHAR, 'older') END AS label,
 CASE WHEN NOT is_earnings THEN NULL WHEN year = 2025 THEN CASE WHEN quarter IS NULL AND is_annual THEN 'annual' ELSE 'quarterly' END
@@ -303,7 +303,7 @@ FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_i
 SQL["markdown_to_csv"] = """SELECT n_regionkey, '"key","name"' || chr(10) || string_agg('"' || n_nationkey || '","' || n_name || '"', chr(10) ORDER BY n_nationkey) AS csv FROM nation GROUP BY 1"""
 SQL["json_clean"] = "SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 'no record' ELSE props END AS json FROM events"
 SQL["json_parse_fallback"] = """WITH x AS (SELECT event_id, event_type, value, event_id % 5 > 0 AND event_id % 7 > 0 AS ok FROM events)
-SELECT event_id, event_type AS ticker, '2025-Q1' AS period, ok AS extracted, CASE WHEN ok THEN 0.5 ELSE 0.0 END AS confidence, CASE WHEN ok THEN value END AS revenue, CASE WHEN ok THEN NULL ELSE 'Extraction failed - see error log' END AS guidance_summary FROM x"""
+SELECT event_id, event_type AS ticker, '2025-Q1' AS period, ok AS extracted, CASE WHEN ok THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN ok THEN value END AS revenue, CASE WHEN ok THEN NULL ELSE 'Extraction failed - see error log' END AS guidance_summary FROM x"""
 
 # manifest and summaries
 E = """WITH e AS (SELECT d.doc_id, upper(source) AS ticker, '2025-Q' || (d.doc_id % 4 + 1) AS period, '2025-0' || (d.doc_id % 9 + 1) || '-15' AS published, CASE WHEN lang <> 'en' THEN lang END AS report_type,
