@@ -19,8 +19,10 @@ WORDS = 5
 PERCENT = 85
 #: At this similarity BANDS bands of ROWS values miss a pair with probability below 1e-6.
 BANDS, ROWS = 20, 4
-#: Bins of the one-permutation samples that the odd sketch folds, and its bits.
-BINS, BITS = 512, 1024
+#: Most samples that an odd sketch folds, and its bits.
+SAMPLES, BITS = 512, 1024
+#: Pairs of two components in a bucket that the first round of the cross check takes; each round takes so many times more.
+FIRST, MORE = 4, 16
 #: Pairs of sketches that are compared at a time.
 BLOCK = 1 << 20
 
@@ -113,36 +115,43 @@ def _mix_light(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def odd_sketches(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Odd sketches of the sets that are not empty, as rows of 64-bit words, and the number of samples in each.
+def levels(n: np.ndarray) -> np.ndarray:
+    """How often a set's samples are halved: to SAMPLES or fewer, as expected."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / SAMPLES))).astype(np.int64)
 
-    A sample is the least hash of each bin (the hash's top bits); the sketch holds for every bit the parity of the samples
-    that fall on it, so the XOR of two sketches is the sketch of the samples that the sets don't share.
+
+def odd_sketches(hashes: np.ndarray, counts: np.ndarray, further: int = 0) -> np.ndarray:
+    """Odd sketches of the sets that are not empty, as rows of 64-bit words.
+
+    A set's MinHash samples are its least hashes, those below a bound that halves with each level; small sets are
+    sampled whole. The sketch holds for every bit the parity of the samples that fall on it, so the XOR of two
+    sketches of one level is the sketch of the samples that the sets don't share, and its population count is at most
+    their number. Sets of like size differ by one level at most; further = 1 gives the sketch of the next level.
     """
     full = counts[counts > 0]
     owner = np.repeat(np.arange(len(full)), full)
-    shift = np.uint64(64 - int(np.log2(BINS)))
-    bins = hashes >> shift
-    first = np.ones(len(hashes), bool)
-    first[1:] = (bins[1:] != bins[:-1]) | (owner[1:] != owner[:-1])
-    samples, owner = hashes[first], owner[first]
+    level = (levels(full) + further).astype(np.uint64)[owner]
+    kept = (hashes >> np.uint64(1)) < (np.uint64(1 << 63) >> level)
+    samples, owner = hashes[kept], owner[kept]
     bit = (_mix(samples) % np.uint64(BITS)).astype(np.int64)
     parity = (np.bincount(owner * BITS + bit, minlength=len(full) * BITS) & 1).astype(np.uint8)
-    rows = np.packbits(parity.reshape(len(full), BITS), axis=1)
-    return rows.view(np.uint64), np.bincount(owner, minlength=len(full)).astype(np.int64)
+    return np.packbits(parity.reshape(len(full), BITS), axis=1).view(np.uint64)
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether the XOR's population count lets two sets be as similar as a link asks.
+def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
+    """Population counts of the XOR of pairs of sketches, and the most that a link allows.
 
-    Unshared samples are estimated from the count; at most so many are expected at the threshold, plus five standard
-    deviations of the sampling and the slack of the folding. A pair above that is no link; others go to the exact check.
+    Sets that link leave at most 15 of 185 of their elements unshared. For sets sampled whole the count can't exceed the number of
+    unshared elements, so no link is lost; otherwise four standard deviations of the sampling are added.
     """
-    odd = np.bitwise_count(a ^ b).sum(-1).astype(float)
-    unshared = -BITS / 2 * np.log(np.maximum(1e-9, 1 - 2 * np.minimum(odd, BITS * 0.499) / BITS))
-    m = np.maximum(na, nb)
-    p = 1 - PERCENT / 100
-    return unshared <= 2 * p * m + 10 * np.sqrt(p * (1 - p) * m) + 12
+    la, lb = levels(na), levels(nb)
+    level = np.maximum(la, lb)
+    x = np.where((la == level)[:, None], a0, a1)
+    y = np.where((lb == level)[:, None], b0, b1)
+    odd = np.bitwise_count(x ^ y).sum(-1).astype(np.int64)
+    most = (na + nb) * (100 - PERCENT) / (100 + PERCENT)
+    p = 0.5**level
+    return odd, np.where(level == 0, most, p * most + 4 * np.sqrt(p * (1 - p) * most) + 2)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +160,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             hashes, counts = shingles(part.column(1).cast(pa.binary()).to_pylist())
             full = np.flatnonzero(counts)
-            bands, (sketches, samples) = band_keys(hashes, counts), odd_sketches(hashes, counts)
+            bands = band_keys(hashes, counts)
+            sketches, nexts = odd_sketches(hashes, counts), odd_sketches(hashes, counts, 1)
             keys = set_keys(hashes, counts)
             band_rows: list = [None] * len(counts)
             sketch_rows: list = [None] * len(counts)
-            sample_rows: list = [0] * len(counts)
+            next_rows: list = [None] * len(counts)
             for i, j in enumerate(full.tolist()):
                 band_rows[j], sketch_rows[j] = bands[i].view(np.int64), sketches[i].tobytes()
-                sample_rows[j] = int(samples[i])
+                next_rows[j] = nexts[i].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -166,24 +176,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(keys, pa.binary()),
                     pa.array(band_rows, pa.list_(pa.int64())),
                     pa.array(sketch_rows, pa.binary()),
-                    pa.array(sample_rows, pa.int32()),
+                    pa.array(next_rows, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "key", "bands", "sketch", "samples"],
+                names=["doc_id", "n_shingles", "key", "bands", "sketch", "next"],
             )
 
 
-_SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, samples int"
+_SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, next binary"
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidate pairs (a, b, sketches, sizes): those that their sketches let pass."""
+    """Of candidate pairs (a, b, sizes, sketches): those that their sketches let pass."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        c = {n: batch.column(i) for i, n in enumerate(("a", "b", "sa", "sb", "ma", "mb"))}
-        x, y = (np.frombuffer(b"".join(c[n].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for n in ("sa", "sb"))
-        good = may_link(x, y, c["ma"].to_numpy(), c["mb"].to_numpy())
-        yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(good))
+        if batch.num_rows:
+            sizes = [batch.column(i).to_numpy() for i in (2, 3)]
+            odd, most = unshared(*sizes, *[_words(batch.column(i)) for i in (4, 5, 6, 7)])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(odd <= most))
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,16 +229,19 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From members sorted by bucket: pairs of different components that sizes and sketches let pass."""
+def _across(budget: int):
+    """From members sorted by bucket: pairs of different components that sizes and sketches let pass, of each two components in
+    a bucket the `budget` nearest by their sketches. A row of nulls says that there are more."""
 
     def pairs(rows: list[list]) -> Iterator[pa.RecordBatch]:
         keys = [k for r in rows for k in r[0]]
-        comp, n, m = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-        sketch = np.concatenate([r[4] for r in rows])
-        order = np.argsort(n, kind="stable")  # partners of a set are at most so much larger
-        comp, n, m, sketch = comp[order], n[order], m[order], sketch[order]
+        comp, n = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+        own, after = (np.concatenate([r[i] for r in rows]) for i in (3, 4))
+        by_key = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        by_size = by_key[np.argsort(n[by_key], kind="stable")]  # partners of a set are at most so much larger
+        comp, n, own, after = comp[by_size], n[by_size], own[by_size], after[by_size]
         last = np.searchsorted(n, n * 100 // PERCENT, side="right")
+        found = []
         i = 0
         while i < len(n):
             j = i + 1
@@ -237,32 +252,48 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok &= 100 * n[i:j, None] >= PERCENT * n[None, right]
             x, y = np.nonzero(ok)
             x, y = x + i, right[y]
-            good = may_link(sketch[x], sketch[y], m[x], m[y])
-            if good.any():
-                a, b = ([keys[order[k]] for k in v[good]] for v in (x, y))
-                low = [min(p) for p in zip(a, b, strict=True)]
-                high = [max(p) for p in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"])
+            for a in range(0, len(x), BLOCK // 16):
+                u, v = x[a : a + BLOCK // 16], y[a : a + BLOCK // 16]
+                odd, most = unshared(n[u], n[v], own[u], after[u], own[v], after[v])
+                good = odd <= most
+                found.append((u[good], v[good], (odd / np.maximum(most, 1))[good]))
             i = j
-
-    bucket, rows = None, []
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        cuts = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids)) if len(ids) else []
-        lo = 0
-        for hi in cuts:
-            part = batch.slice(lo, hi - lo)
-            if ids[lo] != bucket and rows:
-                yield from pairs(rows)
-                rows = []
-            bucket = ids[lo]
-            rows.append([
-                part.column(1).to_pylist(), *(part.column(i).to_numpy() for i in (2, 3, 4)),
-                np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(hi - lo, -1),
-            ])
-            lo = hi
-    if rows:
-        yield from pairs(rows)
+        if not found or not sum(len(f[0]) for f in found):
+            return
+        x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        order = np.lexsort((y, x, far, high, low))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        few = place < budget
+        names = [[keys[k] for k in by_size[v[few]]] for v in (x, y)]
+        a = [min(p) for p in zip(*names, strict=True)] + ([] if few.all() else [None])
+        b = [max(p) for p in zip(*names, strict=True)] + ([] if few.all() else [None])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids)) if len(ids) else []
+            lo = 0
+            for hi in cuts:
+                part = batch.slice(lo, hi - lo)
+                if ids[lo] != bucket and rows:
+                    yield from pairs(rows)
+                    rows = []
+                bucket = ids[lo]
+                rows.append([
+                    part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy(),
+                    _words(part.column(4)), _words(part.column(5)),
+                ])
+                lo = hi
+        if rows:
+            yield from pairs(rows)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,9 +304,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. In every band's bucket each class is paired with one leader, the class with the most company over all bands (mostly
        the text that the others were made from). Pairs that sizes and sketches let pass are checked on the full sets of both
        whole texts, and components are formed.
-    3. In buckets that hold several components, members of different ones are compared by size and sketch in blocks; what
-       passes is checked on full sets as well, and components are formed again. So every pair that shares a bucket is
-       either within a component, or too far apart, or checked: no link between them is lost, and pairs within a group
+    3. In buckets that hold several components, members of different ones are compared by size and sketch in blocks. Of each two
+       components the nearest few pairs that pass are checked on full sets, and components are formed again. Rounds with
+       growing numbers follow until nothing is left to check. So every pair that shares a bucket is in the end within a
+       component, or too far apart by its sketches, or checked: no link between them is lost, and pairs within a group
        are never listed.
 
     Null texts, empty texts and texts of white space have empty sets and link with nothing. Rows that repeat a doc_id count as
@@ -293,13 +325,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(
             F.min("doc_id").alias("node"),
             F.first("n_shingles").alias("n"),
-            F.first("samples").alias("samples"),
             F.first("sketch").alias("sketch"),
+            F.first("next").alias("next"),
             F.first("bands").alias("bands"),
         ),
         "near-classes",
     )
-    light = classes.select("key", "node", "n", "samples", "sketch")
+    light = classes.select("key", "node", "n", "sketch", "next")
     members = classes.select("key", F.posexplode("bands").alias("band", "b")).select(
         "key", F.xxhash64("band", "b").alias("bucket")
     )
@@ -316,27 +348,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     screened = stored(spark, _screened(stars, light), "near-stars")
     links = stored(spark, _linked(screened, light, plain), "near-links")
-    first = components(links)
-
-    placed = light.join(first, "node", "left").select(
-        "key", "n", "samples", "sketch", F.coalesce("component", "node").alias("component")
-    )
-    placed = stored(spark, placed, "near-placed")
-    where = shared.select("bucket", "key").join(placed.select("key", "component"), "key")
-    mixed = where.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    inside = shared.select("bucket", "key").join(mixed.select("bucket"), "bucket", "left_semi")
-    crossing = (
-        inside.join(placed, "key")
-        .select("bucket", "key", "component", "n", "samples", "sketch")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_across, "a binary, b binary")
-        .distinct()
-    )
-    crossing = stored(spark, crossing.join(screened, ["a", "b"], "left_anti").join(
-        screened.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-crossing")
-    more = stored(spark, _linked(crossing, light, plain), "near-more")
-    final = first if more.isEmpty() else components(links.union(more))
+    final = components(links)
+
+    tried, budget = screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), FIRST
+    while True:
+        placed = light.join(final, "node", "left").select(
+            "key", "n", "sketch", "next", F.coalesce("component", "node").alias("component")
+        )
+        placed = stored(spark, placed, "near-placed")
+        where = shared.select("bucket", "key").join(placed.select("key", "component"), "key")
+        mixed = where.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+        inside = shared.select("bucket", "key").join(mixed.select("bucket"), "bucket", "left_semi")
+        crossing = (
+            inside.join(placed, "key")
+            .select("bucket", "key", "component", "n", "sketch", "next")
+            .repartition("bucket")
+            .sortWithinPartitions("bucket")
+            .mapInArrow(_across(budget), "a binary, b binary")
+            .distinct()
+        )
+        crossing = stored(spark, crossing, "near-crossing")
+        fresh = stored(spark, crossing.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "near-fresh")
+        if fresh.isEmpty():
+            if crossing.filter("a is null").isEmpty():
+                break
+        else:
+            more = stored(spark, _linked(fresh, light, plain), "near-more")
+            if not more.isEmpty():
+                links = links.union(more)
+                final = components(links)
+            tried = tried.union(fresh)
+        budget *= MORE
 
     # nodes without a link stand for themselves
     named = classes.select("key", "node").join(final, "node", "left").select(
@@ -351,10 +393,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _screened(pairs: DataFrame, light: DataFrame) -> DataFrame:
     """Pairs whose sizes and odd sketches let them link."""
-    one = light.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("samples").alias("ma"), F.col("sketch").alias("sa"))
-    two = light.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("samples").alias("mb"), F.col("sketch").alias("sb"))
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "sa", "sb", "ma", "mb").mapInArrow(_screen, "a binary, b binary")
+    side = lambda k: light.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "sketch", "next")])
+    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "next_a", "sketch_b", "next_b").mapInArrow(_screen, "a binary, b binary")
 
 
 def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame) -> DataFrame:
