@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from .rules import chart_or_summary
-from .text import combined, contains_any, points, weighted_first
+from .text import combined, contains_any, let, points, weighted_first
 
 
 def _chain(cases: list[tuple[Column, object]], otherwise) -> Column:
@@ -21,11 +21,17 @@ def _chain(cases: list[tuple[Column, object]], otherwise) -> Column:
 def classification(text: Column, url: Column, base_year: int = 2025) -> Column:
     """struct(priority, year, type, extracted_year, extracted_quarter, is_latest_expected), null if it is no report."""
     c = combined(text, url)
-    year = _chain([(c.contains(str(y)), y) for y in P.YEARS], base_year)
     annual_word = contains_any(c, ["annual", "10-k"])
-    quarter = _chain([(contains_any(c, words), q) for q, words in P.QUARTER_WORDS] + [(annual_word, 4)], F.lit(None).cast("int"))
     quarterly = contains_any(c, ["10-q", "q1", "q2", "q3", "quarterly"])
-    kind = _chain([(quarterly, "quarterly"), (annual_word, "annual")], "quarterly")
+    parts = {
+        "year": _chain([(c.contains(str(y)), y) for y in P.YEARS], base_year),
+        "quarter": _chain([(contains_any(c, w), q) for q, w in P.QUARTER_WORDS] + [(annual_word, 4)], F.lit(None).cast("int")),
+        "kind": _chain([(quarterly, "quarterly"), (annual_word, "annual")], "quarterly"),
+    }
+    return F.when(contains_any(c, P.REPORT_WORDS), let(lambda x: _class_of(x["year"], x["quarter"], x["kind"], base_year), **parts))
+
+
+def _class_of(year: Column, quarter: Column, kind: Column, base_year: int) -> Column:
     first = _chain([(quarter == 4, 1.0), (quarter == 3, 1.1), (quarter == 2, 1.2), (quarter == 1, 1.3)], 10.0)
     priority = _chain(
         [(year >= base_year, first), (year == base_year - 1, 2.0 + (4 - F.coalesce(quarter, F.lit(4))) * 0.1)], 5.0
@@ -38,11 +44,10 @@ def classification(text: Column, url: Column, base_year: int = 2025) -> Column:
         .otherwise(F.concat(y, F.lit("_Q"), quarter.cast("string"))),
         F.when(latest, "_LATEST_EXPECTED").otherwise(""),
     )
-    made = F.struct(
+    return F.struct(
         priority.alias("priority"), label.alias("year"), kind.alias("type"), year.alias("extracted_year"),
         quarter.alias("extracted_quarter"), latest.alias("is_latest_expected"),
     )
-    return F.when(contains_any(c, P.REPORT_WORDS), made)
 
 
 def date_info(c: Column) -> Column:
@@ -88,16 +93,18 @@ def content_bonus(c: Column) -> Column:
 
 def quarter_priority(c: Column) -> Column:
     """How much a text speaks of a quarter of the current fiscal years."""
-    best = F.greatest(*[points(contains_any(c, words), w) for words, w in P.QUARTER_WEIGHTS])
-    return _chain(
+    # the weights fall, so the first one that holds is the greatest
+    base = _chain(
         [
             (~contains_any(c, P.FISCAL_YEARS), 0.0),
             (chart_or_summary(c), 0.05),
-            (best > 0, best * 0.8 + content_bonus(c)),
-            (contains_any(c, ["earning", "quarterly", "10-q"]), 0.6 + content_bonus(c)),
+            *[(contains_any(c, words), w * 0.8) for words, w in P.QUARTER_WEIGHTS],
+            (contains_any(c, ["earning", "quarterly", "10-q"]), 0.6),
         ],
         0.2,
     )
+    # only a named quarter or an earnings word (0.4 and more) earns the bonus
+    return let(lambda x: x["base"] + F.when(x["base"] > 0.3, x["bonus"]).otherwise(0.0), base=base, bonus=content_bonus(c))
 
 
 def _later_date(c: Column, after: tuple[int, int, int]) -> Column:
@@ -124,17 +131,17 @@ def availability(c: Column, score: Column, year: int = 2025, month: int = 10, af
     """The score, lowered if the report can't be out yet, is a calendar entry or an event page, or is old. First rule counts."""
     has = c.contains
     closed = contains_any(c, ["q4", "fourth quarter", "10-k", "annual"])
-    return _chain(
+    return score * _chain(
         [
-            (_later_date(c, after), score * 0.1),
-            (has("q3") & has("2025") & contains_any(c, ["conference", "call"]), score * 0.2),
-            (contains_any(c, [".ics", "calendar"]), score * 0.3),
-            (has("q4") & has(str(year)) & F.lit(month <= 10), score * 0.95),
-            (contains_any(c, ["earnings-call", "conference-call", "webcast", "event-details"]) & has("event"), score * 0.3),
-            (has("2024") & closed, score * 0.7),
-            (has("2024"), score * 0.4),
+            (_later_date(c, after), 0.1),
+            (has("q3") & has("2025") & contains_any(c, ["conference", "call"]), 0.2),
+            (contains_any(c, [".ics", "calendar"]), 0.3),
+            (has("q4") & has(str(year)) & F.lit(month <= 10), 0.95),
+            (contains_any(c, ["earnings-call", "conference-call", "webcast", "event-details"]) & has("event"), 0.3),
+            (has("2024") & closed, 0.7),
+            (has("2024"), 0.4),
         ],
-        score,
+        1.0,
     )
 
 

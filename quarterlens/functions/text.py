@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,3 +42,9 @@ def nullif_empty(c: Column) -> Column:
 
 def combined(text: Column, url: Column) -> Column:
     return F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(url, F.lit(""))))
+
+
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body over a struct of values, each computed once. Written out, an expression that is used in many places is copied into
+    each, and plans grow with the product of such uses."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import rules, scoring
-from ..functions.text import combined, contains_any
+from ..functions.text import combined, contains_any, let
 from ..params import EngineParams
 
 
@@ -51,32 +51,36 @@ def cascade(links: DataFrame, p: EngineParams, key: str = "company_id", order: s
     """
     text, url = F.col("text"), F.col("url")
     c = combined(text, url)
-    valid = rules.valid_report_link(url, text, p.year)
-    score = scoring.comprehensive_score(text, url, p.year, p.month, p.future_after)
     t, u = F.lower(text), F.lower(url)
-    page_hit = F.lit(False)
-    for w in P.PAGE_INDICATORS:
-        page_hit = page_hit | t.contains(w) | u.contains(w.replace(" ", "-")) | t.contains(w.replace(" ", ""))
-    high = F.lit(False)
-    for w in P.HIGH_KEYWORDS:
-        high = high | t.contains(w) | u.contains(w.replace(" ", "-"))
-    strategies = [
-        (1, "whole_page_scan", valid & page_hit, F.lit(0.95)),
-        (2, "enhanced_keyword_search", valid & high, scoring.keyword_score(text, url)),
-        (3, "learned_patterns", rules.financial_report_url(url) & (score > 0.2), score),
-        (4, "comprehensive_scan", valid, score),
-        (6, "dynamic_discovery", valid & (score > 0.2), score),
-        (7, "sec_filings", rules.sec_section(url, text, p.year), F.lit(None).cast("double")),
-        (8, "fallback_search", rules.recent_fallback(text, url), F.lit(0.7)),
-    ]
-    hits = F.array_compact(
-        F.array(*[F.when(on, F.struct(F.lit(n).alias("n"), F.lit(s).alias("strategy"), x.alias("score"))) for n, s, on, x in strategies])
-    )
+    joined = lambda c, words, change: contains_any(c, sorted({change(w) for w in words}))
+    dashed = lambda w: w.replace(" ", "-")
+    page_hit = contains_any(t, P.PAGE_INDICATORS) | joined(u, P.PAGE_INDICATORS, dashed) | joined(t, P.PAGE_INDICATORS, lambda w: w.replace(" ", ""))
+    high = contains_any(t, P.HIGH_KEYWORDS) | joined(u, P.HIGH_KEYWORDS, dashed)
+    facts = {
+        "valid": rules.valid_report_link(url, text, p.year), "score": scoring.comprehensive_score(text, url, p.year, p.month, p.future_after),
+        "page": page_hit, "high": high, "keyword": scoring.keyword_score(text, url), "file": rules.financial_report_url(url),
+        "sec": rules.sec_section(url, text, p.year), "recent": rules.recent_fallback(text, url),
+    }
+
+    def hits(x: Column) -> Column:
+        good = x["score"] > 0.2
+        strategies = [
+            (1, "whole_page_scan", x["valid"] & x["page"], F.lit(0.95)),
+            (2, "enhanced_keyword_search", x["valid"] & x["high"], x["keyword"]),
+            (3, "learned_patterns", x["file"] & good, x["score"]),
+            (4, "comprehensive_scan", x["valid"], x["score"]),
+            (6, "dynamic_discovery", x["valid"] & good, x["score"]),
+            (7, "sec_filings", x["sec"], F.lit(None).cast("double")),
+            (8, "fallback_search", x["recent"], F.lit(0.7)),
+        ]
+        made = [F.when(on, F.struct(F.lit(n).alias("n"), F.lit(s).alias("strategy"), v.alias("score"))) for n, s, on, v in strategies]
+        return F.array_compact(F.array(*made))
+
     rows = (
         links.withColumn("class", scoring.classification(text, url, p.base_year))
         .filter(F.col("class").isNotNull())
         .withColumn("current", rules.skips_event(u, scoring.quarter_priority(c)))
-        .withColumn("hit", F.explode(hits))
+        .withColumn("hit", F.explode(let(hits, **facts)))
         .select("*", "hit.*")
         .drop("hit")
     )
