@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ def quoted(words: Iterable[str]) -> str:
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
-    """Whether one of the words is in the text: one pass over it."""
-    return c.rlike(quoted(words))
+    """Whether one of the words is in the text. A chain of byte searches, which stops at the first hit; on short texts it
+    is several times as fast as one regular expression with as many alternatives."""
+    return reduce(or_, [c.contains(w) for w in dict.fromkeys(words)])
 
 
 def py_strip(c: Column) -> Column:

@@ -22,23 +22,25 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column | str) -> DataF
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def scored(links: DataFrame, p: EngineParams, strategy: str | Column = "comprehensive_scan") -> DataFrame:
-    """Valid links with class, score and final score."""
+def scored(links: DataFrame, p: EngineParams, strategy: str | Column = "comprehensive_scan", valid: bool = False) -> DataFrame:
+    """Links that are reports (valid ones only, if asked for), with class, score and final score. The generator computes class and score once; filters and later
+    columns refer to its output instead of holding copies of the expressions."""
     strategy = F.lit(strategy) if isinstance(strategy, str) else strategy
-    c = scoring.classification(F.col("text"), F.col("url"), p.base_year)
-    return (
-        links.withColumn("class", c)
-        .filter(F.col("class").isNotNull())
-        .withColumn("score", scoring.comprehensive_score(F.col("text"), F.col("url"), p.year, p.month, p.future_after))
-        .withColumn("strategy", strategy)
-        .withColumn("final_score", scoring.final_score(F.col("score"), F.col("strategy"), F.col("class.priority")))
+    made = F.struct(
+        scoring.classification(F.col("text"), F.col("url"), p.base_year).alias("class"),
+        scoring.comprehensive_score(F.col("text"), F.col("url"), p.year, p.month, p.future_after).alias("score"),
+        (rules.valid_report_link(F.col("url"), F.col("text"), p.year) if valid else F.lit(True)).alias("valid"),
     )
+    rows = links.withColumn("strategy", strategy).select(
+        "*", F.inline(F.filter(F.array(made), lambda m: m["class"].isNotNull() & m["valid"]))
+    )
+    rows = rows.drop("valid")
+    return rows.withColumn("final_score", scoring.final_score(F.col("score"), F.col("strategy"), F.col("class.priority")))
 
 
 def best_report(links: DataFrame, p: EngineParams, key: str = "company_id", order: str = "link_id") -> DataFrame:
     """The best report of each company: highest final score, then input order; one row for each address."""
-    valid = links.filter(rules.valid_report_link(F.col("url"), F.col("text"), p.year))
-    ranked = scored(valid, p)
+    ranked = scored(links, p, valid=True)
     one = keep_first(ranked, [key, "url"], F.desc("final_score"), order)
     return keep_first(one, [key], F.desc("final_score"), order)
 
@@ -76,14 +78,13 @@ def cascade(links: DataFrame, p: EngineParams, key: str = "company_id", order: s
         made = [F.when(on, F.struct(F.lit(n).alias("n"), F.lit(s).alias("strategy"), v.alias("score"))) for n, s, on, v in strategies]
         return F.array_compact(F.array(*made))
 
-    rows = (
-        links.withColumn("class", scoring.classification(text, url, p.base_year))
-        .filter(F.col("class").isNotNull())
-        .withColumn("current", rules.skips_event(u, scoring.quarter_priority(c)))
-        .withColumn("hit", F.explode(let(hits, **facts)))
-        .select("*", "hit.*")
-        .drop("hit")
+    made = F.struct(
+        scoring.classification(text, url, p.base_year).alias("class"),
+        rules.skips_event(u, scoring.quarter_priority(c)).alias("current"),
+        let(hits, **facts).alias("hits"),
     )
+    rows = links.select("*", F.inline(F.filter(F.array(made), lambda m: m["class"].isNotNull())))
+    rows = rows.select("*", F.inline("hits")).drop("hits")
     per = rows.groupBy(key, "n").agg(F.count("*").alias("hits"), F.count_if("current").alias("now"))
     stop = per.filter(((F.col("n") <= 4) & (F.col("hits") >= 2) & (F.col("now") >= 1)) | (F.col("hits") >= 3))
     last = stop.groupBy(key).agg(F.min("n").alias("stop"))

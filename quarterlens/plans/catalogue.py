@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes as fewer partitions than there are cores, dealt out by its key; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, in the cluster's own place if it names one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +53,7 @@ def work_folder(spark: SparkSession) -> str:
 
 def report_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links with text and address, made from orders and customers."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey")
+    o, c = spread(table(spark, sf, "orders"), "o_orderkey"), table(spark, sf, "customer").select("c_custkey")
     y = (F.year("o_orderdate") + 24).cast("string")
     q = F.quarter("o_orderdate").cast("string")
     key = F.col("o_orderkey")
@@ -373,7 +379,7 @@ def context_urls(spark, sf):
 
 
 def _titles(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"), "o_orderkey")
     y, q, k = F.year("o_orderdate") + 24, F.quarter("o_orderdate").cast("string"), F.col("o_orderkey") % 9
     ys, yy = y.cast("string"), F.substring(y.cast("string"), 3, 2)
     word = F.element_at(F.array(*[F.lit(w) for w in ("first", "second", "third", "Fourth")]), F.quarter("o_orderdate"))
