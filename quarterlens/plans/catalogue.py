@@ -574,8 +574,9 @@ def latest_entry_per_key(spark, sf):
 
 @query
 def is_duplicate(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return manifest.known(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), ["sha256"]).select("doc_id")
+    """Documents whose text is that of an entry in the manifest (the labelled documents)."""
+    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return manifest.known(d, d.join(table(spark, sf, "labels"), "doc_id", "left_semi"), ["sha256"]).select("doc_id")
 
 
 # -- summaries --
@@ -616,7 +617,7 @@ def _arrivals(spark, sf) -> DataFrame:
     """Arrivals by event_id; every third was published a day earlier than it came."""
     late = F.when(F.col("event_id") % 3 == 0, F.expr("ts - INTERVAL 1 DAY")).otherwise(F.col("ts"))
     return table(spark, sf, "events").select(
-        "event_id", "user_id", F.md5(F.col("props").cast("binary")).alias("sha256"), F.date_format(late, "yyyy-MM-dd HH:mm:ss").alias("published")
+        "event_id", "user_id", "event_type", F.md5(F.col("props").cast("binary")).alias("sha256"), F.date_format(late, "yyyy-MM-dd HH:mm:ss").alias("published")
     )
 
 
@@ -632,10 +633,10 @@ def skip_decision(spark, sf):
 
 @query
 def skip_reasons(spark, sf):
-    """Odd arrivals against the state that the even ones left."""
+    """All arrivals against the state that those of one type left."""
     a = _arrivals(spark, sf)
-    s = state.upserted(a.filter("event_id % 2 = 0 and user_id % 4 <> 0"), "user_id", "event_id")
-    return state.decide(a.filter("event_id % 2 = 1"), s, "user_id").select("event_id", "process", "reason")
+    s = state.upserted(a.filter("event_type = 'error'"), "user_id", "event_id")
+    return state.decide(a, s, "user_id").select("event_id", "process", "reason")
 
 
 @query
@@ -657,7 +658,7 @@ def latest_updates(spark, sf):
 @query
 def stream_state_upsert(spark, sf):
     folder = work_folder(spark)
-    _arrivals(spark, sf).repartition(3, "user_id").write.parquet(f"{folder}/drops")
+    _arrivals(spark, sf).drop("event_type").repartition(3, "user_id").write.parquet(f"{folder}/drops")
     schema = "event_id long, user_id long, sha256 string, published string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drops")
     return state_stream.stream_upsert(spark, stream, folder, "user_id", "event_id")

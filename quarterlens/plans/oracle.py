@@ -313,7 +313,7 @@ SQL["manifest_summary"] = f"{E} SELECT count(*) AS total_reports, count(DISTINCT
 SQL["manifest_by_type"] = f"{E} SELECT coalesce(report_type, 'unknown') AS report_type, count(*) AS n FROM e GROUP BY 1"
 SQL["manifest_by_period"] = f"{E} SELECT period, count(*) AS n FROM e GROUP BY 1"
 SQL["latest_entry_per_key"] = f"{E} SELECT ticker, doc_id, published FROM e QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published DESC, doc_id) = 1"
-SQL["is_duplicate"] = "SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 0 AND x.text = d.text)"
+SQL["is_duplicate"] = "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 SQL["corpus_summary"] = """SELECT count(*) AS total_reports, string_agg(DISTINCT source, ',' ORDER BY source) AS tickers, string_agg(DISTINCT '2025-Q' || (doc_id % 4 + 1), ',' ORDER BY '2025-Q' || (doc_id % 4 + 1)) AS periods,
 round(sum(strlen(text)::DOUBLE) / 1048576, 2) AS total_size_mb FROM documents"""
 SQL["pipeline_summary"] = f"""{E} SELECT count(*) AS total, count(*) FILTER (doc_id % 5 <> 0) AS extracted, count(*) FILTER (doc_id % 7 <> 0) AS uploaded, count(*) FILTER (doc_id % 2 = 0) AS in_manifest,
@@ -324,7 +324,7 @@ SQL["failure_analysis"] = "SELECT props AS error, count(*) AS n FROM events WHER
 SQL["upload_summary"] = "SELECT event_type, count(*) AS total, count(*) FILTER (value >= 5) AS successful, count(*) FILTER (value < 5) AS failed FROM events GROUP BY 1"
 
 # state
-A = "WITH RECURSIVE a AS (SELECT event_id, user_id, md5(props) AS sha256, strftime(CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 1 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S') AS published FROM events)"
+A = "WITH RECURSIVE a AS (SELECT event_id, user_id, event_type, md5(props) AS sha256, strftime(CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 1 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S') AS published FROM events)"
 _STATE = "SELECT user_id, arg_max(sha256, event_id) AS sha256, arg_max(published, event_id) AS published, count(*) AS processing_count FROM a GROUP BY 1"
 SQL["state_upsert"] = SQL["stream_state_upsert"] = f"{A} {_STATE}"
 SQL["skip_decision"] = f"""{A}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM a),
@@ -332,9 +332,9 @@ r AS (SELECT user_id, i, event_id, sha256 AS s, published AS p, true AS process
   SELECT o.user_id, o.i, o.event_id, CASE WHEN o.sha256 <> r.s AND o.published >= r.p THEN o.sha256 ELSE r.s END, CASE WHEN o.sha256 <> r.s AND o.published >= r.p THEN o.published ELSE r.p END, o.sha256 <> r.s AND o.published >= r.p
   FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
 SELECT event_id, process FROM r"""
-SQL["skip_reasons"] = f"""{A}, s AS (SELECT user_id, arg_max(sha256, event_id) AS sha, arg_max(published, event_id) AS pub FROM a WHERE event_id % 2 = 0 AND user_id % 4 <> 0 GROUP BY 1)
+SQL["skip_reasons"] = f"""{A}, s AS (SELECT user_id, arg_max(sha256, event_id) AS sha, arg_max(published, event_id) AS pub FROM a WHERE event_type = 'error' GROUP BY 1)
 SELECT event_id, CASE WHEN sha IS NULL THEN true WHEN sha256 = sha THEN false ELSE published >= pub END AS process, CASE WHEN sha IS NULL THEN 'No previous state found' WHEN sha256 = sha THEN 'Same SHA256 already processed: ' || sha256[1:8] || '...'
-WHEN published < pub THEN 'Older report (published ' || published || ' vs ' || pub || ')' ELSE 'New report to process (SHA256: ' || sha256[1:8] || '...)' END AS reason FROM a LEFT JOIN s USING (user_id) WHERE event_id % 2 = 1"""
+WHEN published < pub THEN 'Older report (published ' || published || ' vs ' || pub || ')' ELSE 'New report to process (SHA256: ' || sha256[1:8] || '...)' END AS reason FROM a LEFT JOIN s USING (user_id)"""
 SQL["older_arrivals"] = f"""{A}, w AS (SELECT event_id, published, max(published) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_before FROM a)
 SELECT event_id, newest_before FROM w WHERE published < newest_before"""
 SQL["state_histogram"] = f"{A}, s AS ({_STATE}) SELECT processing_count, count(*) AS n FROM s GROUP BY 1"
