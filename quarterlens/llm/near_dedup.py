@@ -33,6 +33,7 @@ _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PLACE = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SALT = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _BASE
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
 
@@ -107,7 +108,7 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(full), BANDS), np.uint64)
     for k in range(BANDS * ROWS):
         least = np.minimum.reduceat(_mix_light(hashes * _MUL[k] + _ADD[k]), starts) if len(full) else np.zeros(0, np.uint64)
-        keys[:, k // ROWS] = _mix(keys[:, k // ROWS] + least + np.uint64(k + 1) * _BASE)
+        keys[:, k // ROWS] = _mix(keys[:, k // ROWS] + least + _SALT[k])
     return keys
 
 
@@ -420,3 +421,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Exact, by joining all documents on their shingles: for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh
+  FROM d
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT i, j FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+g AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT g.j, r.c FROM r JOIN g ON r.doc_id = g.i)
+SELECT s.doc_id, len(sh) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON s.doc_id = m.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op3_neighbours
 from .packing import op8_packing
 from .pii import op1_pii
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op5_exact_dedup": OP5_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op9_near_dedup": OP9_SQL}
