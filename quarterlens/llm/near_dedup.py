@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import ship, slices, spread, stored, table, texts
 from .links import components
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
