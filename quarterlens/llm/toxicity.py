@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 from .common import ship, slices, spread, stored, table, texts
 
 SLICE = 4 << 20
-#: The classifier and the character model are fitted on at most this many labelled rows (those of least hash).
+#: Features are picked and the classifier is fitted on at most this many labelled rows (those of least hash).
 TRAIN_ROWS = 20_000
 #: Most features, and the least excess over chance, in standard deviations, that makes one.
 FEATURES, LEAST_Z, LEAST_WEIGHT = 400, 3.0, 3.0
 #: Lengths of word beginnings, and how often one must come, to be a feature.
 PREFIXES, LEVELS = (4, 5, 6, 7), (2, 4)
-#: Most character trigrams and common words of the language model.
-TRIGRAMS, COMMON = 40_000, 5_000
+#: Words and tokens that a task counts before it passes the sums on.
+COUNTED = 200_000
 THRESHOLD = 0.7
 #: Clean rows that are added to those seen with a feature, when the feature's share of toxic rows is estimated.
 DOUBT = 8.0
@@ -47,6 +48,31 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _CHANNEL = {"same": 0.0, "leet": -1.0, "any": -3.0, "drop": -0.7, "once": -0.5}
 
 
+def word_key(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Lexicon:
+    """Log frequencies of the corpus's words, held by sorted 64-bit keys: twelve bytes a word. `own` goes before them."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, own: dict[str, float]):
+        order = np.argsort(keys)
+        self.keys, self.logs, self.own = keys[order], logs[order].astype(np.float32), own
+
+    def get(self, word: str, default: float | None = None) -> float | None:
+        if word in self.own:
+            return self.own[word]
+        key = word_key(word)
+        i = int(self.keys.searchsorted(key))
+        return float(self.logs[i]) if i < len(self.keys) and self.keys[i] == key else default
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word) is not None
+
+    def values(self) -> list[float]:
+        return [*self.own.values(), *self.logs.tolist()]
+
+
 class Decoder:
     """Viterbi search for the clean form of an obfuscated word.
 
@@ -124,21 +150,16 @@ def tokens_of(text: str) -> tuple[Counter, set[str], list[str]]:
     words: Counter = Counter()
     odd = set()
     for t, n in parts.items():
+        for w in plain_words(t):
+            words[w] += n
         if t.isalpha():
-            words[t] += n
             continue
-        s = t.strip(_EDGE)
-        if s.isalpha():
-            words[s] += n
         if _JUNK.search(t):
             t = _JUNK.sub("", t)
         core = t.strip(".,;:?\"'[]{}<>«»„“”‘’…—–/\\&%#^~`=_-")
         if core and not core.isalpha() and any(c.isalpha() for c in core):
             # windows that overlap by more than most words' length
             odd.update(core[a : a + WINDOW] for a in range(0, max(1, len(core) - OVERLAP), WINDOW - OVERLAP))
-        if s and not s.isalpha():
-            for w in _WORDS.findall(s):
-                words[w] += n
     for w in words:
         if _RUN.search(w):
             odd.add(w)
@@ -200,22 +221,81 @@ class Model:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, toxic, weight): sums of word presence by class, and of trigrams, for each batch."""
+    """From (text, toxic, weight): sums of feature presence by class, for each batch."""
     for batch in batches:
         sums: Counter = Counter()
         for text, toxic, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = Counter({w: n for w, n in tokens_of(text)[0].items() if len(w) <= LONGEST})
             for f in features_of(words):
-                sums["w", f, toxic] += weight
-            for w in words:
-                padded = f"^^{w}$"
-                for i in range(len(padded) - 2):
-                    sums["t", padded[i : i + 3], 0] += weight
-        kinds, keys, classes = zip(*sums, strict=True) if sums else ((), (), ())
+                sums[f, toxic] += weight
+        keys, classes = zip(*sums, strict=True) if sums else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(classes, pa.int32()), pa.array(list(sums.values()), pa.float64())],
-            names=["kind", "item", "toxic", "n"],
-        )
+            [pa.array(keys, pa.string()), pa.array(classes, pa.int32()), pa.array(list(sums.values()), pa.float64())],
+            names=["item", "toxic", "n"],
+        )
+
+
+def plain_words(t: str) -> list[str]:
+    """The plain words of a lower-case token."""
+    if t.isalpha():
+        return [t]
+    s = t.strip(_EDGE)
+    return [s] if s.isalpha() else _WORDS.findall(s)
+
+
+def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts: the number of texts that hold each word (by its key), each trigram's sum over these words, and the
+    number of texts (no item, no key), summed over many texts before they go on."""
+    texts_, held, met = 0, Counter(), {}
+
+    def sums() -> pa.RecordBatch:
+        trigrams: Counter = Counter()
+        for w, n in held.items():
+            padded = f"^^{w}$"
+            for i in range(len(padded) - 2):
+                trigrams[padded[i : i + 3]] += n
+        items = [*trigrams, *[None] * (len(held) + 1)]
+        keys = [*[None] * len(trigrams), *map(word_key, held), None]
+        counts = [*trigrams.values(), *held.values(), texts_]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["item", "key", "n"]
+        )
+
+    for batch in batches:
+        for a, b in slices(batch, SLICE, 0):
+            for text in batch.column(0).slice(a, b - a).to_pylist():
+                words: set[str] = set()
+                for t in set(text.lower().split()):
+                    if t not in met:
+                        met[t] = [w for w in plain_words(t) if len(w) <= LONGEST]
+                    words.update(met[t])
+                held.update(words)
+                texts_ += 1
+            if len(held) + len(met) > COUNTED:
+                yield sums()
+                texts_, held, met = 0, Counter(), {}
+    yield sums()
+
+
+def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray, int]:
+    """Trigram log probabilities, keys of words and their document counts, and the number of documents, from all texts.
+
+    Nothing is sampled or capped; words of fewer than LEAST_WEIGHT documents only count for the trigrams. Sums move, not
+    texts; what reaches the driver is one number for each trigram of the alphabet and sixteen bytes a word.
+    """
+    spark = docs.sparkSession
+    plain = spread(texts(docs), "doc_id").select("text")
+    counted = plain.mapInArrow(_language, "item string, key long, n long").groupBy("item", "key").agg(F.sum("n").alias("n"))
+    counted = stored(spark, counted, "toxicity-language")
+    total = counted.filter("item is null and key is null").agg(F.sum("n")).first()[0] or 0
+    trigrams = counted.filter("item is not null").select("item", "n").toArrow()
+    after: Counter = Counter()
+    pairs = list(zip(*(trigrams.column(i).to_pylist() for i in (0, 1)), strict=True))
+    for t, n in pairs:
+        after[t[:2]] += n
+    chars = {t: math.log((n + 0.1) / (after[t[:2]] + 3.0)) for t, n in pairs}
+    words = counted.filter((F.col("key").isNotNull()) & (F.col("n") >= LEAST_WEIGHT)).select("key", "n").toArrow()
+    return chars, words.column(0).to_numpy(), words.column(1).to_numpy(), total
 
 
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +341,11 @@ def _logistic(rows: list, width: int, steps: int = 500) -> tuple[np.ndarray, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fits the character model, picks features and fits their weights.
+    """Fits the decoder's language model, picks features and fits their weights.
 
-    Uses labelled rows outside the held-out third only, and of these the `most` rows whose doc_id has the least hash. Near
-    copies share one vote: a row's weight is one over the number of rows with its least word hash. Only tables that these
-    bounds limit reach the driver.
+    The language model counts the texts of all docs, labelled or not, and reads no label. Features and weights use labelled
+    rows outside the held-out third only, and of these the `most` rows whose doc_id has the least hash. Near copies share one
+    vote there: a row's weight is one over the number of rows with its least word hash.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3
@@ -285,8 +365,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     )
     sums = stored(
         spark,
-        weighed.mapInArrow(_statistics, "kind string, item string, toxic int, n double")
-        .groupBy("kind", "item")
+        weighed.mapInArrow(_statistics, "item string, toxic int, n double")
+        .groupBy("item")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("n1"), F.sum("n").alias("n")),
         "toxicity-sums",
     )
@@ -297,21 +377,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     share = toxic / total
     n1 = F.coalesce("n1", F.lit(0.0))
     z = (n1 - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    words = sums.filter((F.col("kind") == "w") & (F.col("n") >= LEAST_WEIGHT))
-    features = words.filter(z >= LEAST_Z).orderBy(F.desc(z), "item").limit(FEATURES).collect()
-    common = words.filter(~F.col("item").contains("*")).orderBy(F.desc("n"), "item").limit(COMMON).collect()
-    trigrams = sums.filter("kind = 't'").orderBy(F.desc("n"), "item").limit(TRIGRAMS).collect()
-    after: Counter = Counter()
-    for r in trigrams:
-        after[r["item"][:2]] += r["n"]
-    chars = {r["item"]: math.log((r["n"] + 0.1) / (after[r["item"][:2]] + 3.0)) for r in trigrams}
-    known = {r["item"]: math.log(r["n"] / (total * 50)) for r in [*common, *features] if "*" not in r["item"]}
+    features = sums.filter(F.col("n") >= LEAST_WEIGHT).filter(z >= LEAST_Z).orderBy(F.desc(z), "item").limit(FEATURES).collect()
+    chars, keys, counts, n_docs = language(docs)
+    logs = np.log(counts / (max(n_docs, 1) * 50))
+    lexicon = Lexicon(keys, logs, {})
     # words that mark toxic texts are what writers hide: among hidden words they're not rare
-    for r in features:
-        if "*" in r["item"]:
-            continue
-        known[r["item"]] = max(known[r["item"]], -4.0)
-    decoder = Decoder(chars, known)
+    lexicon.own = {r["item"]: max(lexicon.get(r["item"], -4.0), -4.0) for r in features if "*" not in r["item"]}
+    decoder = Decoder(chars, lexicon)
     weights = dict.fromkeys((r["item"] for r in features), 1.0)
     model = Model(weights, 0.0, decoder)
     rows = weighed.mapInArrow(_presence(model), "found array<int>, toxic int, weight double").collect()

@@ -56,3 +56,15 @@ def test_odd_tables(spark):
     assert toxicity(docs.limit(0), model).count() == 0
     none = fit(docs, labels.limit(0))
     assert all(r["predicted"] == 0 for r in toxicity(docs, none).collect())
+
+
+def test_language_model_counts_every_document(spark):
+    rows = [(i, f"plain words {'qzxv' if i >= 40 else 'here'} {chr(0x430 + i % 30)}{chr(0x430 + i // 30)}bb") for i in range(300)]
+    rows = [(i, t + (" awful" if i < 40 and i % 2 else "")) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    ship(spark)
+    d = fit(docs, labels, most=20).decoder
+    assert "qzxv" in d.words and "here" in d.words  # in unlabelled documents only; in labelled ones beyond the sample
+    assert {"^^q", "qzx", "zxv", "xv$"} <= d.trigrams.keys()
+    assert all(f"^^{t.split()[3][0]}" in d.trigrams for _, t in rows)
