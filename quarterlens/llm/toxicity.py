@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +24,20 @@ TRAIN_ROWS = 20_000
 FEATURES, LEAST_Z, LEAST_WEIGHT = 400, 3.0, 3.0
 #: Lengths of word beginnings, and how often one must come, to be a feature.
 PREFIXES, LEVELS = (4, 5, 6, 7), (2, 4)
-#: Words and tokens that a task counts before it passes the sums on.
+#: Words that a task counts before it passes the sums on.
 COUNTED = 200_000
 THRESHOLD = 0.7
 #: Clean rows that are added to those seen with a feature, when the feature's share of toxic rows is estimated.
 DOUBT = 8.0
 BEAM = 8
 DECODED = 50_000
-#: Longer obfuscated words are decoded in windows of so many characters, which overlap.
-WINDOW, OVERLAP = 40, 16
-#: Decoded letters of a spaced-out passage are searched for feature words of up to this length.
+#: Decoded letters of a passage or a long token are searched for feature words of up to this length.
 LONGEST = 24
+#: Longer obfuscated words are decoded in windows of so many characters, which overlap by the longest feature word.
+WINDOW, OVERLAP = 40, LONGEST
+#: A feature word within a decoded token has at least so many letters, and words of the corpus make up the rest of it;
+#: pieces of up to SHORT letters must be frequent (log frequency).
+WITHIN, SHORT, FREQUENT = 4, 3, -8.0
 
 #: What a character of leetspeak may stand for.
 LEET = {
@@ -45,6 +49,8 @@ _JUNK = re.compile(r"([^\w\s])\1\1+")
 _RUN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\s.\-_*]){2,}[.,!?]*(?!\S)|(?<!\S)[0-9@$!|+](?:[ .\-_*]{1,2}[^\s.\-_*]){2,}[.,!?]*(?!\S)")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Where joined words may part: at what is no letter and no leetspeak, or at anything but letters and digits.
+_PARTS = (re.compile("[^\\w" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]|_"), re.compile(r"[\W_]"))
 _CHANNEL = {"same": 0.0, "leet": -1.0, "any": -3.0, "drop": -0.7, "once": -0.5}
 
 
@@ -92,10 +98,14 @@ class Decoder:
         if token not in self.memo:
             if len(self.memo) >= DECODED:
                 self.memo.clear()
-            self.memo[token] = self._search(token)
+            self.memo[token] = self.likely(self.spelled(token))
         return self.memo[token]
 
-    def _search(self, token: str) -> tuple[str, ...]:
+    def likely(self, spelled: list[str]) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(spelled[:1] + [w for w in spelled[1:] if w in self.words]))
+
+    def spelled(self, token: str) -> list[str]:
+        """Readings of a token, the best first."""
         # the state is the last two letters; each keeps its BEAM best (score, letters) paths
         paths = {"^^": [(0.0, ())]}
         for run in re.finditer(r"(.)\1*", token):
@@ -139,12 +149,34 @@ class Decoder:
             word = "".join(reversed(parts))
             spelled.append((score + self.words.get(word, self.word_floor), word))
         spelled.sort(key=lambda x: (-x[0], x[1]))
-        best = [w for _, w in spelled[:1]] + [w for _, w in spelled[1:] if w in self.words]
-        return tuple(dict.fromkeys(best))
-
-
-def tokens_of(text: str) -> tuple[Counter, set[str], list[str]]:
-    """Plain words with their counts, obfuscated words, and passages of single letters set apart, of a whole text."""
+        return list(dict.fromkeys(w for _, w in spelled))
+
+    def divides(self, letters: str, open_left: bool = False, open_right: bool = False) -> bool:
+        """Whether words of the corpus make up the letters. At an open side the token goes on, so a word may be cut there, but
+        at least one whole word must be left."""
+        n = len(letters)
+        if not n:
+            return not (open_left or open_right)
+        begins = [i == 0 or (open_left and i <= LONGEST) for i in range(n + 1)]
+        ends = [False] * (n + 1)
+        for i in range(n):
+            if begins[i] or ends[i]:
+                for j in range(i + 1, min(n, i + LONGEST) + 1):
+                    if not ends[j]:
+                        log = self.words.get(letters[i:j])
+                        ends[j] = log is not None and (j - i > SHORT or log >= FREQUENT)
+        return any(ends[max(0, n - LONGEST) if open_right else n :])
+
+
+def windows(token: str) -> list[tuple[str, bool, bool]]:
+    """Overlapping windows of a token, and whether it goes on before and after each."""
+    starts = range(0, max(1, len(token) - OVERLAP), WINDOW - OVERLAP)
+    return [(token[a : a + WINDOW], a > 0, a + WINDOW < len(token)) for a in starts]
+
+
+def tokens_of(text: str) -> tuple[Counter, set[tuple], list[str]]:
+    """Plain words with their counts, obfuscated tokens (each as windows of it and of its parts), and passages of single
+    letters set apart, of a whole text."""
     lowered = text.lower()
     parts = Counter(lowered.split())
     words: Counter = Counter()
@@ -158,14 +190,17 @@ def tokens_of(text: str) -> tuple[Counter, set[str], list[str]]:
             t = _JUNK.sub("", t)
         core = t.strip(".,;:?\"'[]{}<>«»„“”‘’…—–/\\&%#^~`=_-")
         if core and not core.isalpha() and any(c.isalpha() for c in core):
-            # windows that overlap by more than most words' length
-            odd.update(core[a : a + WINDOW] for a in range(0, max(1, len(core) - OVERLAP), WINDOW - OVERLAP))
+            forms = windows(core)
+            for p in {x for pattern in _PARTS for x in pattern.split(core)} - {core}:
+                if not p.isalpha() and any(c.isalpha() for c in p):
+                    forms += windows(p)
+            odd.add(tuple(dict.fromkeys(forms)))
     for w in words:
         if _RUN.search(w):
-            odd.add(w)
+            odd.add(tuple(windows(w)))
     singles = sum(n for t, n in parts.items() if len(t) <= 2)
     spaced = []
-    if singles >= 3 or any("." in t or "-" in t or "_" in t or "*" in t for t in odd):
+    if singles >= 3 or any(c in t for forms in odd for t, _, _ in forms for c in ".-_*"):
         spaced = [re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(lowered)]
     return words, odd, spaced
 
@@ -195,15 +230,40 @@ class Model:
         self.weights, self.bias, self.decoder, self.alone = weights, bias, decoder, alone or {}
         self.words = {f for f in weights if "*" not in f}
         self.starts = {f.split("*")[0] for f in weights if "*" in f}
+        self.heads: dict[str, list[str]] = {}
+        for w in sorted(self.words):
+            if WITHIN <= len(w) <= LONGEST:
+                self.heads.setdefault(w[:WITHIN], []).append(w)
+        self.memo: dict[tuple, str | None] = {}
+
+    def restored(self, form: tuple[str, bool, bool]) -> str | None:
+        """What is hidden in a window: a feature word or a word that begins like one, as the whole; or a feature word among
+        other words."""
+        if form not in self.memo:
+            if len(self.memo) >= DECODED:
+                self.memo.clear()
+            self.memo[form] = self._restored(*form)
+        return self.memo[form]
+
+    def _restored(self, token: str, open_left: bool, open_right: bool) -> str | None:
+        spelled = self.decoder.spelled(token)
+        for w in self.decoder.likely(spelled):
+            if w in self.words or any(w[:k] in self.starts for k in PREFIXES):
+                return w
+        for letters in spelled:
+            for i in range(len(letters) - WITHIN + 1):
+                for w in self.heads.get(letters[i : i + WITHIN], ()):
+                    if letters.startswith(w, i):
+                        before, after = letters[:i], letters[i + len(w) :]
+                        if self.decoder.divides(before, open_left) and self.decoder.divides(after, False, open_right):
+                            return w
+        return None
 
     def present(self, text: str) -> set[str]:
         """Features of the text as it stands and as it is restored."""
         words, odd, spaced = tokens_of(text)
-        for t in odd:
-            for w in self.decoder.decode(t):
-                if w in self.words or any(w[:k] in self.starts for k in PREFIXES):
-                    words[w] += 1
-                    break
+        for forms in odd:
+            words.update({w for form in forms if (w := self.restored(form))})
         found = {f for f in features_of(words, (self.words, self.starts)) if f in self.weights}
         for t in spaced:
             for a in range(0, len(t), 512):  # the letters have no word boundaries: look for words within
@@ -243,37 +303,60 @@ def plain_words(t: str) -> list[str]:
     return [s] if s.isalpha() else _WORDS.findall(s)
 
 
+def trigram_sums(words: Counter) -> dict[str, int]:
+    """Each trigram of the words, with two marks before and one after, and the sum of these words' counts."""
+    if not words:
+        return {}
+    sizes = np.array([len(w) + 3 for w in words])
+    raw = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    begins = np.ones(len(raw), bool)
+    begins[np.cumsum(sizes) - 1] = begins[np.cumsum(sizes) - 2] = False
+    at = np.flatnonzero(begins)
+    keys = raw[at] << 42 | raw[at + 1] << 21 | raw[at + 2]
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sums = np.add.reduceat(np.repeat(np.fromiter(words.values(), np.int64), sizes)[at][order], first)
+    letters = lambda k: chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF)
+    return dict(zip(map(letters, keys[first].tolist()), sums.tolist(), strict=True))
+
+
 def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts: the number of texts that hold each word (by its key), each trigram's sum over these words, and the
     number of texts (no item, no key), summed over many texts before they go on."""
-    texts_, held, met = 0, Counter(), {}
+    n_texts, held = 0, Counter()
 
     def sums() -> pa.RecordBatch:
-        trigrams: Counter = Counter()
-        for w, n in held.items():
-            padded = f"^^{w}$"
-            for i in range(len(padded) - 2):
-                trigrams[padded[i : i + 3]] += n
+        trigrams = trigram_sums(held)
         items = [*trigrams, *[None] * (len(held) + 1)]
         keys = [*[None] * len(trigrams), *map(word_key, held), None]
-        counts = [*trigrams.values(), *held.values(), texts_]
+        counts = [*trigrams.values(), *held.values(), n_texts]
         return pa.RecordBatch.from_arrays(
             [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["item", "key", "n"]
         )
 
     for batch in batches:
         for a, b in slices(batch, SLICE, 0):
-            for text in batch.column(0).slice(a, b - a).to_pylist():
-                words: set[str] = set()
-                for t in set(text.lower().split()):
-                    if t not in met:
-                        met[t] = [w for w in plain_words(t) if len(w) <= LONGEST]
-                    words.update(met[t])
-                held.update(words)
-                texts_ += 1
-            if len(held) + len(met) > COUNTED:
+            lists = pc.utf8_split_whitespace(batch.column(0).slice(a, b - a))
+            tokens = pc.list_flatten(lists).dictionary_encode()
+            number: dict[str, int] = {}
+            of_token, sizes = [], []
+            for t in tokens.dictionary.to_pylist():
+                own = [number.setdefault(w, len(number)) for w in plain_words(t.lower()) if len(w) <= LONGEST]
+                of_token += own
+                sizes.append(len(own))
+            size, code = np.array(sizes, np.int64), tokens.indices.to_numpy().astype(np.int64)
+            first, each = np.cumsum(size) - size, size[code]
+            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            words = np.array(of_token, np.int64)[np.repeat(first[code], each) + within]
+            doc = np.repeat(pc.list_parent_indices(lists).to_numpy(), each)
+            once = np.sort(doc * max(1, len(number)) + words)
+            once = once[np.diff(once, prepend=-1) > 0] % max(1, len(number))
+            held.update(dict(zip(number, np.bincount(once, minlength=len(number)).tolist(), strict=True)))
+            n_texts += b - a
+            if len(held) > COUNTED:
                 yield sums()
-                texts_, held, met = 0, Counter(), {}
+                n_texts, held = 0, Counter()
     yield sums()
 
 

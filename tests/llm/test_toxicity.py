@@ -3,7 +3,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from quarterlens.llm.common import ship
-from quarterlens.llm.toxicity import Decoder, fit, toxicity
+from quarterlens.llm.toxicity import Decoder, Model, fit, toxicity
 
 
 def test_held_out_accuracy_and_folds(spark):
@@ -68,3 +68,19 @@ def test_language_model_counts_every_document(spark):
     assert "qzxv" in d.words and "here" in d.words  # in unlabelled documents only; in labelled ones beyond the sample
     assert {"^^q", "qzx", "zxv", "xv$"} <= d.trigrams.keys()
     assert all(f"^^{t.split()[3][0]}" in d.trigrams for _, t in rows)
+
+
+def test_hidden_words_in_joined_and_long_tokens():
+    common = ["hello", "you", "are", "such", "really", "one", "the", "paragraph"]
+    words = {w: -4.0 for w in [*common, "idiot"]}
+    trigrams = {p[i : i + 3]: -1.0 for w in words for p in [f"^^{w}$"] for i in range(len(p) - 2)}
+    trigrams |= {a[-2:] + b[0]: -2.0 for a in words for b in words} | {a[-1] + b[:2]: -2.0 for a in words for b in words}
+    m = Model({"idiot": 1.0}, 0.0, Decoder(trigrams, words))
+    for text in ("hello,1d10t", "you_4re_1d10t", "hello!1d10t", "such/1d10t.really", "hello1d10t", "1d1otyou"):
+        assert m.present(text) == {"idiot"}, text
+    for before in range(60, 90):  # at any place of a very long token
+        assert m.present("x1" * (before // 2) + "y" * (before % 2) + ",1d10t," + "x1" * 40) == {"idiot"}, before
+    for k in range(8, 14):
+        assert m.present("hello" * k + "1d10t" + "really" * 9) == {"idiot"}, k
+    for text in ("hello,fr1end", "qx1d10tzv", "par4graph", "h3llo/you"):  # no chance substrings
+        assert m.present(text) == set(), text
