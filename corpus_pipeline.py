@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlens.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from quarterlens.llm.common import ship, shared_dir, stored, table
+from quarterlens.llm.common import row_ids, ship, shared_dir, stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity operator predicts to be toxic; the model is fitted on the labelled ones."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.toxicity(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_toxic_id"))
-    rejected = stored(spark, scored.distinct(), "pipeline-toxic")
-    return docs.join(rejected, docs["doc_id"] == rejected["_toxic_id"], "left_anti")
+    rows, own = row_ids(docs)  # rows that share a doc_id, or have none, are judged one by one
+    scored = toxicity.toxicity(rows.select(F.col(own).alias("doc_id"), "text"), model)
+    rejected = stored(spark, scored.filter("predicted = 1").select(F.col("doc_id").alias("_toxic_id")), "pipeline-toxic")
+    return rows.join(rejected, rows[own] == rejected["_toxic_id"], "left_anti").select(*docs.columns)
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,21 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a long id of each row in a further column, and that column's name.
+
+    Where every row has its own doc_id, that is the id. Otherwise rows are numbered, and written once, so that the numbers stay.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn(name, docs["doc_id"].cast("long"))
+    counts = own.groupBy(name).count()
+    if counts.filter(F.col(name).isNull() | (F.col("count") > 1)).isEmpty():
+        return own, name
+    return stored(docs.sparkSession, docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor."""
     sc = spark.sparkContext

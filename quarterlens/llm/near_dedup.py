@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, spread, stored, table, texts
+from .common import row_ids, ship, slices, spread, stored, table, texts
 from .links import components
 
 SLICE = 1 << 20
@@ -414,9 +414,15 @@ def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay (one document of each component), with docs' columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left_semi")
+    """The rows of docs that stay (one row of each component), with docs' columns.
+
+    Rows are compared by their own ids: rows with a null doc_id, or with a doc_id that others have too, are kept or dropped like
+    all others. Of a component the row with the least doc_id stays; in a table with such rows, the first one.
+    """
+    rows, own = row_ids(docs)
+    result = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"))
+    kept = result.filter("kept").select(F.col("doc_id").alias("_kept_id"))
+    return rows.join(kept, rows[own] == kept["_kept_id"], "left_semi").select(*docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 import re
 
 from quarterlens.llm.links import components
-from quarterlens.llm.near_dedup import near_duplicates
+from quarterlens.llm.near_dedup import keep_one, near_duplicates
 
 
 def shingle_set(text):
@@ -79,3 +79,12 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_keep_one_judges_rows_without_an_own_doc_id(spark):
+    t = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1] + " more"), (7, t[2]), (7, t[3]), (3, t[2] + " more"), (8, t[0] + " more")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _row int")
+    out = keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(r["text"].removesuffix(" more") for r in out.collect()) == t

@@ -48,3 +48,13 @@ def test_stages(spark, tmp_path):
     for r in kept["packing"]:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
+
+
+def test_toxic_rows_without_an_own_doc_id_are_rejected(spark, monkeypatch, tmp_path):
+    model = corpus_pipeline.toxicity.Model({"blorg": 9.0}, -3.0, corpus_pipeline.toxicity.Decoder({}, {}))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: model)
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(None, "you blorg"), (None, "fine"), (4, "a blorg"), (4, "good"), (5, "well")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in out) == ["fine", "good", "well"]
