@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import row_ids, stored, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name", "secret")
@@ -231,11 +231,12 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return _spans(docs)[1]
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _spans(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows and their accepted spans; row: an id of each row that docs has, else rows are numbered here."""
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
     scanned = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         docs["doc_id"].cast("long").alias("doc_id"),
         *[_found(text, i).alias(f"s{i}") for i in range(len(_SOURCES))],
     )
@@ -328,23 +329,20 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every accepted span replaced by its kind in brackets, such as [EMAIL]; all rows and columns stay.
 
-    Spans of a document are merged where they overlap. Rows are matched by doc_id; where rows share a doc_id, the spans of one
-    hold for all with the same text.
+    Spans of a row are merged where they overlap. Each row is cut by its own spans, also if it has no doc_id or shares it.
     """
-    spark = docs.sparkSession
-    rows, spans = _spans(docs)
+    rows, own = row_ids(docs)
+    spans = _spans(rows, rows[own])[1]
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     clear = (
         spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0)))
         .filter(F.col("end") > F.col("reach"))
         .withColumn("start", F.greatest("start", "reach"))
     )
-    per = clear.groupBy("row").agg(
-        F.first("doc_id").alias("_pii_id"), F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_pii")
+    per = clear.groupBy(F.col("row").alias("_pii_row")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_pii")
     )
-    # ids repeat only in tables with repeated rows; one entry for each id keeps the join from growing
-    per = per.groupBy("_pii_id").agg(F.min_by("_pii", "row").alias("_pii"))
-    joined = docs.join(per, F.col("doc_id").cast("long") == F.col("_pii_id"), "left")
+    joined = rows.join(per, rows[own] == per["_pii_row"], "left")
     # the text between span i - 1 and span i, then span i's mark; the last part has no mark
     n = F.size("_pii")
     parts = F.transform(

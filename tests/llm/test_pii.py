@@ -88,3 +88,10 @@ def test_expectation_maximisation_tells_reliable_labelers_apart():
         counts[v] = counts.get(v, 0) + 1
     post = expectation_maximisation(list(counts.items()))
     assert post[1, 1, 0] > 0.9 and post[0, 0, 1] < 0.1
+
+
+def test_redaction_of_rows_without_an_own_doc_id(spark):
+    rows = [(1, "mail a@b.co now"), (1, "plain text with no data"), (1, "é +1 (974) 555-3436"), (None, "x@y.org"), (None, "nothing")]
+    out = redact(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int")).collect()
+    want = [(1, "mail [EMAIL] now", 0), (1, "plain text with no data", 0), (1, "é [PHONE]", 0), (None, "[EMAIL]", 0), (None, "nothing", 0)]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
