@@ -178,12 +178,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(band_rows, pa.list_(pa.int64())),
                     pa.array(sketch_rows, pa.binary()),
                     pa.array(next_rows, pa.binary()),
+                    part.column(2),
                 ],
-                names=["doc_id", "n_shingles", "key", "bands", "sketch", "next"],
+                names=["doc_id", "n_shingles", "key", "bands", "sketch", "next", "hash"],
             )
 
 
-_SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, next binary"
+_SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, next binary, hash long"
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -202,29 +203,31 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both whole texts: those whose full sets link."""
     kept: dict[bytes, np.ndarray] = {}
+    none = np.zeros(0, np.uint64)
     for batch in batches:
         for lo, hi in slices(batch, SLICE, 2):
             part = batch.slice(lo, hi - lo)
             ka, kb = part.column(0).to_pylist(), part.column(1).to_pylist()
-            missing = {}
+            missing: dict[tuple, None] = {}
             for keys, column in ((ka, 2), (kb, 3)):
                 values = part.column(column).cast(pa.binary())
                 for i, k in enumerate(keys):
-                    if k not in kept and k not in missing:
-                        missing[k] = values[i].as_py()
+                    if k not in kept:
+                        missing[k, values[i].as_py()] = None
             if len(kept) > 2_000:
                 kept = {k: kept[k] for k in {*ka, *kb} if k in kept}
             if missing:
                 names = list(missing)
                 for a in range(0, len(names), 200):
                     some = names[a : a + 200]
-                    hashes, counts = shingles([missing[k] for k in some])
+                    hashes, counts = shingles([t for _, t in some])
                     ends = np.cumsum(counts)
-                    for k, e, n, real in zip(some, ends.tolist(), counts.tolist(), set_keys(hashes, counts), strict=True):
-                        kept[k] = hashes[e - n : e].copy() if real == k else np.zeros(0, np.uint64)
+                    for (k, _), e, n, real in zip(some, ends.tolist(), counts.tolist(), set_keys(hashes, counts), strict=True):
+                        if real == k:  # another text, of a clashing hash, may come with the key
+                            kept[k] = hashes[e - n : e].copy()
             good = []
             for a, b in zip(ka, kb, strict=True):
-                x, y = kept[a], kept[b]
+                x, y = kept.get(a, none), kept.get(b, none)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -317,22 +320,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    plain = texts(docs)
+    plain = texts(docs).withColumn("hash", F.xxhash64("text"))
     signed = stored(spark, spread(plain, "doc_id").mapInArrow(_sign, _SIGNED), "near-signed")
     classes = stored(
         spark,
         signed.filter("key is not null and doc_id is not null")
         .groupBy("key")
         .agg(
-            F.min("doc_id").alias("node"),
+            F.min(F.struct("doc_id", "hash")).alias("least"),
             F.first("n_shingles").alias("n"),
             F.first("sketch").alias("sketch"),
             F.first("next").alias("next"),
             F.first("bands").alias("bands"),
-        ),
+        )
+        .select("key", F.col("least.doc_id").alias("node"), F.col("least.hash").alias("hash"), "n", "sketch", "next", "bands"),
         "near-classes",
     )
-    light = classes.select("key", "node", "n", "sketch", "next")
+    light = classes.select("key", "node", "hash", "n", "sketch", "next")
     members = classes.select("key", F.posexplode("bands").alias("band", "b")).select(
         "key", F.xxhash64("band", "b").alias("bucket")
     )
@@ -401,10 +405,11 @@ def _screened(pairs: DataFrame, light: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame) -> DataFrame:
-    """Links (as node ids) among pairs, by the full sets of both texts. Only texts that a pair names are moved."""
+    """Links (as node ids) among pairs, by the full sets of both texts. Only texts that a pair names are moved: of a doc_id
+    with several texts, the one whose set has the key."""
     names = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    nodes = light.select("key", "node").join(names, "key", "left_semi")
-    whole = nodes.join(plain, nodes["node"] == plain["doc_id"]).select("key", "node", "text")
+    nodes = light.select("key", "node", "hash").join(names, "key", "left_semi")
+    whole = nodes.join(plain, (nodes["node"] == plain["doc_id"]) & (nodes["hash"] == plain["hash"])).select("key", "node", "text")
     whole = stored(pairs.sparkSession, whole, "near-texts")
     one = whole.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     two = whole.select(F.col("key").alias("b"), F.col("text").alias("tb"))

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from quarterlens.llm.links import components
-from quarterlens.llm.near_dedup import keep_one, near_duplicates
+from quarterlens.llm.near_dedup import _check, keep_one, near_duplicates, set_keys, shingles
 
 
 def shingle_set(text):
@@ -88,3 +90,23 @@ def test_keep_one_judges_rows_without_an_own_doc_id(spark):
     out = keep_one(df)
     assert out.columns == df.columns
     assert sorted(r["text"].removesuffix(" more") for r in out.collect()) == t
+
+
+def test_every_text_of_a_doc_id_links(spark):
+    t = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(1, t[k]) for k in range(6)] + [(10 + k, t[k] + " more") for k in range(6)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        assert {r["component_id"] for r in near_duplicates(df).collect()} == {1}
+
+
+def test_check_finds_a_keys_text_in_any_row():
+    a, b, other = (" ".join(f"{w}{i}" for i in range(40)).encode() for w in "aax")
+    b += b" more"
+    ka, kb = set_keys(*shingles([a, b]))
+    for ta, tb in (([other, a], [b, b]), ([a, other], [b, b]), ([other, a, a], [b, other, b])):
+        n = len(ta)
+        columns = [pa.array(c, pa.binary()) for c in ([ka] * n, [kb] * n, ta, tb)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "ta", "tb"])
+        parts = [batch.slice(i, 1) for i in range(n)]
+        assert sum(x.num_rows for x in _check(parts)) and sum(x.num_rows for x in _check([batch]))
