@@ -108,7 +108,7 @@ def _by_document(doc: np.ndarray, alt: np.ndarray, start: np.ndarray, stop: np.n
             yield int(doc[a]), int(alt[a]), np.stack([x, y], 1).astype("<i4").tobytes()
 
 
-_ROW = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("alt", "<u2"), ("start", "<i4"), ("n", "u1")])
+_ROW = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("alt", "<i4"), ("start", "<i4"), ("n", "u1")])
 
 
 def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +216,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out)
 
 
-_ASKED = np.dtype({"names": ["gram", "start", "n"], "formats": ["<u8", "<i4", "u1"], "offsets": [0, 26, 30], "itemsize": _ROW.itemsize})
-_HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("alt", "<u2"), ("start", "<i4"), ("n", "u1")])
+_ASKED = np.dtype({"names": ["gram", "start", "n"], "formats": ["<u8", "<i4", "u1"], "offsets": [0, 28, 32], "itemsize": _ROW.itemsize})
+_HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("alt", "<i4"), ("start", "<i4"), ("n", "u1")])
 
 
 def _contents(buckets: int):
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id, or before in the same one); windows overlap and are judged on the input. Returns digests and the kept bytes.
 
     Suffixes are ordered through LENGTH bytes only, by most-significant-digit passes, and what is alone in its group drops out
-    after each. The first digit is a window's anchor, so runs of windows that share one move as one packed row of 31 bytes, about one for
+    after each. The first digit is a window's anchor, so runs of windows that share one move as one packed row of 33 bytes, about one for
     forty bytes of text. Stretches that are equal as a whole are settled there; only where an anchor has different
     stretches do their bytes move, and the later passes order their windows by eight bytes at a time. Equal stretches within a
     slice of the scan are settled before anything moves, so a passage that a third of all documents hold arrives once for each slice.

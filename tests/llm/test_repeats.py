@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from quarterlens.llm.repeats import LENGTH, remove_repeats, repeated_windows
+from quarterlens.llm.repeats import _ASKED, _REMOVE, _ROW, LENGTH, _cut, remove_repeats, repeated_windows
 
 
 def brute(rows):
@@ -74,3 +75,15 @@ def test_passes_end_with_equal_windows():
         where.setdefault(raw[p : p + LENGTH], []).append(p)
     want = sorted(v for v in where.values() if len(v) > 1)
     assert sorted(sorted(index[group == g].tolist()) for g in np.unique(group)) == want
+
+
+def test_more_texts_of_a_doc_id_than_16_bits_count():
+    text = bytes(random.Random(2).choices(range(97, 123), k=120))
+    columns = [pa.array([7, 7], pa.int64()), pa.array([4464, 70_000], pa.int32()), pa.array([text, text], pa.binary())]
+    (moved,) = _cut(8)([pa.RecordBatch.from_arrays(columns, names=["doc_id", "alt", "text"])])
+    gone = [r for r in moved.to_pylist() if r["kind"] == _REMOVE]
+    assert [(r["doc_id"], r["alt"]) for r in gone] == [(7, 70_000)]
+    rows = np.zeros(1, _ROW)
+    rows["gram"], rows["alt"], rows["start"], rows["n"] = 5, 70_000, 123_456, 77
+    asked = np.frombuffer(rows[["gram", "start", "n"]].tobytes(), _ASKED)
+    assert asked.tolist() == [(5, 123_456, 77)] and rows["alt"][0] == 70_000
