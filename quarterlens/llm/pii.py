@@ -52,8 +52,8 @@ _SOURCES = (
     (
         "email",
         False,
-        r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}"
-        r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,8}",
+        r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++"
+        r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
         lambda t: t.rlike(r"(?i)[(\[]at[)\]]"),
     ),
     (
@@ -71,7 +71,7 @@ _SOURCES = (
     (
         "secret",
         False,
-        r"""(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9_/+-]{16,128}["']?""",
+        r"""(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9_/+-]{16,}+["']?""",
         lambda t: t.rlike("[=:]"),
     ),
 )

@@ -95,3 +95,12 @@ def test_redaction_of_rows_without_an_own_doc_id(spark):
     out = redact(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int")).collect()
     want = [(1, "mail [EMAIL] now", 0), (1, "plain text with no data", 0), (1, "é [PHONE]", 0), (None, "[EMAIL]", 0), (None, "nothing", 0)]
     assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+
+
+def test_long_secrets_and_addresses_are_whole_spans(spark):
+    key, local = "ab8ca1b325bc4f85" * 20, "j0" * 35
+    mail = f"{local} (at) " + "x" * 10 + " (dot) a" * 10 + " (dot) com"
+    rows = [(1, f"token = {key} end"), (2, f"mail contact {mail}!"), (3, "password=" + "a1" * 50_000), (4, "a (at) b" + " (dot) c" * 20_000)]
+    got = {r["doc_id"]: r["spans"] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == f"secret:0:{8 + len(key)}" and got[2] == f"email:13:{13 + len(mail)}"
+    assert got[3] == f"secret:0:{len(rows[2][1])}" and got[4] in ("", f"email:0:{len(rows[3][1])}")
