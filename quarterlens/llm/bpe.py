@@ -19,9 +19,9 @@ from .tokens import segments
 SLICE = 1 << 20
 #: Pieces of more bytes than this are merged with a heap instead of a matrix row.
 WIDEST = 256
-#: Most cells of a matrix, and most cached pieces of a worker.
+#: Most cells of a matrix; most pieces that a worker caches, and most characters of these.
 CELLS = 1 << 20
-CACHED = 1 << 20
+CACHED, CACHED_CHARS = 1 << 20, 1 << 23
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = 0, 1, 2, 3, 4
 _SENTINEL = 0x110000
@@ -132,8 +132,17 @@ class PairTable:
         return out
 
 
+def apart(a: np.ndarray, starts_a: np.ndarray, b: np.ndarray, starts_b: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which of the runs a[starts_a : starts_a + counts] and b[starts_b : starts_b + counts] hold different values."""
+    unlike = np.flatnonzero(a[ragged(starts_a, counts)] != b[ragged(starts_b, counts)])
+    out = np.zeros(len(counts), bool)
+    out[np.searchsorted(np.cumsum(counts), unlike, side="right")] = True
+    return out
+
+
 class PieceCache:
-    """Ids of the pieces met so far: an open-addressed table from a piece's 64-bit hash into one pool of ids."""
+    """The pieces met so far, with their ids: an open-addressed table from a piece's 64-bit hash into one pool of ids and one
+    of characters. A hash only says where to look: `same` compares the piece itself."""
 
     BITS = 22
 
@@ -146,7 +155,10 @@ class PieceCache:
         self.starts = np.zeros(1 << 16, np.int64)
         self.counts = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.int32)
-        self.n, self.used = 0, 0
+        self.char_starts = np.zeros(1 << 16, np.int64)
+        self.char_counts = np.zeros(1 << 16, np.int64)
+        self.chars = np.zeros(1 << 18, np.uint32)
+        self.n, self.used, self.used_chars = 0, 0, 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's entry, or -1."""
@@ -163,18 +175,31 @@ class PieceCache:
             rest = rest[~hit & (found != 0)]
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Adds distinct new keys; ids holds the ids of all, one after the other. Returns the entries."""
+    def same(self, entries: np.ndarray, cps: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Which entries hold exactly the pieces cps[start:stop]."""
+        counts = stops - starts
+        out = self.char_counts[entries] == counts
+        at = np.flatnonzero(out)
+        out[at] = ~apart(cps, starts[at], self.chars, self.char_starts[entries[at]], counts[at])
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Adds distinct new keys; ids and chars hold the ids and characters of all, one after the other. Returns the entries."""
         entries = np.arange(self.n, self.n + len(keys), dtype=np.int32)
         while self.n + len(keys) > len(self.counts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            for name in ("starts", "counts", "char_starts", "char_counts"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.used_chars + len(chars) > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
         self.pool[self.used : self.used + len(ids)] = ids
+        self.chars[self.used_chars : self.used_chars + len(chars)] = chars
         self.starts[entries] = self.used + np.cumsum(counts) - counts
         self.counts[entries] = counts
-        self.n, self.used = self.n + len(keys), self.used + len(ids)
+        self.char_starts[entries] = self.used_chars + np.cumsum(lengths) - lengths
+        self.char_counts[entries] = lengths
+        self.n, self.used, self.used_chars = self.n + len(keys), self.used + len(ids), self.used_chars + len(chars)
         mask = np.uint64((1 << self.BITS) - 1)
         at, rest = (keys >> np.uint64(20)) & mask, np.arange(len(keys))
         while len(rest):
@@ -338,10 +363,18 @@ class Bpe:
             np.cumprod(self.powers, out=self.powers)
             np.cumprod(self.inverses, out=self.inverses)
 
+    @staticmethod
+    def _pieces(cps: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        return [cps[a:b].tobytes().decode("utf-32-le").encode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the number of ids of each text."""
+        """Ids of all texts one after the other, and the number of ids of each text.
+
+        Pieces are looked up in the cache by hash and compared with what it holds there. Pieces that share a hash with
+        others are merged anew each time.
+        """
         kinds, codes = _unicode_tables()
-        if self.cache.n > CACHED:
+        if self.cache.n > CACHED or self.cache.used_chars > CACHED_CHARS:
             self.cache.clear()
         cps = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).copy()
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -358,18 +391,23 @@ class Bpe:
         keys *= np.uint64(0xBF58476D1CE4E5B9)
         keys[keys == 0] = 1
         entries = self.cache.find(keys)
+        hit = np.flatnonzero(entries >= 0)
+        clash = hit[~self.cache.same(entries[hit], cps, starts[hit], stops[hit])]
         new = np.flatnonzero(entries < 0)
         if len(new):
             distinct, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
-            chars = cps.astype("<u4")
-            pieces = [
-                chars[a:b].tobytes().decode("utf-32-le").encode()
-                for a, b in zip(starts[new[first]].tolist(), stops[new[first]].tolist(), strict=True)
-            ]
-            ids, counts = self.merge_pieces(pieces)
-            entries[new] = self.cache.add(distinct, ids, counts)[inverse]
+            lead = new[first]
+            lengths = stops[lead] - starts[lead]
+            ids, counts = self.merge_pieces(self._pieces(cps, starts[lead], stops[lead]))
+            entries[new] = self.cache.add(distinct, ids, counts, cps[ragged(starts[lead], lengths)], lengths)[inverse]
+            clash = np.concatenate([clash, new[~self.cache.same(entries[new], cps, starts[new], stops[new])]])
         counts = self.cache.counts[entries]
-        ids = self.cache.pool[ragged(self.cache.starts[entries], counts)]
+        places, pool = self.cache.starts[entries], self.cache.pool
+        if len(clash):
+            ids, n = self.merge_pieces(self._pieces(cps, starts[clash], stops[clash]))
+            pool = np.concatenate([pool[: self.cache.used], ids])
+            counts[clash], places[clash] = n, self.cache.used + np.cumsum(n) - n
+        ids = pool[ragged(places, counts)]
         total = np.zeros(len(entries) + 1, np.int64)
         np.cumsum(counts, out=total[1:])
         bounds = total[np.searchsorted(starts, ends)]

@@ -124,3 +124,34 @@ def test_packing(spark, library):
     total = sum(map(len, ids.values()))
     assert len(sequences) <= -(-total // 2048) + 4  # three tasks, each with one block that isn't full
     assert pack(frame(spark, rows).limit(0), JSON).count() == 0
+
+
+def clashing(n):
+    """The Thue-Morse word of n letters and its complement: they share every polynomial hash modulo 2^64."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_share_a_hash(spark, tik, library):
+    rows = [(k, f"{w} end") for k, w in enumerate(w for n in (1024, 2048, 4096) for w in (*clashing(n), *clashing(n)))]
+    rows += [(100, " ".join(w for n in (1024, 2048) for w in clashing(n)))]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        for r in round_trips(df, RANKS).collect():
+            text = dict(rows)[r["doc_id"]]
+            assert r["ids_sha256"] == hashlib.sha256(np.array(tik.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        for r in pack(df, JSON).collect():
+            own = [*library.encode(dict(rows)[r["doc_id"]], add_special_tokens=False).ids, 1]
+            part = own[r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and r["doc_tokens"] == len(own)
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other"), (None, None), (None, "a b c")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_tokens int")
+    for run in (lambda d: round_trips(d, RANKS), lambda d: token_counts(d, JSON), lambda d: pack(d, JSON)):
+        assert run(df).count() == len(rows) and run(df.limit(0)).count() == 0
+        assert sorted(str(r["doc_id"]) for r in run(df).collect()) == ["1", "1", "1", "None", "None"]
+    got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in round_trips(df, RANKS).collect()}
+    assert len(got) == 4
