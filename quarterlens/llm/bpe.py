@@ -492,7 +492,7 @@ def _decode(path: str):
 def encode_texts(docs: DataFrame, ranks: str) -> DataFrame:
     """Each document's ids. Null and empty texts have none; every row is returned once; other columns are ignored."""
     ship(docs.sparkSession)
-    return spread(texts(docs), "doc_id").mapInArrow(_encode(ranks), "doc_id long, ids array<int>")
+    return spread(texts(docs)).mapInArrow(_encode(ranks), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -510,7 +510,7 @@ def round_trips(docs: DataFrame, ranks: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return spread(texts(docs), "doc_id").mapInArrow(_round_trip(ranks), schema)
+    return spread(texts(docs)).mapInArrow(_round_trip(ranks), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

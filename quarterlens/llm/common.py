@@ -46,7 +46,22 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     costs a reread of the table, and values that depend on partition numbers stay as they were."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = out, path
+    return out
+
+
+_places: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no later step and no result reads. Others, not written by `stored`, stay as they are."""
+    for df in tables:
+        _, path = _places.pop(id(df), (None, None))
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -81,11 +96,12 @@ def ship(spark: SparkSession) -> None:
     sc._quarterlens_shipped = True
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """For a table that comes as fewer partitions than there are cores: deals it out by its key."""
+def spread(df: DataFrame) -> DataFrame:
+    """For a table that comes as fewer partitions than there are cores: deals its rows out, whatever ids they have. Rows are
+    sorted within each task, as the order in which they arrive is not fixed, so a task that runs again sees them alike."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+        return df.repartition(cores).sortWithinPartitions(*df.columns)
     return df
 
 

@@ -136,7 +136,7 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    cut = stored(spark, spread(texts(docs), "doc_id").mapInArrow(_cut(bits), _CUT), "exact-cut")
+    cut = stored(spark, spread(texts(docs)).mapInArrow(_cut(bits), _CUT), "exact-cut")
     recipes = cut.filter("recipe is not null").select("doc_id", "recipe", "text_sha256", "n_bytes")
     clashes = stored(
         spark,

@@ -175,7 +175,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, piece: int
     """
     ship(docs.sparkSession)
     schema = ", ".join(f"{n} long" for n in _NAMES)
-    return spread(texts(docs), "doc_id").mapInArrow(_pack(vocabulary, capacity, piece, end_id), schema)
+    return spread(texts(docs)).mapInArrow(_pack(vocabulary, capacity, piece, end_id), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     settled = (
-        spread(numbered, "doc_id")
+        spread(numbered)
         .mapInArrow(_cut(buckets), _MOVED)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")

@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return spread(texts(docs), "doc_id").mapInArrow(_count(vocabulary, limit), schema)
+    return spread(texts(docs)).mapInArrow(_count(vocabulary, limit), schema)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

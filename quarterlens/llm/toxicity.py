@@ -367,7 +367,7 @@ def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray,
     texts; what reaches the driver is one number for each trigram of the alphabet and sixteen bytes a word.
     """
     spark = docs.sparkSession
-    plain = spread(texts(docs), "doc_id").select("text")
+    plain = spread(texts(docs)).select("text")
     counted = plain.mapInArrow(_language, "item string, key long, n long").groupBy("item", "key").agg(F.sum("n").alias("n"))
     counted = stored(spark, counted, "toxicity-language")
     total = counted.filter("item is null and key is null").agg(F.sum("n")).first()[0] or 0
@@ -501,7 +501,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     its fold. Every row is scored once; other columns are ignored.
     """
     ship(docs.sparkSession)
-    return spread(texts(docs), "doc_id").mapInArrow(
+    return spread(texts(docs)).mapInArrow(
         _scores(model), "doc_id long, held_out boolean, score double, predicted int"
     )
 
