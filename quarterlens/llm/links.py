@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         near = (
-            both.join(labels, both["b"] == labels["node"])
+            both.join(labels.select("node", "label"), both["b"] == F.col("node"))
             .groupBy(F.col("a").alias("x"))
             .agg(F.min("label").alias("least"))
         )
-        stepped = labels.join(near, F.col("node") == F.col("x")).select(
+        stepped = labels.select("node", "label").join(near, F.col("node") == F.col("x")).select(
             "node", F.col("label").alias("old"), F.least("label", "least").alias("label")
         )
         stepped = stored(spark, stepped, "links-step")
@@ -36,6 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.least("label", "further").alias("label"), "old"
         )
         jumped = stored(spark, jumped, "links-labels")
-        labels = jumped.select("node", "label")
+        discard(labels, stepped)
+        labels = jumped
         if jumped.filter("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            discard(both)
+            return jumped.select("node", F.col("label").alias("component"))

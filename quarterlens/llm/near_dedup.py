@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_ids, ship, slices, spread, stored, table, texts
+from .common import discard, row_ids, ship, slices, spread, stored, table, texts
 from .links import components
 
 SLICE = 1 << 20
@@ -23,19 +23,35 @@ BANDS, ROWS = 20, 4
 SAMPLES, BITS = 512, 1024
 #: Pairs of two components in a bucket that the first round of the cross check takes; each round takes so many times more.
 FIRST, MORE = 4, 16
-#: Pairs of sketches that are compared at a time.
-BLOCK = 1 << 20
+#: Pairs of sketches that are compared at a time, and shingles that a task keeps for further checks.
+BLOCK, HELD = 1 << 20, 1 << 22
+
+#: Bits of the filter that holds back texts which no pair names (16 MB at most, whatever the corpus holds).
+FILTER, FILTER_PART = 1 << 27, 1 << 15
+#: Members of a bucket that one task compares with as many others.
+CHUNK = 4_096
 
 _rng = np.random.default_rng(9_041)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_PLACE = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SALT = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _BASE
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
+_PLACE = _rng.integers(0, 1 << 63, (WORDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHORT = _rng.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Digests(dict):
+    """128-bit digests of words (BLAKE2b); those of short words are remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_digests = _Digests()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,61 +62,74 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles, one text after the other, and their counts."""
-    data = np.frombuffer(b" ".join([*rows, b""]).lower(), np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in rows]) - 1
-    white = _WHITE[data]
-    before = np.empty_like(white)
-    before[0], before[1:] = True, white[:-1]
-    starts = np.flatnonzero(~white & before)
-    stops = np.flatnonzero(white & ~before)
-    powers = np.full(len(data) + 1, _BASE)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[:-1], out=sums[1:])
-    del powers
-    back = np.full(len(data) + 1, _BACK)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    words = _mix((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64))
-    del sums, back
-    doc = np.searchsorted(ends, starts)
-    per_doc = np.bincount(doc, minlength=len(rows)).astype(np.int64)
-    n = len(words)
-    hashes = np.zeros(max(0, n - WORDS + 1), np.uint64)
-    for j in range(WORDS):
-        hashes += words[j : n - WORDS + 1 + j] * _PLACE[j] if n >= WORDS else np.zeros(0, np.uint64)
-    whole = doc[: len(hashes)] == doc[WORDS - 1 :] if n >= WORDS else np.zeros(0, bool)
-    hashes, owner = hashes[whole], doc[: len(whole)][whole]
+def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, one text after the other: sorted 64-bit hashes, their counts, and 64 more bits of each.
+
+    Words are known by 128-bit digests, and a shingle by two sums over its words' digests, so that neither chance nor words
+    made to share a hash bring different shingles together.
+    """
+    words = [r.lower().split() for r in rows]  # bytes.lower() changes A-Z only; bytes.split() parts at \x20 and \x09-\x0D
+    per_doc = np.array([len(w) for w in words], np.int64)
+    raw = b"".join(map(_digests.__getitem__, (w for ws in words for w in ws)))
+    digests = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    n = len(digests)
+    doc = np.repeat(np.arange(len(rows)), per_doc)
+    first, last = max(0, n - WORDS + 1), min(n, WORDS - 1)
+    lanes = []
     short = np.flatnonzero((per_doc > 0) & (per_doc < WORDS))
-    if len(short):
-        first = np.searchsorted(doc, short)
-        extra = per_doc[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    begin = (np.cumsum(per_doc) - per_doc)[short]
+    whole = doc[:first] == doc[last:] if first else np.zeros(0, bool)
+    for k in range(2):
+        column = np.ascontiguousarray(digests[:, k])
+        sums = np.zeros(first, np.uint64)
+        for j in range(WORDS if first else 0):
+            sums += column[j : first + j] * _PLACE[j, k]
+        extra = per_doc[short].astype(np.uint64) * _SHORT[k]
         for j in range(WORDS - 1):
             has = per_doc[short] > j
-            extra[has] += words[first[has] + j] * _PLACE[j]
-        hashes, owner = np.concatenate([hashes, extra]), np.concatenate([owner, short])
-    hashes = _mix(hashes)
+            extra[has] += column[begin[has] + j] * _PLACE[j, k]
+        lanes.append(_mix(np.concatenate([sums[whole], extra])))
+    owner = np.concatenate([doc[:first][whole], short])
+    hashes, more = lanes
     order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    if len(hashes):
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[new], owner[new]
-    return hashes, np.bincount(owner, minlength=len(rows)).astype(np.int64)
+    again = _repeats(owner[order], hashes[order])
+    if (again & (np.diff(more[order], prepend=0) != 0)).any():  # hashes that clash are told apart by the other bits
+        order = np.lexsort((more, hashes, owner))
+        again = _repeats(owner[order], hashes[order], more[order])
+    hashes, more, owner = hashes[order][~again], more[order][~again], owner[order][~again]
+    return hashes, np.bincount(owner, minlength=len(rows)).astype(np.int64), more
+
+
+def _repeats(*columns: np.ndarray) -> np.ndarray:
+    """Which rows are equal to the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    if len(out):
+        out[1:] = True
+        for c in columns:
+            out[1:] &= c[1:] == c[:-1]
+    return out
 
 
-def set_keys(hashes: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+def set_keys(hashes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> list[bytes | None]:
     """A 128-bit digest of each whole set; None for an empty one."""
-    raw, at, out = memoryview(hashes.tobytes()), 0, []
+    raw, rest, at, out = memoryview(hashes.tobytes()), memoryview(more.tobytes()), 0, []
     for n in counts.tolist():
-        out.append(hashlib.blake2b(raw[8 * at : 8 * (at + n)], digest_size=16).digest() if n else None)
+        h = hashlib.blake2b(raw[8 * at : 8 * (at + n)], digest_size=16)
+        h.update(rest[8 * at : 8 * (at + n)])
+        out.append(h.digest() if n else None)
         at += n
     return out
 
 
+def shared_count(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The size of the intersection of two sets (sorted hashes and the bits beside them)."""
+    (x, x2), (y, y2) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    if not len(y):
+        return 0
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int(((x[at] == y) & (x2[at] == y2)).sum())
+
+
 def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each set that is not empty."""
     full = counts[counts > 0]
@@ -143,7 +172,8 @@ def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
     """Population counts of the XOR of pairs of sketches, and the most that a link allows.
 
     Sets that link leave at most 15 of 185 of their elements unshared. For sets sampled whole the count can't exceed the number of
-    unshared elements, so no link is lost; otherwise four standard deviations of the sampling are added.
+    unshared elements, so no link is lost; otherwise six standard deviations of the sampling are added (a link is lost with a
+    probability of 1e-9, less than by the bands).
     """
     la, lb = levels(na), levels(nb)
     level = np.maximum(la, lb)
@@ -152,18 +182,19 @@ def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
     odd = np.bitwise_count(x ^ y).sum(-1).astype(np.int64)
     most = (na + nb) * (100 - PERCENT) / (100 + PERCENT)
     p = 0.5**level
-    return odd, np.where(level == 0, most, p * most + 4 * np.sqrt(p * (1 - p) * most) + 2)
+    return odd, np.where(level == 0, most, p * most + 6 * np.sqrt(p * (1 - p) * most) + 2)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch, SLICE):
             part = batch.slice(a, b - a)
-            hashes, counts = shingles(part.column(1).cast(pa.binary()).to_pylist())
+            rows = part.column(1).cast(pa.binary()).to_pylist()
+            hashes, counts, more = shingles(rows)
             full = np.flatnonzero(counts)
             bands = band_keys(hashes, counts)
             sketches, nexts = odd_sketches(hashes, counts), odd_sketches(hashes, counts, 1)
-            keys = set_keys(hashes, counts)
+            keys = set_keys(hashes, counts, more)
             band_rows: list = [None] * len(counts)
             sketch_rows: list = [None] * len(counts)
             next_rows: list = [None] * len(counts)
@@ -178,13 +209,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(band_rows, pa.list_(pa.int64())),
                     pa.array(sketch_rows, pa.binary()),
                     pa.array(next_rows, pa.binary()),
-                    part.column(2),
+                    pa.array([hashlib.sha256(r).digest() for r in rows], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "key", "bands", "sketch", "next", "hash"],
+                names=["doc_id", "n_shingles", "key", "bands", "sketch", "next", "sha"],
             )
 
 
-_SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, next binary, hash long"
+_SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, next binary, sha binary"
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -201,51 +232,49 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both whole texts: those whose full sets link."""
-    kept: dict[bytes, np.ndarray] = {}
-    none = np.zeros(0, np.uint64)
+    """Of pairs (keys, nodes, both whole texts): the nodes of those whose full sets link."""
+    kept: dict[bytes, tuple] = {}
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for batch in batches:
-        for lo, hi in slices(batch, SLICE, 2):
+        for lo, hi in slices(batch, SLICE, 4):
             part = batch.slice(lo, hi - lo)
             ka, kb = part.column(0).to_pylist(), part.column(1).to_pylist()
-            missing: dict[tuple, None] = {}
-            for keys, column in ((ka, 2), (kb, 3)):
+            missing: dict[bytes, bytes] = {}
+            for keys, column in ((ka, 4), (kb, 5)):
                 values = part.column(column).cast(pa.binary())
                 for i, k in enumerate(keys):
-                    if k not in kept:
-                        missing[k, values[i].as_py()] = None
-            if len(kept) > 2_000:
+                    if k not in kept and k not in missing:
+                        missing[k] = values[i].as_py()
+            if sum(len(x) for x, _ in kept.values()) > HELD:
                 kept = {k: kept[k] for k in {*ka, *kb} if k in kept}
-            if missing:
-                names = list(missing)
-                for a in range(0, len(names), 200):
-                    some = names[a : a + 200]
-                    hashes, counts = shingles([t for _, t in some])
-                    ends = np.cumsum(counts)
-                    for (k, _), e, n, real in zip(some, ends.tolist(), counts.tolist(), set_keys(hashes, counts), strict=True):
-                        if real == k:  # another text, of a clashing hash, may come with the key
-                            kept[k] = hashes[e - n : e].copy()
+            names = list(missing)
+            for a in range(0, len(names), 200):
+                some = names[a : a + 200]
+                hashes, counts, more = shingles([missing[k] for k in some])
+                for k, e, n in zip(some, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                    kept[k] = hashes[e - n : e].copy(), more[e - n : e].copy()
             good = []
             for a, b in zip(ka, kb, strict=True):
                 x, y = kept.get(a, none), kept.get(b, none)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                both = shared_count(x, y)
+                good.append(both > 0 and 100 * both >= PERCENT * (len(x[0]) + len(y[0]) - both))
+            yield pa.RecordBatch.from_arrays(part.columns[2:4], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _across(budget: int):
-    """From members sorted by bucket: pairs of different components that sizes and sketches let pass, of each two components in
-    a bucket the `budget` nearest by their sketches. A row of nulls says that there are more."""
+    """From members sorted by group (a bucket, or the meeting of two of its chunks): pairs of different components that sizes
+    and sketches let pass, of each two components in a block of comparisons the `budget` nearest by their sketches. A row
+    of nulls says that there are more. No more than a group and the pairs of a block are held."""
 
     def pairs(rows: list[list]) -> Iterator[pa.RecordBatch]:
         keys = [k for r in rows for k in r[0]]
-        comp, n = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+        comp, n, side, within = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 5, 6))
         own, after = (np.concatenate([r[i] for r in rows]) for i in (3, 4))
         by_key = np.array(sorted(range(len(keys)), key=keys.__getitem__))
         by_size = by_key[np.argsort(n[by_key], kind="stable")]  # partners of a set are at most so much larger
-        comp, n, own, after = comp[by_size], n[by_size], own[by_size], after[by_size]
+        comp, n, own, after, side, within = (x[by_size] for x in (comp, n, own, after, side, within))
         last = np.searchsorted(n, n * 100 // PERCENT, side="right")
-        found = []
+        more = False
         i = 0
         while i < len(n):
             j = i + 1
@@ -253,45 +282,47 @@ def _across(budget: int):
                 j += 1
             right = np.arange(i, last[j - 1])
             ok = (comp[i:j, None] != comp[None, right]) & (right[None, :] > np.arange(i, j)[:, None])
+            ok &= (side[i:j, None] != side[None, right]) | (within[i:j, None] & within[None, right])
             ok &= 100 * n[i:j, None] >= PERCENT * n[None, right]
             x, y = np.nonzero(ok)
             x, y = x + i, right[y]
+            found = []
             for a in range(0, len(x), BLOCK // 16):
                 u, v = x[a : a + BLOCK // 16], y[a : a + BLOCK // 16]
                 odd, most = unshared(n[u], n[v], own[u], after[u], own[v], after[v])
                 good = odd <= most
                 found.append((u[good], v[good], (odd / np.maximum(most, 1))[good]))
             i = j
-        if not found or not sum(len(f[0]) for f in found):
-            return
-        x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
-        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        order = np.lexsort((y, x, far, high, low))
-        x, y, low, high = x[order], y[order], low[order], high[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        few = place < budget
-        names = [[keys[k] for k in by_size[v[few]]] for v in (x, y)]
-        a = [min(p) for p in zip(*names, strict=True)] + ([] if few.all() else [None])
-        b = [max(p) for p in zip(*names, strict=True)] + ([] if few.all() else [None])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            if not sum(len(f[0]) for f in found):
+                continue
+            x, y, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+            low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            order = np.lexsort((y, x, far, high, low))
+            x, y, low, high = x[order], y[order], low[order], high[order]
+            new = ~_repeats(low, high)
+            few = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0)) < budget
+            more |= not few.all()
+            ends = [[keys[k] for k in by_size[v[few]]] for v in (x, y)]
+            a, b = ([pick(p) for p in zip(*ends, strict=True)] for pick in (min, max))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary())] * 2, names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
+        group, rows = None, []
         for batch in batches:
             ids = batch.column(0).to_numpy()
             cuts = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids)) if len(ids) else []
             lo = 0
             for hi in cuts:
                 part = batch.slice(lo, hi - lo)
-                if ids[lo] != bucket and rows:
+                if ids[lo] != group and rows:
                     yield from pairs(rows)
                     rows = []
-                bucket = ids[lo]
+                group = ids[lo]
                 rows.append([
                     part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy(),
-                    _words(part.column(4)), _words(part.column(5)),
+                    _words(part.column(4)), _words(part.column(5)), part.column(6).to_numpy(), part.column(7).to_numpy(False),
                 ])
                 lo = hi
         if rows:
@@ -300,6 +331,43 @@ def _across(budget: int):
     return run
 
 
+def _meetings(where: DataFrame, placed: DataFrame) -> DataFrame:
+    """Members (bucket, key, component) of the buckets that hold several components, dealt into groups in which any two of
+    different components meet.
+
+    A bucket of up to CHUNK members is one group. Of a larger one, the members of its commonest component, which need not
+    meet each other, and the rest form chunks by hash; each chunk of the rest meets every chunk, in a group of its own.
+    So no task holds more than two chunks, however common a bucket is.
+    """
+    sizes = (
+        where.groupBy("bucket", "component").count()
+        .groupBy(F.col("bucket").alias("of"))
+        .agg(F.count("*").alias("components"), F.sum("count").alias("all"), F.max(F.struct("count", "component")).alias("main"))
+        .filter("components > 1")
+        .withColumn("mains", F.ceil(F.col("main.count") / CHUNK))
+        .withColumn("others", F.ceil((F.col("all") - F.col("main.count")) / CHUNK))
+    )
+    meeting = "named_struct('i', {i}, 'j', {j}, 'side', {side}, 'within', {within})"
+    alone = meeting.format(i="0L", j="0L", side="0", within="true")
+    mains = meeting.format(i="own", j="d", side="0", within="false")
+    others = meeting.format(i="d", j="own", side="1", within="false")
+    among = meeting.format(i="-1 - least(d, own)", j="greatest(d, own)", side="int(own > d)", within="own = d")
+    groups = (
+        f"case when all <= {CHUNK} then array({alone})"
+        f" when is_main then transform(sequence(0L, others - 1), d -> {mains})"
+        f" else concat(transform(sequence(0L, mains - 1), d -> {others}), transform(sequence(0L, others - 1), d -> {among})) end"
+    )
+    dealt = (
+        where.join(sizes, where["bucket"] == sizes["of"])
+        .withColumn("is_main", F.col("component") == F.col("main.component"))
+        .withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+        .select("bucket", "key", F.explode(F.expr(groups)).alias("m"))
+    )
+    return dealt.join(placed, "key").select(
+        F.xxhash64("bucket", "m.i", "m.j").alias("bucket"), "key", "component", "n", "sketch", "next", "m.side", "m.within"
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: size of its shingle set, the least doc_id of its component, and whether that is its own.
 
@@ -308,11 +376,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. In every band's bucket each class is paired with one leader, the class with the most company over all bands (mostly
        the text that the others were made from). Pairs that sizes and sketches let pass are checked on the full sets of both
        whole texts, and components are formed.
-    3. In buckets that hold several components, members of different ones are compared by size and sketch in blocks. Of each two
-       components the nearest few pairs that pass are checked on full sets, and components are formed again. Rounds with
-       growing numbers follow until nothing is left to check. So every pair that shares a bucket is in the end within a
-       component, or too far apart by its sketches, or checked: no link between them is lost, and pairs within a group
-       are never listed.
+    3. In buckets that hold several components, members of different ones are compared by size and sketch in blocks; large
+       buckets are split (see _meetings). Of each two components the nearest few pairs that pass are checked on full sets, and
+       components are formed again. Rounds with growing numbers follow until nothing is left to check. So every pair that
+       shares a bucket is in the end within a component, or too far apart by its sketches, or checked, and pairs within
+       a group are never listed.
+
+    A link at the threshold is missed by the bands with a probability of 4e-7, and by the sketches of sets over SAMPLES
+    shingles with 1e-9. Words and shingles are known by 128-bit digests.
 
     Null texts, empty texts and texts of white space have empty sets and link with nothing. Rows that repeat a doc_id count as
     one document of several texts: each row is returned, and what one text links is linked for the doc_id. Null doc_ids
@@ -320,23 +391,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    plain = texts(docs).withColumn("hash", F.xxhash64("text"))
-    signed = stored(spark, spread(plain, "doc_id").mapInArrow(_sign, _SIGNED), "near-signed")
+    plain = texts(docs)
+    signed = stored(spark, spread(plain).mapInArrow(_sign, _SIGNED), "near-signed")
     classes = stored(
         spark,
         signed.filter("key is not null and doc_id is not null")
         .groupBy("key")
         .agg(
-            F.min(F.struct("doc_id", "hash")).alias("least"),
+            F.min(F.struct("doc_id", "sha")).alias("least"),
             F.first("n_shingles").alias("n"),
             F.first("sketch").alias("sketch"),
             F.first("next").alias("next"),
             F.first("bands").alias("bands"),
         )
-        .select("key", F.col("least.doc_id").alias("node"), F.col("least.hash").alias("hash"), "n", "sketch", "next", "bands"),
+        .select("key", F.col("least.doc_id").alias("node"), F.col("least.sha").alias("sha"), "n", "sketch", "next", "bands"),
         "near-classes",
     )
-    light = classes.select("key", "node", "hash", "n", "sketch", "next")
+    light = classes.select("key", "node", "sha", "n", "sketch", "next")
     members = classes.select("key", F.posexplode("bands").alias("band", "b")).select(
         "key", F.xxhash64("band", "b").alias("bucket")
     )
@@ -355,35 +426,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(spark, _linked(screened, light, plain), "near-links")
     final = components(links)
 
-    tried, budget = screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), FIRST
+    tried, budget, done = screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), FIRST, [screened]
     while True:
         placed = light.join(final, "node", "left").select(
             "key", "n", "sketch", "next", F.coalesce("component", "node").alias("component")
         )
         placed = stored(spark, placed, "near-placed")
-        where = shared.select("bucket", "key").join(placed.select("key", "component"), "key")
-        mixed = where.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        inside = shared.select("bucket", "key").join(mixed.select("bucket"), "bucket", "left_semi")
+        where = stored(spark, shared.select("bucket", "key").join(placed.select("key", "component"), "key"), "near-where")
         crossing = (
-            inside.join(placed, "key")
-            .select("bucket", "key", "component", "n", "sketch", "next")
+            _meetings(where, placed)
             .repartition("bucket")
             .sortWithinPartitions("bucket")
             .mapInArrow(_across(budget), "a binary, b binary")
             .distinct()
         )
         crossing = stored(spark, crossing, "near-crossing")
+        discard(placed, where)
         fresh = stored(spark, crossing.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "near-fresh")
+        done.append(fresh)
         if fresh.isEmpty():
             if crossing.filter("a is null").isEmpty():
                 break
         else:
             more = stored(spark, _linked(fresh, light, plain), "near-more")
+            done.append(more)
             if not more.isEmpty():
                 links = links.union(more)
+                discard(final)
                 final = components(links)
             tried = tried.union(fresh)
+        discard(crossing)
         budget *= MORE
+    discard(shared, crossing, *done)
 
     # nodes without a link stand for themselves
     named = classes.select("key", "node").join(final, "node", "left").select(
@@ -404,18 +478,44 @@ def _screened(pairs: DataFrame, light: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "sketch_a", "next_a", "sketch_b", "next_b").mapInArrow(_screen, "a binary, b binary")
 
 
+def _named(plain: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of plain whose doc_id may be among the nodes: a filter of FILTER bits, built by partial aggregation, holds most
+    others back at the scan, before any exchange. It's as large as that at most, so it may be broadcast; the more nodes
+    there are, the more rows pass."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    bits = (
+        nodes.select(place("node").alias("p"))
+        .groupBy(F.expr(f"p div {FILTER_PART}").alias("part"))
+        .agg(F.bitmap_construct_agg(F.col("p") % FILTER_PART).alias("bits"))
+    )
+    at = F.col("p") % FILTER_PART
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (
+        plain.withColumn("p", place("doc_id"))
+        .withColumn("part", F.expr(f"p div {FILTER_PART}"))
+        .join(F.broadcast(bits), "part")  # FILTER / FILTER_PART rows of FILTER_PART / 8 bytes at most
+        .filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+        .select("doc_id", "text")
+    )
+
+
 def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame) -> DataFrame:
-    """Links (as node ids) among pairs, by the full sets of both texts. Only texts that a pair names are moved: of a doc_id
-    with several texts, the one whose set has the key."""
-    names = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    nodes = light.select("key", "node", "hash").join(names, "key", "left_semi")
-    whole = nodes.join(plain, (nodes["node"] == plain["doc_id"]) & (nodes["hash"] == plain["hash"])).select("key", "node", "text")
-    whole = stored(pairs.sparkSession, whole, "near-texts")
-    one = whole.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    two = whole.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    good = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_check, "a binary, b binary")
-    to_a, to_b = (nodes.select(F.col("key").alias(k), F.col("node").alias(f"n{k}")) for k in "ab")
-    return good.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+    """Links (as node ids) among pairs, by the full sets of both texts. Only texts that a pair names leave the scan (see
+    _named), once for both sides of the pairs; of a doc_id with several texts, the one that has the key's digest."""
+    side = lambda k: light.select(F.col("key").alias(k), F.col("node").alias(f"node_{k}"), F.col("sha").alias(f"sha_{k}"))
+    named = stored(pairs.sparkSession, pairs.join(side("a"), "a").join(side("b"), "b"), "near-named")
+    nodes = named.select(F.col("node_a").alias("node")).union(named.select("node_b"))
+    whole = (
+        _named(plain, nodes)
+        .select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text")
+        .groupBy("doc_id", "sha")  # a row that comes twice is one text
+        .agg(F.max("text").alias("text"))
+    )
+    for k in "ab":
+        text = whole.select(F.col("doc_id").alias(f"node_{k}"), F.col("sha").alias(f"sha_{k}"), F.col("text").alias(f"text_{k}"))
+        named = named.join(text.hint("shuffle_merge"), [f"node_{k}", f"sha_{k}"])
+    good = named.select("a", "b", "node_a", "node_b", "text_a", "text_b").mapInArrow(_check, "a long, b long")
+    return good.distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@ import re
 
 import pyarrow as pa
 
+from quarterlens.llm import near_dedup
 from quarterlens.llm.links import components
-from quarterlens.llm.near_dedup import _check, keep_one, near_duplicates, set_keys, shingles
+from quarterlens.llm.near_dedup import _across, _check, keep_one, near_duplicates, odd_sketches, set_keys, shingles
 
 
 def shingle_set(text):
@@ -100,13 +101,53 @@ def test_every_text_of_a_doc_id_links(spark):
         assert {r["component_id"] for r in near_duplicates(df).collect()} == {1}
 
 
-def test_check_finds_a_keys_text_in_any_row():
-    a, b, other = (" ".join(f"{w}{i}" for i in range(40)).encode() for w in "aax")
-    b += b" more"
-    ka, kb = set_keys(*shingles([a, b]))
-    for ta, tb in (([other, a], [b, b]), ([a, other], [b, b]), ([other, a, a], [b, other, b])):
-        n = len(ta)
-        columns = [pa.array(c, pa.binary()) for c in ([ka] * n, [kb] * n, ta, tb)]
-        batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "ta", "tb"])
-        parts = [batch.slice(i, 1) for i in range(n)]
-        assert sum(x.num_rows for x in _check(parts)) and sum(x.num_rows for x in _check([batch]))
+def test_check_compares_full_sets():
+    a, b = (" ".join(f"a{i}" for i in range(40)).encode() + x for x in (b"", b" more"))
+    c = " ".join(f"c{i}" for i in range(40)).encode()
+    keys = dict(zip((a, b, c), set_keys(*shingles([a, b, c])), strict=True))
+    pairs = [(a, b), (a, c), (c, b), (b, a)]
+    ids = {a: 1, b: 2, c: 3}
+    columns = [pa.array([f(p) for p in pairs], t) for f, t in (
+        (lambda p: keys[p[0]], pa.binary()), (lambda p: keys[p[1]], pa.binary()), (lambda p: ids[p[0]], pa.int64()),
+        (lambda p: ids[p[1]], pa.int64()), (lambda p: p[0], pa.binary()), (lambda p: p[1], pa.binary()),
+    )]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "node_a", "node_b", "text_a", "text_b"])
+    for parts in ([batch], [batch.slice(i, 1) for i in range(4)]):
+        assert [tuple(r.values()) for x in _check(parts) for r in x.to_pylist()] == [(1, 2), (2, 1)]
+
+
+def test_words_that_share_a_hash(spark):
+    rows = []
+    for n in (1024, 2048, 4096):
+        w = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        rows += [(len(rows) + k, f"one two {x} four five six") for k, x in enumerate((w, w.translate(str.maketrans("ab", "ba"))))]
+    check(rows, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    rnd = random.Random(8)
+    monkeypatch.setattr(near_dedup, "CHUNK", 5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):  # families around the threshold, which meet in many buckets
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 2])):
+            w[rnd.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    check(rows, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+
+
+def test_pairs_of_a_bucket_beyond_the_budget_come_in_later_rounds(monkeypatch):
+    texts = [" ".join([f"w{i}" for i in range(60)] + [f"x{k}"]).encode() for k in range(40)]
+    hashes, counts, more = shingles(texts)
+    keys, sketches, nexts = set_keys(hashes, counts, more), odd_sketches(hashes, counts), odd_sketches(hashes, counts, 1)
+    n = len(texts)
+    columns = [pa.array([7] * n, pa.int64()), pa.array(keys, pa.binary()), pa.array([k % 2 for k in range(n)], pa.int64()), pa.array(counts),
+               pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array([x.tobytes() for x in nexts], pa.binary()),
+               pa.array([0] * n, pa.int32()), pa.array([True] * n)]
+    batch = pa.RecordBatch.from_arrays(columns, names=list("abcdefgh"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 200)
+    want = {(min(a, b), max(a, b)) for a in keys[::2] for b in keys[1::2]}
+    some = [tuple(r.values()) for x in _across(2)([batch]) for r in x.to_pylist()]
+    every = [tuple(r.values()) for x in _across(10_000)([batch]) for r in x.to_pylist()]
+    assert (None, None) in some and set(some) - {(None, None)} < want and len(some) < len(want) and set(every) == want
