@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, row_ids, ship, slices, spread, stored, table, texts
+from .common import discard, row_ids, ship, slices, spread, stored, table, text_bytes, texts
 from .links import components
 
 SLICE = 1 << 20
@@ -26,8 +27,8 @@ FIRST, MORE = 4, 16
 #: Pairs of sketches that are compared at a time, and shingles that a task keeps for further checks.
 BLOCK, HELD = 1 << 20, 1 << 22
 
-#: Bits of the filter that holds back texts which no pair names (16 MB at most, whatever the corpus holds).
-FILTER, FILTER_PART = 1 << 27, 1 << 15
+#: Bits of the filter that holds back texts which no pair names (8 MB at most, whatever the corpus holds).
+FILTER, FILTER_PART = 1 << 26, 1 << 15
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 4_096
 
@@ -62,18 +63,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of all words of the texts, as rows of two numbers, and the number of words of each text."""
+    # Arrow's ASCII kernels change A-Z only, and part at \x20 and \x09-\x0D
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    per_doc = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    codes = pc.list_flatten(lists).dictionary_encode()
+    data, ends = text_bytes(codes.dictionary)
+    raw, ends = data.tobytes(), ends.tolist()
+    names = [raw[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+    if b"" in names:  # a text without words comes as one empty word
+        bare = pc.binary_length(pc.ascii_trim_whitespace(texts)).to_numpy() == 0
+        per_doc[bare] = 0
+        codes = codes.filter(pc.not_equal(codes.indices, pa.scalar(names.index(b""), pa.int32())))
+    digests = np.frombuffer(b"".join(map(_digests.__getitem__, names)), np.uint64).reshape(-1, 2)
+    return digests[codes.indices.to_numpy()], per_doc
+
+
+def shingles(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct shingles, one text after the other: sorted 64-bit hashes, their counts, and 64 more bits of each.
 
     Words are known by 128-bit digests, and a shingle by two sums over its words' digests, so that neither chance nor words
     made to share a hash bring different shingles together.
     """
-    words = [r.lower().split() for r in rows]  # bytes.lower() changes A-Z only; bytes.split() parts at \x20 and \x09-\x0D
-    per_doc = np.array([len(w) for w in words], np.int64)
-    raw = b"".join(map(_digests.__getitem__, (w for ws in words for w in ws)))
-    digests = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return _shingles(*words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).view(pa.string())))
+
+
+def _shingles(digests: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(digests)
-    doc = np.repeat(np.arange(len(rows)), per_doc)
+    doc = np.repeat(np.arange(len(per_doc)), per_doc)
     first, last = max(0, n - WORDS + 1), min(n, WORDS - 1)
     lanes = []
     short = np.flatnonzero((per_doc > 0) & (per_doc < WORDS))
@@ -97,7 +115,7 @@ def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((more, hashes, owner))
         again = _repeats(owner[order], hashes[order], more[order])
     hashes, more, owner = hashes[order][~again], more[order][~again], owner[order][~again]
-    return hashes, np.bincount(owner, minlength=len(rows)).astype(np.int64), more
+    return hashes, np.bincount(owner, minlength=len(per_doc)).astype(np.int64), more
 
 
 def _repeats(*columns: np.ndarray) -> np.ndarray:
@@ -187,32 +205,34 @@ def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch, SLICE):
-            part = batch.slice(a, b - a)
-            rows = part.column(1).cast(pa.binary()).to_pylist()
-            hashes, counts, more = shingles(rows)
-            full = np.flatnonzero(counts)
-            bands = band_keys(hashes, counts)
-            sketches, nexts = odd_sketches(hashes, counts), odd_sketches(hashes, counts, 1)
-            keys = set_keys(hashes, counts, more)
-            band_rows: list = [None] * len(counts)
-            sketch_rows: list = [None] * len(counts)
-            next_rows: list = [None] * len(counts)
-            for i, j in enumerate(full.tolist()):
-                band_rows[j], sketch_rows[j] = bands[i].view(np.int64), sketches[i].tobytes()
-                next_rows[j] = nexts[i].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(counts, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array(band_rows, pa.list_(pa.int64())),
-                    pa.array(sketch_rows, pa.binary()),
-                    pa.array(next_rows, pa.binary()),
-                    pa.array([hashlib.sha256(r).digest() for r in rows], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "key", "bands", "sketch", "next", "sha"],
-            )
+        for a, b in slices(batch, 8 * SLICE):  # words are numbered for several slices at once
+            large = batch.slice(a, b - a)
+            digests, per_doc = words_of(large.column(1))
+            first = np.append(0, np.cumsum(per_doc))
+            for x, y in slices(large, SLICE):
+                yield _signed(large.slice(x, y - x), *_shingles(digests[first[x] : first[y]], per_doc[x:y]))
+
+
+def _signed(part: pa.RecordBatch, hashes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    full = np.flatnonzero(counts)
+    bands = band_keys(hashes, counts)
+    sketches, nexts = odd_sketches(hashes, counts), odd_sketches(hashes, counts, 1)
+    band_rows, sketch_rows, next_rows = ([None] * len(counts) for _ in range(3))
+    for i, j in enumerate(full.tolist()):
+        band_rows[j], sketch_rows[j] = bands[i].view(np.int64), sketches[i].tobytes()
+        next_rows[j] = nexts[i].tobytes()
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column(0),
+            pa.array(counts, pa.int64()),
+            pa.array(set_keys(hashes, counts, more), pa.binary()),
+            pa.array(band_rows, pa.list_(pa.int64())),
+            pa.array(sketch_rows, pa.binary()),
+            pa.array(next_rows, pa.binary()),
+            pa.array([hashlib.sha256(r).digest() for r in part.column(1).cast(pa.binary()).to_pylist()], pa.binary()),
+        ],
+        names=["doc_id", "n_shingles", "key", "bands", "sketch", "next", "sha"],
+    )
 
 
 _SIGNED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, next binary, sha binary"

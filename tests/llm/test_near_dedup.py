@@ -151,3 +151,12 @@ def test_pairs_of_a_bucket_beyond_the_budget_come_in_later_rounds(monkeypatch):
     some = [tuple(r.values()) for x in _across(2)([batch]) for r in x.to_pylist()]
     every = [tuple(r.values()) for x in _across(10_000)([batch]) for r in x.to_pylist()]
     assert (None, None) in some and set(some) - {(None, None)} < want and len(some) < len(want) and set(every) == want
+
+
+def test_words_part_at_ascii_white_space_only():
+    texts = ["", " \t", "a", " a  b\x0b\x0cc\r\nd ", "é f G h \x1c i\x85j", "", "É ABC", "\n"]
+    digests, counts = near_dedup.words_of(pa.array(texts))
+    words = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())]
+    assert counts.tolist() == [len(re.findall(rb"[^\x20\x09-\x0D]+", t.encode())) for t in texts]
+    assert [tuple(d) for d in digests.tolist()] == [tuple(near_dedup.words_of(pa.array([w.decode()]))[0].tolist()[0]) for w in words]
+    assert near_dedup.words_of(pa.array([], pa.string()))[1].tolist() == [] and len(set(map(tuple, digests.tolist()))) == len(set(words))
