@@ -19,10 +19,13 @@ SPAN = LENGTH - GRAM + 1
 SLICE = 2 << 20
 #: Most windows that are sorted at a time.
 WINDOWS = 1 << 20
+#: The windows of an anchor with more different stretches than this are dealt to tasks one by one, by their content.
+HOT = 4_096
 _NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(31_337)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xA0761D6478BD642F)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -82,6 +85,8 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = at[first]
     stop = begin + count + LENGTH - 1
     whole = _mix((sums[stop] - sums[begin]) * back[begin] + count.astype(np.uint64) * _BASE)
+    np.cumsum(_BYTE2[data] * power[: len(data)], out=sums[1:])
+    whole = _mix(whole + ((sums[stop] - sums[begin]) * back[begin]))
     return owner[begin], begin, count, grams[anchor[begin]], whole
 
 
@@ -187,49 +192,70 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes] | tuple]:
         yield held
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first digit is the anchor. An anchor met once is done. Of stretches equal as a whole, all but the earliest
-    are removals; where an anchor has different stretches, the earliest of each is to be compared window by window."""
-    out: list[tuple] = []
-    for group in _groups(batches):
-        if isinstance(group, tuple):
-            out.append(group)
-        else:
-            rows = np.frombuffer(b"".join(group), _ROW)
-            grams, where, n = np.unique(rows["gram"], return_inverse=True, return_counts=True)
-            rows = rows[n[where] > 1]
-            gone, rows = _settle(rows)
-            stop = gone["start"].astype(np.int64) + gone["n"] + LENGTH - 1
-            for doc, alt, data in _by_document(gone["doc"], gone["alt"], gone["start"].astype(np.int64), stop):
-                out.append((_REMOVE, 0, doc, alt, data))
-            grams, where, n = np.unique(rows["gram"], return_inverse=True, return_counts=True)
-            rows = rows[n[where] > 1]
-            rows = rows[np.lexsort((rows["start"], rows["alt"], rows["doc"]))]
-            cuts = np.flatnonzero((np.diff(rows["doc"]) != 0) | (np.diff(rows["alt"]) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-                if b > a:
-                    some = rows[a:b]
-                    out.append((_COMPARE, 0, int(some["doc"][0]), int(some["alt"][0]), some[["gram", "start", "n"]].tobytes()))
-        if len(out) > 5_000:
-            yield _batch(out)
-            out = []
-    yield _batch(out)
+def _first_pass(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first digit is the anchor. An anchor met once is done. Of stretches equal as a whole, all but the earliest
+        are removals; where an anchor has different stretches, the earliest of each is to be compared window by window, with a
+        mark if there are more than `hot`."""
+        out: list[tuple] = []
+        for group in _groups(batches):
+            if isinstance(group, tuple):
+                out.append(group)
+            else:
+                rows = np.frombuffer(b"".join(group), _ROW)
+                grams, where, n = np.unique(rows["gram"], return_inverse=True, return_counts=True)
+                rows = rows[n[where] > 1]
+                gone, rows = _settle(rows)
+                stop = gone["start"].astype(np.int64) + gone["n"] + LENGTH - 1
+                for doc, alt, data in _by_document(gone["doc"], gone["alt"], gone["start"].astype(np.int64), stop):
+                    out.append((_REMOVE, 0, doc, alt, data))
+                grams, where, n = np.unique(rows["gram"], return_inverse=True, return_counts=True)
+                rows["n"] |= np.where(n[where] > hot, _MARK, 0).astype(np.uint8)
+                rows = rows[n[where] > 1]
+                rows = rows[np.lexsort((rows["start"], rows["alt"], rows["doc"]))]
+                cuts = np.flatnonzero((np.diff(rows["doc"]) != 0) | (np.diff(rows["alt"]) != 0)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+                    if b > a:
+                        some = rows[a:b]
+                        out.append((_COMPARE, 0, int(some["doc"][0]), int(some["alt"][0]), some[["gram", "start", "n"]].tobytes()))
+            if len(out) > 5_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    return run
 
 
+#: Beside a number of windows (SPAN at most): the anchor has very many different stretches.
+_MARK = 128
 _ASKED = np.dtype({"names": ["gram", "start", "n"], "formats": ["<u8", "<i4", "u1"], "offsets": [0, 28, 32], "itemsize": _ROW.itemsize})
 _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("alt", "<i4"), ("start", "<i4"), ("n", "u1")])
 
 
 def _contents(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the stretches that are to be compared, packed by bucket of their anchors."""
+        """The bytes of the stretches that are to be compared, packed by bucket of their anchors. Marked ones go on as single
+        windows, packed by bucket of their bytes; of equal ones met here only the earliest goes on, the others are removals."""
         held: dict[int, list[bytes]] = {}
+        single: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        gone: list[tuple[int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size
+            head = np.zeros(1, _HEAD)
+            for (gram, window), place in single.items():
+                head["gram"], head["n"] = gram, 1
+                head["doc"], head["alt"], head["start"] = place
+                k = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little") % buckets
+                held.setdefault(k, []).append(head.tobytes() + window)
             out = [(_COMPARE, k, None, None, b"".join(v)) for k, v in sorted(held.items())]
+            if gone:
+                doc, alt, start = (np.array(x, np.int64) for x in zip(*gone, strict=True))
+                out += [(_REMOVE, hash((d, a)) % buckets, d, a, data) for d, a, data in _by_document(doc, alt, start, start + LENGTH)]
             held.clear()
+            single.clear()
+            gone.clear()
             size = 0
             return _batch(out)
 
@@ -243,9 +269,21 @@ def _contents(buckets: int):
                         head[f] = asked[f]
                     head["doc"], head["alt"] = doc, alt
                     for h, gram, start, n in zip(head, head["gram"].tolist(), head["start"].tolist(), head["n"].tolist(), strict=True):
-                        piece = h.tobytes() + text[start : start + n + LENGTH - 1]
-                        held.setdefault(gram % buckets, []).append(piece)
-                        size += len(piece)
+                        if n < _MARK:
+                            piece = h.tobytes() + text[start : start + n + LENGTH - 1]
+                            held.setdefault(gram % buckets, []).append(piece)
+                            size += len(piece)
+                            continue
+                        for at in range(start, start + n - _MARK):
+                            place, window = (doc, alt, at), text[at : at + LENGTH]
+                            first = single.setdefault((gram, window), place)
+                            if first == place:
+                                size += LENGTH
+                            else:
+                                single[gram, window] = min(first, place)
+                                gone.append(max(first, place))
+                        if size > SLICE:
+                            yield flush()
                 if size > SLICE:
                     yield flush()
         yield flush()
@@ -279,6 +317,9 @@ def repeated_windows(group: np.ndarray, at: np.ndarray, data: np.ndarray) -> tup
 def _later_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Window by window, within each anchor's stretches: all but the earliest of equal windows are removals."""
     for group in _groups(batches):
+        if isinstance(group, tuple):
+            yield _batch([group])
+            continue
         raw = b"".join(group)
         data = np.frombuffer(raw + b"\0" * 8, np.uint8)
         heads, places, at = [], [], 0
@@ -322,7 +363,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
-            doc, text, parts = (batch.column(c)[i].as_py() for c in (0, 2, 3))
+            missing, text, parts = (batch.column(c)[i].as_py() for c in (2, 3, 4))
             spans = np.frombuffer(b"".join(parts or []), "<i4").reshape(-1, 2).astype(np.int64)
             x, y = merge(spans[:, 0], spans[:, 1])
             kept, last = hashlib.sha256(), 0
@@ -333,7 +374,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces.append(text[last:])
             clean = b"".join(pieces)
             kept.update(clean)
-            rows.append((None if doc == _NULL_ID else doc, len(text), int((y - x).sum()), len(x), kept.hexdigest(), clean))
+            rows.append((None if missing else batch.column(0)[i].as_py(), len(text), int((y - x).sum()), len(x), kept.hexdigest(), clean))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays(
@@ -342,7 +383,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Removes every byte that a window of LENGTH bytes covers which also starts earlier in the corpus (in a document of smaller
     doc_id, or before in the same one); windows overlap and are judged on the input. Returns digests and the kept bytes.
 
@@ -351,29 +392,34 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     forty bytes of text. Stretches that are equal as a whole are settled there; only where an anchor has different
     stretches do their bytes move, and the later passes order their windows by eight bytes at a time. Equal stretches within a
     slice of the scan are settled before anything moves, so a passage that a third of all documents hold arrives once for each slice.
+    An anchor with more than `hot` different stretches is split: its windows go to tasks by their content, equal ones of a
+    slice once.
 
     The texts move once, by doc_id, for fetching those bytes and for the removal (one exchange, used twice).
 
-    Null texts count as empty; texts shorter than a window are kept whole. A null doc_id counts as the smallest. Rows that repeat a
-    doc_id and a text are one document, and each gets its result; texts that share a doc_id are ordered by their hash. Other
+    Null texts count as empty; texts shorter than a window are kept whole. A null doc_id comes before all others. Rows that repeat
+    a doc_id and a text are one document, and each gets its result; texts that share a doc_id are ordered by their hash. Other
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     raw = docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("doc_id"),
+        docs["doc_id"].isNull().alias("missing"),
         F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"),
     )
     repeated = raw.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
-        numbered = raw.select("doc_id", F.lit(0).alias("alt"), "text")
+        numbered = raw.select("doc_id", F.lit(0).alias("alt"), "text", "missing")
     else:
         hashed = raw.withColumn("h", F.sha2("text", 256))
-        own = hashed.join(repeated, "doc_id", "left_semi").select("doc_id", "h").distinct()
-        own = own.withColumn("alt", F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1)
-        own = stored(spark, own.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "alt"), "repeats-alts")
-        on = (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("g"))
-        numbered = hashed.join(own, on, "left").select("doc_id", F.coalesce("alt", F.lit(0)).alias("alt"), "text")
+        own = hashed.join(repeated, "doc_id", "left_semi").select("doc_id", "missing", "h").distinct()
+        # missing ids come before real ones, also before the one that stands for them
+        own = own.withColumn("alt", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("missing"), "h")) - 1)
+        own = own.select(F.col("doc_id").alias("d"), F.col("missing").alias("m"), F.col("h").alias("g"), "alt")
+        own = stored(spark, own, "repeats-alts")
+        on = (F.col("doc_id") == F.col("d")) & (F.col("missing") == F.col("m")) & (F.col("h") == F.col("g"))
+        numbered = hashed.join(own, on, "left").select("doc_id", F.coalesce("alt", F.lit(0)).alias("alt"), "text", "missing")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     settled = (
@@ -381,7 +427,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .mapInArrow(_cut(buckets), _MOVED)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_first_pass, _MOVED)
+        .mapInArrow(_first_pass(hot), _MOVED)
     )
     settled = stored(spark, settled, "repeats-first")
 
@@ -405,7 +451,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     return (
         by_doc.join(removals.hint("shuffle_merge"), ["doc_id", "alt"], "left")
-        .select("doc_id", "alt", "text", "spans")
+        .select("doc_id", "alt", "missing", "text", "spans")
         .mapInArrow(
             _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         )

@@ -87,3 +87,26 @@ def test_more_texts_of_a_doc_id_than_16_bits_count():
     rows["gram"], rows["alt"], rows["start"], rows["n"] = 5, 70_000, 123_456, 77
     asked = np.frombuffer(rows[["gram", "start", "n"]].tobytes(), _ASKED)
     assert asked.tolist() == [(5, 123_456, 77)] and rows["alt"][0] == 70_000
+
+
+def test_anchors_with_many_stretches_are_split(spark):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdef") for _ in range(n))
+    passage = text(130)
+    rows = [(i, text(rnd.randint(0, 90)) + passage + text(rnd.randint(0, 90))) for i in range(200)]
+    rows += [(i, text(60) + passage[5:125] + text(60)) for i in range(200, 260)] + [(5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute(dict(rows).items())
+    for hot in (3, 1_000):
+        got = sorted(tuple(r) for r in remove_repeats(df, hot).drop("kept").collect())
+        assert sorted(set(got)) == want and len(got) == len(rows)
+
+
+def test_the_least_doc_id_is_no_missing_one(spark):
+    rnd = random.Random(1)
+    t = "".join(rnd.choice("abcdefgh") for _ in range(300))
+    rows = [(-(1 << 63), t), (-(1 << 63), t[:120]), (None, t[50:250]), (None, t[50:250])]
+    got = [tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed").collect()]
+    first = {n: g for d, n, g in got if d is not None}
+    assert [(d, n, g) for d, n, g in got if d is None] == [(None, 200, 0)] * 2 and first.keys() == {300, 120}
+    assert (first[300], first[120]) in {(200, 120), (250, 0)}  # whichever of the two comes first
