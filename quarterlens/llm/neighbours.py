@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, stored, table
 
@@ -130,7 +131,7 @@ def _visit(index: MultiIndex, width: int, counts: list[int], want: float, starts
                         pa.array(part.column(0).to_pylist() * n, pa.int64()),
                         pa.array([None] * n, pa.int32()),
                         pa.array(lists, pa.list_(pa.int32())),
-                        pa.array(part.column(1).to_pylist() * n, pa.list_(pa.float32())),
+                        pa.array(part.column(1).to_pylist() * n, part.column(1).type),
                     ],
                     names=["block", "kind", "first", "cell", "cells", "v"],
                 )
@@ -185,23 +186,27 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     that gives a recall of AIM on a trial of the sample). Cells form blocks of bounded size, large cells several; each query
     goes to each block once with the list of its cells there, and is reranked on the original vectors in double precision.
 
-    Null vectors, vectors with null, NaN or infinite components, zero vectors, null ids, and vectors of another length than most
-    take no part. Ties go to the smaller vec_id. Rows with equal vec_ids and equal vectors count once; a vec_id of
-    several vectors is several entries. With fewer candidates than k, all are returned. Other columns are ignored.
+    Null vectors, vectors with null, NaN or infinite components, zero vectors and null ids take no part; vectors shorter than the
+    longest count as if zeros followed. Ties go to the smaller vec_id. Rows with equal vec_ids and equal vectors count
+    once; a vec_id of several vectors is several entries. With fewer candidates than k, all are returned. Other columns are
+    ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("v")
-    clean = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).filter(
+    # float components stay as they are, all others are read as doubles, so scores are those of the original vectors
+    given = vectors.schema["embedding"].dataType
+    kind = "float" if getattr(given, "elementType", None) == T.FloatType() else "double"
+    clean = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).filter(
         F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    usual = clean.groupBy(F.size(v).alias("width")).count().orderBy(F.desc("count"), "width").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if usual is None:
+    width = clean.agg(F.max(F.size(v))).first()[0]
+    if width is None:
         return spark.createDataFrame([], schema)
-    width = usual["width"]
-    clean = clean.filter(F.size(v) == width).distinct()
+    padded = F.concat(v, F.array_repeat(F.lit(0).cast(kind), F.lit(width) - F.size(v)))
+    clean = clean.select("id", F.when(F.size(v) < width, padded).otherwise(v).alias("v")).distinct()
     salted = Window.partitionBy("v", F.pmod("id", F.lit(64))).orderBy("id")
     few = clean.withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= k + 1)
     points = few.groupBy("v").agg(
@@ -214,7 +219,7 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     centroids = int(min(MOST_CENTROIDS, max(2, 2 ** int(np.log2(max(4.0, np.sqrt(n) / 2))))))
     index = MultiIndex(sample, centroids)
     share = index.share(sample) if share is None else share
-    placed = points.mapInArrow(_assign(index, width), "first long, v array<float>, ids array<long>, cell int")
+    placed = points.mapInArrow(_assign(index, width), f"first long, v array<{kind}>, ids array<long>, cell int")
     placed = stored(spark, placed, "neighbours-cells")
 
     # at most MOST_CENTROIDS ** 2 counts
@@ -246,7 +251,7 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     distinct = queries.select("query", "v").distinct()
     visits = distinct.repartition(max(distinct.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "query").mapInArrow(
         _visit(index, width, counts.tolist(), want, starts, parts),
-        "block int, kind int, first long, cell int, cells array<int>, v array<float>",
+        f"block int, kind int, first long, cell int, cells array<int>, v array<{kind}>",
     )
     near = (
         entries.unionByName(visits)

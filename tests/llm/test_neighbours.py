@@ -57,3 +57,18 @@ def test_few_rows_and_empty_table(spark):
     assert answers(nearest(df)) == {0: [(7, 0.5)]}
     assert nearest(df.limit(0)).count() == 0
     assert nearest(df.filter("vec_id = 0")).count() == 0
+
+
+def test_doubles_and_lengths(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(5 if i % 7 else 3)]) for i in range(250)]
+    rows += [(500, [1.0 + 1e-12, 2.0, 3.0]), (501, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: np.array(v + [0.0] * (5 - len(v))) for i, v in rows}
+    got = answers(nearest(df, share=1.0))
+    assert got.keys() == {0, 100, 200, 500}
+    for q, near in got.items():
+        want = sorted((float(np.sqrt(((x[q] - y) ** 2).sum())), i) for i, y in x.items() if i != q)[:10]
+        assert [i for i, _ in near] == [i for _, i in want]
+        assert all(abs(s - d) < 1e-15 + 1e-9 * d for (_, s), (d, _) in zip(near, want, strict=True))
+    assert got[500][0][0] == 501 and 0 < got[500][0][1] < 1e-11
