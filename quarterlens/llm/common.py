@@ -22,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text only (extra columns are pruned at the scan); a null text counts as empty."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id and text (and other columns that are named) only, so that the rest is pruned at the scan; a null text counts as empty."""
+    text = F.coalesce(docs["text"], F.lit("")).alias("text")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text, *others)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, spread, stored, table, text_bytes, texts
+from .common import row_ids, ship, slices, spread, stored, table, text_bytes, texts
 
 SLICE = 4 << 20
 SEEN = 200_000
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST, MASK_BITS, MOST = 512, 11, 16_384
 
 _GEAR = np.random.default_rng(20_240_607).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -94,16 +93,17 @@ def _cut(bits: int):
                         pa.array(recipes + [None] * m, pa.binary()),
                         pa.array(shas + [None] * m, pa.string()),
                         pa.array(lengths + [None] * m, pa.int64()),
+                        pa.array(part.column(2).to_pylist() + [None] * m, pa.int64()),
                         pa.array([None] * n + names, pa.binary()),
                         pa.array([None] * n + chunks, pa.binary()),
                     ],
-                    names=["doc_id", "recipe", "text_sha256", "n_bytes", "name", "chunk"],
+                    names=["doc_id", "recipe", "text_sha256", "n_bytes", "row", "name", "chunk"],
                 )
 
     return run
 
 
-_CUT = "doc_id long, recipe binary, text_sha256 string, n_bytes long, name binary, chunk binary"
+_CUT = "doc_id long, recipe binary, text_sha256 string, n_bytes long, row long, name binary, chunk binary"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +134,16 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
     Null texts count as empty; empty texts form one group. Rows that repeat a doc_id and a text are told apart: of
     rows that tie on the largest doc_id, exactly one is kept. A null doc_id counts as the smallest. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    return _duplicates(texts(docs).withColumn("row", F.lit(None).cast("long")), bits).drop("row")
+
+
+def _duplicates(rows: DataFrame, bits: int = 64) -> DataFrame:
+    """Of (doc_id, text, row): see exact_duplicates. row: an id of each row, by which ties on the doc_id are decided; where it's
+    null, rows are numbered here."""
+    spark = rows.sparkSession
     ship(spark)
-    cut = stored(spark, spread(texts(docs)).mapInArrow(_cut(bits), _CUT), "exact-cut")
-    recipes = cut.filter("recipe is not null").select("doc_id", "recipe", "text_sha256", "n_bytes")
+    cut = stored(spark, spread(rows).mapInArrow(_cut(bits), _CUT), "exact-cut")
+    recipes = cut.filter("recipe is not null").select("doc_id", "recipe", "text_sha256", "n_bytes", "row")
     clashes = stored(
         spark,
         cut.filter("name is not null")
@@ -147,7 +153,7 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
         .mapInArrow(_verify, "name binary"),
         "exact-clashes",
     )
-    recipes = recipes.withColumn("row", F.monotonically_increasing_id())
+    recipes = recipes.withColumn("row", F.coalesce("row", F.monotonically_increasing_id()))
     keyed = recipes.withColumn("apart", F.lit(""))
     if not clashes.isEmpty():
         names = F.expr("transform(sequence(0, int(length(recipe) / 8) - 1), i -> substring(recipe, i * 8 + 1, 8))")
@@ -173,23 +179,17 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
         "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"),
         "text_sha256",
+        "row",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' columns. Rows that repeat a kept doc_id with an equal text are
-    reduced to one as well; a doc_id that comes with different texts keeps one row of each kept text."""
-    spark = docs.sparkSession
-    result = stored(spark, exact_duplicates(docs).filter("kept").select("doc_id", "text_sha256"), "exact-kept")
-    kept = result.select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    lowered = F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower())
-    marked = out.withColumn("_sha", F.sha2(lowered.cast("binary"), 256))
-    same = result.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return marked.join(same, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of docs that stay, with docs' columns: of equal texts the row with the largest doc_id (null counts as the
+    smallest), and of rows that tie on it the last one in the order of the table."""
+    rows, own = row_ids(docs)
+    result = _duplicates(texts(rows.select("doc_id", "text", own), own).withColumnRenamed(own, "row"))
+    kept = stored(docs.sparkSession, result.filter("kept").select(F.col("row").alias("_kept_row")), "exact-kept")
+    return rows.join(kept, rows[own] == kept["_kept_row"], "left_semi").select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,10 @@ def test_cuts_depend_on_content_only():
     assert sizes[:-1].min() >= LEAST and sizes.max() <= MOST
     moved = cut_points(np.concatenate([text[:100], text]), np.array([0, len(text) + 100]))[0]
     assert len({c - 100 for c in moved} & set(alone)) > len(alone) // 2
+
+
+def test_keep_one_leaves_the_last_of_rows_that_tie(spark):
+    rows = [(1, "A", 1), (1, "a", 2), (1, "a", 3), (0, "a", 4), (None, "b", 5), (None, "B", 6), (None, None, 7), (3, "", 8), (3, "c", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").coalesce(1)
+    for _ in range(3):
+        assert sorted(r["row"] for r in keep_one(df).collect()) == [3, 6, 8, 9]
