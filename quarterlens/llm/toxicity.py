@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, spread, stored, table, texts
+from .common import ship, slices, spread, stored, table, text_bytes, texts
 
 SLICE = 4 << 20
 #: Features are picked and the classifier is fitted on at most this many labelled rows (those of least hash).
@@ -24,17 +24,16 @@ TRAIN_ROWS = 20_000
 FEATURES, LEAST_Z, LEAST_WEIGHT = 400, 3.0, 3.0
 #: Lengths of word beginnings, and how often one must come, to be a feature.
 PREFIXES, LEVELS = (4, 5, 6, 7), (2, 4)
-#: Words that a task counts before it passes the sums on.
-COUNTED = 200_000
+#: Words, and characters of these, that a task counts before it passes the sums on.
+COUNTED, COUNTED_CHARS = 200_000, 1 << 24
 THRESHOLD = 0.7
 #: Clean rows that are added to those seen with a feature, when the feature's share of toxic rows is estimated.
 DOUBT = 8.0
 BEAM = 8
 DECODED = 50_000
-#: Decoded letters of a passage or a long token are searched for feature words of up to this length.
-LONGEST = 24
-#: Longer obfuscated words are decoded in windows of so many characters, which overlap by the longest feature word.
-WINDOW, OVERLAP = 40, LONGEST
+#: Long obfuscated tokens are decoded in windows, which overlap by the longest feature word (of so many letters at least) and
+#: go STEP characters further each.
+LONGEST, STEP = 24, 16
 #: A feature word within a decoded token has at least so many letters, and words of the corpus make up the rest of it;
 #: pieces of up to SHORT letters must be frequent (log frequency).
 WITHIN, SHORT, FREQUENT = 4, 3, -8.0
@@ -51,7 +50,10 @@ _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\s.\-_*]){2,}[.,!?]*(?!\S)
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Where joined words may part: at what is no letter and no leetspeak, or at anything but letters and digits.
 _PARTS = (re.compile("[^\\w" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]|_"), re.compile(r"[\W_]"))
-_CHANNEL = {"same": 0.0, "leet": -1.0, "any": -3.0, "drop": -0.7, "once": -0.5}
+#: Single characters set apart, as a token of a passage holds them.
+_CHAIN = re.compile(r"[^\s.\-_*](?:[.\-_*]{1,2}[^\s.\-_*])*[.\-_*,!?]*")
+_APART = re.compile(r"[ .\-_*]")
+_CHANNEL = {"same": 0.0, "leet": -1.0, "any": -3.0, "drop": -0.7, "once": -0.5, "part": -1.0}
 
 
 def word_key(word: str) -> int:
@@ -80,11 +82,13 @@ class Lexicon:
 
 
 class Decoder:
-    """Viterbi search for the clean form of an obfuscated word.
+    """Viterbi search for the clean form of an obfuscated word or passage.
 
     The lattice has a step for each run of equal characters: the run as it is, one or two of it, what leetspeak lets it
-    stand for, or nothing if it is a separator. A path costs what the channel charges for its steps and what a character
-    trigram model thinks of the letters; the best paths are then weighed as words of the corpus.
+    stand for, or, for a blank or another separator, nothing or the end of a word. A path costs what the channel charges for its
+    steps and what a character trigram model thinks of the letters. The search is exact: the state is the last two
+    letters, no state is dropped, and each keeps its `best` paths, among which the best ones of all lie. Those are then
+    weighed as words of the corpus.
     """
 
     def __init__(self, trigrams: dict[str, float], words: dict[str, float]):
@@ -102,54 +106,61 @@ class Decoder:
         return self.memo[token]
 
     def likely(self, spelled: list[str]) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(spelled[:1] + [w for w in spelled[1:] if w in self.words]))
-
-    def spelled(self, token: str) -> list[str]:
-        """Readings of a token, the best first."""
-        # the state is the last two letters; each keeps its BEAM best (score, letters) paths
-        paths = {"^^": [(0.0, ())]}
-        for run in re.finditer(r"(.)\1*", token):
-            c, n = run.group(1), len(run.group())
-            steps: list[tuple[str, float]] = []
-            if c.isalpha():
-                steps.append((c * min(n, 3), _CHANNEL["same"] if n < 3 else -2.0))
-                if n > 1:
-                    steps.append((c, _CHANNEL["once"]))
-                if n > 2:
-                    steps.append((c * 2, _CHANNEL["once"]))
-            else:
-                for x in LEET.get(c, ""):
-                    price = _CHANNEL["any"] if c == "*" else _CHANNEL["leet"]
-                    steps.append((x, price))
-                    if n > 1:
-                        steps.append((x * 2, price))
-                steps.append(("", _CHANNEL["drop"] * (3 if c.isdigit() else 1)))
+        return tuple(dict.fromkeys(spelled[:1] + [t for t in spelled[1:] if t and all(w in self.words for w in t.split())]))
+
+    @staticmethod
+    def steps(c: str, n: int) -> list[tuple[str, float]]:
+        """What a run of n characters c may stand for (a blank ends a word), and what the channel charges for each."""
+        if c.isalpha():
+            out = [(c * min(n, 3), _CHANNEL["same"] if n < 3 else -2.0)]
+            if n > 1:
+                out.append((c, _CHANNEL["once"]))
+            if n > 2:
+                out.append((c * 2, _CHANNEL["once"]))
+            return out
+        price = _CHANNEL["any"] if c == "*" else _CHANNEL["leet"]
+        out = [(x * k, price) for x in LEET.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
+        out.append(("", _CHANNEL["drop"] * (3 if c.isdigit() else 1)))
+        if not c.isalnum():
+            out.append((" ", _CHANNEL["part"]))
+        return out
+
+    def paths(self, text: str, best: int = BEAM) -> list[tuple[float, str]]:
+        """The `best` cheapest paths through the lattice: their scores, the greatest first, and their letters."""
+        paths: dict[str, list] = {"^^": [(0.0, ())]}
+        floor, trigrams = self.floor, self.trigrams
+        for run in re.finditer(r"(.)\1*", text, re.DOTALL):
+            steps = self.steps(run.group(1), len(run.group()))
             reached: dict[str, list] = {}
-            for state, best in paths.items():
+            for state, held in paths.items():
                 for letters, price in steps:
                     now, cost = state, price
                     for x in letters:
-                        cost += self.trigrams.get(now + x, self.floor)
-                        now = now[1] + x
-                    reached.setdefault(now, []).extend((s + cost, (path, letters)) for s, path in best)
-            paths = {s: sorted(b, key=lambda p: -p[0])[:BEAM] for s, b in reached.items()}
-            if len(paths) > 64:
-                top = sorted(paths.items(), key=lambda p: -p[1][0][0])[:64]
-                paths = dict(top)
-        ends = sorted(
-            ((s + self.trigrams.get(state + "$", self.floor), p) for state, best in paths.items() for s, p in best),
-            key=lambda x: -x[0],
-        )[: 4 * BEAM]
-        spelled = []
-        for score, path in ends:
+                        if x == " ":
+                            cost += trigrams.get(now + "$", floor) if now != "^^" else 0.0
+                            now = "^^"
+                        else:
+                            cost += trigrams.get(now + x, floor)
+                            now = now[1] + x
+                    reached.setdefault(now, []).extend((s + cost, (path, letters)) for s, path in held)
+            paths = {
+                s: [max(b, key=lambda p: p[0])] if best == 1 else sorted(b, key=lambda p: -p[0])[:best] for s, b in reached.items()
+            }
+        ends = [(s + trigrams.get(state + "$", floor) if state != "^^" else s, p) for state, held in paths.items() for s, p in held]
+        out = []
+        for score, path in sorted(ends, key=lambda x: -x[0])[:best]:
             parts = []
             while path:
                 path, letters = path
                 parts.append(letters)
-            word = "".join(reversed(parts))
-            spelled.append((score + self.words.get(word, self.word_floor), word))
-        spelled.sort(key=lambda x: (-x[0], x[1]))
-        return list(dict.fromkeys(w for _, w in spelled))
+            out.append((score, " ".join("".join(reversed(parts)).split())))
+        return out
+
+    def spelled(self, token: str) -> list[str]:
+        """Readings of a token, the best first."""
+        weigh = lambda t: sum(self.words.get(w, self.word_floor) for w in t.split()) if t else self.word_floor
+        ranked = sorted(((score + weigh(t), t) for score, t in self.paths(token, 4 * BEAM)), key=lambda x: (-x[0], x[1]))
+        return list(dict.fromkeys(t for _, t in ranked))
 
     def divides(self, letters: str, open_left: bool = False, open_right: bool = False) -> bool:
         """Whether words of the corpus make up the letters. At an open side the token goes on, so a word may be cut there, but
@@ -161,62 +172,65 @@ class Decoder:
         ends = [False] * (n + 1)
         for i in range(n):
             if begins[i] or ends[i]:
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
+                for j in range(i + 1, n + 1):
                     if not ends[j]:
                         log = self.words.get(letters[i:j])
                         ends[j] = log is not None and (j - i > SHORT or log >= FREQUENT)
         return any(ends[max(0, n - LONGEST) if open_right else n :])
 
 
-def windows(token: str) -> list[tuple[str, bool, bool]]:
-    """Overlapping windows of a token, and whether it goes on before and after each."""
-    starts = range(0, max(1, len(token) - OVERLAP), WINDOW - OVERLAP)
-    return [(token[a : a + WINDOW], a > 0, a + WINDOW < len(token)) for a in starts]
+def windows(token: str, longest: int = LONGEST) -> list[tuple[str, bool, bool]]:
+    """Overlapping windows of a token, and whether it goes on before and after each: any `longest` characters lie in one."""
+    starts = range(0, max(1, len(token) - longest), STEP)
+    return [(token[a : a + longest + STEP], a > 0, a + longest + STEP < len(token)) for a in starts]
 
 
-def tokens_of(text: str) -> tuple[Counter, set[tuple], list[str]]:
-    """Plain words with their counts, obfuscated tokens (each as windows of it and of its parts), and passages of single
-    letters set apart, of a whole text."""
-    lowered = text.lower()
-    parts = Counter(lowered.split())
+def obfuscated(t: str) -> list[str]:
+    """The obfuscated forms of a lower-case token: it and its parts, where they hold more than letters, and its plain words with a
+    letter three times or more in a row."""
+    out = [w for w in plain_words(t) if _RUN.search(w)]
+    if not t.isalpha():
+        core = _JUNK.sub("", t).strip(".,;:?\"'[]{}<>«»„“”‘’…—–/\\&%#^~`=_-")
+        if core and not core.isalpha() and any(c.isalpha() for c in core):
+            out.append(core)
+            parts = {x for pattern in _PARTS for x in pattern.split(core)} - {core}
+            out += sorted(p for p in parts if not p.isalpha() and any(c.isalpha() for c in p))
+    return out
+
+
+def words_in(text: str) -> Counter:
+    """Plain words of a whole text with their counts."""
     words: Counter = Counter()
-    odd = set()
-    for t, n in parts.items():
+    for t, n in Counter(text.lower().split()).items():
         for w in plain_words(t):
             words[w] += n
-        if t.isalpha():
-            continue
-        if _JUNK.search(t):
-            t = _JUNK.sub("", t)
-        core = t.strip(".,;:?\"'[]{}<>«»„“”‘’…—–/\\&%#^~`=_-")
-        if core and not core.isalpha() and any(c.isalpha() for c in core):
-            forms = windows(core)
-            for p in {x for pattern in _PARTS for x in pattern.split(core)} - {core}:
-                if not p.isalpha() and any(c.isalpha() for c in p):
-                    forms += windows(p)
-            odd.add(tuple(dict.fromkeys(forms)))
-    for w in words:
-        if _RUN.search(w):
-            odd.add(tuple(windows(w)))
-    singles = sum(n for t, n in parts.items() if len(t) <= 2)
-    spaced = []
-    if singles >= 3 or any(c in t for forms in odd for t, _, _ in forms for c in ".-_*"):
-        spaced = [re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(lowered)]
-    return words, odd, spaced
-
-
-def features_of(words: Counter, known=None) -> Iterator[str]:
+    return words
+
+
+def token_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts; and for each token in its place its number, and the number of its text."""
+    lists = pc.utf8_split_whitespace(texts)
+    tokens = pc.list_flatten(lists).dictionary_encode()
+    data, ends = text_bytes(tokens.dictionary)
+    raw, ends = data.tobytes(), ends.tolist()
+    names = [raw[a:b].decode() for a, b in zip(ends, ends[1:])]  # noqa: B905
+    return names, tokens.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy()
+
+
+def features_of(words: Counter) -> Iterator[str]:
     """Features of a text: each word; and each beginning of words (PREFIXES letters) that it holds twice, or four
-    times, or more, in any words. known: only those that may matter."""
+    times, or more, in any words."""
     starts: Counter = Counter()
     for w, n in words.items():
-        if known is None or w in known[0]:
-            yield w
+        yield w
         for k in PREFIXES:
             if len(w) < k:
                 break
-            if known is None or w[:k] in known[1]:
-                starts[w[:k]] += n
+            starts[w[:k]] += n
+    yield from levels_of(starts)
+
+
+def levels_of(starts: Counter) -> Iterator[str]:
     for s, n in starts.items():
         for level in LEVELS:
             if n >= level:
@@ -232,25 +246,31 @@ class Model:
         self.starts = {f.split("*")[0] for f in weights if "*" in f}
         self.heads: dict[str, list[str]] = {}
         for w in sorted(self.words):
-            if WITHIN <= len(w) <= LONGEST:
+            if len(w) >= WITHIN:
                 self.heads.setdefault(w[:WITHIN], []).append(w)
+        self.longest = max([LONGEST, *map(len, self.words)])
         self.memo: dict[tuple, str | None] = {}
+        self.tokens: dict[str, tuple] = {}
 
     def restored(self, form: tuple[str, bool, bool]) -> str | None:
-        """What is hidden in a window: a feature word or a word that begins like one, as the whole; or a feature word among
-        other words."""
+        """What is hidden in a window: a feature word or a word that begins like one, as the whole or between separators; or a
+        feature word among other words."""
         if form not in self.memo:
             if len(self.memo) >= DECODED:
                 self.memo.clear()
             self.memo[form] = self._restored(*form)
         return self.memo[form]
 
+    def _matters(self, word: str) -> bool:
+        return word in self.words or any(word[:k] in self.starts for k in PREFIXES)
+
     def _restored(self, token: str, open_left: bool, open_right: bool) -> str | None:
         spelled = self.decoder.spelled(token)
-        for w in self.decoder.likely(spelled):
-            if w in self.words or any(w[:k] in self.starts for k in PREFIXES):
-                return w
-        for letters in spelled:
+        for t in self.decoder.likely(spelled):
+            for w in t.split():
+                if self._matters(w):
+                    return w
+        for letters in dict.fromkeys(t.replace(" ", "") for t in spelled):
             for i in range(len(letters) - WITHIN + 1):
                 for w in self.heads.get(letters[i : i + WITHIN], ()):
                     if letters.startswith(w, i):
@@ -259,40 +279,77 @@ class Model:
                             return w
         return None
 
-    def present(self, text: str) -> set[str]:
-        """Features of the text as it stands and as it is restored."""
-        words, odd, spaced = tokens_of(text)
-        for forms in odd:
-            words.update({w for form in forms if (w := self.restored(form))})
-        found = {f for f in features_of(words, (self.words, self.starts)) if f in self.weights}
-        for t in spaced:
-            for a in range(0, len(t), 512):  # the letters have no word boundaries: look for words within
-                restored = self.decoder.decode(t[a : a + 512 + LONGEST])[0] if not t.isalpha() or _RUN.search(t) else t[a : a + 512 + LONGEST]
-                for w in self.words:
-                    if len(w) <= LONGEST and len(w) > 2 and w in restored:
-                        found.add(w)
+    def token(self, t: str) -> tuple[tuple[str, ...], tuple[str, ...], int]:
+        """Of a token as it stands and as it is restored: feature words, beginnings of words that make features, and how many
+        single characters set apart it holds (0 if it holds anything else)."""
+        if t not in self.tokens:
+            if len(self.tokens) >= 4 * DECODED:
+                self.tokens.clear()
+            low = t.lower()
+            words = plain_words(low)
+            for form in obfuscated(low):
+                words = words + sorted({w for window in windows(form, self.longest) if (w := self.restored(window))})
+            starts = [w[:k] for w in words for k in PREFIXES if len(w) >= k and w[:k] in self.starts]
+            chain = len(_APART.sub("", low.rstrip(",!?"))) if _CHAIN.fullmatch(low) else 0
+            self.tokens[t] = tuple(w for w in words if w in self.words), tuple(starts), chain
+        return self.tokens[t]
+
+    def apart(self, lowered: str) -> set[str]:
+        """Feature words in passages of single letters set apart, as the decoder restores these, and as they stand."""
+        found = set()
+        for m in _SPACED.finditer(lowered):
+            if m.group() not in self.decoder.memo:
+                self.decoder.memo[m.group()] = (self.decoder.paths(m.group(), 1)[0][1],)
+            restored = self.decoder.memo[m.group()][0]
+            found |= {w for w in restored.split() if w in self.words}
+            # a passage may hold no sign of where its words end
+            joined = {restored.replace(" ", ""), _APART.sub("", m.group())}
+            found |= {w for w in self.words if len(w) > 2 and any(w in letters for letters in joined)}
+        if len(self.decoder.memo) >= DECODED:
+            self.decoder.memo.clear()
         return found
 
-    def score(self, text: str) -> float:
+    def scan(self, texts: pa.Array) -> list[list[str]]:
+        """Features of each whole text, as it stands and as it is restored. Each distinct token is looked at once."""
+        names, code, doc = token_codes(texts)
+        seen = [self.token(t) for t in names]
+        words: list[set[str]] = [set() for _ in range(len(texts))]
+        starts: list[Counter] = [Counter() for _ in range(len(texts))]
+        matters = np.array([bool(w or s) for w, s, _ in seen], bool)
+        for d, c in zip(*(x[matters[code]].tolist() for x in (doc, code)), strict=True) if len(code) else ():
+            words[d].update(seen[c][0])
+            starts[d].update(seen[c][1])
+        # texts with three characters set apart in a row, or more
+        chain = np.array([k for _, _, k in seen], np.int64)[code] if len(code) else np.zeros(0, np.int64)
+        run = np.cumsum((chain == 0) | (np.diff(doc, prepend=-1) != 0))
+        held = np.bincount(run, chain, minlength=1)[run] >= 3 if len(run) else np.zeros(0, bool)
+        for d in np.unique(doc[held & (chain > 0)]).tolist():
+            words[d] |= self.apart(texts[d].as_py().lower())
+        return [sorted(f for f in (*w, *levels_of(n)) if f in self.weights) for w, n in zip(words, starts, strict=True)]
+
+    def present(self, text: str) -> set[str]:
+        return set(self.scan(pa.array([text], pa.string()))[0])
+
+    def scores(self, texts: pa.Array) -> list[float]:
         """The regression's probability, or, if higher, what the surest feature says alone (a short text has no more)."""
-        found = sorted(self.present(text))
-        x = self.bias + sum(self.weights[w] for w in found)
-        return max([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), *(self.alone.get(w, 0.0) for w in found)])
+        out = []
+        for found in self.scan(texts):
+            x = self.bias + sum(self.weights[w] for w in found)
+            out.append(max([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), *(self.alone.get(w, 0.0) for w in found)]))
+        return out
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, toxic, weight): sums of feature presence by class, for each batch."""
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each text's features and its least word hash: near copies mostly share that."""
     for batch in batches:
-        sums: Counter = Counter()
-        for text, toxic, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = Counter({w: n for w, n in tokens_of(text)[0].items() if len(w) <= LONGEST})
-            for f in features_of(words):
-                sums[f, toxic] += weight
-        keys, classes = zip(*sums, strict=True) if sums else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array(classes, pa.int32()), pa.array(list(sums.values()), pa.float64())],
-            names=["item", "toxic", "n"],
-        )
+        for a, b in slices(batch, SLICE, 0):
+            part = batch.slice(a, b - a)
+            words = [words_in(t) for t in part.column(0).to_pylist()]
+            sigs = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws), default=0) for ws in words]
+            items = [list(features_of(ws)) for ws in words]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(sigs, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["text", "toxic", "sig", "items"]
+            )
 
 
 def plain_words(t: str) -> list[str]:
@@ -324,7 +381,7 @@ def trigram_sums(words: Counter) -> dict[str, int]:
 def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts: the number of texts that hold each word (by its key), each trigram's sum over these words, and the
     number of texts (no item, no key), summed over many texts before they go on."""
-    n_texts, held = 0, Counter()
+    n_texts, chars, held = 0, 0, Counter()
 
     def sums() -> pa.RecordBatch:
         trigrams = trigram_sums(held)
@@ -337,26 +394,25 @@ def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for a, b in slices(batch, SLICE, 0):
-            lists = pc.utf8_split_whitespace(batch.column(0).slice(a, b - a))
-            tokens = pc.list_flatten(lists).dictionary_encode()
+            tokens, code, parent = token_codes(batch.column(0).slice(a, b - a))
             number: dict[str, int] = {}
             of_token, sizes = [], []
-            for t in tokens.dictionary.to_pylist():
-                own = [number.setdefault(w, len(number)) for w in plain_words(t.lower()) if len(w) <= LONGEST]
+            for t in tokens:
+                own = [number.setdefault(w, len(number)) for w in plain_words(t.lower())]
                 of_token += own
                 sizes.append(len(own))
-            size, code = np.array(sizes, np.int64), tokens.indices.to_numpy().astype(np.int64)
+            size = np.array(sizes, np.int64)
             first, each = np.cumsum(size) - size, size[code]
             within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             words = np.array(of_token, np.int64)[np.repeat(first[code], each) + within]
-            doc = np.repeat(pc.list_parent_indices(lists).to_numpy(), each)
+            doc = np.repeat(parent, each)
             once = np.sort(doc * max(1, len(number)) + words)
             once = once[np.diff(once, prepend=-1) > 0] % max(1, len(number))
             held.update(dict(zip(number, np.bincount(once, minlength=len(number)).tolist(), strict=True)))
-            n_texts += b - a
-            if len(held) > COUNTED:
+            n_texts, chars = n_texts + b - a, chars + sum(map(len, number))
+            if len(held) > COUNTED or chars > COUNTED_CHARS:
                 yield sums()
-                n_texts, held = 0, Counter()
+                n_texts, chars, held = 0, 0, Counter()
     yield sums()
 
 
@@ -381,22 +437,12 @@ def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray,
     return chars, words.column(0).to_numpy(), words.column(1).to_numpy(), total
 
 
-def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least word hash: near copies mostly share it."""
-    for batch in batches:
-        sigs = []
-        for text in batch.column(0).to_pylist():
-            words, _, _ = tokens_of(text)
-            sigs.append(min((zlib.crc32(w.encode()) for w in words), default=0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=["text", "toxic", "sig"])
-
-
 def _presence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(model.weights)
         number = {w: i for i, w in enumerate(names)}
         for batch in batches:
-            found = [sorted(number[w] for w in model.present(t)) for t in batch.column(0).to_pylist()]
+            found = [sorted(number[w] for w in f) for f in model.scan(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["found", "toxic", "weight"]
             )
@@ -428,7 +474,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
     The language model counts the texts of all docs, labelled or not, and reads no label. Features and weights use labelled
     rows outside the held-out third only, and of these the `most` rows whose doc_id has the least hash. Near copies share one
-    vote there: a row's weight is one over the number of rows with its least word hash.
+    vote there: a row's weight is one over the number of rows with its least word hash. With no labelled rows, or those of one
+    class only, the model has no features and calls nothing toxic.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3
@@ -439,18 +486,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    # `most` rows of two numbers
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    signed = stored(spark, sample.mapInArrow(_signature, "text string, toxic int, sig long"), "toxicity-sample")
-    sizes = signed.groupBy("sig").count()
-    weighed = stored(
-        spark, signed.join(sizes, "sig").select("text", "toxic", (1 / F.col("count")).alias("weight")), "toxicity-weighed"
-    )
+    # `most` rows of two numbers; of an id with several texts one text counts
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    signed = sample.select("text", "toxic").mapInArrow(_sample, "text string, toxic int, sig long, items array<string>")
+    signed = stored(spark, signed, "toxicity-sample")
+    sizes = signed.groupBy("sig").agg((1 / F.count("*")).alias("weight"))
+    weighed = signed.join(F.broadcast(sizes), "sig")  # `most` rows of two numbers
     sums = stored(
         spark,
-        weighed.mapInArrow(_statistics, "item string, toxic int, n double")
+        weighed.select(F.explode("items").alias("item"), "toxic", "weight")
         .groupBy("item")
-        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("n1"), F.sum("n").alias("n")),
+        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("weight"))).alias("n1"), F.sum("weight").alias("n")),
         "toxicity-sums",
     )
     totals = weighed.agg(F.sum("weight"), F.sum(F.when(F.col("toxic") == 1, F.col("weight")))).first()
@@ -469,7 +515,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     decoder = Decoder(chars, lexicon)
     weights = dict.fromkeys((r["item"] for r in features), 1.0)
     model = Model(weights, 0.0, decoder)
-    rows = weighed.mapInArrow(_presence(model), "found array<int>, toxic int, weight double").collect()
+    rows = weighed.select("text", "toxic", "weight").mapInArrow(_presence(model), "found array<int>, toxic int, weight double").collect()
     w, b = _logistic([(x["found"], x["toxic"], x["weight"]) for x in rows], len(weights))
     alone = {r["item"]: (r["n1"] or 0.0) / (r["n"] + DOUBT) for r in features}
     return Model({k: float(x) for k, x in zip(sorted(weights), w, strict=True)}, float(b), decoder, alone)
@@ -480,7 +526,7 @@ def _scores(model: Model):
         for batch in batches:
             for a, b in slices(batch, SLICE):
                 part = batch.slice(a, b - a)
-                scores = [model.score(t) for t in part.column(1).to_pylist()]
+                scores = model.scores(part.column(1))
                 held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
@@ -493,12 +539,12 @@ def _scores(model: Model):
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Scores every whole text from 0 to 1.
 
-    Words that hold digits or symbols, letters repeated three times or more, and passages of single letters set apart are
-    restored by the decoder; a text's score rests on the features of it as it stands and as it is restored. Nothing is
+    Words that hold digits or symbols, letters repeated three times or more, and passages of single letters set apart (with
+    their blanks, which may end words or mean nothing) are restored by the decoder; a text's score rests on the features of it as it stands and as it is restored. Nothing is
     shuffled.
 
     Null and empty texts get the score of a text without features, and a null doc_id counts as the text "None" for
-    its fold. Every row is scored once; other columns are ignored.
+    its fold. Every row is scored once; other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     return spread(texts(docs)).mapInArrow(

@@ -1,8 +1,13 @@
+import glob
+import os
+import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quarterlens.llm.common import ship
+from quarterlens.llm.common import shared_dir, ship
 from quarterlens.llm.toxicity import Decoder, Model, fit, toxicity
 
 
@@ -84,3 +89,53 @@ def test_hidden_words_in_joined_and_long_tokens():
         assert m.present("hello" * k + "1d10t" + "really" * 9) == {"idiot"}, k
     for text in ("hello,fr1end", "qx1d10tzv", "par4graph", "h3llo/you"):  # no chance substrings
         assert m.present(text) == set(), text
+
+
+def test_search_is_exact():
+    """The decoder against all paths through the lattice."""
+    rnd = random.Random(3)
+    letters = "abcdeiloprst"
+    for _ in range(40):
+        trigrams = {x + y + z: -rnd.random() * 6 for x in letters + "^" for y in letters + "^" for z in letters + "$" if rnd.random() < 0.5}
+        d = Decoder(trigrams, {})
+        token = "".join(rnd.choice("aabls1!0$ .-*e") for _ in range(rnd.randint(1, 6)))
+        every = [(0.0, "^^", "")]
+        for run in re.finditer(r"(.)\1*", token):
+            reached = []
+            for cost, state, out in every:
+                for step, price in Decoder.steps(run.group(1), len(run.group())):
+                    c, now = cost + price, state
+                    for x in step:
+                        if x == " ":
+                            c, now = c + (trigrams.get(now + "$", d.floor) if now != "^^" else 0), "^^"
+                        else:
+                            c, now = c + trigrams.get(now + x, d.floor), now[1] + x
+                    reached.append((c, now, out + step))
+            every = reached
+        full = [(c + (trigrams.get(s + "$", d.floor) if s != "^^" else 0), " ".join(o.split())) for c, s, o in every]
+        want = sorted((-c for c, _ in full))
+        for best in (1, 8, 32):
+            got = d.paths(token, best)
+            assert np.allclose([-c for c, _ in got], want[:best])
+            assert all(any(abs(c - f) < 1e-9 and o == t for f, t in full) for c, o in got)
+
+
+def test_blanks_are_arcs():
+    words = {w: -4.0 for w in ("you", "idiot", "stupid", "a")}
+    trigrams = {p[i : i + 3]: -1.0 for w in words for p in [f"^^{w}$"] for i in range(len(p) - 2)}
+    d = Decoder(trigrams, words)
+    assert d.paths("s t u p 1 d", 1)[0][1] == "stupid" and d.paths("y 0 u  s t u p i d", 1)[0][1] == "you stupid"
+    m = Model({"idiot": 1.0, "incomprehensibilitiesnesses": 1.0}, 0.0, d)
+    assert m.present("so 1 d 1 o t, he") == {"idiot"} and m.present("y o u i d i o t " * 400) == {"idiot"}
+    assert m.present("i d") == set() and m.present("x y z " * 300) == set()
+    assert m.present("inc0mprehensibilitiesnesses") == {"incomprehensibilitiesnesses"} == m.present("i.n.c.o.m.p.r.e.h.e.n.s.i.b.i.l.i.t.i.e.s.n.e.s.s.e.s")
+
+
+def test_a_shared_doc_id_gives_one_labelled_text(spark):
+    rows = [(1, f"bad text {i}") for i in range(50)] + [(i, f"fine text {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 60)], "doc_id long, toxic int")
+    ship(spark)
+    fit(docs, labels, most=30)
+    sample = max(glob.glob(shared_dir(spark).removeprefix("file://") + "/toxicity-sample-*"), key=os.path.getmtime)
+    assert spark.read.parquet(sample).count() <= 30
