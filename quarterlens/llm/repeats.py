@@ -19,8 +19,8 @@ SPAN = LENGTH - GRAM + 1
 SLICE = 2 << 20
 #: Most windows that are sorted at a time.
 WINDOWS = 1 << 20
-#: The windows of an anchor with more different stretches than this are dealt to tasks one by one, by their content.
-HOT = 4_096
+#: The windows of an anchor with more different stretches than this are dealt to tasks one by one, by their digests.
+HOT = 1 << 20
 _NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(31_337)
@@ -129,7 +129,7 @@ def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _MOVED = "kind int, bucket int, doc_id long, alt int, data binary"
 _FIELDS = ["kind", "bucket", "doc_id", "alt", "data"]
-_STRETCH, _REMOVE, _COMPARE = 0, 1, 2
+_STRETCH, _REMOVE, _COMPARE, _WINDOW = 0, 1, 2, 3
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,21 +175,21 @@ def _cut(buckets: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes] | tuple]:
-    """Of rows sorted by bucket: lists of a bucket's data; rows of other kinds as they are."""
-    bucket, held = None, []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Of rows sorted by bucket and kind: kind and data of each bucket's rows; removals as they are."""
+    key, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[0] == _REMOVE:
-                yield row
+                yield _REMOVE, [row]
                 continue
-            if row[1] != bucket and held:
-                yield held
+            if row[:2] != key and held:
+                yield key[0], held
                 held = []
-            bucket = row[1]
+            key = row[:2]
             held.append(row[4])
     if held:
-        yield held
+        yield key[0], held
 
 
 def _first_pass(hot: int):
@@ -198,9 +198,9 @@ def _first_pass(hot: int):
         are removals; where an anchor has different stretches, the earliest of each is to be compared window by window, with a
         mark if there are more than `hot`."""
         out: list[tuple] = []
-        for group in _groups(batches):
-            if isinstance(group, tuple):
-                out.append(group)
+        for kind, group in _groups(batches):
+            if kind == _REMOVE:
+                out += group
             else:
                 rows = np.frombuffer(b"".join(group), _ROW)
                 grams, where, n = np.unique(rows["gram"], return_inverse=True, return_counts=True)
@@ -230,26 +230,31 @@ def _first_pass(hot: int):
 _MARK = 128
 _ASKED = np.dtype({"names": ["gram", "start", "n"], "formats": ["<u8", "<i4", "u1"], "offsets": [0, 28, 32], "itemsize": _ROW.itemsize})
 _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("alt", "<i4"), ("start", "<i4"), ("n", "u1")])
+_PLACED = np.dtype([("digest", "<u8", 2), ("doc", "<i8"), ("alt", "<i4"), ("start", "<i4")])
 
 
 def _contents(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the stretches that are to be compared, packed by bucket of their anchors. Marked ones go on as single
-        windows, packed by bucket of their bytes; of equal ones met here only the earliest goes on, the others are removals."""
+        """The bytes of the stretches that are to be compared, packed by bucket of their anchors. Marked ones go on as 128-bit
+        digests of single windows, packed by bucket of these; of equal ones met here only the earliest goes on, the others are
+        removals."""
         held: dict[int, list[bytes]] = {}
-        single: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        single: dict[bytes, tuple[int, int, int]] = {}
         gone: list[tuple[int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            head = np.zeros(1, _HEAD)
-            for (gram, window), place in single.items():
-                head["gram"], head["n"] = gram, 1
-                head["doc"], head["alt"], head["start"] = place
-                k = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little") % buckets
-                held.setdefault(k, []).append(head.tobytes() + window)
             out = [(_COMPARE, k, None, None, b"".join(v)) for k, v in sorted(held.items())]
+            if single:
+                rows = np.zeros(len(single), _PLACED)
+                rows["digest"] = np.frombuffer(b"".join(single), np.uint64).reshape(-1, 2)
+                for f, x in zip(("doc", "alt", "start"), zip(*single.values(), strict=True), strict=True):
+                    rows[f] = x
+                where = (rows["digest"][:, 0] % np.uint64(buckets)).astype(np.int64)
+                rows, where = rows[np.argsort(where, kind="stable")], np.sort(where)
+                cuts = np.flatnonzero(np.diff(where)) + 1
+                out += [(_WINDOW, int(where[x]), None, None, rows[x:y].tobytes()) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True)]
             if gone:
                 doc, alt, start = (np.array(x, np.int64) for x in zip(*gone, strict=True))
                 out += [(_REMOVE, hash((d, a)) % buckets, d, a, data) for d, a, data in _by_document(doc, alt, start, start + LENGTH)]
@@ -275,12 +280,12 @@ def _contents(buckets: int):
                             size += len(piece)
                             continue
                         for at in range(start, start + n - _MARK):
-                            place, window = (doc, alt, at), text[at : at + LENGTH]
-                            first = single.setdefault((gram, window), place)
+                            place, name = (doc, alt, at), hashlib.blake2b(text[at : at + LENGTH], digest_size=16).digest()
+                            first = single.setdefault(name, place)
                             if first == place:
-                                size += LENGTH
+                                size += LENGTH // 10
                             else:
-                                single[gram, window] = min(first, place)
+                                single[name] = min(first, place)
                                 gone.append(max(first, place))
                         if size > SLICE:
                             yield flush()
@@ -316,11 +321,21 @@ def repeated_windows(group: np.ndarray, at: np.ndarray, data: np.ndarray) -> tup
 
 def _later_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Window by window, within each anchor's stretches: all but the earliest of equal windows are removals."""
-    for group in _groups(batches):
-        if isinstance(group, tuple):
-            yield _batch([group])
+    for kind, group in _groups(batches):
+        if kind == _REMOVE:
+            yield _batch(group)
             continue
         raw = b"".join(group)
+        if kind == _WINDOW:
+            rows = np.frombuffer(raw, _PLACED)
+            rows = rows[np.lexsort((rows["start"], rows["alt"], rows["doc"], rows["digest"][:, 1], rows["digest"][:, 0]))]
+            later = np.zeros(len(rows), bool)
+            later[1:] = (rows["digest"][1:] == rows["digest"][:-1]).all(1)
+            first = rows[np.maximum.accumulate(np.where(later, 0, np.arange(len(rows))))]
+            rows = rows[later & (rows[["doc", "alt", "start"]] != first[["doc", "alt", "start"]])]
+            start = rows["start"].astype(np.int64)
+            yield _batch([(_REMOVE, 0, d, x, data) for d, x, data in _by_document(rows["doc"], rows["alt"], start, start + LENGTH)])
+            continue
         data = np.frombuffer(raw + b"\0" * 8, np.uint8)
         heads, places, at = [], [], 0
         while at < len(raw):
@@ -392,8 +407,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     forty bytes of text. Stretches that are equal as a whole are settled there; only where an anchor has different
     stretches do their bytes move, and the later passes order their windows by eight bytes at a time. Equal stretches within a
     slice of the scan are settled before anything moves, so a passage that a third of all documents hold arrives once for each slice.
-    An anchor with more than `hot` different stretches is split: its windows go to tasks by their content, equal ones of a
-    slice once.
+    An anchor with more than `hot` different stretches is split: its windows go to tasks by their 128-bit digests, equal ones of
+    a slice once.
 
     The texts move once, by doc_id, for fetching those bytes and for the removal (one exchange, used twice).
 
@@ -426,7 +441,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         spread(numbered)
         .mapInArrow(_cut(buckets), _MOVED)
         .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
+        .sortWithinPartitions("bucket", "kind")
         .mapInArrow(_first_pass(hot), _MOVED)
     )
     settled = stored(spark, settled, "repeats-first")
@@ -440,7 +455,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         .select("doc_id", "alt", "text", "asked")
         .mapInArrow(_contents(buckets), _MOVED)
         .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
+        .sortWithinPartitions("bucket", "kind")
         .mapInArrow(_later_passes, _MOVED)
     )
     removals = (
