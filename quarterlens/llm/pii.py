@@ -25,11 +25,25 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # Gazetteers.
-_DOMAINS = "com org net edu gov mil int info biz io co de fr es it nl uk us eu ch at be pt pl se no dk fi ie ca au nz jp in br mx".split()
-_COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 358 380 420 421".split()
+_DOMAINS = (
+    "com org net edu gov mil int info biz name pro mobi io co app dev me tv ai cloud online site shop store tech xyz club "
+    "de fr es it nl uk us eu ch at be pt pl se no dk fi ie ca au nz jp in br mx ar cl pe ve uy cn hk tw kr sg my th id ph vn "
+    "ru ua by kz cz sk hu ro bg gr tr il ae sa eg za ng ke ma is lu li mt cy ee lv lt si hr rs ba mk al md"
+).split()
+_COUNTRY_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 "
+    "93 94 95 98 211 212 213 216 218 220 221 233 234 251 254 255 256 260 263 351 352 353 354 355 356 357 358 359 370 371 372 373 "
+    "374 375 376 380 381 382 385 386 387 389 420 421 423 501 502 503 504 505 506 507 509 591 593 595 598 852 853 855 856 880 886 "
+    "960 961 962 963 964 965 966 967 968 971 972 973 974 975 976 977 992 993 994 995 996 998"
+).split()
 _FIRST_NAMES = (
     "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica "
-    "Thomas Sarah Charles Karen Hans Klaus Petra Jürgen Ursula Pierre Marie Jacques Camille Juan José María Carmen Luis"
+    "Thomas Sarah Charles Karen Christopher Nancy Daniel Margaret Matthew Betty Anthony Sandra Donald Ashley Steven Kimberly "
+    "Andrew Emily Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Edward Stephanie "
+    "Ronald Rebecca Timothy Laura Jason Sharon Jeffrey Cynthia Ryan Kathleen Jacob Amy Gary Angela Nicholas Anna Eric "
+    "Hans Klaus Petra Jürgen Ursula Wolfgang Monika Dieter Sabine Manfred Renate Günter Heike Stefan Andrea Matthias Birgit "
+    "Pierre Marie Jacques Camille Philippe Nathalie Jean Isabelle Michel Sylvie Alain Catherine Nicolas Julien Céline Élodie "
+    "Juan José María Carmen Luis Antonio Ana Manuel Francisco Isabel Javier Dolores Carlos Pilar Miguel Teresa Rafael Lucía"
 ).split()
 _TITLES = "Mr Mrs Ms Dr Prof Herr Frau Señor Señora Monsieur Madame".split()
 
@@ -43,7 +57,9 @@ _CUES = {
     "secret": (r"token|secret|password|api|key|credential|auth", r"checksum|commit|sha|digest|hash|example"),
 }
 
-#: kind, strict form?, pattern, trigger. Loose forms only propose; labelers decide.
+_INITIALS = "".join(sorted({n[0] for n in (*_TITLES, *_FIRST_NAMES)}))
+
+#: kind, strict form?, pattern, trigger. Loose forms only propose; labelers decide. Patterns begin with what fails soonest.
 _SOURCES = (
     ("email", True, _EMAIL, lambda t: t.contains("@")),
     ("ip", True, _IP, lambda t: t.rlike(r"[0-9]\.[0-9]")),
@@ -59,44 +75,49 @@ _SOURCES = (
     (
         "phone",
         False,
-        r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+        r"(?=[(0-9])(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
         lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
     ),
     (
         "name",
         False,
-        r"(?<!\p{L})(?:(?:" + "|".join(_TITLES) + r")\.?\x20\p{Lu}\p{Ll}{1,30}|(?:" + "|".join(_FIRST_NAMES) + r")\x20\p{Lu}\p{Ll}{1,30})(?:\x20\p{Lu}\p{Ll}{1,30})?(?!\p{L})",
-        lambda t: F.lit(True),
+        rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:" + "|".join(_TITLES) + r")\.?\x20\p{Lu}\p{Ll}{1,30}|(?:" + "|".join(_FIRST_NAMES) + r")\x20\p{Lu}\p{Ll}{1,30})(?:\x20\p{Lu}\p{Ll}{1,30})?(?!\p{L})",
+        lambda t: t.rlike(rf"[{_INITIALS}]\p{{Ll}}+\.?\x20\p{{Lu}}\p{{Ll}}"),
     ),
     (
         "secret",
         False,
-        r"""(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9_/+-]{16,}+["']?""",
+        r"""(?i)(?=[tspa])(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9_/+-]{16,}+["']?""",
         lambda t: t.rlike("[=:]"),
     ),
 )
 
 
+#: Marks the ends of matches while a text is parted; texts that hold it are parted in another way.
+_END = "\x01"
+_MATCHES = "array<struct<source:int,match:string,gap:int,left:string,right:string>>"
+
+
 def _found(text: Column, source: int) -> Column:
     """All matches of a pattern with the length of the text since the last match, and what stands around them."""
     kind, strict, pattern, trigger = _SOURCES[source]
-    on = trigger(text)
-    matches = F.when(on, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    gaps = F.when(on, F.split(text, pattern, -1)).otherwise(F.array(F.lit("")))
-    n = F.size(matches)
-    pairs = F.zip_with(
-        matches,
-        F.slice(gaps, F.lit(1), n),
-        lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap"), F.right(g, F.lit(LEFT)).alias("left")),
-    )
-    return F.zip_with(
-        pairs,
-        F.slice(gaps, F.lit(2), n),
-        lambda p, g: F.struct(
-            F.lit(source).alias("source"), p["match"].alias("match"), p["gap"].alias("gap"), p["left"].alias("left"),
-            F.left(g, F.lit(RIGHT)).alias("right"),
-        ),
-    )
+    one_pass = F.split(F.regexp_replace(text, pattern, f"{_END}$0{_END}"), _END, -1)
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    two_passes = F.array_compact(F.flatten(F.zip_with(gaps, matches, lambda g, m: F.array(g, m))))
+    # gap, match, gap, ..., gap
+    parts = F.when(trigger(text), F.when(text.contains(_END), two_passes).otherwise(one_pass)).otherwise(F.array(F.lit("")))
+
+    def match(p: Column, i: Column) -> Column:
+        gap = F.get(p, i - 1)
+        return F.struct(
+            F.lit(source).alias("source"), F.get(p, i).alias("match"), F.length(gap).alias("gap"),
+            F.right(gap, F.lit(LEFT)).alias("left"), F.left(F.get(p, i + 1), F.lit(RIGHT)).alias("right"),
+        )
+
+    every = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: match(p, i))
+    none = F.array().cast(_MATCHES)
+    # bound once, as parts would be computed anew wherever it's named
+    return F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 1, every(p)).otherwise(none)), 0)
 
 
 def _digits(m: Column) -> Column:
@@ -193,38 +214,69 @@ def expectation_maximisation(counts: list[tuple[tuple[int, ...], int]], rounds:
     return post
 
 
-def train(counts: list[tuple[str, tuple[int, ...], int]], steps: int = 400) -> dict[str, float]:
-    """Weights of the span classifier: logistic regression on the votes (and on the kind), with EM's posteriors as
-    soft labels, by full-batch gradient steps over the table of vote patterns."""
+#: What the span classifier sees of a span itself, beside the votes: few values each, whatever the corpus holds.
+SHAPE = ("length", "digits", "parted", "before", "after")
+
+
+def _shape(m: Column, left: Column, right: Column) -> list[Column]:
+    n = F.length(m)
+    digits = F.length(_digits(m)) / n
+    neighbour = lambda c: (
+        F.when(c == "", "end").when(c.rlike(r"\s"), "blank").when(c.rlike(r"[\p{L}\p{N}]"), "word").when(c.rlike(r"[(\[{<\x22':=]"), "open")
+        .otherwise("other")
+    )
+    return [
+        F.when(n < 8, "7").when(n < 12, "11").when(n < 16, "15").when(n < 24, "23").when(n < 40, "39").otherwise("40"),
+        F.when(digits == 0, "none").when(digits < 0.3, "few").when(digits < 0.7, "many").otherwise("most"),
+        F.when(m.rlike(r"\s"), "blank").when(m.contains("-"), "dash").when(m.contains("."), "dot").otherwise("not"),
+        neighbour(F.right(left, F.lit(1))),
+        neighbour(F.left(right, F.lit(1))),
+    ]
+
+
+def train(counts: list[tuple[str, tuple[int, ...], tuple[str, ...], int]], steps: int = 200) -> dict[str, float]:
+    """Weights of the span classifier: logistic regression on each kind's votes and on the shape of the span and its
+    surroundings, with EM's posteriors as soft labels, by accelerated gradient steps over the table of distinct feature sets.
+    What the votes leave open weighs little, so that the looks of trusted spans decide there."""
     rows = []
-    for kind in sorted({k for k, _, _ in counts}):
-        own = [(v, n) for k, v, n in counts if k == kind]
-        post = expectation_maximisation(own)
-        rows += [(_features(kind, v), post[v], n) for v, n in own]
+    for kind in sorted({k for k, _, _, _ in counts}):
+        patterns: dict[tuple[int, ...], int] = {}
+        for k, v, _, n in counts:
+            if k == kind:
+                patterns[v] = patterns.get(v, 0) + n
+        post = expectation_maximisation(sorted(patterns.items()))
+        sure = lambda v: abs(2 * post[v] - 1)  # noqa: B023, E731
+        rows += [(_features(kind, v, shape), post[v], math.log1p(n) * sure(v)) for k, v, shape, n in counts if k == kind]
     names = sorted({f for fs, _, _ in rows for f in fs})
-    weights, total = dict.fromkeys(names, 0.0), sum(math.log1p(n) for _, _, n in rows) or 1.0
-    for _ in range(steps):
-        slope = dict.fromkeys(names, 0.0)
-        for fs, y, n in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in fs)))))
+    number, total = {f: i for i, f in enumerate(names)}, sum(n for _, _, n in rows) or 1.0
+    data = [([number[f] for f in fs], y, n / total) for fs, y, n in rows]
+    w = ahead = [0.0] * len(names)
+    for step in range(steps):
+        slope = [1e-3 * x for x in ahead]
+        for fs, y, n in data:
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(ahead[f] for f in fs)))))
             for f in fs:
-                slope[f] += (y - p) * math.log1p(n) / total
-        for f in names:
-            weights[f] += 2.0 * (slope[f] - 1e-3 * weights[f])
-    return weights
+                slope[f] += (p - y) * n
+        after = [x - 0.4 * g for x, g in zip(ahead, slope, strict=True)]
+        ahead = [x + step / (step + 3) * (x - old) for x, old in zip(after, w, strict=True)]
+        w = after
+    return dict(zip(names, w, strict=True))
 
 
-def _features(kind: str, votes: tuple[int, ...]) -> list[str]:
-    return [f"kind={kind}", *(f"{kind}:{n}={x}" for n, x in zip(LABELERS, votes, strict=True) if x >= 0)]
+def _features(kind: str, votes: tuple[int, ...], shape: tuple[str, ...]) -> list[str]:
+    voted = [f"{kind}:{n}={x}" for n, x in zip(LABELERS, votes, strict=True) if x >= 0]
+    return [f"kind={kind}", *voted, *(f"{kind}:{n}={x}" for n, x in zip(SHAPE, shape, strict=True))]
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """One row for each accepted span: row, doc_id, kind, base, start, end (code points, end exclusive).
 
     Candidates are the base patterns' valid matches and the matches of looser patterns that overlap none of those. Four
-    labelers vote on each (regex, gazetteer, context, shape). Counts of vote patterns (at most 3^4 for each kind, whatever the
-    corpus holds) give the labelers' reliabilities by expectation-maximisation, and the posteriors train a logistic span
-    classifier, which every candidate then passes through. Base spans stay whatever it says.
+    labelers vote on each (regex, gazetteer, context, shape). Counts of vote patterns give the labelers' reliabilities by
+    expectation-maximisation, and the posteriors train a logistic classifier of spans, which sees the votes, the span's own
+    shape and what stands beside it, and which every candidate then passes through. Base spans stay whatever it says. The
+    counts that reach the driver are of few values each (3^4 votes and 6 * 4 * 4 * 5 * 5 shapes for a kind at most, whatever
+    the corpus holds).
 
     The texts are scanned once and never shuffled; later steps move candidates only. Null and empty texts have no span.
     """
@@ -272,18 +324,19 @@ def _spans(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, DataF
         )
     )
     votes = _votes(F.col("kind"), F.col("base"), F.col("match"), F.col("left"), F.col("right"))
+    shape = _shape(F.col("match"), F.col("left"), F.col("right"))
     voted = candidates.select(
-        "row", "doc_id", "kind", "base", "start", "end", *[v.alias(n) for v, n in zip(votes, LABELERS, strict=True)]
+        "row", "doc_id", "kind", "base", "start", "end", *[v.alias(n) for v, n in zip((*votes, *shape), (*LABELERS, *SHAPE), strict=True)]
     )
     voted = stored(spark, voted, "pii-votes")
-    patterns = voted.groupBy("kind", *LABELERS).count().collect()  # at most 3^4 rows for each kind
-    weights = train([(r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in patterns])
+    patterns = voted.groupBy("kind", *LABELERS, *SHAPE).count().collect()  # bounded, see above
+    weights = train([(r["kind"], tuple(r[n] for n in LABELERS), tuple(r[n] for n in SHAPE), r["count"]) for r in patterns])
 
     # The classifier as an expression: a literal map from its discrete features to its weights.
     if weights:
         table_of = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))])
         score = F.coalesce(table_of[F.concat(F.lit("kind="), F.col("kind"))], F.lit(0.0))
-        for n in LABELERS:
+        for n in (*LABELERS, *SHAPE):
             key = F.concat(F.col("kind"), F.lit(f":{n}="), F.col(n).cast("string"))
             score = score + F.coalesce(table_of[key], F.lit(0.0))
     else:
@@ -300,7 +353,7 @@ def _rank(kind: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row for each document: counts of the base spans, a digest of them, and all accepted spans as text.
+    """One row for each document: counts of the base spans, a digest of them, all accepted spans as text, and their number.
 
     Rows with equal doc_ids are told apart by a row number from the scan, so repeated rows each get their own result. Null
     and empty texts have no span; other columns are ignored; an empty table gives no rows.
@@ -323,6 +376,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(join_of(F.filter("spans", lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"),
         join_of(F.col("spans")).alias("spans"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 

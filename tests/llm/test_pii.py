@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quarterlens.llm.pii import expectation_maximisation, personal_data, redact
+from quarterlens.llm.pii import _features, expectation_maximisation, personal_data, redact, train
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -57,7 +57,7 @@ def test_table(spark, sf):
 def test_random_and_odd_texts(spark):
     rnd = random.Random(5)
     parts = ["a@b.c", "@", ".", "_", "x", "1.2.3.4", "256.1.1.1", "0001.2.3.4", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1111",
-             "+1 (974) 555-3436", "+49 30 1234567", "+", "(", ") ", "-", " ", "7", "42", "é", "😀", "\n", "a@b", "a@b.c-d_e@f.gh", "5500000000000004", "00", "%"]
+             "+1 (974) 555-3436", "+49 30 1234567", "+", "(", ") ", "-", " ", "7", "42", "é", "😀", "\n", "a@b", "a@b.c-d_e@f.gh", "5500000000000004", "00", "%", "\x01"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
     texts += [None, "", "x" * 50_000, "1" * 50_000, "1." * 20_000, "a@" + "b." * 20_000 + "c", "+1" + "2 " * 20_000, "é" * 9 + "a@b.co " * 2_000]
     rows = list(enumerate(texts))
@@ -104,3 +104,19 @@ def test_long_secrets_and_addresses_are_whole_spans(spark):
     got = {r["doc_id"]: r["spans"] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == f"secret:0:{8 + len(key)}" and got[2] == f"email:13:{13 + len(mail)}"
     assert got[3] == f"secret:0:{len(rows[2][1])}" and got[4] in ("", f"email:0:{len(rows[3][1])}")
+
+
+def test_classifier_learns_the_looks_of_trusted_spans():
+    plain, odd = ("15", "most", "dash", "blank", "blank"), ("40", "few", "not", "word", "word")
+    counts = [("phone", (1, 1, 1, 1), plain, 400), ("phone", (0, 0, 0, 0), odd, 400), ("phone", (-1, 1, -1, 0), plain, 30), ("phone", (-1, 1, -1, 0), odd, 30)]
+    weights = train(counts)
+    score = lambda v, shape: sum(weights[f] for f in _features("phone", v, shape))
+    assert score((1, 1, 1, 1), plain) > 1 > -1 > score((0, 0, 0, 0), odd)
+    assert score((-1, 1, -1, 0), plain) > score((-1, 1, -1, 0), odd) + 0.5  # equal votes, told apart by the span
+    assert train([]) == {}
+
+
+def test_names_beside_titles_and_first_names(spark):
+    rows = [(1, "signed by Dr. Heike Vogel today"), (2, "dear Mary Poppins, hello"), (3, "The Xylo Band plays"), (4, "McMary Smith")]
+    got = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("name:10:25", 1) and got[2] == ("name:5:17", 1) and got[3] == got[4] == ("", 0)
