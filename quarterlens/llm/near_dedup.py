@@ -27,8 +27,8 @@ FIRST, MORE = 4, 16
 #: Pairs of sketches that are compared at a time, and shingles that a task keeps for further checks.
 BLOCK, HELD = 1 << 20, 1 << 22
 
-#: Bits of the filter that holds back texts which no pair names (8 MB at most, whatever the corpus holds).
-FILTER, FILTER_PART = 1 << 26, 1 << 15
+#: Bits of the filter that holds back texts which no pair names (4 MB at most, whatever the corpus holds).
+FILTER, FILTER_PART = 1 << 25, 1 << 15
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 4_096
 
@@ -46,7 +46,7 @@ class _Digests(dict):
     def __missing__(self, word: bytes) -> bytes:
         out = hashlib.blake2b(word, digest_size=16).digest()
         if len(word) <= 64:
-            if len(self) >= 1 << 18:
+            if len(self) >= 1 << 17:
                 self.clear()
             self[word] = out
         return out
@@ -205,12 +205,13 @@ def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch, 8 * SLICE):  # words are numbered for several slices at once
+        for a, b in slices(batch, 4 * SLICE):  # words are numbered for several slices at once
             large = batch.slice(a, b - a)
             digests, per_doc = words_of(large.column(1))
             first = np.append(0, np.cumsum(per_doc))
             for x, y in slices(large, SLICE):
                 yield _signed(large.slice(x, y - x), *_shingles(digests[first[x] : first[y]], per_doc[x:y]))
+            pa.default_memory_pool().release_unused()
 
 
 def _signed(part: pa.RecordBatch, hashes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
