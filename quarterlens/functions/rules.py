@@ -85,9 +85,20 @@ def sec_section(url: Column, text: Column, year: int = 2025) -> Column:
     return valid_report_link(url, F.lit(""), year) & current
 
 
-def html_start(content: Column) -> Column:
-    """Whether a file's first bytes look like a web page."""
-    return contains_any(F.lower(F.substring(content, 1, 2048)), P.HTML_MARKS)
+def web_page_instead(url: Column, head: Column) -> Column:
+    """Whether a download is a web page and no file: its first characters are a page's, and the address does not look like that of
+    a file or a viewer."""
+    page = (
+        head.startswith("<!DOCTYPE")
+        | head.startswith("<html")
+        | (F.substring(head, 1, 500).contains("<html") & ~F.substring(head, 1, 100).contains("%PDF"))
+    )
+    return page & ~contains_any(F.lower(url), P.VIEWER_TERMS)
+
+
+def page_by_type(content_type: Column) -> Column:
+    """Whether the server calls its answer a web page; then nothing of it is read."""
+    return contains_any(F.lower(F.coalesce(content_type, F.lit(""))), ["text/html", "application/html"])
 
 
 def file_problem(name: Column, size: Column, head: Column) -> Column:

@@ -16,7 +16,7 @@ def url_structure(url: Column) -> Column:
     return F.struct(
         domain.alias("domain_structure"), F.array_contains(domain, "www").alias("has_www"),
         F.element_at(domain, -1).alias("tld"), F.size(domain).alias("domain_depth"),
-        F.slice(parts, 4, 1_000).alias("path_structure"),
+        F.slice(parts, F.lit(4), F.size(parts)).alias("path_structure"),
     )
 
 

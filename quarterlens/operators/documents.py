@@ -24,6 +24,17 @@ def duplicate_counts(df: DataFrame, text: str, key: str) -> DataFrame:
     return per.withColumn("duplicates", F.col("total") - F.col("extracted"))
 
 
+def extraction_totals(per: DataFrame, n_files: int | None = None) -> DataFrame:
+    """One row over files with their counts (see duplicate_counts; files without an image may be left out or have 0)."""
+    some = F.col("extracted") > 0
+    added = lambda c: F.coalesce(F.sum(F.when(some, F.col(c))), F.lit(0))
+    files = F.count("*") if n_files is None else F.lit(n_files)
+    return per.agg(
+        files.cast("long").alias("processed"), F.count_if(some).alias("with_images"), added("extracted").alias("unique_images"),
+        added("duplicates").alias("duplicate_images"), (added("extracted") + added("duplicates")).alias("total_images"),
+    )
+
+
 def head_lines(text: Column, n: int = 20) -> Column:
     return F.slice(F.split(text, "\n", -1), 1, n)
 
@@ -70,6 +81,14 @@ def markdown_to_csv(md: Column) -> Column:
     return F.array_join(rows, "\n")
 
 
+def table_export(frame: Column, direct: Column, other: Column, md: Column) -> Column:
+    """struct(method, csv) of the first way of exporting a table that gives anything: as a frame with rows, as CSV, as another
+    frame with rows, or from Markdown; null if none does. A frame is CSV with a line for its header."""
+    rows = lambda c: F.when(F.contains(py_strip(c), F.lit("\n")), c)
+    tried = [("dataframe", rows(frame)), ("csv", direct), ("to_dataframe", rows(other)), ("markdown", F.nullif(markdown_to_csv(md), F.lit("")))]
+    return F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("method"), c.alias("csv"))) for n, c in tried])
+
+
 def clean_json(text: Column) -> Column:
     """Model output without code fences, from the first { to the last }."""
     s = py_strip(F.regexp_replace(F.regexp_replace(text, r"```json\s*", ""), r"```\s*$", ""))

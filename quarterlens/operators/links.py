@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions.text import contains_any, py_strip
+from ..functions import rules
+from ..functions.text import contains_any, nullif_empty, py_strip
 from ..functions.urls import origin, report_paths
 
-_ANCHOR = r"(?s)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+#: An anchor, its attributes and what it holds; and its address, in either kind of quotes or none. Names in any case.
+_ANCHOR = r"(?is)<a(\s[^>]*)?>(.*?)</a\s*>"
+_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _TAG = r"<[^>]*>"
 #: Elements that can be clicked, in the order in which they are looked for; an element that fits several comes several times.
+#: An element stands for its opening tag and the text up to the first closing tag of its kind.
 SELECTORS = [
-    ("a", r"(?s)<a[\s>].*?</a>"), ("button", r"(?s)<button[\s>].*?</button>"), ("div[onclick]", r"(?s)<div\s[^>]*onclick=.*?</div>"),
-    ("span[onclick]", r"(?s)<span\s[^>]*onclick=.*?</span>"), ("[href]", r"(?s)<a\s[^>]*href=.*?</a>"),
-    ("[onclick]", r"(?s)<\w+\s[^>]*onclick=.*?</\w+>"), ("[class*=download]", r"(?s)<\w+\s[^>]*class=\"[^\"]*download.*?</\w+>"),
+    ("a", r"(?is)<a[\s>].*?</a>"), ("button", r"(?is)<button[\s>].*?</button>"), ("div[onclick]", r"(?is)<div\s[^>]*onclick=.*?</div>"),
+    ("span[onclick]", r"(?is)<span\s[^>]*onclick=.*?</span>"), ("[role=button]", r"(?is)<\w+\s[^>]*role=\"button\".*?</\w+>"),
+    ("[class*=button]", r"(?is)<\w+\s[^>]*class=\"[^\"]*button.*?</\w+>"), ("[class*=link]", r"(?is)<\w+\s[^>]*class=\"[^\"]*link.*?</\w+>"),
+    ("[href]", r"(?is)<\w+\s[^>]*href=.*?</\w+>"), ("[onclick]", r"(?is)<\w+\s[^>]*onclick=.*?</\w+>"),
+    ("[class*=download]", r"(?is)<\w+\s[^>]*class=\"[^\"]*download.*?</\w+>"),
 ]
 
 
@@ -28,10 +34,11 @@ def text_of(html: Column) -> Column:
 
 
 def page_links(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """Anchors in document order: page_id, ord (from 0), href, text. most: at most so many of each page."""
-    hrefs = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1))
-    bodies = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2))
-    both = F.zip_with(hrefs, bodies, lambda h, b: F.struct(h.alias("href"), b.alias("body")))
+    """Anchors in document order: page_id, ord (from 0), href (null where an anchor has none), text. most: at most so many of
+    each page."""
+    attributes, bodies = (F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(g)) for g in (1, 2))
+    href = lambda a: nullif_empty(F.concat(*[F.regexp_extract(a, _HREF, g) for g in (1, 2, 3)]))
+    both = F.zip_with(attributes, bodies, lambda a, b: F.struct(href(a).alias("href"), b.alias("body")))
     both = both if most is None else F.slice(both, 1, most)
     rows = pages.select("page_id", "url", F.posexplode(both).alias("ord", "link"))
     return rows.select("page_id", "url", "ord", F.col("link.href").alias("href"), text_of(F.col("link.body")).alias("text"))
@@ -68,52 +75,144 @@ def latest_dates(dates: Column, most: int = 5) -> Column:
     return F.slice(F.sort_array(F.array_distinct(dates), asc=False), 1, most)
 
 
-def page_patterns(links: DataFrame, key: str, url: str, text: str, order: str) -> DataFrame:
-    """What a page's links have in common: lists of file links, report paths, telling texts and file names."""
+def page_patterns(links: DataFrame, key: str, url: str, text: str, order: str, most: int = 200) -> DataFrame:
+    """What the first `most` links of each page have in common: lists of file links, report paths, telling texts and file names,
+    in the order of the links. Links beyond that number never leave their task."""
     u, t = F.lower(F.col(url)), F.lower(F.col(text))
     name = F.element_at(F.split(F.col(url), "/"), -1)
-    listed = lambda when, value: F.array_compact(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.when(when, value).alias("v")))), lambda s: s["v"])
-    )
     pdf, excel = u.contains(".pdf"), contains_any(u, [".xlsx", ".xls"])
-    return links.groupBy(key).agg(
-        listed(pdf, F.col(url)).alias("pdf_urls"),
-        listed(~pdf & excel, F.col(url)).alias("excel_urls"),
-        F.flatten(listed(F.lit(True), report_paths(F.col(url)))).alias("report_paths"),
-        listed(contains_any(t, ["earning", "financial", "result"]), F.col(text)).alias("earnings_texts"),
-        listed(contains_any(t, ["q1", "q2", "q3", "q4", "2023", "2024", "2025"]), F.col(text)).alias("date_texts"),
-        listed(contains_any(t, ["report", "filing", "presentation"]), F.col(text)).alias("report_texts"),
-        listed((pdf | excel) & contains_any(F.lower(name), P.NAME_TERMS), name).alias("naming_conventions"),
+    facts = {
+        "pdf_urls": F.when(pdf, F.col(url)),
+        "excel_urls": F.when(~pdf & excel, F.col(url)),
+        "earnings_texts": F.when(contains_any(t, ["earning", "financial", "result"]), F.col(text)),
+        "date_texts": F.when(contains_any(t, ["q1", "q2", "q3", "q4", "2023", "2024", "2025"]), F.col(text)),
+        "report_texts": F.when(contains_any(t, ["report", "filing", "presentation"]), F.col(text)),
+        "naming_conventions": F.when((pdf | excel) & contains_any(F.lower(name), P.NAME_TERMS), name),
+    }
+    w = Window.partitionBy(key).orderBy(order)
+    first = links.select(key, order, url, text).withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= most)
+    rows = first.select(key, order, report_paths(F.col(url)).alias("report_paths"), *[c.alias(n) for n, c in facts.items()])
+    listed = lambda n: F.array_compact(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(n).alias("v")))), lambda s: s["v"])
     )
+    return rows.groupBy(key).agg(F.flatten(listed("report_paths")).alias("report_paths"), *[listed(n).alias(n) for n in facts])
 
 
 def path_frequency(links: DataFrame, url: str) -> DataFrame:
     return links.select(F.explode(report_paths(F.col(url))).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
 
 
-def context_urls(pages: DataFrame, words: list[str], body: str = "html", around: int = 200, most: int = 5) -> DataFrame:
-    """Addresses within `around` characters of the first hits of each word. Spark's regular expressions give no places, so
-    this one walks the texts in Arrow batches."""
-    address = re.compile(r"https?://[^\s<>\"]{10,}")
-    finders = [(w, re.compile(re.escape(w), re.IGNORECASE)) for w in words]
+def context_urls(pages: DataFrame, words: list[str], body: str = "html", around: int = 200, most: int = 5, year: int = 2025) -> DataFrame:
+    """Addresses within `around` characters of the first `most` hits of each word (a regular expression, in any case), and whether
+    each is a valid report link. Regular expressions give no places, so texts are parted at the hits, whose places are the sums of
+    the lengths before them; few parts of each text are looked at."""
+    address = r"https?://[^\s<>\"]{10,}"
+    text = F.coalesce(F.col(body), F.lit(""))
+    out = None
+    for rank, word in enumerate(words):
+        gaps = F.split(text, f"(?i){word}", most + 1)
+        hits = F.slice(F.regexp_extract_all(text, F.lit(f"(?i){word}"), F.lit(0)), 1, most)
+        part = pages.select("page_id", text.alias("_text"), gaps.alias("_gaps"), hits.alias("_hits"))
+        part = part.select("page_id", "_text", "_gaps", "_hits", F.posexplode("_hits").alias("_i", "hit"))
+        before = lambda parts: F.aggregate(F.transform(parts, F.length), F.lit(0), lambda a, x: a + x)
+        place = before(F.slice("_gaps", F.lit(1), F.col("_i") + 1)) + before(F.slice("_hits", F.lit(1), F.col("_i")))
+        part = part.select("page_id", "_text", "hit", "_i", place.alias("place"))
+        start = F.greatest(F.col("place") - around, F.lit(0))
+        near = F.substring("_text", start + 1, F.col("place") + F.length("hit") + around - start)
+        part = part.select(
+            "page_id", F.lit(rank).alias("rank"), F.lit(word).alias("word"), "hit", "place",
+            F.posexplode(F.regexp_extract_all(near, F.lit(address), F.lit(0))).alias("ord", "found_url"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("valid", rules.valid_report_link(F.col("found_url"), F.lit(""), year))
+
+
+def fallback_reports(pages: DataFrame, body: str = "html", year: int = 2025) -> DataFrame:
+    """The last resort of a search: valid addresses near a year, a quarter or a word of reports, with the lowest score."""
+    found = context_urls(pages, [str(year), str(year - 1), "Q[1-4]", *P.FALLBACK_WORDS], body, year=year).filter("valid")
+    return found.select(
+        "page_id", "rank", "place", "ord", F.col("found_url").alias("url"), F.col("hit").alias("text"), F.lit(5.0).alias("priority"),
+        F.lit(f"{year}_fallback").alias("year"), F.lit("fallback").alias("type"), F.lit("fallback_search").alias("strategy"),
+        F.lit(0.3).alias("score"),
+    )
+
+
+def pdf_candidates(pages: DataFrame) -> DataFrame:
+    """Links to PDF files: those of all anchors; then those in and beside buttons, blocks and spans whose class or text speaks
+    of downloads, under that element's text, as often as they come. page_id, ord, pass, url, text.
+
+    What stands beside an element is a matter of the page's tree, which no regular expression gives, so pages are parsed in
+    Arrow batches, one page at a time."""
+    words = P.BUTTON_WORDS
+
+    # within this function, so that it goes to the workers by value
+    class Dom(HTMLParser):
+        """The anchors of a page with their addresses and texts, and the elements that stand around each."""
+
+        _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            # element: name, class, parent, texts, anchors within
+            self.open, self.elements, self.anchors = [0], [["", None, -1, [], []]], []
+
+        def handle_starttag(self, tag, attrs):
+            given, n = dict(attrs), len(self.elements)
+            self.elements.append([tag, given.get("class"), self.open[-1], [], []])
+            if tag == "a" and given.get("href") is not None:
+                for e in (*self.open, n):
+                    self.elements[e][4].append(len(self.anchors))
+                self.anchors.append((given["href"], n))
+            if tag not in self._VOID:
+                self.open.append(n)
+
+        def handle_endtag(self, tag):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.elements[self.open[k]][0] == tag:
+                    del self.open[k:]
+                    return
+
+        def handle_data(self, data):
+            for e in self.open:
+                self.elements[e][3].append(data)
+
+        def text(self, e: int) -> str:
+            return "".join(x.strip() for x in self.elements[e][3])
+
+    def full(page: str, href: str) -> str | None:
+        return "/".join(page.split("/")[:3]) + href if href.startswith("/") else href
+
+    def found(page: str, html: str) -> Iterator[tuple]:
+        dom = Dom()
+        dom.feed(html)
+        dom.close()
+        pdf = [".pdf" in h.lower() for h, _ in dom.anchors]
+        for (href, e), good in zip(dom.anchors, pdf, strict=True):
+            if good and href.startswith(("/", "http")):
+                yield 1, full(page, href), dom.text(e)
+        for e, (tag, names, parent, _, anchors) in enumerate(dom.elements):
+            if tag in ("button", "div", "span") and names is not None:
+                text = dom.text(e)
+                if any(w in " ".join(names.split()).lower() or w in text.lower() for w in words):
+                    for a in (*anchors, *dom.elements[parent][4]):
+                        if pdf[a]:
+                            yield 2, full(page, dom.anchors[a][0]), text or dom.text(dom.anchors[a][1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for page_id, text in zip(batch["page_id"], batch[body], strict=True):
-                for word, finder in finders:
-                    for k, m in enumerate(finder.finditer(text or "")):
-                        if k == most:
-                            break
-                        near = text[max(0, m.start() - around) : m.end() + around]
-                        rows += [(page_id, word, m.start(), u) for u in address.findall(near)]
-            yield pd.DataFrame(rows, columns=["page_id", "word", "place", "found_url"])
+            rows = [
+                (i, k, *x) for i, u, h in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for k, x in enumerate(found(u or "", h or ""))
+            ]
+            yield pd.DataFrame(rows, columns=["page_id", "ord", "pass", "url", "text"])
 
-    return pages.select("page_id", body).mapInPandas(run, "page_id long, word string, place long, found_url string")
-
-
-def indicators_in(c: Column) -> Column:
-    """The page indicators that a lower-case text holds, in list order."""
-    return F.filter(F.array(*[F.lit(x) for x in P.PAGE_INDICATORS]), lambda w: F.contains(c, w))
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, ord int, pass int, url string, text string")
 
 
+def area_links(pages: DataFrame) -> DataFrame:
+    """Anchors with the part of the page they stand in, as `area`: nav (menus and headers), footer, or null; in document order."""
+    plain = page_links(pages).withColumn("area", F.lit(None).cast("string"))
+    out = plain
+    for area, tags in (("nav", "nav|header"), ("footer", "footer")):
+        blocks = F.array_join(F.regexp_extract_all("html", F.lit(rf"(?is)<({tags})[\s>].*?</\1>"), F.lit(0)), " ")
+        out = out.unionByName(page_links(pages.select("page_id", "url", blocks.alias("html"))).withColumn("area", F.lit(area)))
+    return out

@@ -26,6 +26,68 @@ def text_outputs(text: Column, n_tables: Column) -> Column:
     )
 
 
+def table_outputs(tables: Column) -> Column:
+    """Errors of an extraction's tables, an array of (name, content): missing ones (null) and those that hold next to nothing."""
+    bad = F.transform(
+        tables,
+        lambda t: F.when(t["content"].isNull(), F.concat(F.lit("Table file not found: "), t["name"])).when(
+            F.length(py_strip(t["content"])) < 10, F.concat(F.lit("Table file too small: "), t["name"])
+        ),
+    )
+    return F.coalesce(F.array_compact(bad), F.array().cast("array<string>"))
+
+
+def extraction(text: Column, tables: Column) -> Column:
+    """All errors of an extraction: of its text, of text and tables together, and of each table."""
+    return F.concat(text_outputs(text, F.coalesce(F.size(tables), F.lit(0))), table_outputs(tables))
+
+
+def objects(present: Column, required: list[str], paths: Column, known: list[str]) -> Column:
+    """Errors of a report's stored objects. paths: struct of the place of each known kind; present: the places that exist."""
+    return messages(
+        *[
+            (F.lit(True), f"Unknown object type: {n}") if n not in known
+            else (~F.array_contains(present, paths[n]), F.concat(F.lit("Missing GCS object: "), paths[n]))
+            for n in required
+        ]
+    )
+
+
+def structured_json(json: Column, ticker: Column, period: Column) -> Column:
+    """Errors of a structured record as JSON text, those of the wrong kind of value included."""
+    v = F.try_parse_json(json)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    number = lambda path: kind(path).rlike(r"^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)")
+    text = lambda path: F.try_variant_get(v, path, "string")
+    given = lambda path: F.try_variant_get(v, path, "variant").isNotNull() & (kind(path) != "VOID")
+    shown = lambda path: F.coalesce(text(path), F.lit("None"))
+    told = lambda s, *cols: F.format_string(s, *cols)
+    conf = F.when(F.try_variant_get(v, "$.confidence", "variant").isNull(), 0.0).when(number("$.confidence"), F.try_variant_get(v, "$.confidence", "double"))
+    # what is empty, zero or false counts as absent
+    empty = F.to_json(F.try_variant_get(v, "$.revenue", "variant")).isin('""', "0", "0.0", "false", "{}", "[]")
+    revenue = given("$.revenue") & ~F.coalesce(empty, F.lit(True))
+    record = revenue & F.coalesce(kind("$.revenue").startswith("OBJECT"), F.lit(False))
+    value = F.try_variant_get(v, "$.revenue.value", "double")
+    scale = text("$.revenue.scale")
+    missing = ("ticker", "period", "published", "report_type", "confidence")
+    return messages(
+        *[(F.try_variant_get(v, f"$.{n}", "variant").isNull(), f"Missing required field: {n}") for n in missing],
+        (~text("$.ticker").eqNullSafe(ticker), told("Ticker mismatch: expected %s, got %s", ticker, shown("$.ticker"))),
+        (~text("$.period").eqNullSafe(period), told("Period mismatch: expected %s, got %s", period, shown("$.period"))),
+        (~F.coalesce(conf.between(0, 1), F.lit(False)), told("Invalid confidence value: %s", shown("$.confidence"))),
+        (conf.between(0, 1) & (conf < 0.1), F.concat(F.lit("Very low confidence: "), F.coalesce(text("$.confidence"), F.lit("0")))),
+        (revenue & ~record, "Revenue should be a dictionary"),
+        (record & given("$.revenue.value") & ~number("$.revenue.value"), "Revenue value should be numeric"),
+        (record & number("$.revenue.value") & (value < 0), "Revenue value is negative"),
+        (record & ~text("$.revenue.unit").eqNullSafe("USD"), told("Unexpected revenue unit: %s", shown("$.revenue.unit"))),
+        (record & (scale != "") & ~scale.isin("B", "M", "K", "null"), told("Invalid revenue scale: %s", scale)),
+        (given("$.eps_diluted") & ~number("$.eps_diluted"), "EPS should be numeric or null"),
+        (F.try_variant_get(v, "$.key_highlights", "variant").isNotNull() & ~kind("$.key_highlights").startswith("ARRAY"), "Key highlights should be a list"),
+        (F.size(F.try_variant_get(v, "$.key_highlights", "array<variant>")) > 5,
+         told("Too many key highlights: %s (max 5)", F.size(F.try_variant_get(v, "$.key_highlights", "array<variant>")).cast("string"))),
+    )
+
+
 def structured(r: Column, ticker: Column, period: Column) -> Column:
     """Errors of a structured record."""
     missing = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import params as P
 from ..functions import rules, scoring
 from ..functions.text import combined, contains_any, let
 from ..params import EngineParams
+from ..sources.files import written
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -39,52 +42,102 @@ def scored(links: DataFrame, p: EngineParams, strategy: str | Column = "comprehe
 
 
 def best_report(links: DataFrame, p: EngineParams, key: str = "company_id", order: str = "link_id") -> DataFrame:
-    """The best report of each company: highest final score, then input order; one row for each address."""
+    """The best report of each company: highest final score, then input order. An address that comes several times can't be but once
+    the best, so a partial aggregation is enough; only one row of each company and task moves."""
     ranked = scored(links, p, valid=True)
-    one = keep_first(ranked, [key, "url"], F.desc("final_score"), order)
-    return keep_first(one, [key], F.desc("final_score"), order)
-
+    first = F.min(F.struct((-F.col("final_score")).alias("_rank"), F.col(order).alias("_order"), F.struct(*ranked.columns).alias("row")))
+    return ranked.groupBy(F.col(key).alias("_key")).agg(first.alias("best")).select("best.row.*")
 
-def cascade(links: DataFrame, p: EngineParams, key: str = "company_id", order: str = "link_id") -> DataFrame:
-    """All strategies over one scan of the links, cut where the cascade stops for each company.
 
-    Strategies are tried in order; their hits gather. It stops after a scan with two hits or more of which one is a current
-    quarter's report, or after any with three. Rows of strategies beyond that are dropped.
-    """
+def _hits(links: DataFrame, p: EngineParams, strategies: Callable[[Column], list[tuple]]) -> DataFrame:
+    """A row for each link and strategy that takes it, with its class, score, and whether it's a current quarter's report."""
     text, url = F.col("text"), F.col("url")
     c = combined(text, url)
     t, u = F.lower(text), F.lower(url)
     joined = lambda c, words, change: contains_any(c, sorted({change(w) for w in words}))
     dashed = lambda w: w.replace(" ", "-")
     page_hit = contains_any(t, P.PAGE_INDICATORS) | joined(u, P.PAGE_INDICATORS, dashed) | joined(t, P.PAGE_INDICATORS, lambda w: w.replace(" ", ""))
-    high = contains_any(t, P.HIGH_KEYWORDS) | joined(u, P.HIGH_KEYWORDS, dashed)
     facts = {
         "valid": rules.valid_report_link(url, text, p.year), "score": scoring.comprehensive_score(text, url, p.year, p.month, p.future_after),
-        "page": page_hit, "high": high, "keyword": scoring.keyword_score(text, url), "file": rules.financial_report_url(url),
-        "sec": rules.sec_section(url, text, p.year), "recent": rules.recent_fallback(text, url),
+        "page": page_hit, "high": contains_any(t, P.HIGH_KEYWORDS) | joined(u, P.HIGH_KEYWORDS, dashed),
+        "keyword": scoring.keyword_score(text, url), "file": rules.financial_report_url(url),
+        "sec": rules.sec_section(url, text, p.year), "recent": rules.recent_fallback(text, url), "named": text != "",
     }
 
-    def hits(x: Column) -> Column:
-        good = x["score"] > 0.2
-        strategies = [
-            (1, "whole_page_scan", x["valid"] & x["page"], F.lit(0.95)),
-            (2, "enhanced_keyword_search", x["valid"] & x["high"], x["keyword"]),
-            (3, "learned_patterns", x["file"] & good, x["score"]),
-            (4, "comprehensive_scan", x["valid"], x["score"]),
-            (6, "dynamic_discovery", x["valid"] & good, x["score"]),
-            (7, "sec_filings", x["sec"], F.lit(None).cast("double")),
-            (8, "fallback_search", x["recent"], F.lit(0.7)),
-        ]
-        made = [F.when(on, F.struct(F.lit(n).alias("n"), F.lit(s).alias("strategy"), v.alias("score"))) for n, s, on, v in strategies]
+    def taken(x: Column) -> Column:
+        made = [F.when(on, F.struct(F.lit(n).alias("n"), F.lit(s).alias("strategy"), v.alias("score"))) for n, s, on, v in strategies(x)]
         return F.array_compact(F.array(*made))
 
     made = F.struct(
         scoring.classification(text, url, p.base_year).alias("class"),
         rules.skips_event(u, scoring.quarter_priority(c)).alias("current"),
-        let(hits, **facts).alias("hits"),
+        let(taken, **facts).alias("hits"),
     )
     rows = links.select("*", F.inline(F.filter(F.array(made), lambda m: m["class"].isNotNull())))
-    rows = rows.select("*", F.inline("hits")).drop("hits")
+    return rows.select("*", F.inline("hits")).drop("hits")
+
+
+def _on_the_page(x: Column) -> list[tuple]:
+    good = x["score"] > 0.2
+    return [
+        (1, "whole_page_scan", x["valid"] & x["page"], F.lit(0.95)),
+        (2, "enhanced_keyword_search", x["valid"] & x["high"], x["keyword"]),
+        (3, "learned_patterns", x["file"] & good, x["score"]),
+        (4, "comprehensive_scan", x["valid"], x["score"]),
+        (6, "dynamic_discovery", x["valid"] & good, x["score"]),
+        (7, "sec_filings", x["sec"], F.lit(None).cast("double")),
+        (8, "fallback_search", x["recent"], F.lit(0.7)),
+    ]
+
+
+def _on_other_pages(x: Column) -> list[tuple]:
+    return [(5, "navigation_paths", x["valid"] & x["named"], F.lit(0.9))]
+
+
+def navigation_links(bases: DataFrame, pages: DataFrame, links: DataFrame, key: str = "company_id", most: int = 30) -> DataFrame:
+    """The first `most` links of the usual pages under each company's investor page, an address once, in order of path and place.
+
+    bases: key and url; pages: url and title, of which those that are not there are left out by their titles; links: page (its
+    address), ord, text, url. One equi-join on addresses: the paths are a literal array."""
+    base = F.rtrim(F.col("url"), F.lit("/"))
+    tried = bases.select(key, F.posexplode(F.transform(F.array(*[F.lit(x) for x in P.NAVIGATION_PATHS]), lambda x: F.concat(base, x))).alias("path_ord", "page"))
+    there = pages.filter(~contains_any(F.lower(F.coalesce(F.col("title"), F.lit(""))), P.NAVIGATION_FAILED)).select(F.col("url").alias("page")).distinct()
+    found = tried.join(there, "page").join(links.filter(F.col("ord") < most).select("page", "ord", "text", F.col("url").alias("url")), "page")
+    return keep_first(found, [key, "url"], "path_ord", "ord")
+
+
+def cascade(
+    links: DataFrame,
+    p: EngineParams,
+    key: str = "company_id",
+    order: str = "link_id",
+    navigation: DataFrame | None = None,
+    last_resort: DataFrame | None = None,
+) -> DataFrame:
+    """All strategies over one scan of the links, cut where the cascade stops for each company.
+
+    Strategies are tried in order; their hits gather. It stops after a scan with two hits or more of which one is a current
+    quarter's report, or after any with three. Rows of strategies beyond that are dropped. Hits are written once and read
+    twice: for the stops, which are one row for each company and strategy, and for the result.
+
+    navigation: links of other pages (see navigation_links), with the columns of links; without it strategy 5 has none.
+    last_resort: key, order and url of addresses found in a page's text (see fallback_reports); they count for companies that no
+    other link of the last strategy is found for.
+    """
+    rows = _hits(links, p, _on_the_page)
+    if navigation is not None:
+        rows = rows.unionByName(_hits(navigation.select(*links.columns), p, _on_other_pages))
+    rows = written(rows)
+    if last_resort is not None:
+        none = last_resort.join(rows.filter("n = 8").select(key).distinct(), key, "left_anti")
+        label = {"priority": F.lit(5.0), "year": F.lit(f"{p.year}_fallback"), "type": F.lit("fallback")}
+        kind = rows.schema["class"].dataType
+        made = F.struct(*[label.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+        none = none.select(
+            *[c for c in links.columns if c in none.columns], made.alias("class"), F.lit(False).alias("current"), F.lit(8).alias("n"),
+            F.lit("fallback_search").alias("strategy"), F.lit(0.3).alias("score"),
+        )
+        rows = rows.unionByName(none, allowMissingColumns=True)
     per = rows.groupBy(key, "n").agg(F.count("*").alias("hits"), F.count_if("current").alias("now"))
     stop = per.filter(((F.col("n") <= 4) & (F.col("hits") >= 2) & (F.col("now") >= 1)) | (F.col("hits") >= 3))
     last = stop.groupBy(key).agg(F.min("n").alias("stop"))

@@ -64,6 +64,24 @@ def upserted(arrivals: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
+def after_skips(arrivals: DataFrame, key: str, order: str) -> DataFrame:
+    """The state after all arrivals, each of which is skipped if the state that it meets says so: the last accepted one of each
+    key, and how many were accepted."""
+    went = replay(arrivals, key, order).filter("process").select(key, order)
+    return upserted(arrivals.join(went, [key, order], "left_semi"), key, order)
+
+
+def overview(state: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys were asked for, and how many have a state."""
+    found = wanted.select(key).distinct().join(state.select(key, F.lit(1).alias("has")), key, "left")
+    return found.agg(F.count("*").alias("total"), F.count("has").alias("processed"))
+
+
+def kept_states(state: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Whether each key that cleaning asks for has a state; states hold one version, so nothing is removed."""
+    return wanted.select(key).distinct().join(state.select(key, F.lit(True).alias("has")), key, "left").select(key, F.coalesce("has", F.lit(False)).alias("kept"))
+
+
 def older_than_seen(arrivals: DataFrame, key: str, order: str) -> DataFrame:
     """Arrivals published before something that came earlier."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

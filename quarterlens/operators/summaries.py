@@ -15,6 +15,25 @@ def corpus(df: DataFrame, ticker: str, period: str, size: str) -> DataFrame:
     )
 
 
+def corpus_totals(df: DataFrame, ticker: str, period: str, tables: str, images: str, size: str) -> DataFrame:
+    """One row over the reports of a corpus: how many, of how many tickers and periods, and what they hold."""
+    return df.agg(
+        F.count("*").alias("total_reports"), F.count_distinct(ticker).alias("unique_tickers"), F.count_distinct(period).alias("unique_periods"),
+        F.sum(tables).alias("total_tables"), F.sum(images).alias("total_images"),
+        F.round(F.sum(F.col(size).cast("double")) / (1024 * 1024), 2).alias("total_size_mb"),
+    )
+
+
+def failed_rows(df: DataFrame, error: str, order: str, most: int = 5) -> DataFrame:
+    """The first failures in order, each with its last error, how often it was tried, and its category (what precedes the first
+    colon of the error)."""
+    bad = df.filter(F.col(error).isNotNull()).groupBy("company").agg(
+        F.max_by(error, order).alias("last_error"), F.count("*").alias("total_attempts"), F.min(order).alias("first")
+    )
+    category = F.trim(F.split_part("last_error", F.lit(":"), F.lit(1)))
+    return bad.withColumn("category", category).orderBy("first").limit(most).select("company", "last_error", "total_attempts", "category")
+
+
 def pipeline(df: DataFrame, stages: dict[str, str], confidence: str) -> DataFrame:
     """How many rows passed each stage, and the mean confidence of those that passed the first (missing counts as 0)."""
     first = F.expr(next(iter(stages.values())))

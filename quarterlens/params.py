@@ -96,6 +96,11 @@ MEDIUM = ["earnings", "financial", "quarterly", "results"]
 STRATEGY_BONUS = [("learned_patterns", 0.3), ("dynamic_discovery", 0.2), ("sec_filings", 0.15), ("comprehensive_scan", 0.1)]
 
 
+def year_patterns(year: int) -> list[tuple[str, float]]:
+    """Weights of the year of a search and of the three before it."""
+    return [(str(year - k), w) for k, w in enumerate((1.0, 0.85, 0.6, 0.4))]
+
+
 def quarter_patterns(month: int) -> list[tuple[str, float]]:
     """Ordered weights of quarter words for the month that a search is made in; the first one contained counts."""
     if month >= 11:
@@ -132,8 +137,60 @@ IR_CONFIDENCE = [
     (0.4, ["investors", "financials", "governance", "shareholders"]),
     (0.2, ["reports", "earnings", "quarterly", "annual"]),
 ]
-IR_PATHS = ["/investors", "/investor-relations", "/ir", "/investor"]
-IR_SUBDOMAINS = ["investors", "investor", "ir"]
+IR_PATHS = [
+    "/investor", "/investors", "/ir", "/about/investors", "/investor-relations", "/shareholders", "/financials",
+    "/corporate/investors", "/our-company/investors", "/company/investors", "/about/investor-relations", "/corporate/financials",
+    "/corporate/governance", "/company/financial-information", "/about/financial-information", "/investor-relations-2",
+    "/investor-relations-home", "/en/investors", "/en/investor-relations", "/global/investors", "/investor/financial-reporting",
+    "/investor/quarterly-earnings", "/investor/events-and-presentations", "/investor/presentations", "/investor/earnings",
+    "/investor/sec-filings", "/en-us/investor", "/investors/news-events-and-reports", "/news", "/newsroom", "/press-releases",
+    "/media", "/news/earnings", "/news/financial", "/news/press-releases", "/media/press-releases", "/newsroom/earnings",
+]
+IR_SUBDOMAINS = ["ir", "investor", "investors", "financials", "corporate", "shareholders", "sec", "reports"]
+IR_LINK_WORDS = [
+    "investor relations", "investors", "investor", "shareholders", "financial information", "financials", "ir", "governance",
+    "financial results", "earnings", "reports", "quarterly results", "annual reports", "sec filings", "investor information",
+    "corporate governance", "financial data", "stockholders", "quarterly earnings", "annual report", "financial statements",
+    "financial reporting", "quarterly-earnings", "earnings releases", "events and presentations", "presentations",
+    "news events and reports", "earnings conference call", "press releases", "financial news",
+]
+IR_HREF_WORDS = [
+    "investor", "ir", "financial", "shareholders", "governance", "earnings", "reports", "quarterly", "annual", "stockholder",
+    "corporate", "sec-filings", "financials", "financial-reporting", "quarterly-earnings", "events-and-presentations",
+    "presentations", "news-events-and-reports", "earnings-fy", "press-release",
+]
+IR_KNOWN = {
+    "AMGN": "https://investors.amgen.com/financials/sec-filings",
+    "AMZN": "https://ir.aboutamazon.com/sec-filings/default.aspx",
+    "CVX": "https://investor.chevron.com/sec-filings/quarterly-results",
+    "IBM": "https://www.ibm.com/investor/financials",
+    "GS": "https://www.goldmansachs.com/investor-relations/financials/current/quarterly-earnings-releases",
+    "JPM": "https://www.jpmorganchase.com/ir/quarterly-earnings",
+    "MSFT": "https://www.microsoft.com/en-us/investor/earnings/fy-2025-q4",
+    "NKE": "https://s1.q4cdn.com/806093406/files/doc_downloads/2025/07/nike-inc-q4-fy24-earnings-release.pdf",
+    "UNH": "https://www.unitedhealthgroup.com/content/unh/en/investors/financial-information/sec-filings.html",
+    "PG": "https://www.pg.com/investors/financial-reporting/index.shtml",
+    "V": "https://investor.visa.com/financial-information/quarterly-earnings",
+    "WMT": "https://corporate.walmart.com/news/category/financial-news",
+    "HON": "https://investor.honeywell.com/~/media/Files/H/Honeywell-V2-IR/financial-reports/quarterly-results/2025/q2-earnings-release-2025.pdf",
+}
+
+# Pages under an investor page that may hold its reports, and titles of pages that are not there
+NAVIGATION_PATHS = [
+    "/financials/quarterly-earnings", "/financials/quarterly-earnings/", "/en-us/investor/earnings",
+    "/en-us/investor/earnings/fy-2025-q4", "/en-us/investor/earnings/fy-2025-q4/", "/en-us/Investor/sec-filings",
+    "/en-us/investor/sec-filings", "/investors/news-events-and-reports", "/investors/news-events-and-reports/?toggle=earnings",
+    "/investor/financial-reporting", "/financial-info/financial-results", "/ir/quarterly-earnings",
+    "/events-and-presentations/presentations", "/investors/financials", "/quarterly-earnings", "/earnings", "/financial-reporting",
+    "/sec-filings", "/investor/earnings", "/investors/earnings", "/investors/financial-reporting", "/quarterly-results",
+    "/quarterly-reports", "/financial-reports", "/earnings-materials", "/financial-documents", "/earnings-releases",
+    "/press-releases", "/financial-information", "/investor-relations", "/financial-information/quarterly-results",
+    "/financial-information/quarterly-earnings", "/financial-information/earnings-releases",
+]
+NAVIGATION_FAILED = ["not found", "error", "404", "403", "forbidden"]
+BUTTON_WORDS = ["download", "pdf", "earnings", "financial-report"]
+FALLBACK_WORDS = ["earnings", "financial", "report", "results", "filing"]
+VIEWER_TERMS = [".pdf", "download", "filing", "doc_financials"]
 
 # PDF links
 PDF_TERMS = ["earnings", "financial", "quarterly", "q1", "q2", "q3", "q4", "10-q", "results"]

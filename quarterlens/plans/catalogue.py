@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +13,7 @@ from ..functions.text import combined, nullif_empty, py_strip
 from ..operators import documents, links, manifest, qc, ranking, state, summaries
 from ..params import EngineParams
 from ..sources import files
+from ..sources.files import work_folder
 from ..streaming import state_stream
 
 DEFAULTS = EngineParams()
@@ -33,27 +30,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table that comes as fewer partitions than there are cores, dealt out by its key; larger ones stay as they are."""
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes as fewer partitions than there are cores, dealt out evenly; larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share, in the cluster's own place if it names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quarterlens-")
-        atexit.register(shutil.rmtree, named, True)
-        named = f"file://{named}"
-    return f"{named.rstrip('/')}/work-{uuid.uuid4().hex}"
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def report_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links with text and address, made from orders and customers."""
-    o, c = spread(table(spark, sf, "orders"), "o_orderkey"), table(spark, sf, "customer").select("c_custkey")
+    o, c = spread(table(spark, sf, "orders")), table(spark, sf, "customer").select("c_custkey")
     y = (F.year("o_orderdate") + 24).cast("string")
     q = F.quarter("o_orderdate").cast("string")
     key = F.col("o_orderkey")
@@ -115,7 +100,10 @@ def absolutised_links(spark, sf):
 
 @query
 def clickable_elements(spark, sf):
-    return links.clickable(table(spark, sf, "pages")).groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+    """Clickable elements of the pages, each with a row of buttons added at its end."""
+    more = F.lit('<p class="button-row link" role="button">go</p><span onclick="x()">do</span>')
+    found = links.clickable(table(spark, sf, "pages").withColumn("html", F.concat("html", more)))
+    return found.select("page_id", "rank", "selector", "ord", F.md5(F.col("element").cast("binary")).alias("element"))
 
 
 # -- predicates --
@@ -343,9 +331,9 @@ def text_of_url(spark, sf):
 
 @query
 def page_patterns(spark, sf):
-    out = links.page_patterns(report_links(spark, sf), "company_id", "url", "text", "link_id")
-    cols = ["pdf_urls", "excel_urls", "report_paths", "earnings_texts", "date_texts", "report_texts", "naming_conventions"]
-    return out.select("company_id", *[F.size(c).alias(f"n_{c}") for c in cols], F.try_element_at("pdf_urls", F.lit(1)).alias("first_pdf"))
+    made = report_links(spark, sf).withColumn("url", F.replace("url", F.lit("/doc-"), F.lit("/annual-report-")))
+    out = links.page_patterns(made, "company_id", "url", "text", "link_id")
+    return out.select("company_id", *[F.array_join(c, "|").alias(c) for c in out.columns if c != "company_id"])
 
 
 @query
@@ -368,18 +356,11 @@ def date_strings(spark, sf):
     return df.select("link_id", F.array_join(found, "|").alias("dates"), F.array_join(links.latest_dates(found), "|").alias("latest"))
 
 
-@query
-def context_urls(spark, sf):
-    pages = table(spark, sf, "pages")
-    body = F.concat("html", F.lit(" see "), "url", F.lit(" for the report"))
-    return links.context_urls(pages.withColumn("html", body), ["investor", "report"])
-
-
 # -- periods and names --
 
 
 def _titles(spark, sf) -> DataFrame:
-    o = spread(table(spark, sf, "orders"), "o_orderkey")
+    o = spread(table(spark, sf, "orders"))
     y, q, k = F.year("o_orderdate") + 24, F.quarter("o_orderdate").cast("string"), F.col("o_orderkey") % 9
     ys, yy = y.cast("string"), F.substring(y.cast("string"), 3, 2)
     word = F.element_at(F.array(*[F.lit(w) for w in ("first", "second", "third", "Fourth")]), F.quarter("o_orderdate"))

@@ -146,29 +146,11 @@ def ir_url(u: str, raw: str) -> str:
 
 
 STRIP = r"regexp_replace({0}, '^[\s\x0B\x1C-\x1F]+|[\s\x0B\x1C-\x1F]+$', '', 'g')"
-ANCHORS = (
-    r"""a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
-    unnest(regexp_extract_all(html, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS body,
-    unnest(range(len(regexp_extract_all(html, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1))))::INT AS ord FROM pages)"""
-)
 
 # scans and predicates
 _values = ", ".join(f"({i}, {quote(a)}, {quote(b)}, {quote(c)})" for i, (a, b, c) in enumerate(P.COMPANIES))
 SQL["company_scan"] = f"SELECT * FROM (VALUES {_values}) v(ord, ticker, name, website)"
 SQL["company_subset"] = f"SELECT ticker, website FROM (VALUES {_values}) v(ord, ticker, name, website) WHERE ticker IN ('AAPL', 'MSFT', 'V')"
-SQL["page_links"] = f"WITH {ANCHORS} SELECT page_id, ord, href, {STRIP.format(chr(39).join(['regexp_replace(body, ', '<[^>]*>', ', ', '', ', ', 'g', ')']))} AS text FROM a WHERE ord < 200"
-SQL["pdf_links"] = f"WITH {ANCHORS} SELECT page_id, count(*) AS n_links, count(*) FILTER (contains(lower(href), '.pdf')) AS n_pdf FROM a GROUP BY 1"
-SQL["absolutised_links"] = f"""WITH {ANCHORS} SELECT page_id, ord, CASE WHEN href LIKE '/%' THEN split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || href ELSE href END AS full
-FROM a WHERE href LIKE '/%' OR href LIKE 'http%'"""
-_SELECTORS = {
-    "a": r"(?s)<a[\s>].*?</a>", "button": r"(?s)<button[\s>].*?</button>", "[href]": r"(?s)<a\s[^>]*href=.*?</a>",
-    "[class*=download]": r'(?s)<\w+\s[^>]*class="[^"]*download.*?</\w+>', "[onclick]": r"(?s)<\w+\s[^>]*onclick=.*?</\w+>",
-    "div[onclick]": r"(?s)<div\s[^>]*onclick=.*?</div>", "span[onclick]": r"(?s)<span\s[^>]*onclick=.*?</span>",
-}
-SQL["clickable_elements"] = " UNION ALL ".join(
-    f"SELECT page_id, {quote(n)} AS selector, len(regexp_extract_all(html, {quote(p)})) AS n FROM pages WHERE len(regexp_extract_all(html, {quote(p)})) > 0"
-    for n, p in _SELECTORS.items()
-)
 SQL["valid_links"] = f"{L} SELECT link_id FROM l WHERE {VALID}"
 SQL["financial_report_links"] = f"{L} SELECT link_id FROM (SELECT link_id, replace(u, '/doc-', '/report-') AS u FROM l WHERE link_id % 3 > 0) WHERE {FINANCIAL_URL}"
 SQL["chart_links"] = f"{L} SELECT link_id FROM l WHERE {CHART}"
@@ -249,12 +231,6 @@ _cands = [f"'https://ir.about' || split_part({_BASE}, '.', 1) || '.com/'", *[f"'
           *[f"'https://{s}.' || {_BASE} || '/'" for s in ("finance", "sec")], *[f"{_ORIGIN} || '{p}'" for p in P.IR_PATHS], *[f"'https://{s}.' || {_REG}" for s in P.IR_SUBDOMAINS]]
 SQL["ir_url_candidates"] = " UNION ALL ".join(f"SELECT page_id, {i} AS ord, {c} AS candidate FROM pages" for i, c in enumerate(_cands))
 SQL["text_of_url"] = f"{L} SELECT link_id, replace(replace(string_split(url, '/')[-1], '-', ' '), '_', ' ') AS text FROM l"
-_name = "lower(string_split(url, '/')[-1])"
-_paths = f"len([p for p in string_split(url, '/') if {has('lower(p)', P.PATH_SEGMENTS)}])"
-SQL["page_patterns"] = f"""{L} SELECT company_id, count(*) FILTER (contains(u, '.pdf'))::INT AS n_pdf_urls, count(*) FILTER (NOT contains(u, '.pdf') AND {has('u', ['.xlsx', '.xls'])})::INT AS n_excel_urls,
-sum(CASE WHEN {has('u', P.PATH_TERMS)} THEN {_paths} ELSE 0 END)::INT AS n_report_paths, count(*) FILTER ({has('t', ['earning', 'financial', 'result'])})::INT AS n_earnings_texts,
-count(*) FILTER ({has('t', ['q1', 'q2', 'q3', 'q4', '2023', '2024', '2025'])})::INT AS n_date_texts, count(*) FILTER ({has('t', ['report', 'filing', 'presentation'])})::INT AS n_report_texts,
-count(*) FILTER ({has('u', P.FILE_EXTENSIONS)} AND {has(_name, P.NAME_TERMS)})::INT AS n_naming_conventions, arg_min(url, link_id) FILTER (contains(u, '.pdf')) AS first_pdf FROM l GROUP BY 1"""
 SQL["path_frequency"] = f"""{L}, x AS (SELECT string_split(regexp_replace(url, '/doc-[0-9]+', '/annual-report', 'g') || '/x', '/') AS p FROM l), y AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM x)
 SELECT array_to_string(p[i:i+2], '/') AS path, count(*) AS n FROM y WHERE {has('lower(p[i])', P.PATH_SEGMENTS)} GROUP BY 1"""
 SQL["year_paths"] = f"""{L}, x AS (SELECT link_id, u, string_split(url, '/') AS p FROM l), y AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: regexp_matches(p[i], '^20\\d{{2}}'))[1] AS i FROM x)
@@ -326,7 +302,7 @@ SQL["upload_summary"] = "SELECT event_type, count(*) AS total, count(*) FILTER (
 # state
 A = "WITH RECURSIVE a AS (SELECT event_id, user_id, event_type, md5(props) AS sha256, strftime(CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 1 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S') AS published FROM events)"
 _STATE = "SELECT user_id, arg_max(sha256, event_id) AS sha256, arg_max(published, event_id) AS published, count(*) AS processing_count FROM a GROUP BY 1"
-SQL["state_upsert"] = SQL["stream_state_upsert"] = f"{A} {_STATE}"
+SQL["state_upsert"] = f"{A} {_STATE}"
 SQL["skip_decision"] = f"""{A}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM a),
 r AS (SELECT user_id, i, event_id, sha256 AS s, published AS p, true AS process FROM o WHERE i = 1 UNION ALL
   SELECT o.user_id, o.i, o.event_id, CASE WHEN o.sha256 <> r.s AND o.published >= r.p THEN o.sha256 ELSE r.s END, CASE WHEN o.sha256 <> r.s AND o.published >= r.p THEN o.published ELSE r.p END, o.sha256 <> r.s AND o.published >= r.p

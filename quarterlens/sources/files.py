@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,42 @@ MANIFEST = (
 )
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, in the cluster's own place if it names one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quarterlens-")
+        atexit.register(shutil.rmtree, named, True)
+        named = f"file://{named}"
+    return f"{named.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a new work folder, for what is read more than once. A lost executor costs a reread."""
+    path = f"{work_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def listing(spark: SparkSession, path: str, prefix: str = "", pattern: str = "*") -> DataFrame:
+    """Files under a folder whose place in it begins with prefix: name (place in the folder), size, updated, extension. Contents
+    aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    base = path.rstrip("/").rsplit("/", 1)[-1]
+    name = F.element_at(F.split(F.col("path"), f"/{base}/"), -1)
+    return files.select(
+        name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("updated"),
+        F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).alias("extension"),
+    ).filter(F.col("name").startswith(prefix))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
     """Files with name, ticker, period, size and SHA-256. Columns that aren't asked for aren't computed: without the hash
     no content is read."""
@@ -64,10 +105,7 @@ def json_lines_with_rejects(spark: SparkSession, path: str, schema: str = MANIFE
 
 def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object; an empty table where there is no such file."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.globStatus(where) is None or not len(fs.globStatus(where)):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
@@ -114,3 +152,14 @@ def write_results(df: DataFrame, path: str) -> None:
 def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticker", "period")) -> None:
     """One folder for each ticker and period, so that readers can prune."""
     df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def write_layout(reports: DataFrame, root: str) -> None:
+    """Reports (ticker, period, name, text, tables: array of (name, csv), metadata) as files in folders by kind, ticker and period:
+    texts as they are, tables as their CSV lines with the table's name in the path, metadata as JSON lines."""
+    keys = ["ticker", "period"]
+    dealt = reports.repartition(*keys)
+    dealt.select(*keys, F.col("text").alias("value")).write.mode("overwrite").partitionBy(*keys).text(f"{root}/text")
+    tables = dealt.select(*keys, F.inline("tables"))
+    tables.select(*keys, F.col("name").alias("table"), F.col("csv").alias("value")).write.mode("overwrite").partitionBy(*keys, "table").text(f"{root}/tables")
+    dealt.select(*keys, "name", "metadata.*").write.mode("overwrite").partitionBy(*keys).json(f"{root}/metadata")

@@ -1,55 +1,73 @@
-"""Idempotent ingestion as a stream: state by key, kept over micro-batches."""
+"""Idempotent ingestion as a stream: state by key in Spark's state store."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+STATE = "sha256 string, published string, processing_count long"
 
-def _merged(old: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    last = F.max(F.struct(F.col(order), "sha256", "published")).alias("last")
-    new = batch.groupBy(key).agg(last, F.count("*").alias("processing_count")).select(
-        key, F.col(f"last.{order}").alias(order), "last.sha256", "last.published", "processing_count"
-    )
-    both = old.unionByName(new)
-    again = F.max(F.struct(F.col(order), "sha256", "published")).alias("last")
-    return both.groupBy(key).agg(again, F.sum("processing_count").alias("processing_count")).select(
-        key, F.col(f"last.{order}").alias(order), "last.sha256", "last.published", "processing_count"
-    )
+
+def decided(arrivals: DataFrame, key: str, order: str) -> DataFrame:
+    """Of a stream of (key, order, sha256, published): the new state of each key that a micro-batch changes.
+
+    A key's arrivals are taken in order. One with the hash that the state holds, or with an earlier date than the state's, is
+    skipped; any other one becomes the state and is counted. The state is three values a key, kept by Spark's state store,
+    so a micro-batch touches the keys that it holds and no others. A key's arrivals of one micro-batch are sorted in memory.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sha, published, n = state.get if state.exists else (None, None, 0)
+        before = n
+        rows = pd.concat(list(frames)).sort_values(order)
+        for s, p in zip(rows["sha256"], rows["published"], strict=True):
+            older = bool(published) and p is not None and p < published
+            if sha is None or (s != sha and not older):
+                sha, published, n = s, p, n + 1
+        if n > before:
+            state.update((sha, published, n))
+            yield pd.DataFrame({key: [k[0]], "sha256": [sha], "published": [published], "processing_count": [n]})
+
+    out = f"{key} {arrivals.schema[key].dataType.simpleString()}, {STATE}"
+    return arrivals.groupBy(key).applyInPandasWithState(step, out, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_upsert(spark: SparkSession, arrivals: DataFrame, folder: str, key: str, order: str) -> DataFrame:
-    """Runs a stream of (key, order, sha256, published) to its end and returns the state it leaves.
+    """Runs a stream of (key, order, sha256, published) to its end and returns the state of each key after it.
 
-    Each micro-batch writes the whole state as a new version named after its number. A batch that runs again reads the same
-    version before it and writes the same one, so replays change nothing.
+    Each micro-batch writes the states that it changed to a folder named after its number. A batch that runs again starts from
+    the same states and writes the same folder, so replays change nothing, and nothing is ever rewritten as a whole.
     """
-    schema = (
-        f"{key} {arrivals.schema[key].dataType.simpleString()}, {order} {arrivals.schema[order].dataType.simpleString()}, "
-        "sha256 string, published string, processing_count long"
-    )
-    state = f"{folder}/state"
+    changes = f"{folder}/changes"
 
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        empty = session.createDataFrame([], schema)
-        old = session.read.schema(schema).parquet(f"{state}/{number - 1}") if number else empty
-        _merged(old, batch, key, order).write.mode("overwrite").parquet(f"{state}/{number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
     query = (
-        arrivals.writeStream.foreachBatch(step)
+        decided(arrivals, key, order)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .queryName(f"state-{uuid.uuid4().hex[:8]}")
         .start()
     )
     query.awaitTermination()
-    done = query.lastProgress["batchId"] if query.lastProgress else None
-    if done is None:
-        return spark.createDataFrame([], schema).drop(order)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()) for s in fs.listStatus(fs_path)]
-    return spark.read.schema(schema).parquet(f"{state}/{max(versions)}").drop(order)
+    return current(spark, folder, key, arrivals.schema[key].dataType.simpleString())
+
+
+def current(spark: SparkSession, folder: str, key: str, kind: str = "long") -> DataFrame:
+    """The state of each key: the last of its changes, which is the one with the greatest count."""
+    from ..sources.files import exists
+
+    schema = f"{key} {kind}, {STATE}"
+    if not exists(spark, f"{folder}/changes"):
+        return spark.createDataFrame([], schema)
+    made = spark.read.schema(schema).parquet(f"{folder}/changes")
+    last = F.max(F.struct("processing_count", "sha256", "published")).alias("last")
+    return made.groupBy(key).agg(last).select(key, "last.sha256", "last.published", "last.processing_count")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterlens.operators import documents, links, qc, ranking, state
+from quarterlens.plans import more, oracle_more  # noqa: F401
 from quarterlens.plans.catalogue import QUERIES
 from quarterlens.plans.oracle import SQL
 from quarterlens.sources import files
@@ -45,14 +46,19 @@ def test_query_against_sql(spark, duck, sf, name):
     assert rows_of(a) == rows_of(b)
 
 
-def test_every_query_has_sql_but_one():
-    assert set(QUERIES) - set(SQL) == {"context_urls"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_context_urls(spark):
-    rows = [(1, "see https://a.example.com/x for the report" + " " * 300 + "https://b.example.com/yy report " + "r" * 3), (2, None)]
+    first = "see https://a.example.com/x for the report"
+    rows = [(1, first + " " * 300 + "https://b.example.com/yy Report " + "r" * 3), (2, None), (3, "é report https://c.example.com/2025-q2.pdf")]
     got = links.context_urls(spark.createDataFrame(rows, "page_id long, html string"), ["report"]).collect()
-    assert {(r["place"], r["found_url"]) for r in got} == {(34, "https://a.example.com/x"), (364, "https://b.example.com/yy")} or len(got) == 2
+    assert {(r["page_id"], r["place"], r["hit"], r["found_url"], r["valid"]) for r in got} == {
+        (1, first.index("report"), "report", "https://a.example.com/x", False),
+        (1, len(first) + 325, "Report", "https://b.example.com/yy", False),
+        (3, 2, "report", "https://c.example.com/2025-q2.pdf", True),
+    }
 
 
 def test_keep_first_is_stable(spark):
@@ -103,17 +109,30 @@ def test_markdown_and_json_output(spark):
     assert r["m"] == '"a","b"\n"1","x y"' and json.loads(r["j"]) == {"a": {"b": 1}}
 
 
-def test_stream_replay_changes_nothing(spark, tmp_path):
+def test_stream_skips_and_replays(spark, tmp_path):
     schema = "event_id long, user_id long, sha256 string, published string"
-    rows = [(i, i % 3, f"h{i % 5}", f"2025-01-{i + 1:02}") for i in range(12)]
+    rows = [(i, i % 3, f"h{i % 5}", f"2025-01-{(i * 7) % 28 + 1:02}") for i in range(60)]
     df = spark.createDataFrame(rows, schema)
-    df.repartition(4).write.parquet(str(tmp_path / "drops"))
-    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "drops"))
-    want = sorted(map(tuple, state.upserted(df, "user_id", "event_id").collect()))
-    for _ in range(2):
-        got = stream_upsert(spark, read(), str(tmp_path), "user_id", "event_id")
-        assert sorted(map(tuple, got.select("user_id", "sha256", "published", "processing_count").collect())) == want
-        break
+    drops, place = str(tmp_path / "drops"), str(tmp_path)
+    df.filter("event_id < 40").repartition(3, "user_id").write.parquet(drops)
+    run = lambda: sorted(
+        map(tuple, stream_upsert(spark, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(drops), place, "user_id", "event_id").collect())
+    )
+    after = lambda d: sorted(map(tuple, state.after_skips(d, "user_id", "event_id").collect()))
+    first = run()
+    assert first == after(df.filter("event_id < 40")) and sum(r[3] for r in first) < 40
+    assert run() == first  # nothing new
+    df.filter("event_id >= 40").coalesce(1).write.mode("append").parquet(drops)
+    second = run()
+    assert second == after(df)
+    # the last batch was written but not committed: it runs again
+    commits = sorted((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run() == second
+    # the last accepted reports are sent again: nothing changes
+    spark.createDataFrame([(900 + r[0], r[0], r[1], r[2]) for r in second], schema).coalesce(1).write.mode("append").parquet(drops)
+    assert run() == second
 
 
 def test_decisions(spark):
