@@ -32,11 +32,21 @@ _powers: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Mixes x in its own place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _sums(values: np.ndarray, data: np.ndarray, power: np.ndarray, out: np.ndarray) -> None:
+    """Running sums of the bytes' values times powers of the base, after a 0."""
+    terms = values[data]
+    terms *= power[: len(data)]
+    out[0] = 0
+    np.cumsum(terms, out=out[1:])
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +70,14 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     power, back = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(data) - GRAM + 1])
+    sums = np.empty(len(data) + 1, np.uint64)
+    _sums(_BYTE, data, power, sums)
+    grams = sums[GRAM:] - sums[:-GRAM]
+    grams *= back[: len(data) - GRAM + 1]
+    _mix(grams)
     low = np.uint64((1 << 24) - 1)
-    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    least = grams & ~low
+    least |= np.arange(len(grams), dtype=np.uint64)
     width = 1
     while width * 2 <= SPAN:
         least = np.minimum(least[:-width], least[width:])
@@ -85,7 +98,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = at[first]
     stop = begin + count + LENGTH - 1
     whole = _mix((sums[stop] - sums[begin]) * back[begin] + count.astype(np.uint64) * _BASE)
-    np.cumsum(_BYTE2[data] * power[: len(data)], out=sums[1:])
+    _sums(_BYTE2, data, power, sums)
     whole = _mix(whole + ((sums[stop] - sums[begin]) * back[begin]))
     return owner[begin], begin, count, grams[anchor[begin]], whole
 
@@ -452,7 +465,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
     compared = (
         by_doc.join(asked.hint("shuffle_merge"), ["doc_id", "alt"])
-        .select("doc_id", "alt", "text", "asked")
+        .select("doc_id", "alt", "text", "asked", "missing")  # the columns of the join below, so that one exchange serves both
         .mapInArrow(_contents(buckets), _MOVED)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "kind")
