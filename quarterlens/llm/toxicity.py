@@ -24,8 +24,8 @@ TRAIN_ROWS = 20_000
 FEATURES, LEAST_Z, LEAST_WEIGHT = 400, 3.0, 3.0
 #: Lengths of word beginnings, and how often one must come, to be a feature.
 PREFIXES, LEVELS = (4, 5, 6, 7), (2, 4)
-#: Words, and characters of these, that a task counts before it passes the sums on.
-COUNTED, COUNTED_CHARS = 200_000, 1 << 24
+#: Words, and bytes of these, that a task counts before it passes the sums on.
+COUNTED, COUNTED_BYTES = 500_000, 1 << 24
 THRESHOLD = 0.7
 #: Clean rows that are added to those seen with a feature, when the feature's share of toxic rows is estimated.
 DOUBT = 8.0
@@ -43,6 +43,7 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "h",
 }
+_BARE_EDGE = ".,;:?\"'[]{}<>«»„“”‘’…—–/\\&%#^~`=_-"
 _EDGE = ".,;:!?\"'()[]{}<>|«»„“”‘’…—–/\\&%#*$@^~`+=_-"
 _JUNK = re.compile(r"([^\w\s])\1\1+")
 _RUN = re.compile(r"(.)\1\1")
@@ -190,7 +191,7 @@ def obfuscated(t: str) -> list[str]:
     letter three times or more in a row."""
     out = [w for w in plain_words(t) if _RUN.search(w)]
     if not t.isalpha():
-        core = _JUNK.sub("", t).strip(".,;:?\"'[]{}<>«»„“”‘’…—–/\\&%#^~`=_-")
+        core = _JUNK.sub("", t).strip(_BARE_EDGE)
         if core and not core.isalpha() and any(c.isalpha() for c in core):
             out.append(core)
             parts = {x for pattern in _PARTS for x in pattern.split(core)} - {core}
@@ -207,14 +208,37 @@ def words_in(text: str) -> Counter:
     return words
 
 
-def token_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def token_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens of texts; and for each token in its place its number, and the number of its text."""
     lists = pc.utf8_split_whitespace(texts)
     tokens = pc.list_flatten(lists).dictionary_encode()
-    data, ends = text_bytes(tokens.dictionary)
+    return tokens.dictionary, tokens.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy()
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A string array as a list, several times as fast as by its own method."""
+    data, ends = text_bytes(column)
     raw, ends = data.tobytes(), ends.tolist()
-    names = [raw[a:b].decode() for a, b in zip(ends, ends[1:])]  # noqa: B905
-    return names, tokens.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy()
+    return [raw[a:b].decode() for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+
+def plain_cores(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case tokens without punctuation around them, and which of them are then words of letters only."""
+    cores = pc.utf8_trim(pc.utf8_lower(tokens), characters=_BARE_EDGE)
+    return cores, pc.utf8_is_alpha(cores).to_numpy(False)
+
+
+def repetitive(words: pa.Array) -> np.ndarray:
+    """Which words may hold a character three times in a row: those in which one to four bytes come three times in a row."""
+    data, ends = text_bytes(words)
+    hit = np.zeros(len(data) + 1, bool)
+    for size in (1, 2, 3, 4):
+        if len(data) >= 3 * size:
+            same = np.append(0, np.cumsum(data[size:] == data[:-size]))  # same[i]: how many of the first i pairs are equal
+            hit[: len(data) - 3 * size + 1] |= same[2 * size :] - same[: -2 * size] == 2 * size
+    sums = np.append(0, np.cumsum(hit))
+    # a run that goes over a word's end only makes one more word to look at
+    return sums[ends[1:]] > sums[ends[:-1]]
 
 
 def features_of(words: Counter) -> Iterator[str]:
@@ -237,6 +261,9 @@ def levels_of(starts: Counter) -> Iterator[str]:
                 yield f"{s}*{level}"
 
 
+_NOTHING: tuple = ((), (), 0)
+
+
 class Model:
     """Weights of features, and the decoder."""
 
@@ -249,6 +276,7 @@ class Model:
             if len(w) >= WITHIN:
                 self.heads.setdefault(w[:WITHIN], []).append(w)
         self.longest = max([LONGEST, *map(len, self.words)])
+        self.word_set, self.start_set = (pa.array(sorted(x), pa.string()) for x in (self.words, self.starts))
         self.memo: dict[tuple, str | None] = {}
         self.tokens: dict[str, tuple] = {}
 
@@ -311,8 +339,16 @@ class Model:
 
     def scan(self, texts: pa.Array) -> list[list[str]]:
         """Features of each whole text, as it stands and as it is restored. Each distinct token is looked at once."""
-        names, code, doc = token_codes(texts)
-        seen = [self.token(t) for t in names]
+        tokens, code, doc = token_codes(texts)
+        cores, plain = plain_cores(tokens)
+        # most tokens are plain words that are no feature and no beginning of one, and are not looked at any further
+        look = ~plain | repetitive(cores) | (pc.utf8_length(cores).to_numpy() < 2)
+        look |= pc.is_in(cores, self.word_set).to_numpy(False)
+        for k in PREFIXES:
+            look |= pc.is_in(pc.utf8_slice_codeunits(cores, 0, k), self.start_set).to_numpy(False)
+        seen: list[tuple] = [_NOTHING] * len(tokens)
+        for c, t in zip(np.flatnonzero(look).tolist(), strings(tokens.filter(pa.array(look))), strict=True):
+            seen[c] = self.token(t)
         words: list[set[str]] = [set() for _ in range(len(texts))]
         starts: list[Counter] = [Counter() for _ in range(len(texts))]
         matters = np.array([bool(w or s) for w, s, _ in seen], bool)
@@ -360,7 +396,7 @@ def plain_words(t: str) -> list[str]:
     return [s] if s.isalpha() else _WORDS.findall(s)
 
 
-def trigram_sums(words: Counter) -> dict[str, int]:
+def trigram_sums(words: list[str], counts: np.ndarray) -> dict[str, int]:
     """Each trigram of the words, with two marks before and one after, and the sum of these words' counts."""
     if not words:
         return {}
@@ -373,46 +409,61 @@ def trigram_sums(words: Counter) -> dict[str, int]:
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sums = np.add.reduceat(np.repeat(np.fromiter(words.values(), np.int64), sizes)[at][order], first)
+    sums = np.add.reduceat(np.repeat(counts, sizes)[at][order], first)
     letters = lambda k: chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF)
     return dict(zip(map(letters, keys[first].tolist()), sums.tolist(), strict=True))
 
 
+def document_counts(texts: pa.Array) -> pa.Table:
+    """Each plain word (word), and the number of texts that hold it (n)."""
+    tokens, code, parent = token_codes(texts)
+    cores, plain = plain_cores(tokens)
+    others = [plain_words(t.lower()) for t in strings(tokens.filter(pa.array(~plain)))]
+    size = np.ones(len(tokens), np.int64)
+    size[~plain] = [len(w) for w in others]
+    first = np.cumsum(size) - size
+    words = pa.concat_arrays([cores.filter(pa.array(plain)), pa.array([w for ws in others for w in ws], pa.string())]).dictionary_encode()
+    number = words.indices.to_numpy().astype(np.int64)
+    of_token = np.empty(int(size.sum()), np.int64)
+    n_plain, rest = int(plain.sum()), size[~plain]
+    of_token[first[plain]] = number[:n_plain]
+    of_token[np.repeat(first[~plain] - (np.cumsum(rest) - rest), rest) + np.arange(len(number) - n_plain)] = number[n_plain:]
+    each = size[code]
+    within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    once = np.sort(np.repeat(parent, each) * max(1, len(words.dictionary)) + of_token[np.repeat(first[code], each) + within])
+    once = once[np.diff(once, prepend=-1) > 0] % max(1, len(words.dictionary))
+    return pa.table({"word": words.dictionary, "n": np.bincount(once, minlength=len(words.dictionary)).astype(np.int64)})
+
+
 def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts: the number of texts that hold each word (by its key), each trigram's sum over these words, and the
     number of texts (no item, no key), summed over many texts before they go on."""
-    n_texts, chars, held = 0, 0, Counter()
+    n_texts, held = 0, []
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).combine_chunks().group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     def sums() -> pa.RecordBatch:
-        trigrams = trigram_sums(held)
-        items = [*trigrams, *[None] * (len(held) + 1)]
-        keys = [*[None] * len(trigrams), *map(word_key, held), None]
-        counts = [*trigrams.values(), *held.values(), n_texts]
+        whole = merged() if held else pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        words = [w for chunk in whole.column(0).chunks for w in strings(chunk)]
+        counts = whole.column(1).to_numpy()
+        trigrams = trigram_sums(words, counts)
+        items = [*trigrams, *[None] * (len(words) + 1)]
+        keys = [*[None] * len(trigrams), *map(word_key, words), None]
+        totals = [*trigrams.values(), *counts.tolist(), n_texts]
         return pa.RecordBatch.from_arrays(
-            [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["item", "key", "n"]
+            [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(totals, pa.int64())], names=["item", "key", "n"]
         )
 
     for batch in batches:
         for a, b in slices(batch, SLICE, 0):
-            tokens, code, parent = token_codes(batch.column(0).slice(a, b - a))
-            number: dict[str, int] = {}
-            of_token, sizes = [], []
-            for t in tokens:
-                own = [number.setdefault(w, len(number)) for w in plain_words(t.lower())]
-                of_token += own
-                sizes.append(len(own))
-            size = np.array(sizes, np.int64)
-            first, each = np.cumsum(size) - size, size[code]
-            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            words = np.array(of_token, np.int64)[np.repeat(first[code], each) + within]
-            doc = np.repeat(parent, each)
-            once = np.sort(doc * max(1, len(number)) + words)
-            once = once[np.diff(once, prepend=-1) > 0] % max(1, len(number))
-            held.update(dict(zip(number, np.bincount(once, minlength=len(number)).tolist(), strict=True)))
-            n_texts, chars = n_texts + b - a, chars + sum(map(len, number))
-            if len(held) > COUNTED or chars > COUNTED_CHARS:
-                yield sums()
-                n_texts, chars, held = 0, 0, Counter()
+            held.append(document_counts(batch.column(0).slice(a, b - a)))
+            n_texts += b - a
+            if sum(t.num_rows for t in held) > COUNTED or sum(t.nbytes for t in held) > COUNTED_BYTES:
+                held = [merged()]
+                if held[0].num_rows > COUNTED // 2 or held[0].nbytes > COUNTED_BYTES // 2:
+                    yield sums()
+                    n_texts, held = 0, []
     yield sums()
 
 
@@ -423,6 +474,7 @@ def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray,
     texts; what reaches the driver is one number for each trigram of the alphabet and sixteen bytes a word.
     """
     spark = docs.sparkSession
+    ship(spark)
     plain = spread(texts(docs)).select("text")
     counted = plain.mapInArrow(_language, "item string, key long, n long").groupBy("item", "key").agg(F.sum("n").alias("n"))
     counted = stored(spark, counted, "toxicity-language")
@@ -478,6 +530,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     class only, the model has no features and calls nothing toxic.
     """
     spark = docs.sparkSession
+    ship(spark)
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 1))

@@ -3,12 +3,14 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarterlens.llm.common import shared_dir, ship
-from quarterlens.llm.toxicity import Decoder, Model, fit, toxicity
+from quarterlens.llm.toxicity import Decoder, Model, document_counts, fit, plain_words, repetitive, toxicity
 
 
 def test_held_out_accuracy_and_folds(spark):
@@ -139,3 +141,19 @@ def test_a_shared_doc_id_gives_one_labelled_text(spark):
     fit(docs, labels, most=30)
     sample = max(glob.glob(shared_dir(spark).removeprefix("file://") + "/toxicity-sample-*"), key=os.path.getmtime)
     assert spark.read.parquet(sample).count() <= 30
+
+
+def test_words_with_repeated_letters_are_looked_at():
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice(["a", "b", "é", "日", "😀"]) for _ in range(rnd.randint(0, 7))) for _ in range(3_000)]
+    for w, may in zip(words, repetitive(pa.array(words)).tolist(), strict=True):
+        assert may or not re.search(r"(.)\1\1", w), w
+    assert repetitive(pa.array(["abc", "aabb", "éa", "x"])).tolist() == [False] * 4 and repetitive(pa.array([], pa.string())).tolist() == []
+
+
+def test_counts_of_words_in_documents():
+    texts = ["A b, a!", "", "b's c3po B", "  x\ty ", "日本 日本。", "it's (no) 1d10t"]
+    want = Counter(w for t in texts for w in {w for x in t.split() for w in plain_words(x.lower())})
+    got = document_counts(pa.array(texts))
+    assert dict(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True)) == want
+    assert document_counts(pa.array([], pa.string())).num_rows == 0
