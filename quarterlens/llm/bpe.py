@@ -506,7 +506,8 @@ def round_trips(docs: DataFrame, ranks: str) -> DataFrame:
 
     Texts are split as the split pattern splits them, by array operations over code points. Each distinct piece that a
     worker hasn't met is merged in length-bucketed matrices (Bpe.merge_rows); pieces met before come from its cache.
-    Null and empty texts have no ids; every row is returned once, repeated ones too; other columns are ignored.
+    Null and empty texts have no ids; every row is returned once, repeated ones too; other columns are ignored; an empty table
+    gives no rows.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

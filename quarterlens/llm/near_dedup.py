@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,10 @@ from .links import components
 
 SLICE = 1 << 20
 WORDS = 5
-#: A link: 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: At this similarity BANDS bands of ROWS values miss a pair with probability below 1e-6.
-BANDS, ROWS = 20, 4
+#: A link: 100 * intersection >= percent * union. PERCENT is the query's, STAGE_PERCENT that of a pipeline's stage.
+PERCENT, STAGE_PERCENT = 85, 80
+#: Values of a band, and the most probable miss of a pair at the threshold, which gives the number of bands (19 at 85, 27 at 80).
+ROWS, MISS, MOST_BANDS = 4, 1e-6, 256
 #: Most samples that an odd sketch folds, and its bits.
 SAMPLES, BITS = 512, 1024
 #: Pairs of two components in a bucket that the first round of the cross check takes; each round takes so many times more.
@@ -33,11 +34,11 @@ FILTER, FILTER_PART = 1 << 25, 1 << 15
 CHUNK = 4_096
 
 _rng = np.random.default_rng(9_041)
-_MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MUL = _rng.integers(0, 1 << 63, MOST_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, MOST_BANDS * ROWS, dtype=np.uint64)
 _PLACE = _rng.integers(0, 1 << 63, (WORDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _rng.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_SALT = np.arange(1, MOST_BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Digests(dict):
@@ -148,12 +149,20 @@ def shared_count(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return int(((x[at] == y) & (x2[at] == y2)).sum())
 
 
-def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """So many bands that a pair at the threshold shares none with a probability below MISS."""
+    n = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    if n > MOST_BANDS:
+        raise ValueError(f"a threshold of {percent} per cent takes more than {MOST_BANDS} bands")
+    return n
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key for each band of each set that is not empty."""
     full = counts[counts > 0]
     starts = np.cumsum(full) - full
-    keys = np.zeros((len(full), BANDS), np.uint64)
-    for k in range(BANDS * ROWS):
+    keys = np.zeros((len(full), bands), np.uint64)
+    for k in range(bands * ROWS):
         least = np.minimum.reduceat(_mix_light(hashes * _MUL[k] + _ADD[k]), starts) if len(full) else np.zeros(0, np.uint64)
         keys[:, k // ROWS] = _mix(keys[:, k // ROWS] + least + _SALT[k])
     return keys
@@ -186,10 +195,10 @@ def odd_sketches(hashes: np.ndarray, counts: np.ndarray, further: int = 0) -> np
     return np.packbits(parity.reshape(len(full), BITS), axis=1).view(np.uint64)
 
 
-def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
+def unshared(percent, na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
     """Population counts of the XOR of pairs of sketches, and the most that a link allows.
 
-    Sets that link leave at most 15 of 185 of their elements unshared. For sets sampled whole the count can't exceed the number of
+    Sets that link at 85 per cent leave at most 15 of 185 of their elements unshared. For sets sampled whole the count can't exceed the number of
     unshared elements, so no link is lost; otherwise six standard deviations of the sampling are added (a link is lost with a
     probability of 1e-9, less than by the bands).
     """
@@ -198,25 +207,28 @@ def unshared(na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
     x = np.where((la == level)[:, None], a0, a1)
     y = np.where((lb == level)[:, None], b0, b1)
     odd = np.bitwise_count(x ^ y).sum(-1).astype(np.int64)
-    most = (na + nb) * (100 - PERCENT) / (100 + PERCENT)
+    most = (na + nb) * (100 - percent) / (100 + percent)
     p = 0.5**level
     return odd, np.where(level == 0, most, p * most + 6 * np.sqrt(p * (1 - p) * most) + 2)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in slices(batch, 4 * SLICE):  # words are numbered for several slices at once
-            large = batch.slice(a, b - a)
-            digests, per_doc = words_of(large.column(1))
-            first = np.append(0, np.cumsum(per_doc))
-            for x, y in slices(large, SLICE):
-                yield _signed(large.slice(x, y - x), *_shingles(digests[first[x] : first[y]], per_doc[x:y]))
-            pa.default_memory_pool().release_unused()
+def _sign(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch, 4 * SLICE):  # words are numbered for several slices at once
+                large = batch.slice(a, b - a)
+                digests, per_doc = words_of(large.column(1))
+                first = np.append(0, np.cumsum(per_doc))
+                for x, y in slices(large, SLICE):
+                    yield _signed(large.slice(x, y - x), bands, *_shingles(digests[first[x] : first[y]], per_doc[x:y]))
+                pa.default_memory_pool().release_unused()
+
+    return run
 
 
-def _signed(part: pa.RecordBatch, hashes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+def _signed(part: pa.RecordBatch, n_bands: int, hashes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     full = np.flatnonzero(counts)
-    bands = band_keys(hashes, counts)
+    bands = band_keys(hashes, counts, n_bands)
     sketches, nexts = odd_sketches(hashes, counts), odd_sketches(hashes, counts, 1)
     band_rows, sketch_rows, next_rows = ([None] * len(counts) for _ in range(3))
     for i, j in enumerate(full.tolist()):
@@ -243,46 +255,52 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidate pairs (a, b, sizes, sketches): those that their sketches let pass."""
-    for batch in batches:
-        if batch.num_rows:
-            sizes = [batch.column(i).to_numpy() for i in (2, 3)]
-            odd, most = unshared(*sizes, *[_words(batch.column(i)) for i in (4, 5, 6, 7)])
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(odd <= most))
-
-
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (keys, nodes, both whole texts): the nodes of those whose full sets link."""
-    kept: dict[bytes, tuple] = {}
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    for batch in batches:
-        for lo, hi in slices(batch, SLICE, 4):
-            part = batch.slice(lo, hi - lo)
-            ka, kb = part.column(0).to_pylist(), part.column(1).to_pylist()
-            missing: dict[bytes, bytes] = {}
-            for keys, column in ((ka, 4), (kb, 5)):
-                values = part.column(column).cast(pa.binary())
-                for i, k in enumerate(keys):
-                    if k not in kept and k not in missing:
-                        missing[k] = values[i].as_py()
-            if sum(len(x) for x, _ in kept.values()) > HELD:
-                kept = {k: kept[k] for k in {*ka, *kb} if k in kept}
-            names = list(missing)
-            for a in range(0, len(names), 200):
-                some = names[a : a + 200]
-                hashes, counts, more = shingles([missing[k] for k in some])
-                for k, e, n in zip(some, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
-                    kept[k] = hashes[e - n : e].copy(), more[e - n : e].copy()
-            good = []
-            for a, b in zip(ka, kb, strict=True):
-                x, y = kept.get(a, none), kept.get(b, none)
-                both = shared_count(x, y)
-                good.append(both > 0 and 100 * both >= PERCENT * (len(x[0]) + len(y[0]) - both))
-            yield pa.RecordBatch.from_arrays(part.columns[2:4], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _across(budget: int):
+def _screen(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of candidate pairs (a, b, sizes, sketches): those that their sketches let pass."""
+        for batch in batches:
+            if batch.num_rows:
+                sizes = [batch.column(i).to_numpy() for i in (2, 3)]
+                odd, most = unshared(percent, *sizes, *[_words(batch.column(i)) for i in (4, 5, 6, 7)])
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(odd <= most))
+
+    return run
+
+
+def _check(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of pairs (keys, nodes, both whole texts): the nodes of those whose full sets link."""
+        kept: dict[bytes, tuple] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in batches:
+            for lo, hi in slices(batch, SLICE, 4):
+                part = batch.slice(lo, hi - lo)
+                ka, kb = part.column(0).to_pylist(), part.column(1).to_pylist()
+                missing: dict[bytes, bytes] = {}
+                for keys, column in ((ka, 4), (kb, 5)):
+                    values = part.column(column).cast(pa.binary())
+                    for i, k in enumerate(keys):
+                        if k not in kept and k not in missing:
+                            missing[k] = values[i].as_py()
+                if sum(len(x) for x, _ in kept.values()) > HELD:
+                    kept = {k: kept[k] for k in {*ka, *kb} if k in kept}
+                names = list(missing)
+                for a in range(0, len(names), 200):
+                    some = names[a : a + 200]
+                    hashes, counts, more = shingles([missing[k] for k in some])
+                    for k, e, n in zip(some, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                        kept[k] = hashes[e - n : e].copy(), more[e - n : e].copy()
+                good = []
+                for a, b in zip(ka, kb, strict=True):
+                    x, y = kept.get(a, none), kept.get(b, none)
+                    both = shared_count(x, y)
+                    good.append(both > 0 and 100 * both >= percent * (len(x[0]) + len(y[0]) - both))
+                yield pa.RecordBatch.from_arrays(part.columns[2:4], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _across(budget: int, percent: int):
     """From members sorted by group (a bucket, or the meeting of two of its chunks): pairs of different components that sizes
     and sketches let pass, of each two components in a block of comparisons the `budget` nearest by their sketches. A row
     of nulls says that there are more. No more than a group and the pairs of a block are held."""
@@ -294,7 +312,7 @@ def _across(budget: int):
         by_key = np.array(sorted(range(len(keys)), key=keys.__getitem__))
         by_size = by_key[np.argsort(n[by_key], kind="stable")]  # partners of a set are at most so much larger
         comp, n, own, after, side, within = (x[by_size] for x in (comp, n, own, after, side, within))
-        last = np.searchsorted(n, n * 100 // PERCENT, side="right")
+        last = np.searchsorted(n, n * 100 // percent, side="right")
         more = False
         i = 0
         while i < len(n):
@@ -304,13 +322,13 @@ def _across(budget: int):
             right = np.arange(i, last[j - 1])
             ok = (comp[i:j, None] != comp[None, right]) & (right[None, :] > np.arange(i, j)[:, None])
             ok &= (side[i:j, None] != side[None, right]) | (within[i:j, None] & within[None, right])
-            ok &= 100 * n[i:j, None] >= PERCENT * n[None, right]
+            ok &= 100 * n[i:j, None] >= percent * n[None, right]
             x, y = np.nonzero(ok)
             x, y = x + i, right[y]
             found = []
             for a in range(0, len(x), BLOCK // 16):
                 u, v = x[a : a + BLOCK // 16], y[a : a + BLOCK // 16]
-                odd, most = unshared(n[u], n[v], own[u], after[u], own[v], after[v])
+                odd, most = unshared(percent, n[u], n[v], own[u], after[u], own[v], after[v])
                 good = odd <= most
                 found.append((u[good], v[good], (odd / np.maximum(most, 1))[good]))
             i = j
@@ -389,7 +407,7 @@ def _meetings(where: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each document: size of its shingle set, the least doc_id of its component, and whether that is its own.
 
     1. One scan of the texts gives each document a digest of its set, band keys of its MinHash values and an odd sketch.
@@ -403,7 +421,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        shares a bucket is in the end within a component, or too far apart by its sketches, or checked, and pairs within
        a group are never listed.
 
-    A link at the threshold is missed by the bands with a probability of 4e-7, and by the sketches of sets over SAMPLES
+    A link at the threshold is missed by the bands with a probability below 1e-6, and by the sketches of sets over SAMPLES
     shingles with 1e-9. Words and shingles are known by 128-bit digests.
 
     Null texts, empty texts and texts of white space have empty sets and link with nothing. Rows that repeat a doc_id count as
@@ -413,7 +431,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     plain = texts(docs)
-    signed = stored(spark, spread(plain).mapInArrow(_sign, _SIGNED), "near-signed")
+    signed = stored(spark, spread(plain).mapInArrow(_sign(bands_for(percent)), _SIGNED), "near-signed")
     classes = stored(
         spark,
         signed.filter("key is not null and doc_id is not null")
@@ -443,8 +461,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .filter("a <> b")
         .distinct()
     )
-    screened = stored(spark, _screened(stars, light), "near-stars")
-    links = stored(spark, _linked(screened, light, plain), "near-links")
+    screened = stored(spark, _screened(stars, light, percent), "near-stars")
+    links = stored(spark, _linked(screened, light, plain, percent), "near-links")
     final = components(links)
 
     tried, budget, done = screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), FIRST, [screened]
@@ -458,7 +476,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             _meetings(where, placed)
             .repartition("bucket")
             .sortWithinPartitions("bucket")
-            .mapInArrow(_across(budget), "a binary, b binary")
+            .mapInArrow(_across(budget, percent), "a binary, b binary")
             .distinct()
         )
         crossing = stored(spark, crossing, "near-crossing")
@@ -469,7 +487,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if crossing.filter("a is null").isEmpty():
                 break
         else:
-            more = stored(spark, _linked(fresh, light, plain), "near-more")
+            more = stored(spark, _linked(fresh, light, plain, percent), "near-more")
             done.append(more)
             if not more.isEmpty():
                 links = links.union(more)
@@ -491,12 +509,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _screened(pairs: DataFrame, light: DataFrame) -> DataFrame:
+def _screened(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and odd sketches let them link."""
     side = lambda k: light.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "sketch", "next")])
-    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "next_a", "sketch_b", "next_b").mapInArrow(_screen, "a binary, b binary")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "next_a", "sketch_b", "next_b").mapInArrow(_screen(percent), "a binary, b binary")
 
 
 def _named(plain: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -520,7 +538,7 @@ def _named(plain: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame, percent: int) -> DataFrame:
     """Links (as node ids) among pairs, by the full sets of both texts. Only texts that a pair names leave the scan (see
     _named), once for both sides of the pairs; of a doc_id with several texts, the one that has the key's digest."""
     side = lambda k: light.select(F.col("key").alias(k), F.col("node").alias(f"node_{k}"), F.col("sha").alias(f"sha_{k}"))
@@ -535,18 +553,19 @@ def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame) -> DataFrame:
     for k in "ab":
         text = whole.select(F.col("doc_id").alias(f"node_{k}"), F.col("sha").alias(f"sha_{k}"), F.col("text").alias(f"text_{k}"))
         named = named.join(text.hint("shuffle_merge"), [f"node_{k}", f"sha_{k}"])
-    good = named.select("a", "b", "node_a", "node_b", "text_a", "text_b").mapInArrow(_check, "a long, b long")
+    good = named.select("a", "b", "node_a", "node_b", "text_a", "text_b").mapInArrow(_check(percent), "a long, b long")
     return good.distinct()
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay (one row of each component), with docs' columns.
+def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
+    """The rows of docs that stay (one row of each component), with docs' columns. A stage of a pipeline links from a similarity of
+    0.8 on.
 
     Rows are compared by their own ids: rows with a null doc_id, or with a doc_id that others have too, are kept or dropped like
     all others. Of a component the row with the least doc_id stays; in a table with such rows, the first one.
     """
     rows, own = row_ids(docs)
-    result = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"))
+    result = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), percent)
     kept = result.filter("kept").select(F.col("doc_id").alias("_kept_id"))
     return rows.join(kept, rows[own] == kept["_kept_id"], "left_semi").select(*docs.columns)
 

@@ -46,13 +46,28 @@ class MultiIndex:
         self.books = [_centroids(h, centroids) for h in (sample[:, : self.half], sample[:, self.half :])]
         self.width = len(self.books[1])
         self.cells = len(self.books[0]) * self.width
+        self.sample = sample.astype(np.float32)
+        self.radii = np.full(self.cells, np.inf)
+
+    def bound(self, q: np.ndarray, k: int) -> float:
+        """A distance within which k entries lie for certain, as so many of the sample do."""
+        if len(self.sample) < k:
+            return np.inf
+        d = ((self.sample.astype(np.float64) - q) ** 2).sum(1)
+        return float(np.sqrt(np.partition(d, k - 1)[k - 1])) * (1 + 1e-9)
+
+    def spread(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Distances of vectors from the centroid pairs of their cells."""
+        a, b = self.books[0][cells // self.width], self.books[1][cells % self.width]
+        return np.sqrt(((x - np.concatenate([a, b], 1)) ** 2).sum(1))
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         a, b = (_distances(h, c).argmin(1) for h, c in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True))
         return a * self.width + b
 
-    def traverse(self, q: np.ndarray, counts: np.ndarray, want: float) -> list[int]:
-        """Cells by the sum of their halves' distances from q, nearest first, until they hold `want` entries.
+    def traverse(self, q: np.ndarray, counts: np.ndarray, want: float, bound: float = np.inf) -> list[int]:
+        """Cells by the sum of their halves' distances from q, nearest first, until they hold `want` entries. Cells all of whose
+        entries are beyond the bound, as the cell's radius says, count as looked at but are left out.
 
         Both lists of centroids are sorted by distance; a heap holds the pairs on the frontier, of which the pairs beyond
         are pushed when both of their predecessors were taken.
@@ -63,12 +78,16 @@ class MultiIndex:
         oa, ob = oa.tolist(), ob.tolist()
         reach = [0] * len(da)  # how many pairs of each row were taken
         heap, out, have = [(da[0] + db[0], 0, 0)], [], 0
+        far = (bound + float(self.radii.max())) ** 2
         while heap and have < want:
-            _, i, j = heapq.heappop(heap)
+            d, i, j = heapq.heappop(heap)
+            if d > far:  # all further cells are beyond the bound
+                break
             reach[i] = j + 1
             cell = oa[i] * self.width + ob[j]
             if counts[cell]:
-                out.append(cell)
+                if d <= (bound + self.radii[cell]) ** 2:
+                    out.append(cell)
                 have += counts[cell]
             if j + 1 < len(db) and (i == 0 or reach[i - 1] > j + 1):
                 heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
@@ -105,18 +124,21 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _assign(index: MultiIndex, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = index.cell(_matrix(batch.column(1), width)).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=["first", "v", "ids", "cell"])
+            x = _matrix(batch.column(1), width)
+            cells = index.cell(x).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
+            spread = index.spread(x, cells) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(spread)], names=["first", "v", "ids", "cell", "spread"])
 
     return run
 
 
-def _visit(index: MultiIndex, width: int, counts: list[int], want: float, starts: np.ndarray, parts: np.ndarray):
+def _visit(index: MultiIndex, width: int, most: int, counts: list[int], want: float, starts: np.ndarray, parts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 part = batch.slice(row, 1)
-                cells = np.array(index.traverse(_matrix(part.column(1), width)[0], counts, want), np.int64)
+                q = _matrix(part.column(1), width)[0]
+                cells = np.array(index.traverse(q, counts, want, index.bound(q, most)), np.int64)
                 blocks = np.repeat(starts[cells], parts[cells])
                 blocks += np.arange(len(blocks)) - np.repeat(np.cumsum(parts[cells]) - parts[cells], parts[cells])
                 owners = np.repeat(cells, parts[cells])
@@ -183,7 +205,8 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     Rows of one vector become one entry with its k + 1 least ids, which is all that any result can hold; they are ranked
     within salted groups first, so that a very common vector meets in no single task. Codebooks are fitted on a bounded
     sample. A query visits cells by summed distance, through a heap, until they hold `share` of all entries (None: the share
-    that gives a recall of AIM on a trial of the sample). Cells form blocks of bounded size, large cells several; each query
+    that gives a recall of AIM on a trial of the sample); of these, cells that can't hold a neighbour, by their radius and the
+    distances of the sample, are left out. Cells form blocks of bounded size, large cells several; each query
     goes to each block once with the list of its cells there, and is reranked on the original vectors in double precision.
 
     Null vectors, vectors with null, NaN or infinite components, zero vectors and null ids take no part; vectors shorter than the
@@ -219,13 +242,14 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     centroids = int(min(MOST_CENTROIDS, max(2, 2 ** int(np.log2(max(4.0, np.sqrt(n) / 2))))))
     index = MultiIndex(sample, centroids)
     share = index.share(sample) if share is None else share
-    placed = points.mapInArrow(_assign(index, width), f"first long, v array<{kind}>, ids array<long>, cell int")
+    placed = points.mapInArrow(_assign(index, width), f"first long, v array<{kind}>, ids array<long>, cell int, spread double")
     placed = stored(spark, placed, "neighbours-cells")
 
     # at most MOST_CENTROIDS ** 2 counts
     counts = np.zeros(index.cells, np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("spread").alias("radius")).collect():
+        counts[r["cell"]], index.radii[r["cell"]] = r["n"], r["radius"]
+    index.radii[counts == 0] = 0.0
     # a cell lies in one block of several small cells, or, if large, in blocks of its own
     starts, parts, block, load = np.zeros(index.cells, np.int64), np.ones(index.cells, np.int64), 0, 0
     for c in np.flatnonzero(counts):
@@ -250,7 +274,7 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     want = max(share * n, 4.0 * (k + 1))
     distinct = queries.select("query", "v").distinct()
     visits = distinct.repartition(max(distinct.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "query").mapInArrow(
-        _visit(index, width, counts.tolist(), want, starts, parts),
+        _visit(index, width, k + 1, counts.tolist(), want, starts, parts),
         f"block int, kind int, first long, cell int, cells array<int>, v array<{kind}>",
     )
     near = (

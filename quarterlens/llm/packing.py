@@ -169,9 +169,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, piece: int
     A document gives as many full sequences as it has in it. What is left, cut to `piece` tokens at most, waits until a block
     of about 64 sequences' worth has gathered in the task, and is then dealt into windows of near-equal sums by
     differencing; if a window exceeds the capacity, the window count rises and the block is dealt again. No row is
-    shuffled. Sequence ids hold the partition's number, so a task that runs again gives the same ids.
+    shuffled, but for a table of fewer partitions than cores, whose rows are dealt out and then sorted within each task.
+    Sequence ids hold the partition's number, and rows reach a task in a fixed order, so a task that runs again gives the same ids.
 
-    Null and empty texts are documents of one token. Every row is packed, repeated ones too; other columns are ignored.
+    Null and empty texts are documents of one token. Every row is packed, repeated ones too; other columns are ignored; an empty
+    table gives no rows.
     """
     ship(docs.sparkSession)
     schema = ", ".join(f"{n} long" for n in _NAMES)

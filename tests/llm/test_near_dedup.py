@@ -13,7 +13,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingle_set(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -33,14 +33,14 @@ def brute(rows):
                 if x < y and (x, y) not in seen:
                     seen.add((x, y))
                     n = len(sets[x] & sets[y])
-                    if 100 * n >= 85 * len(sets[x] | sets[y]):
+                    if 100 * n >= percent * len(sets[x] | sets[y]):
                         a, b = find(x), find(y)
                         parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def check(rows, result):
-    want = brute(rows)
+def check(rows, result, percent=85):
+    want = brute(rows, percent)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in result.collect()}
     wrong = {i: (got[i], want[i]) for i in want if got[i] != want[i]}
     assert got.keys() == want.keys() and not wrong, list(wrong.items())[:5]
@@ -68,6 +68,7 @@ def test_families_with_drifting_copies(spark):
     rows += [(i, None), (i + 1, ""), (i + 2, " \t\n"), (i + 3, "A b"), (i + 4, "a  B"), (i + 5, "x " * 40_000), (i + 6, "é b c d e f")]
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, key string, n int").repartition(7)
     check(rows, near_duplicates(df))
+    check(rows, near_duplicates(df, 80), 80)
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -113,7 +114,7 @@ def test_check_compares_full_sets():
     )]
     batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "node_a", "node_b", "text_a", "text_b"])
     for parts in ([batch], [batch.slice(i, 1) for i in range(4)]):
-        assert [tuple(r.values()) for x in _check(parts) for r in x.to_pylist()] == [(1, 2), (2, 1)]
+        assert [tuple(r.values()) for x in _check(85)(parts) for r in x.to_pylist()] == [(1, 2), (2, 1)]
 
 
 def test_words_that_share_a_hash(spark):
@@ -148,8 +149,8 @@ def test_pairs_of_a_bucket_beyond_the_budget_come_in_later_rounds(monkeypatch):
     batch = pa.RecordBatch.from_arrays(columns, names=list("abcdefgh"))
     monkeypatch.setattr(near_dedup, "BLOCK", 200)
     want = {(min(a, b), max(a, b)) for a in keys[::2] for b in keys[1::2]}
-    some = [tuple(r.values()) for x in _across(2)([batch]) for r in x.to_pylist()]
-    every = [tuple(r.values()) for x in _across(10_000)([batch]) for r in x.to_pylist()]
+    some = [tuple(r.values()) for x in _across(2, 85)([batch]) for r in x.to_pylist()]
+    every = [tuple(r.values()) for x in _across(10_000, 85)([batch]) for r in x.to_pylist()]
     assert (None, None) in some and set(some) - {(None, None)} < want and len(some) < len(want) and set(every) == want
 
 
@@ -160,3 +161,9 @@ def test_words_part_at_ascii_white_space_only():
     assert counts.tolist() == [len(re.findall(rb"[^\x20\x09-\x0D]+", t.encode())) for t in texts]
     assert [tuple(d) for d in digests.tolist()] == [tuple(near_dedup.words_of(pa.array([w.decode()]))[0].tolist()[0]) for w in words]
     assert near_dedup.words_of(pa.array([], pa.string()))[1].tolist() == [] and len(set(map(tuple, digests.tolist()))) == len(set(words))
+
+
+def test_bands_reach_the_threshold():
+    assert [near_dedup.bands_for(p) for p in (85, 80)] == [19, 27]
+    for percent in (85, 80):
+        assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(percent) < 1e-6

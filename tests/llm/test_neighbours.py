@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quarterlens.llm.neighbours import nearest
+from quarterlens.llm.neighbours import MultiIndex, nearest
 
 
 def brute(rows, step=100, k=10):
@@ -72,3 +72,22 @@ def test_doubles_and_lengths(spark):
         assert [i for i, _ in near] == [i for _, i in want]
         assert all(abs(s - d) < 1e-15 + 1e-9 * d for (_, s), (d, _) in zip(near, want, strict=True))
     assert got[500][0][0] == 501 and 0 < got[500][0][1] < 1e-11
+
+
+def test_cells_beyond_the_bound_hold_no_neighbour():
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(0, 20, (30, 6))
+    x = np.unique((centres[rnd.integers(0, 30, 3_000)] + rnd.normal(0, 1, (3_000, 6))).astype(np.float32), axis=0).astype(float)
+    index = MultiIndex(x[::10], 8)
+    cells = index.cell(x)
+    counts = np.bincount(cells, minlength=index.cells)
+    spread = index.spread(x, cells)
+    index.radii = np.array([spread[cells == c].max() if counts[c] else 0.0 for c in range(index.cells)])
+    left = 0
+    for q in x[::50]:
+        near = np.argsort(((x - q) ** 2).sum(1))[:11]
+        every = index.traverse(q, counts.tolist(), np.inf)
+        some = index.traverse(q, counts.tolist(), np.inf, index.bound(q, 11))
+        assert set(cells[near]) <= set(some) <= set(every) and len(every) == (counts > 0).sum()
+        left += counts[some].sum()
+    assert left < 0.5 * len(x) * len(x[::50])

@@ -155,3 +155,26 @@ def test_repeated_rows_and_empty_tables(spark):
         assert sorted(str(r["doc_id"]) for r in run(df).collect()) == ["1", "1", "1", "None", "None"]
     got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in round_trips(df, RANKS).collect()}
     assert len(got) == 4
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    from quarterlens.llm.tokens import encoder
+
+    spec = json.load(open(JSON, encoding="utf-8"))
+    for k, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            encoder(str(path))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    (tmp_path / "turned.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        encoder(str(tmp_path / "turned.json"))
+
+
+def test_packing_again_gives_the_same_sequences(spark):
+    df = spark.createDataFrame([(i % 40, f"text {i} " * (i % 97)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    a, b = (sorted(map(tuple, pack(df, JSON).collect())) for _ in range(2))
+    assert a == b
