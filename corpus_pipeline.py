@@ -1,7 +1,8 @@
 """The document pipeline: toxicity, exact dedup, near dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame, which is
-written as Parquet and reread as the next stage's docs. All but the last return the columns of documents.
+written as Parquet and reread as the next stage's docs. All but the last return the columns of documents, further ones
+included. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from quarterlens.llm.common import row_ids, ship, shared_dir, stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity operator predicts to be toxic; the model is fitted on the labelled ones."""
+    """Drops the documents that the toxicity operator predicts to be toxic; the model is fitted on the labelled ones. Rows without
+    a doc_id, or that share one, are judged one by one; without labels nothing goes."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rows, own = row_ids(docs)  # rows that share a doc_id, or have none, are judged one by one
@@ -27,10 +29,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each set of equal texts, the one with the largest doc_id; null and empty texts are equal."""
     return exact_dedup.keep_one(docs)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near copies (five words, a similarity of 0.8 or more); texts without words stay."""
     return near_dedup.keep_one(docs)
 
 
@@ -44,6 +48,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every row's tokens into sequences; null and empty texts are documents of one token."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

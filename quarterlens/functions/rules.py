@@ -41,7 +41,7 @@ def valid_ir_url(url: Column) -> Column:
     u = F.lower(url)
     excluded = contains_any(u, P.IR_EXCLUSIONS)
     return (
-        F.when(url.isNull() | u.startswith("javascript:"), False)
+        F.when(url.isNull() | u.contains("javascript:"), False)
         .when(~(url.startswith("http://") | url.startswith("https://")), False)
         .when(contains_any(u, P.IR_STRONG) & ~excluded, True)
         .when(contains_any(u, P.IR_WEAK) & ~excluded, ~contains_any(u, P.IR_NEWS))

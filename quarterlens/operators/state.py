@@ -33,8 +33,9 @@ def decide(arrivals: DataFrame, state: DataFrame, key: str) -> DataFrame:
 def replay(arrivals: DataFrame, key: str, order: str) -> DataFrame:
     """Decisions for a log of arrivals, each against the state that the accepted ones before it left.
 
-    A decision depends on the last accepted arrival, so keys are replayed in order. Rows come sorted by key and order and
-    are streamed in Arrow batches: what is held is one state, however many arrivals a key has.
+    A decision depends on the last accepted arrival, so keys are replayed in order: a key's arrivals are one sequence, and one
+    task's. Rows come sorted by key and order and are streamed in Arrow batches: what is held is one state, however many
+    arrivals a key has.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,10 +83,19 @@ def kept_states(state: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(state.select(key, F.lit(True).alias("has")), key, "left").select(key, F.coalesce("has", F.lit(False)).alias("kept"))
 
 
-def older_than_seen(arrivals: DataFrame, key: str, order: str) -> DataFrame:
-    """Arrivals published before something that came earlier."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return arrivals.withColumn("newest_before", F.max("published").over(w)).filter(F.col("published") < F.col("newest_before"))
+def older_than_seen(arrivals: DataFrame, key: str, order: str, span: int = 100_000) -> DataFrame:
+    """Arrivals published before something that came earlier.
+
+    A key's arrivals are dealt into spans of `order`, so that no task sorts more than one span of a key; what came before a span
+    is the greatest of the earlier spans' newest dates, one row for each key and span."""
+    dealt = arrivals.withColumn("_span", F.floor(F.col(order) / span))
+    whole = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy(key, "_span").agg(F.max("published").alias("_top"))
+    tops = tops.select(key, "_span", F.max("_top").over(whole).alias("_before"))
+    within = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = dealt.withColumn("_seen", F.max("published").over(within)).join(tops, [key, "_span"])
+    newest = F.greatest("_seen", "_before").alias("newest_before")  # nulls are left out
+    return seen.select(*arrivals.columns, newest).filter(F.col("published") < F.col("newest_before"))
 
 
 def histogram(state: DataFrame) -> DataFrame:

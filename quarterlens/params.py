@@ -195,7 +195,7 @@ VIEWER_TERMS = [".pdf", "download", "filing", "doc_financials"]
 # PDF links
 PDF_TERMS = ["earnings", "financial", "quarterly", "q1", "q2", "q3", "q4", "10-q", "results"]
 PDF_DOMAINS = ["q4cdn", "sec.gov", "investor", "ir."]
-PDF_GENERIC = ["download", "click here", "view"]
+PDF_GENERIC = ["download", "click", "here", "view"]
 THIRD_PARTIES = ["spglobal.com", "moodys.com", "fitchratings.com", "bloomberg.com", "reuters.com", "morningstar.com", "sec.gov"]
 CALENDAR_TERMS = ["webcast.ics", ".ics", "add-to-calendar", "calendar.ics"]
 CALENDAR_ALLOWED = [".pdf", "doc_financials", "transcript"]

@@ -622,7 +622,7 @@ def skip_reasons(spark, sf):
 
 @query
 def older_arrivals(spark, sf):
-    return state.older_than_seen(_arrivals(spark, sf), "user_id", "event_id").select("event_id", "newest_before")
+    return state.older_than_seen(_arrivals(spark, sf), "user_id", "event_id", 1_000).select("event_id", "newest_before")
 
 
 @query

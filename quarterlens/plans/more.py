@@ -395,6 +395,32 @@ def appended_lines(spark, sf):
     return kept.unionByName(left.groupBy(F.lit("left out").alias("period")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("stamped")))
 
 
+@query
+def put_states(spark, sf):
+    """States put by key in two steps: those that errors left, then those of all arrivals of even users, which replace theirs."""
+    path = f"{work_folder(spark)}/states"
+    a = _arrivals(spark, sf)
+    files.put_by_key(state.upserted(a.filter("event_type = 'error'"), "user_id", "event_id"), path, "user_id", 8)
+    files.put_by_key(state.upserted(a.filter("user_id % 2 = 0"), "user_id", "event_id"), path, "user_id", 8)
+    return files.by_key(spark, path)
+
+
+@query
+def stored_objects(spark, sf):
+    """Texts stored as objects with their types and metadata; some a second time, which the reader then sees."""
+    root = f"{work_folder(spark)}/store"
+    n = table(spark, sf, "nation")
+    made = n.select(
+        F.concat(F.lit("parsed/"), "n_name", F.lit("/text.txt")).alias("name"), F.concat(F.lit("Text of "), "n_name").cast("binary").alias("content"),
+        F.lit("text/plain").alias("content_type"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("metadata"), "n_nationkey",
+    )
+    files.put_objects(made.drop("n_nationkey"), root)
+    again = made.filter("n_nationkey % 3 = 0").withColumn("content", F.lit("new").cast("binary")).withColumn("content_type", F.lit("application/json"))
+    uris = files.put_objects(again.drop("n_nationkey"), root)
+    back = files.get_objects(spark, root).join(uris, "name", "left")
+    return back.select("name", F.col("content").cast("string").alias("content"), "content_type", F.col("metadata")["region"].alias("region"), F.col("uri").isNotNull().alias("again"))
+
+
 @query
 def layout(spark, sf):
     """Reports as files by kind, ticker and period, read back."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import params as P
+from . import lists as W
 
 SQL: dict[str, str] = {}
 
@@ -38,21 +39,21 @@ L = (
 
 VALID = case(
     [
-        (f"NOT ({has('u', P.FILE_EXTENSIONS)} OR {has('u', P.PAGE_PATHS)} OR {has('(t || u)', P.TEXT_INDICATORS)})", "false"),
-        (f"NOT ({has('c', P.QUARTERLY_TERMS)} OR {has('c', P.ANNUAL_TERMS)} OR {has('c', P.FINANCIAL_TERMS)})", "false"),
-        (has("c", P.STRICT_EXCLUSIONS), "false"),
+        (f"NOT ({has('u', W.FILE_EXTENSIONS)} OR {has('u', W.PAGE_PATHS)} OR {has('(t || u)', W.TEXT_INDICATORS)})", "false"),
+        (f"NOT ({has('c', W.QUARTERLY_TERMS)} OR {has('c', W.ANNUAL_TERMS)} OR {has('c', W.FINANCIAL_TERMS)})", "false"),
+        (has("c", W.STRICT_EXCLUSIONS), "false"),
     ],
-    f"({has('c', ['2025', '2024', *P.LATEST_TERMS])} OR {has('c', P.QUARTERLY_TERMS)})",
+    f"({has('c', ['2025', '2024', *W.LATEST_TERMS])} OR {has('c', W.QUARTERLY_TERMS)})",
 )
-CHART = has("c", P.CHART_TERMS)
+CHART = has("c", W.CHART_TERMS)
 
 # classification
-YEAR = case([(has("c", [str(y)]), y) for y in P.YEARS], "2025")
+YEAR = case([(has("c", [str(y)]), y) for y in W.YEARS], "2025")
 ANNUAL = has("c", ["annual", "10-k"])
-QUARTER = case([*[(has("c", w), q) for q, w in P.QUARTER_WORDS], (ANNUAL, 4)], "NULL")
+QUARTER = case([*[(has("c", w), q) for q, w in W.QUARTER_WORDS], (ANNUAL, 4)], "NULL")
 TYPE = case([(has("c", ["10-q", "q1", "q2", "q3", "quarterly"]), "'quarterly'"), (ANNUAL, "'annual'")], "'quarterly'")
 CLASSED = (
-    f"{L}, k AS (SELECT *, {YEAR} AS y, {QUARTER} AS q, {TYPE} AS type, {has('c', P.REPORT_WORDS)} AS isreport FROM l), "
+    f"{L}, k AS (SELECT *, {YEAR} AS y, {QUARTER} AS q, {TYPE} AS type, {has('c', W.REPORT_WORDS)} AS isreport FROM l), "
     "cl AS (SELECT *, CASE WHEN y >= 2025 THEN CASE q WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 1.1 WHEN 2 THEN 1.2 WHEN 1 THEN 1.3 ELSE 10.0 END "
     "WHEN y = 2024 THEN 2.0 + (4 - coalesce(q, 4)) * 0.1 ELSE 5.0 END + CASE WHEN type = 'annual' THEN 0.5 ELSE 0.0 END AS priority, "
     "y >= 2025 AND coalesce(q IN (3, 4), false) AS latest, "
@@ -61,11 +62,11 @@ CLASSED = (
 )
 
 # scores
-BONUS = case([(has("c", P.SUPER_STRONG), "0.5"), (has("c", P.STRONG), "0.3"), (has("c", P.MEDIUM), "0.1")], "0.0")
-BEST = "greatest(" + ", ".join(f"CASE WHEN {has('c', w)} THEN {x} ELSE 0.0 END" for w, x in P.QUARTER_WEIGHTS) + ")"
+BONUS = case([(has("c", W.SUPER_STRONG), "0.5"), (has("c", W.STRONG), "0.3"), (has("c", W.MEDIUM), "0.1")], "0.0")
+BEST = "greatest(" + ", ".join(f"CASE WHEN {has('c', w)} THEN {x} ELSE 0.0 END" for w, x in W.QUARTER_WEIGHTS) + ")"
 PRIORITY = case(
     [
-        (f"NOT {has('c', P.FISCAL_YEARS)}", "0.0"), (CHART, "0.05"), (f"{BEST} > 0", f"{BEST} * 0.8 + {BONUS}"),
+        (f"NOT {has('c', W.FISCAL_YEARS)}", "0.0"), (CHART, "0.05"), (f"{BEST} > 0", f"{BEST} * 0.8 + {BONUS}"),
         (has("c", ["earning", "quarterly", "10-q"]), f"0.6 + {BONUS}"),
     ],
     "0.2",
@@ -99,7 +100,7 @@ def availability(score: str) -> str:
 
 _YEAR_BONUS = case([("contains(c, '2025')", "0.5"), ("contains(c, '2024')", "0.2"), ("contains(c, '2023')", "0.05")], "0.0")
 TOTAL = "least(" + " + ".join([
-    PRIORITY, _YEAR_BONUS, _YEAR_BONUS, case([(has("c", [w]), x) for w, x in P.quarter_patterns(10)], "0.0") + " * 0.2",
+    PRIORITY, _YEAR_BONUS, _YEAR_BONUS, case([(has("c", [w]), x) for w, x in W.OCTOBER_QUARTERS], "0.0") + " * 0.2",
     case([(has("c", ["earning", "quarterly", "10-q"]), "0.3"), (has("c", ["10-k", "annual"]), "0.15")], "0.0"),
     case([("contains(u, '.pdf')", "0.1"), (has("u", [".xlsx", ".xls"]), "0.05")], "0.0"),
     case([(has("c", ["latest", "recent", "current", "new"]), "0.2")], "0.0"), case([("contains(c, '25')", "0.25")], "0.0"),
@@ -108,13 +109,13 @@ SCORE = availability(f"({TOTAL})::DOUBLE")
 
 
 def final(score: str, strategy: str) -> str:
-    bonus = case([(f"{strategy} = {quote(s)}", b) for s, b in P.STRATEGY_BONUS], "0.0")
+    bonus = case([(f"{strategy} = {quote(s)}", b) for s, b in W.STRATEGY_BONUS], "0.0")
     return f"least({score} + {bonus} + greatest(0.0, (6 - priority) * 0.1), 1.0)"
 
 
 KEYWORD = f"0.8 + CASE WHEN {has('t', ['2025'])} OR {has('u', ['2025'])} THEN 0.1 ELSE 0.0 END + CASE WHEN contains(u, 'pdf') THEN 0.1 ELSE 0.0 END"
 CONFIDENCE = "least(" + " + ".join(
-    f"CASE WHEN contains(t, {quote(w)}) OR contains(u, {quote(w)}) THEN {x} ELSE 0.0 END" for x, ws in P.IR_CONFIDENCE for w in ws
+    f"CASE WHEN contains(t, {quote(w)}) OR contains(u, {quote(w)}) THEN {x} ELSE 0.0 END" for x, ws in W.IR_CONFIDENCE for w in ws
 ) + ", 1.0)"
 
 
@@ -123,23 +124,23 @@ def one(when: str, n) -> str:
 
 
 PDF = " + ".join([
-    one("contains(u, lower(ticker))", 10), *[one(f"contains(u, '{w}') OR contains(t, '{w}')", 5) for w in P.PDF_TERMS],
-    case([("contains(c, '2025')", 3), ("contains(c, '2024')", 1)], "0"), *[one(f"contains(u, '{w}')", 2) for w in P.PDF_DOMAINS],
-]) + " - " + " - ".join(one(f"contains(t, '{w}')", 1) for w in P.PDF_GENERIC)
+    one("contains(u, lower(ticker))", 10), *[one(f"contains(u, '{w}') OR contains(t, '{w}')", 5) for w in W.PDF_TERMS],
+    case([("contains(c, '2025')", 3), ("contains(c, '2024')", 1)], "0"), *[one(f"contains(u, '{w}')", 2) for w in W.PDF_DOMAINS],
+]) + " - " + " - ".join(one(f"contains(t, '{w}')", 1) for w in W.PDF_GENERIC)
 CHOICE = " + ".join([
     one(f"contains(u, lower(ticker)) OR {has('u', ['investor', 'earnings'])}", 3), one(f"{has('u', ['earnings', 'financial', 'report', '10-q'])} OR {has('t', ['earnings', 'financial', 'report', '10-q'])}", 2),
     one(f"{has('u', ['presentation', 'press release'])} OR {has('t', ['presentation', 'press release'])}", 1), case([("contains(c, '2025')", 2), ("contains(c, '2024')", 1)], "0"),
     one(f"{has('u', ['q1', 'q2', 'q3', 'q4', 'quarterly'])} OR {has('t', ['q1', 'q2', 'q3', 'q4', 'quarterly'])}", 1), one(has("u", ["q4cdn", "ir.", "investors."]), 1),
 ]) + " - " + one(has("t", ["download", "view", "click here"]), 1)
-FINANCIAL_URL = f"{has('u', P.FILE_EXTENSIONS)} AND {has('u', P.FINANCIAL_URL_WORDS)}"
+FINANCIAL_URL = f"{has('u', W.FILE_EXTENSIONS)} AND {has('u', W.FINANCIAL_URL_WORDS)}"
 
 
 def ir_url(u: str, raw: str) -> str:
-    excluded = has(u, P.IR_EXCLUSIONS)
+    excluded = has(u, W.IR_EXCLUSIONS)
     return case(
         [
-            (f"{raw} IS NULL OR {u} LIKE 'javascript:%'", "false"), (f"NOT ({raw} LIKE 'http://%' OR {raw} LIKE 'https://%')", "false"),
-            (f"{has(u, P.IR_STRONG)} AND NOT {excluded}", "true"), (f"{has(u, P.IR_WEAK)} AND NOT {excluded}", f"NOT {has(u, P.IR_NEWS)}"),
+            (f"{raw} IS NULL OR contains({u}, 'javascript:')", "false"), (f"NOT ({raw} LIKE 'http://%' OR {raw} LIKE 'https://%')", "false"),
+            (f"{has(u, W.IR_STRONG)} AND NOT {excluded}", "true"), (f"{has(u, W.IR_WEAK)} AND NOT {excluded}", f"NOT {has(u, W.IR_NEWS)}"),
         ],
         "false",
     )
@@ -157,27 +158,27 @@ SQL["chart_links"] = f"{L} SELECT link_id FROM l WHERE {CHART}"
 _ir = "(url || '/investors/' || page_id)"
 SQL["ir_url_valid"] = f"SELECT page_id, {ir_url(f'lower({_ir})', _ir)} AS valid FROM pages"
 SQL["ir_page_valid"] = f"""WITH p AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS ti, lower(url) AS u, lower(html) AS b FROM pages)
-SELECT page_id, CASE WHEN {has('ti', P.IR_DENIED)} THEN {has('u', P.IR_URLS)} ELSE {has('ti', P.IR_TITLES)} OR {has('u', P.IR_URLS)} OR {has('b', P.IR_CONTENT)} END AS valid FROM p"""
-SQL["calendar_reject"] = f"{L} SELECT link_id FROM l WHERE link_id % 3 = 0 AND NOT {has('u', P.CALENDAR_ALLOWED)}"
+SELECT page_id, CASE WHEN {has('ti', W.IR_DENIED)} THEN {has('u', W.IR_URLS)} ELSE {has('ti', W.IR_TITLES)} OR {has('u', W.IR_URLS)} OR {has('b', W.IR_CONTENT)} END AS valid FROM p"""
+SQL["calendar_reject"] = f"{L} SELECT link_id FROM l WHERE link_id % 3 = 0 AND NOT {has('u', W.CALENDAR_ALLOWED)}"
 SQL["direct_download"] = rf"{L} SELECT link_id FROM l WHERE regexp_matches(u, '\.(pdf|xlsx?|docx?)$')"
 SQL["third_party_links"] = f"{L} SELECT link_id FROM l WHERE link_id % 7 = 0 AND contains(u, 'www.example.com')"
-SQL["early_stop_hits"] = f"{L} SELECT link_id FROM l WHERE NOT {has('u', P.EVENT_TERMS)} AND {PRIORITY} >= 0.3"
-SQL["fallback_links"] = f"{L} SELECT link_id FROM l WHERE {has('u', P.FALLBACK_TERMS)} AND {has('(text || url)', ['2024', '2025'])}"
+SQL["early_stop_hits"] = f"{L} SELECT link_id FROM l WHERE NOT {has('u', W.EVENT_TERMS)} AND {PRIORITY} >= 0.3"
+SQL["fallback_links"] = f"{L} SELECT link_id FROM l WHERE {has('u', W.FALLBACK_TERMS)} AND {has('(text || url)', ['2024', '2025'])}"
 _valid_by_url = VALID.replace("(t || u)", "u").replace("(c,", "(u,")
 SQL["sec_links"] = f"{L} SELECT company_id, min(link_id) AS link_id FROM l WHERE {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} GROUP BY 1"
 SQL["file_validity"] = f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'pdf' WHEN doc_id % 3 = 0 THEN 'xlsx' ELSE 'docx' END AS e,
   CASE WHEN doc_id % 4 = 0 THEN '%PDF-1.7 ' || text ELSE text END AS b FROM documents),
 g AS (SELECT *, strlen(b) AS n, lower(substring(b, 1, 2048)) AS h FROM f)
-SELECT doc_id, CASE WHEN n < 10000 THEN 'too small' WHEN e = 'pdf' AND b NOT LIKE '\\%PDF-%' ESCAPE '\\' THEN 'not a PDF' WHEN e = 'pdf' AND {has('h', P.HTML_MARKS)} THEN 'web page'
-  WHEN e = 'pdf' AND {has('h', P.ERROR_MARKS)} THEN 'error page' WHEN e = 'xlsx' THEN 'not a workbook' WHEN e <> 'xlsx' AND n < 50000 THEN 'below minimum' ELSE 'ok' END AS problem FROM g""".replace("\\\\", "\\")
+SELECT doc_id, CASE WHEN n < 10000 THEN 'too small' WHEN e = 'pdf' AND b NOT LIKE '\\%PDF-%' ESCAPE '\\' THEN 'not a PDF' WHEN e = 'pdf' AND {has('h', W.HTML_MARKS)} THEN 'web page'
+  WHEN e = 'pdf' AND {has('h', W.ERROR_MARKS)} THEN 'error page' WHEN e = 'xlsx' THEN 'not a workbook' WHEN e <> 'xlsx' AND n < 50000 THEN 'below minimum' ELSE 'ok' END AS problem FROM g""".replace("\\\\", "\\")
 
 # classification and scores
 SQL["classify_links"] = f"""{CLASSED} SELECT link_id, CASE WHEN isreport THEN round(priority, 6) END AS priority, CASE WHEN isreport THEN label END AS label, CASE WHEN isreport THEN type END AS type,
 CASE WHEN isreport THEN y END AS year, CASE WHEN isreport THEN q END AS quarter, CASE WHEN isreport THEN latest END AS is_latest_expected FROM cl"""
 _INFO = (
     f"{L}, d AS (SELECT *, {case([(has('c', [str(y)]), y) for y in (2025, 2024, 2023)], 'NULL')} AS year, "
-    f"{case([(f'regexp_matches(c, {quote(p)})', q) for p, q in P.LEGACY_QUARTERS], 'NULL')} AS quarter, "
-    f"{has('c', P.LEGACY_EARNINGS)} AS is_earnings, {ANNUAL} AS is_annual FROM l)"
+    f"{case([(f'regexp_matches(c, {quote(p)})', q) for p, q in W.LEGACY_QUARTERS], 'NULL')} AS quarter, "
+    f"{has('c', W.LEGACY_EARNINGS)} AS is_earnings, {ANNUAL} AS is_annual FROM l)"
 )
 SQL["date_info"] = f"{_INFO} SELECT link_id, year, quarter, is_earnings, is_annual FROM d"
 SQL["classify_links_legacy"] = f"""{_INFO} SELECT link_id,
@@ -189,7 +190,7 @@ CASE WHEN NOT is_earnings THEN NULL WHEN year = 2025 THEN CASE WHEN quarter IS N
   WHEN year = 2024 THEN CASE WHEN coalesce(quarter = 4, false) OR is_annual THEN 'annual' ELSE 'quarterly' END WHEN is_annual THEN 'annual' ELSE 'quarterly' END AS type FROM d"""
 for _name, _x in (("quarter_priority", PRIORITY), ("content_bonus", BONUS), ("availability_adjust", availability("1.0::DOUBLE")), ("comprehensive_score", SCORE), ("keyword_score", KEYWORD), ("ir_confidence", CONFIDENCE)):
     SQL[_name] = f"{L} SELECT link_id, round(({_x})::DOUBLE, 6) AS score FROM l"
-_names = "[" + ", ".join(quote(s) for s, _ in P.STRATEGY_BONUS) + ", 'whole_page_scan']"
+_names = "[" + ", ".join(quote(s) for s, _ in W.STRATEGY_BONUS) + ", 'whole_page_scan']"
 SQL["final_score"] = f"{CLASSED}, s AS (SELECT *, {_names}[link_id % 5 + 1] AS strategy, {SCORE} AS score FROM cl WHERE isreport) SELECT link_id, strategy, round({final('score', 'strategy')}, 6) AS score FROM s"
 SQL["pdf_link_score"] = f"{L} SELECT link_id, ({PDF})::BIGINT AS score, ({CHOICE})::BIGINT AS choice_score FROM l"
 
@@ -198,17 +199,17 @@ SQL["best_report_per_company"] = f"""{CLASSED}, s AS (SELECT *, {SCORE} AS score
 SELECT company_id, link_id, url, label, type, round(score, 6) AS score, round(final_score, 6) AS final_score FROM f
 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY round(final_score, 12) DESC, link_id) = 1"""
 _own_words = ["investor", "earnings", "q4cdn", "ir.", "financial", "quarterly"]
-SQL["best_pdf_per_company"] = f"""{L}, p AS (SELECT company_id, link_id, NOT {has('u', P.THIRD_PARTIES)} AND ({has('u', _own_words)} OR {has('t', _own_words)} OR contains(u, lower(ticker)) OR contains(t, lower(ticker))) AS own,
+SQL["best_pdf_per_company"] = f"""{L}, p AS (SELECT company_id, link_id, NOT {has('u', W.THIRD_PARTIES)} AND ({has('u', _own_words)} OR {has('t', _own_words)} OR contains(u, lower(ticker)) OR contains(t, lower(ticker))) AS own,
 ({CHOICE})::BIGINT AS score FROM l WHERE contains(u, '.pdf'))
 SELECT company_id, link_id, own, score FROM p QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY own DESC, score DESC, link_id) = 1"""
 SQL["top_links_per_company"] = f"""{L}, x AS (SELECT company_id, link_id, replace(url, '/doc-', '/investors/') AS url, text FROM l), y AS (SELECT *, lower(text) AS t, lower(url) AS u FROM x),
 z AS (SELECT *, {CONFIDENCE} AS s FROM y), w AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY s DESC, link_id) AS place FROM z QUALIFY place <= 3)
 SELECT company_id, arg_min(link_id, place) AS link_id, count(*) AS n FROM w WHERE {ir_url('u', 'url')} GROUP BY 1"""
-_page = " OR ".join(f"contains(t, {quote(w)}) OR contains(u, {quote(w.replace(' ', '-'))}) OR contains(t, {quote(w.replace(' ', ''))})" for w in P.PAGE_INDICATORS)
-_high = " OR ".join(f"contains(t, {quote(w)}) OR contains(u, {quote(w.replace(' ', '-'))})" for w in P.HIGH_KEYWORDS)
+_page = " OR ".join(f"contains(t, {quote(w)}) OR contains(u, {quote(w.replace(' ', '-'))}) OR contains(t, {quote(w.replace(' ', ''))})" for w in W.PAGE_INDICATORS)
+_high = " OR ".join(f"contains(t, {quote(w)}) OR contains(u, {quote(w.replace(' ', '-'))})" for w in W.HIGH_KEYWORDS)
 SQL["strategy_cascade"] = f"""{CLASSED}, b AS (SELECT company_id, link_id, {SCORE} AS score, {VALID} AS ok, ({_page}) AS page, ({_high}) AS high, {KEYWORD} AS kw, {FINANCIAL_URL} AS fin,
-  {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec, {has('u', P.FALLBACK_TERMS)} AND {has('(text || url)', ['2024', '2025'])} AS fb,
-  NOT {has('u', P.EVENT_TERMS)} AND {PRIORITY} >= 0.3 AS now FROM cl WHERE isreport),
+  {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec, {has('u', W.FALLBACK_TERMS)} AND {has('(text || url)', ['2024', '2025'])} AS fb,
+  NOT {has('u', W.EVENT_TERMS)} AND {PRIORITY} >= 0.3 AS now FROM cl WHERE isreport),
 h AS (SELECT company_id, 1 AS n, 'whole_page_scan' AS strategy, 0.95::DOUBLE AS score, now FROM b WHERE ok AND page UNION ALL
   SELECT company_id, 2, 'enhanced_keyword_search', kw, now FROM b WHERE ok AND high UNION ALL SELECT company_id, 3, 'learned_patterns', score, now FROM b WHERE fin AND score > 0.2 UNION ALL
   SELECT company_id, 4, 'comprehensive_scan', score, now FROM b WHERE ok UNION ALL SELECT company_id, 6, 'dynamic_discovery', score, now FROM b WHERE ok AND score > 0.2 UNION ALL
@@ -228,14 +229,14 @@ _ORIGIN = "(split_part(url, '/', 1) || '//' || split_part(url, '/', 3))"
 SQL["base_domain"] = f"SELECT page_id, {_BASE} AS domain, split_part({_BASE}, '.', 1) AS company, {_ORIGIN} AS origin, {_REG} AS registrable FROM pages"
 _cands = [f"'https://ir.about' || split_part({_BASE}, '.', 1) || '.com/'", *[f"'https://{s}.' || {_BASE} || '/'" for s in ("investors", "investor", "ir")],
           f"'https://corporate.' || {_BASE} || '/investor/'", *[f"'https://www.' || {_BASE} || '/{p}/'" for p in ("investor", "investors")],
-          *[f"'https://{s}.' || {_BASE} || '/'" for s in ("finance", "sec")], *[f"{_ORIGIN} || '{p}'" for p in P.IR_PATHS], *[f"'https://{s}.' || {_REG}" for s in P.IR_SUBDOMAINS]]
+          *[f"'https://{s}.' || {_BASE} || '/'" for s in ("finance", "sec")], *[f"{_ORIGIN} || '{p}'" for p in W.IR_PATHS], *[f"'https://{s}.' || {_REG}" for s in W.IR_SUBDOMAINS]]
 SQL["ir_url_candidates"] = " UNION ALL ".join(f"SELECT page_id, {i} AS ord, {c} AS candidate FROM pages" for i, c in enumerate(_cands))
 SQL["text_of_url"] = f"{L} SELECT link_id, replace(replace(string_split(url, '/')[-1], '-', ' '), '_', ' ') AS text FROM l"
 SQL["path_frequency"] = f"""{L}, x AS (SELECT string_split(regexp_replace(url, '/doc-[0-9]+', '/annual-report', 'g') || '/x', '/') AS p FROM l), y AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM x)
-SELECT array_to_string(p[i:i+2], '/') AS path, count(*) AS n FROM y WHERE {has('lower(p[i])', P.PATH_SEGMENTS)} GROUP BY 1"""
+SELECT array_to_string(p[i:i+2], '/') AS path, count(*) AS n FROM y WHERE {has('lower(p[i])', W.PATH_SEGMENTS)} GROUP BY 1"""
 SQL["year_paths"] = f"""{L}, x AS (SELECT link_id, u, string_split(url, '/') AS p FROM l), y AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: regexp_matches(p[i], '^20\\d{{2}}'))[1] AS i FROM x)
-SELECT link_id, CASE WHEN i IS NOT NULL AND {has('u', P.FILE_EXTENSIONS)} THEN array_to_string(p[greatest(i - 1, 1):i+2], '/') END AS path FROM y"""
-_dates = "flatten([" + ", ".join(f"regexp_extract_all(b, {quote('(?i)' + p)})[1:10]" for p in P.DATE_PATTERNS) + "])"
+SELECT link_id, CASE WHEN i IS NOT NULL AND {has('u', W.FILE_EXTENSIONS)} THEN array_to_string(p[greatest(i - 1, 1):i+2], '/') END AS path FROM y"""
+_dates = "flatten([" + ", ".join(f"regexp_extract_all(b, {quote('(?i)' + p)})[1:10]" for p in W.DATE_PATTERNS) + "])"
 SQL["date_strings"] = f"""{L}, x AS (SELECT link_id, text || ' on 3/4/2025, July 31, 2025 and 2024-05-06; fy 2025 ' || link_id AS b FROM l), y AS (SELECT link_id, {_dates} AS d FROM x)
 SELECT link_id, array_to_string(d, '|') AS dates, array_to_string(list_reverse_sort(list_distinct(d))[1:5], '|') AS latest FROM y"""
 
@@ -320,7 +321,7 @@ SQL["latest_updates"] = f"{A}, s AS ({_STATE}) SELECT user_id, published FROM s
 SQL["required_objects_missing"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 _S = STRIP.format("text")
 SQL["qc_outputs"] = f"""WITH x AS (SELECT doc_id, {_S} AS s FROM documents), y AS (SELECT doc_id, CASE WHEN length(s) < 100 THEN 'Text file too short: ' || length(s) || ' chars'
-WHEN NOT {has('lower(s)', P.CONTENT_TERMS)} THEN 'Text file does not appear to contain earnings content' ELSE '' END AS errors FROM x) SELECT doc_id, errors, errors = '' AS passed FROM y"""
+WHEN NOT {has('lower(s)', W.CONTENT_TERMS)} THEN 'Text file does not appear to contain earnings content' ELSE '' END AS errors FROM x) SELECT doc_id, errors, errors = '' AS passed FROM y"""
 _R = f"""{E}, r AS (SELECT *, CASE WHEN doc_id % 4 > 0 THEN ticker END AS rt, doc_id % 5 - 1 AS rv, CASE WHEN doc_id % 6 = 0 THEN 'EUR' ELSE 'USD' END AS ru, doc_id % 7 = 0 AS rs, doc_id % 8 AS rh,
 coalesce(confidence, 0) AS cf, CASE WHEN doc_id % 10 = 0 THEN 9 ELSE 64 END AS sl FROM e),"""
 _Q = """q AS (SELECT *, list_filter([CASE WHEN rt IS NULL THEN 'Missing required field: ticker' END, CASE WHEN report_type IS NULL THEN 'Missing required field: report_type' END, CASE WHEN confidence IS NULL THEN 'Missing required field: confidence' END,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import params as P
+from . import lists as W
 from .oracle import _NAMED, CLASSED, CONFIDENCE, KEYWORD, PDF, PRIORITY, SCORE, SQL, STRIP, VALID, A, E, L, _high, _page, _valid_by_url, has, ir_url, quote
 
 
@@ -73,7 +74,7 @@ SQL["context_urls"] = f"WITH {_near(['investor', 'report', 'Q[1-4]'])} SELECT pa
 SQL["fallback_reports"] = f"""WITH {_near(['2025', '2024', 'Q[1-4]', 'earnings', 'financial', 'report', 'results', 'filing'])}
 SELECT page_id, rank, place, found_url AS url, hit AS text, 5.0::DOUBLE AS priority, '2025_fallback' AS year, 'fallback' AS type, 'fallback_search' AS strategy, 0.3::DOUBLE AS score FROM o WHERE valid"""
 SQL["cascade_all"] = f"""{CLASSED}, b AS (SELECT company_id, link_id, {SCORE} AS score, {VALID} AS ok, ({_page}) AS page, ({_high}) AS high, {KEYWORD} AS kw,
-  {has('u', P.FILE_EXTENSIONS)} AND {has('u', P.FINANCIAL_URL_WORDS)} AS fin, {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec,
+  {has('u', W.FILE_EXTENSIONS)} AND {has('u', W.FINANCIAL_URL_WORDS)} AS fin, {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec,
   {has('u', ['.pdf', '.xlsx', '.xls', 'download', 'filing', 'earnings'])} AND {has('(text || url)', ['2024', '2025'])} AS fb,
   NOT {has('u', ['event-details', 'conference-call', 'webcast'])} AND {PRIORITY} >= 0.3 AS now FROM cl WHERE isreport),
 m AS (SELECT * FROM b WHERE link_id % (company_id + 2) <> 0 AND company_id % 3 = 0),
@@ -208,3 +209,7 @@ SELECT '2025-Q2', count(*), count(*) FROM e WHERE period = '2025-Q2' AND report_
 SQL["layout"] = """WITH n AS (SELECT n_name AS ticker, '2025-Q' || (n_regionkey % 4 + 1) AS period, n_nationkey FROM nation)
 SELECT 'text' AS kind, ticker, period, 2 AS n_lines, greatest('end', 'Report of ' || ticker) AS last FROM n UNION ALL SELECT 'tables', ticker, period, 2, greatest('"key"', '"' || n_nationkey || '"') FROM n UNION ALL
 SELECT 'metadata', ticker, period, 1, '{"name":"report","pages":1,"success":true}' FROM n"""
+SQL["put_states"] = f"""{A}, b AS (SELECT * FROM a WHERE user_id % 2 = 0 UNION ALL SELECT * FROM a WHERE user_id % 2 = 1 AND event_type = 'error')
+SELECT user_id, arg_max(sha256, event_id) AS sha256, arg_max(published, event_id) AS published, count(*) AS processing_count FROM b GROUP BY 1"""
+SQL["stored_objects"] = """SELECT 'parsed/' || n_name || '/text.txt' AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'Text of ' || n_name END AS content,
+CASE WHEN n_nationkey % 3 = 0 THEN 'application/json' ELSE 'text/plain' END AS content_type, n_regionkey::VARCHAR AS region, n_nationkey % 3 = 0 AS again FROM nation"""

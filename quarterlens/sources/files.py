@@ -163,3 +163,38 @@ def write_layout(reports: DataFrame, root: str) -> None:
     tables = dealt.select(*keys, F.inline("tables"))
     tables.select(*keys, F.col("name").alias("table"), F.col("csv").alias("value")).write.mode("overwrite").partitionBy(*keys, "table").text(f"{root}/tables")
     dealt.select(*keys, "name", "metadata.*").write.mode("overwrite").partitionBy(*keys).json(f"{root}/metadata")
+
+
+def put_objects(objects: DataFrame, root: str) -> DataFrame:
+    """Stores objects (name, content, content_type, metadata: map) as rows of a table under root, and returns each one's address.
+    Later puts of a name are further versions; get_objects reads the last one."""
+    stamped = objects.withColumn("version", F.unix_micros(F.current_timestamp()))
+    stamped.write.mode("append").parquet(f"{root}/objects")
+    return objects.select("name", F.concat(F.lit(root.rstrip("/")), F.lit("/"), F.col("name")).alias("uri"))
+
+
+def get_objects(spark: SparkSession, root: str) -> DataFrame:
+    """The last version of each object: one partial aggregation on the names, in which contents do not take part."""
+    rows = spark.read.parquet(f"{root}/objects")
+    last = rows.groupBy(F.col("name").alias("_name")).agg(F.max("version").alias("_version"))
+    on = (F.col("name") == F.col("_name")) & (F.col("version") == F.col("_version"))
+    return rows.join(last, on, "left_semi").drop("version")
+
+
+def put_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Puts one row for each key into a table: rows of these keys are replaced, all others stay.
+
+    The table is parted into buckets by the key's hash, and only buckets that a new row falls into are read and written anew, so
+    a put costs what it touches. rows has one row for each key."""
+    spark = rows.sparkSession
+    new = written(rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")))
+    if exists(spark, path):
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # as many as buckets at most
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("_bucket").isin(touched))
+        new = written(new.unionByName(old.join(new.select(key), key, "left_anti").select(*new.columns)))
+    dealt = new.repartition("_bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def by_key(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")

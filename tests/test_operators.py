@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterlens.operators import documents, links, qc, ranking, state
+from quarterlens.params import EngineParams
 from quarterlens.plans import more, oracle_more  # noqa: F401
 from quarterlens.plans.catalogue import QUERIES
 from quarterlens.plans.oracle import SQL
@@ -149,3 +150,38 @@ def test_validators(spark):
     df = spark.createDataFrame([("  " + "x" * 50,), (None,), ("quarter " * 20,)], "t string")
     got = [r["e"] for r in df.select(qc.text_outputs(F.col("t"), F.lit(0)).alias("e")).collect()]
     assert got == [["Text file too short: 50 chars"], ["Text file not found", "Neither meaningful text nor tables found - extraction may have failed"], []]
+
+
+def test_anchors_of_all_spellings(spark):
+    html = "<A HREF='/one'>1</A><a class=x href=/two>2</a><a name=\"y\">none</a><a\nhref = \"https://a/b?c='d'\"> <b>3</b>\n</a ><abbr href='no'>x</abbr>"
+    pages = spark.createDataFrame([(1, "https://h.com/p/q", html), (2, "https://h.com", None)], "page_id long, url string, html string")
+    got = [(r["ord"], r["href"], r["text"]) for r in links.page_links(pages).orderBy("ord").collect()]
+    assert got == [(0, "/one", "1"), (1, "/two", "2"), (2, None, "none"), (3, "https://a/b?c='d'", "3")]
+    assert [r["full"] for r in links.absolutised(links.page_links(pages)).orderBy("ord").collect()] == ["https://h.com/one", "https://h.com/two", "https://a/b?c='d'"]
+    assert links.page_links(pages, 2).count() == 2
+
+
+def test_nested_and_broken_pages(spark):
+    html = "<div class='a'><div class='earnings'><span>Q2</span></div><a href='/x.pdf'>X<br>Y</a></div><p><a href=y.pdf>skip<div class='PDF'></p>"
+    pages = spark.createDataFrame([(1, "https://h.com/p", html), (2, None, None)], "page_id long, url string, html string")
+    got = [(r["pass"], r["url"], r["text"]) for r in links.pdf_candidates(pages).orderBy("ord").collect()]
+    assert (1, "https://h.com/x.pdf", "XY") in got and (2, "https://h.com/x.pdf", "Q2") in got and (1, "y.pdf", "skip") not in got
+
+
+def test_older_arrivals_over_spans(spark):
+    rows = [(i, 1, f"2025-01-{(i * 7) % 28 + 1:02}") for i in range(80)] + [(i, 2, "2025-01-01") for i in range(5)]
+    df = spark.createDataFrame(rows, "event_id long, k int, published string")
+    one, many = (sorted(map(tuple, state.older_than_seen(df, "k", "event_id", n).collect())) for n in (1_000, 7))
+    want, newest = [], {}
+    for i, k, p in rows:
+        if k in newest and p < newest[k]:
+            want.append((i, k, p, newest[k]))
+        newest[k] = max(newest.get(k, ""), p)
+    assert one == many == sorted(want)
+
+
+def test_best_report_of_ties(spark):
+    rows = [(3, 1, "Form 10-Q Q2 2025", "https://a/1.pdf"), (2, 1, "Form 10-Q Q2 2025", "https://a/1.pdf"), (9, 1, "Form 10-Q Q2 2025", "https://a/0.pdf")]
+    df = spark.createDataFrame(rows, "link_id long, company_id int, text string, url string")
+    got = ranking.best_report(df, EngineParams()).collect()
+    assert [(r["link_id"], r["url"]) for r in got] == [(2, "https://a/1.pdf")]

@@ -137,3 +137,29 @@ def test_ir_candidates(spark):
 def test_params():
     p = EngineParams.from_env({"QUARTERLENS_COMPANIES": "AAPL, XX", "QUARTERLENS_WORKERS": "0"})
     assert p.problems() == ["unknown company: XX", "workers must be at least 1"] and EngineParams().problems() == []
+
+
+def test_paths_of_any_length(spark):
+    url = "https://www.example.com/" + "/".join(f"s{i}" for i in range(1_500))
+    assert len(one(spark, urls.url_structure(F.col("u"))["path_structure"], u=url)) == 1_500
+    assert one(spark, urls.url_structure(F.col("u"))["path_structure"], u="https://x.com") == []
+
+
+@pytest.mark.parametrize(
+    ("url", "start", "rejected"),
+    [
+        ("https://x.com/a", "<!DOCTYPE html>", True), ("https://x.com/a.PDF", "<!DOCTYPE html>", False), ("https://x.com/a", "<html>", True),
+        ("https://x.com/a", "%PDF-1.7 <html>", False), ("https://x.com/a", "  <html", True), ("https://x.com/filing", "<html", False),
+        ("https://x.com/a", " " * 600 + "<html", False), ("https://x.com/a", "<!doctype html>", False),
+    ],
+)
+def test_web_pages_instead_of_files(spark, url, start, rejected):
+    assert one(spark, rules.web_page_instead(F.col("u"), F.col("h")), u=url, h=start) == rejected
+
+
+def test_generic_link_texts_and_scripts(spark):
+    plain = one(spark, scoring.pdf_link_score(F.col("u"), F.col("t"), F.lit("XYZ")), u="https://a.com/r.pdf", t="report")
+    for text, off in (("click", 1), ("here", 1), ("click here", 2), ("download here", 2), ("view", 1)):
+        assert one(spark, scoring.pdf_link_score(F.col("u"), F.col("t"), F.lit("XYZ")), u="https://a.com/r.pdf", t=text) == plain - off
+    assert not one(spark, rules.valid_ir_url(F.col("u")), u="https://a.com/investors/?x=JavaScript:go()")
+    assert one(spark, rules.valid_ir_url(F.col("u")), u="https://a.com/investors/?x=go")
