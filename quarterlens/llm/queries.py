@@ -8,8 +8,8 @@ from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op3_neighbours
 from .packing import op8_packing
 from .pii import op1_pii
-from .repeats import op6_repeats
-from .sharding import op10_sharding
+from .repeats import OP6_SQL, op6_repeats
+from .sharding import OP10_SQL, op10_sharding
 from .tokens import op2_token_counts
 from .toxicity import op4_toxicity
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op5_exact_dedup": OP5_SQL, "op9_near_dedup": OP9_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op6_repeats": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_sharding": OP10_SQL}

@@ -488,3 +488,20 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: By listing every window of every text, as hexadecimal digits: for small tables.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 200] AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+runs AS (
+  SELECT doc_id, p, sum(CASE WHEN p <= coalesce(before, -1000) + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)
+), spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY 1, 2),
+per AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops FROM spans GROUP BY 1)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1),
+    lambda i: h[2 * coalesce(stops[i], 0) + 1:2 * coalesce(starts[i + 1], len(h) // 2)]), '') END)) AS kept_sha256
+FROM d LEFT JOIN per ON d.doc_id = per.doc_id
+"""

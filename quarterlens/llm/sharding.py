@@ -75,3 +75,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: The checksum goes over the text's bytes by a table that is made here too.
+OP10_SQL = """
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+  lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n)) AS t),
+d AS (SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+  lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, k),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS e, sum(size) OVER () AS total FROM c),
+s AS (SELECT doc_id, size, text_crc32, least(39, ((2 * e - size) * 40) // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""

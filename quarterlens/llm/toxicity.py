@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, spread, stored, table, text_bytes, texts
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Features are picked and the classifier is fitted on at most this many labelled rows (those of least hash).
 TRAIN_ROWS = 20_000
 #: Most features, and the least excess over chance, in standard deviations, that makes one.
 FEATURES, LEAST_Z, LEAST_WEIGHT = 400, 3.0, 3.0
 #: Lengths of word beginnings, and how often one must come, to be a feature.
 PREFIXES, LEVELS = (4, 5, 6, 7), (2, 4)
-#: Words, and bytes of these, that a task counts before it passes the sums on.
-COUNTED, COUNTED_BYTES = 500_000, 1 << 24
+#: Words, and bytes of these, that a task counts before it passes the sums on; and words that it turns into sums at a time.
+COUNTED, COUNTED_BYTES, SUMMED = 500_000, 1 << 24, 50_000
 THRESHOLD = 0.7
 #: Clean rows that are added to those seen with a feature, when the feature's share of toxic rows is estimated.
 DOUBT = 8.0
@@ -311,7 +311,7 @@ class Model:
         """Of a token as it stands and as it is restored: feature words, beginnings of words that make features, and how many
         single characters set apart it holds (0 if it holds anything else)."""
         if t not in self.tokens:
-            if len(self.tokens) >= 4 * DECODED:
+            if len(self.tokens) >= 2 * DECODED:
                 self.tokens.clear()
             low = t.lower()
             words = plain_words(low)
@@ -443,17 +443,17 @@ def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def merged() -> pa.Table:
         return pa.concat_tables(held).combine_chunks().group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-    def sums() -> pa.RecordBatch:
-        whole = merged() if held else pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
-        words = [w for chunk in whole.column(0).chunks for w in strings(chunk)]
-        counts = whole.column(1).to_numpy()
-        trigrams = trigram_sums(words, counts)
-        items = [*trigrams, *[None] * (len(words) + 1)]
-        keys = [*[None] * len(trigrams), *map(word_key, words), None]
-        totals = [*trigrams.values(), *counts.tolist(), n_texts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(totals, pa.int64())], names=["item", "key", "n"]
-        )
+    def rows(items: list, keys: list | np.ndarray, totals: list | np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(totals, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["item", "key", "n"])
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        trigrams: Counter = Counter()
+        for part in merged().to_batches(SUMMED) if held else ():
+            words, counts = strings(part.column(0)), part.column(1).to_numpy()
+            trigrams.update(trigram_sums(words, counts))
+            yield rows([None] * len(words), np.fromiter(map(word_key, words), np.int64, len(words)), counts)
+        yield rows([*trigrams, None], [None] * (len(trigrams) + 1), [*trigrams.values(), n_texts])
 
     for batch in batches:
         for a, b in slices(batch, SLICE, 0):
@@ -462,9 +462,10 @@ def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(t.num_rows for t in held) > COUNTED or sum(t.nbytes for t in held) > COUNTED_BYTES:
                 held = [merged()]
                 if held[0].num_rows > COUNTED // 2 or held[0].nbytes > COUNTED_BYTES // 2:
-                    yield sums()
+                    yield from sums()
                     n_texts, held = 0, []
-    yield sums()
+            pa.default_memory_pool().release_unused()
+    yield from sums()
 
 
 def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray, int]:
@@ -581,6 +582,7 @@ def _scores(model: Model):
                 part = batch.slice(a, b - a)
                 scores = model.scores(part.column(1))
                 held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in part.column(0).to_pylist()]
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
                     names=["doc_id", "held_out", "score", "predicted"],
