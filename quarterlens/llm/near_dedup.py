@@ -31,7 +31,7 @@ BLOCK, HELD = 1 << 20, 1 << 22
 #: Bits of the filter that holds back texts which no pair names (4 MB at most, whatever the corpus holds).
 FILTER, FILTER_PART = 1 << 25, 1 << 15
 #: Members of a bucket that one task compares with as many others.
-CHUNK = 4_096
+CHUNK = 1_024
 
 _rng = np.random.default_rng(9_041)
 _MUL = _rng.integers(0, 1 << 63, MOST_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -167,3 +167,19 @@ def test_bands_reach_the_threshold():
     assert [near_dedup.bands_for(p) for p in (85, 80)] == [19, 27]
     for percent in (85, 80):
         assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(percent) < 1e-6
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of 104 words, 100 shingles, of which they share 92 (85.2 per cent) or 91 (83.5 per cent)."""
+    rnd, rows = random.Random(12), []
+    for pair in range(300):
+        words = [f"p{pair}x{i}" for i in range(104)]
+        rows.append((2 * pair, " ".join(words)))
+        other = list(words)
+        for k in range(8 if pair % 2 == 0 else 9):  # a changed word at the end costs one shingle
+            other[103 - k] = f"q{rnd.randrange(10**9)}"
+        rows.append((2 * pair + 1, " ".join(other)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert {len(sets[2 * p] & sets[2 * p + 1]) for p in range(300)} == {92, 91}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[2 * p + 1] == (2 * p if p % 2 == 0 else 2 * p + 1) for p in range(300))
