@@ -47,14 +47,17 @@ class MultiIndex:
         self.width = len(self.books[1])
         self.cells = len(self.books[0]) * self.width
         self.sample = sample.astype(np.float32)
+        self.norms = (self.sample * self.sample).sum(1)
         self.radii = np.full(self.cells, np.inf)
 
     def bound(self, q: np.ndarray, k: int) -> float:
         """A distance within which k entries lie for certain, as so many of the sample do."""
         if len(self.sample) < k:
             return np.inf
-        d = ((self.sample.astype(np.float64) - q) ** 2).sum(1)
-        return float(np.sqrt(np.partition(d, k - 1)[k - 1])) * (1 + 1e-9)
+        square = float(q @ q)
+        d = self.norms - 2 * (self.sample @ q.astype(np.float32)) + np.float32(square)
+        slack = 1e-4 * (float(self.norms.max()) + square)  # far more than single precision loses
+        return float(np.sqrt(max(0.0, float(np.partition(d, k - 1)[k - 1])) + slack))
 
     def spread(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Distances of vectors from the centroid pairs of their cells."""
