@@ -57,7 +57,7 @@ class MultiIndex:
         square = float(q @ q)
         d = self.norms - 2 * (self.sample @ q.astype(np.float32)) + np.float32(square)
         slack = 1e-4 * (float(self.norms.max()) + square)  # far more than single precision loses
-        return float(np.sqrt(max(0.0, float(np.partition(d, k - 1)[k - 1])) + slack))
+        return float(np.sqrt(max(0.0, float(np.partition(d, k - 1)[k - 1]) + slack)))
 
     def spread(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Distances of vectors from the centroid pairs of their cells."""

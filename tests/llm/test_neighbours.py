@@ -91,3 +91,12 @@ def test_cells_beyond_the_bound_hold_no_neighbour():
         assert set(cells[near]) <= set(some) <= set(every) and len(every) == (counts > 0).sum()
         left += counts[some].sum()
     assert left < 0.5 * len(x) * len(x[::50])
+
+
+def test_bounds_hold_in_single_precision():
+    rnd = np.random.default_rng(8)
+    for scale, shift in ((1.0, 0.0), (1e-4, 1.0), (1e-4, 1000.0), (50.0, 0.0)):
+        x = (rnd.normal(0, scale, (400, 16)) + shift).astype(np.float32).astype(float)
+        index = MultiIndex(x, 4)
+        for q in x[:20]:
+            assert index.bound(q, 11) >= np.sort(np.sqrt(((x - q) ** 2).sum(1)))[10]
