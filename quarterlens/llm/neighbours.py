@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,8 @@ class MultiIndex:
         square = float(q @ q)
         d = self.norms - 2 * (self.sample @ q.astype(np.float32)) + np.float32(square)
         slack = 1e-4 * (float(self.norms.max()) + square)  # far more than single precision loses
-        return float(np.sqrt(max(0.0, float(np.partition(d, k - 1)[k - 1]) + slack)))
+        near = float(np.partition(d, k - 1)[k - 1]) + slack
+        return math.sqrt(max(0.0, near)) if math.isfinite(near) else np.inf  # values beyond single precision give no bound
 
     def spread(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Distances of vectors from the centroid pairs of their cells."""

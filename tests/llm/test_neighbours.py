@@ -100,3 +100,6 @@ def test_bounds_hold_in_single_precision():
         index = MultiIndex(x, 4)
         for q in x[:20]:
             assert index.bound(q, 11) >= np.sort(np.sqrt(((x - q) ** 2).sum(1)))[10]
+    huge = rnd.normal(0, 1e30, (50, 4))
+    with np.errstate(all="ignore"):
+        assert MultiIndex(huge, 2).bound(huge[0], 5) == np.inf
