@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, slices, spread, table, texts
+from .common import ship, slices, spread, table, texts, tidy
 from .tokens import segments
 
 SLICE = 1 << 20
@@ -492,13 +492,13 @@ def _decode(path: str):
 def encode_texts(docs: DataFrame, ranks: str) -> DataFrame:
     """Each document's ids. Null and empty texts have none; every row is returned once; other columns are ignored."""
     ship(docs.sparkSession)
-    return spread(texts(docs)).mapInArrow(_encode(ranks), "doc_id long, ids array<int>")
+    return spread(texts(docs)).mapInArrow(tidy(_encode(ranks)), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
     """The texts of (doc_id, ids); null ids give an empty text, and bytes that are no UTF-8 the replacement character."""
     ship(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(ranks), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(ranks)), "doc_id long, text string")
 
 
 def round_trips(docs: DataFrame, ranks: str) -> DataFrame:
@@ -511,7 +511,7 @@ def round_trips(docs: DataFrame, ranks: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return spread(texts(docs)).mapInArrow(_round_trip(ranks), schema)
+    return spread(texts(docs)).mapInArrow(tidy(_round_trip(ranks)), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_ids, ship, slices, spread, stored, table, text_bytes, texts
+from .common import row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy
 
-SLICE = 4 << 20
-SEEN = 200_000
+SLICE = 2 << 20
+SEEN = 100_000
 LEAST, MASK_BITS, MOST = 512, 11, 16_384
 
 _GEAR = np.random.default_rng(20_240_607).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -142,7 +142,7 @@ def _duplicates(rows: DataFrame, bits: int = 64) -> DataFrame:
     null, rows are numbered here."""
     spark = rows.sparkSession
     ship(spark)
-    cut = stored(spark, spread(rows).mapInArrow(_cut(bits), _CUT), "exact-cut")
+    cut = stored(spark, spread(rows).mapInArrow(tidy(_cut(bits)), _CUT), "exact-cut")
     recipes = cut.filter("recipe is not null").select("doc_id", "recipe", "text_sha256", "n_bytes", "row")
     clashes = stored(
         spark,
@@ -150,7 +150,7 @@ def _duplicates(rows: DataFrame, bits: int = 64) -> DataFrame:
         .select("name", "chunk")
         .repartition("name")
         .sortWithinPartitions("name")
-        .mapInArrow(_verify, "name binary"),
+        .mapInArrow(tidy(_verify), "name binary"),
         "exact-clashes",
     )
     recipes = recipes.withColumn("row", F.coalesce("row", F.monotonically_increasing_id()))

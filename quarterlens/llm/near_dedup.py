@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, row_ids, ship, slices, spread, stored, table, text_bytes, texts
+from .common import discard, release, row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy
 from .links import components
 
 SLICE = 1 << 20
@@ -215,13 +215,14 @@ def unshared(percent, na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
 def _sign(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch, 4 * SLICE):  # words are numbered for several slices at once
+            for a, b in slices(batch, 2 * SLICE):  # words are numbered for several slices at once
                 large = batch.slice(a, b - a)
                 digests, per_doc = words_of(large.column(1))
                 first = np.append(0, np.cumsum(per_doc))
                 for x, y in slices(large, SLICE):
                     yield _signed(large.slice(x, y - x), bands, *_shingles(digests[first[x] : first[y]], per_doc[x:y]))
-                pa.default_memory_pool().release_unused()
+                release()
+        _digests.clear()
 
     return run
 
@@ -431,7 +432,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     plain = texts(docs)
-    signed = stored(spark, spread(plain).mapInArrow(_sign(bands_for(percent)), _SIGNED), "near-signed")
+    signed = stored(spark, spread(plain).mapInArrow(tidy(_sign(bands_for(percent))), _SIGNED), "near-signed")
     classes = stored(
         spark,
         signed.filter("key is not null and doc_id is not null")
@@ -476,7 +477,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             _meetings(where, placed)
             .repartition("bucket")
             .sortWithinPartitions("bucket")
-            .mapInArrow(_across(budget, percent), "a binary, b binary")
+            .mapInArrow(tidy(_across(budget, percent)), "a binary, b binary")
             .distinct()
         )
         crossing = stored(spark, crossing, "near-crossing")
@@ -514,7 +515,7 @@ def _screened(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     side = lambda k: light.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "sketch", "next")])
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "next_a", "sketch_b", "next_b").mapInArrow(_screen(percent), "a binary, b binary")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "next_a", "sketch_b", "next_b").mapInArrow(tidy(_screen(percent)), "a binary, b binary")
 
 
 def _named(plain: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -553,7 +554,7 @@ def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame, percent: int)
     for k in "ab":
         text = whole.select(F.col("doc_id").alias(f"node_{k}"), F.col("sha").alias(f"sha_{k}"), F.col("text").alias(f"text_{k}"))
         named = named.join(text.hint("shuffle_merge"), [f"node_{k}", f"sha_{k}"])
-    good = named.select("a", "b", "node_a", "node_b", "text_a", "text_b").mapInArrow(_check(percent), "a long, b long")
+    good = named.select("a", "b", "node_a", "node_b", "text_a", "text_b").mapInArrow(tidy(_check(percent)), "a long, b long")
     return good.distinct()
 
 

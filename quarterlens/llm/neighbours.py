@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stored, table
+from .common import ship, stored, table, tidy
 
 NEIGHBOURS = 10
 QUERY_STEP = 100
@@ -247,7 +247,7 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
     centroids = int(min(MOST_CENTROIDS, max(2, 2 ** int(np.log2(max(4.0, np.sqrt(n) / 2))))))
     index = MultiIndex(sample, centroids)
     share = index.share(sample) if share is None else share
-    placed = points.mapInArrow(_assign(index, width), f"first long, v array<{kind}>, ids array<long>, cell int, spread double")
+    placed = points.mapInArrow(tidy(_assign(index, width)), f"first long, v array<{kind}>, ids array<long>, cell int, spread double")
     placed = stored(spark, placed, "neighbours-cells")
 
     # at most MOST_CENTROIDS ** 2 counts
@@ -286,7 +286,7 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, sha
         entries.unionByName(visits)
         .repartition("block")
         .sortWithinPartitions("block", "kind")
-        .mapInArrow(_rerank(width, k + 1), "query long, entry long, distance double")
+        .mapInArrow(tidy(_rerank(width, k + 1)), "query long, entry long, distance double")
     )
     best = Window.partitionBy("query").orderBy("distance", "entry")
     near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Bpe, encode_whole
-from .common import ship, slices, spread, table, texts
+from .common import ship, slices, spread, table, texts, tidy
 from .tokens import encoder
 
 SLICE = 1 << 20
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, piece: int
     """
     ship(docs.sparkSession)
     schema = ", ".join(f"{n} long" for n in _NAMES)
-    return spread(texts(docs)).mapInArrow(_pack(vocabulary, capacity, piece, end_id), schema)
+    return spread(texts(docs)).mapInArrow(tidy(_pack(vocabulary, capacity, piece, end_id)), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, slices, spread, stored, table
+from .common import ship, slices, spread, stored, table, tidy
 
 #: Bytes of a window, and of the grams of which the least in a window is its anchor.
 LENGTH, GRAM = 100, 24
@@ -452,10 +452,10 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = 4 * parts
     settled = (
         spread(numbered)
-        .mapInArrow(_cut(buckets), _MOVED)
+        .mapInArrow(tidy(_cut(buckets)), _MOVED)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "kind")
-        .mapInArrow(_first_pass(hot), _MOVED)
+        .mapInArrow(tidy(_first_pass(hot)), _MOVED)
     )
     settled = stored(spark, settled, "repeats-first")
 
@@ -466,10 +466,10 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     compared = (
         by_doc.join(asked.hint("shuffle_merge"), ["doc_id", "alt"])
         .select("doc_id", "alt", "text", "asked", "missing")  # the columns of the join below, so that one exchange serves both
-        .mapInArrow(_contents(buckets), _MOVED)
+        .mapInArrow(tidy(_contents(buckets)), _MOVED)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "kind")
-        .mapInArrow(_later_passes, _MOVED)
+        .mapInArrow(tidy(_later_passes), _MOVED)
     )
     removals = (
         settled.filter(F.col("kind") == _REMOVE)
@@ -481,7 +481,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         by_doc.join(removals.hint("shuffle_merge"), ["doc_id", "alt"], "left")
         .select("doc_id", "alt", "missing", "text", "spans")
         .mapInArrow(
-            _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+            tidy(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         )
     )
 

@@ -10,7 +10,7 @@ from itertools import accumulate, pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, slices, spread, table, text_offsets, texts
+from .common import ship, slices, spread, table, text_offsets, texts, tidy
 
 SLICE = 1 << 20
 SEGMENT = 1 << 16
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return spread(texts(docs)).mapInArrow(_count(vocabulary, limit), schema)
+    return spread(texts(docs)).mapInArrow(tidy(_count(vocabulary, limit)), schema)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

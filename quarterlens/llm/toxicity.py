@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, spread, stored, table, text_bytes, texts
+from .common import release, ship, slices, spread, stored, table, text_bytes, texts, tidy
 
 SLICE = 2 << 20
 #: Features are picked and the classifier is fitted on at most this many labelled rows (those of least hash).
@@ -464,7 +464,7 @@ def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held[0].num_rows > COUNTED // 2 or held[0].nbytes > COUNTED_BYTES // 2:
                     yield from sums()
                     n_texts, held = 0, []
-            pa.default_memory_pool().release_unused()
+            release()
     yield from sums()
 
 
@@ -477,7 +477,7 @@ def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray,
     spark = docs.sparkSession
     ship(spark)
     plain = spread(texts(docs)).select("text")
-    counted = plain.mapInArrow(_language, "item string, key long, n long").groupBy("item", "key").agg(F.sum("n").alias("n"))
+    counted = plain.mapInArrow(tidy(_language), "item string, key long, n long").groupBy("item", "key").agg(F.sum("n").alias("n"))
     counted = stored(spark, counted, "toxicity-language")
     total = counted.filter("item is null and key is null").agg(F.sum("n")).first()[0] or 0
     trigrams = counted.filter("item is not null").select("item", "n").toArrow()
@@ -542,7 +542,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     )
     # `most` rows of two numbers; of an id with several texts one text counts
     sample = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    signed = sample.select("text", "toxic").mapInArrow(_sample, "text string, toxic int, sig long, items array<string>")
+    signed = sample.select("text", "toxic").mapInArrow(tidy(_sample), "text string, toxic int, sig long, items array<string>")
     signed = stored(spark, signed, "toxicity-sample")
     sizes = signed.groupBy("sig").agg((1 / F.count("*")).alias("weight"))
     weighed = signed.join(F.broadcast(sizes), "sig")  # `most` rows of two numbers
@@ -569,7 +569,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     decoder = Decoder(chars, lexicon)
     weights = dict.fromkeys((r["item"] for r in features), 1.0)
     model = Model(weights, 0.0, decoder)
-    rows = weighed.select("text", "toxic", "weight").mapInArrow(_presence(model), "found array<int>, toxic int, weight double").collect()
+    rows = weighed.select("text", "toxic", "weight").mapInArrow(tidy(_presence(model)), "found array<int>, toxic int, weight double").collect()
     w, b = _logistic([(x["found"], x["toxic"], x["weight"]) for x in rows], len(weights))
     alone = {r["item"]: (r["n1"] or 0.0) / (r["n"] + DOUBT) for r in features}
     return Model({k: float(x) for k, x in zip(sorted(weights), w, strict=True)}, float(b), decoder, alone)
@@ -582,7 +582,7 @@ def _scores(model: Model):
                 part = batch.slice(a, b - a)
                 scores = model.scores(part.column(1))
                 held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in part.column(0).to_pylist()]
-                pa.default_memory_pool().release_unused()
+                release()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())],
                     names=["doc_id", "held_out", "score", "predicted"],
@@ -603,7 +603,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """
     ship(docs.sparkSession)
     return spread(texts(docs)).mapInArrow(
-        _scores(model), "doc_id long, held_out boolean, score double, predicted int"
+        tidy(_scores(model)), "doc_id long, held_out boolean, score double, predicted int"
     )
 
 
