@@ -21,7 +21,7 @@ SLICE = 1 << 20
 WIDEST = 256
 #: Most cells of a matrix; most pieces that a worker caches, and most characters of these.
 CELLS = 1 << 20
-CACHED, CACHED_CHARS = 1 << 19, 1 << 22
+CACHED, CACHED_CHARS = 1 << 18, 1 << 21
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = 0, 1, 2, 3, 4
 _SENTINEL = 0x110000
@@ -144,7 +144,7 @@ class PieceCache:
     """The pieces met so far, with their ids: an open-addressed table from a piece's 64-bit hash into one pool of ids and one
     of characters. A hash only says where to look: `same` compares the piece itself."""
 
-    BITS = 20
+    BITS = 19
 
     def __init__(self):
         self.clear()

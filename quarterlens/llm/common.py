@@ -83,10 +83,10 @@ def row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of every executor, and keeps their Arrow batches to 8 MB (or to what the
+    """Makes this package importable in the Python workers of every executor, and keeps their Arrow batches to 2 MB (or to what the
     session says, if that is not Spark's own default of 64 MB): executor and worker each hold some of them beside the heap."""
     if spark.conf.get(_BATCH_BYTES) == "67108864b":
-        spark.conf.set(_BATCH_BYTES, "8m")
+        spark.conf.set(_BATCH_BYTES, "2m")
     sc = spark.sparkContext
     if getattr(sc, "_quarterlens_shipped", False):
         return

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import discard, release, row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy
 from .links import components
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 WORDS = 5
 #: A link: 100 * intersection >= percent * union. PERCENT is the query's, STAGE_PERCENT that of a pipeline's stage.
 PERCENT, STAGE_PERCENT = 85, 80
@@ -215,7 +215,7 @@ def unshared(percent, na, nb, a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
 def _sign(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch, 2 * SLICE):  # words are numbered for several slices at once
+            for a, b in slices(batch, 4 * SLICE):  # words are numbered for several slices at once
                 large = batch.slice(a, b - a)
                 digests, per_doc = words_of(large.column(1))
                 first = np.append(0, np.cumsum(per_doc))

@@ -15,7 +15,7 @@ from .bpe import Bpe, encode_whole
 from .common import ship, slices, spread, table, texts, tidy
 from .tokens import encoder
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 CAPACITY = 2048
 END_ID = 1
 #: Leftovers are cut to this many tokens at most, and so many of their tokens are dealt into windows at a time.

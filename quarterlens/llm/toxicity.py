@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import release, ship, slices, spread, stored, table, text_bytes, texts, tidy
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Features are picked and the classifier is fitted on at most this many labelled rows (those of least hash).
 TRAIN_ROWS = 20_000
 #: Most features, and the least excess over chance, in standard deviations, that makes one.
@@ -396,22 +397,37 @@ def plain_words(t: str) -> list[str]:
     return [s] if s.isalpha() else _WORDS.findall(s)
 
 
-def trigram_sums(words: list[str], counts: np.ndarray) -> dict[str, int]:
-    """Each trigram of the words, with two marks before and one after, and the sum of these words' counts."""
+_COUNT = np.dtype([("key", "<i8"), ("n", "<i8")])
+_PACKED = "bucket int, kind int, data binary"
+_WORD, _TRIGRAM, _TEXTS = 0, 1, 2
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each distinct key with the sum of its counts, sorted by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    out = np.zeros(len(first), _COUNT)
+    out["key"], out["n"] = keys[first], np.add.reduceat(counts[order], first) if len(first) else 0
+    return out
+
+
+def trigram_letters(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def trigram_sums(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Each trigram of the words, with two marks before and one after, as one number (see trigram_letters), and the sum of these
+    words' counts."""
     if not words:
-        return {}
+        return np.zeros(0, _COUNT)
     sizes = np.array([len(w) + 3 for w in words])
     raw = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     begins = np.ones(len(raw), bool)
     begins[np.cumsum(sizes) - 1] = begins[np.cumsum(sizes) - 2] = False
     at = np.flatnonzero(begins)
     keys = raw[at] << 42 | raw[at + 1] << 21 | raw[at + 2]
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sums = np.add.reduceat(np.repeat(counts, sizes)[at][order], first)
-    letters = lambda k: chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF)
-    return dict(zip(map(letters, keys[first].tolist()), sums.tolist(), strict=True))
+    return added(keys, np.repeat(counts, sizes)[at])
 
 
 def document_counts(texts: pa.Array) -> pa.Table:
@@ -435,37 +451,73 @@ def document_counts(texts: pa.Array) -> pa.Table:
     return pa.table({"word": words.dictionary, "n": np.bincount(once, minlength=len(words.dictionary)).astype(np.int64)})
 
 
-def _language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts: the number of texts that hold each word (by its key), each trigram's sum over these words, and the
-    number of texts (no item, no key), summed over many texts before they go on."""
-    n_texts, held = 0, []
+def _packed(counts: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    where = (counts["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    counts, where = counts[np.argsort(where, kind="stable")], np.sort(where)
+    cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(counts)]
+    return ((int(where[a]), kind, counts[a:b].tobytes()) for a, b in pairwise(cuts) if b > a)
 
-    def merged() -> pa.Table:
-        return pa.concat_tables(held).combine_chunks().group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-    def rows(items: list, keys: list | np.ndarray, totals: list | np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(items, pa.string()), pa.array(keys, pa.int64()), pa.array(totals, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["item", "key", "n"])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "data"])
 
-    def sums() -> Iterator[pa.RecordBatch]:
-        trigrams: Counter = Counter()
-        for part in merged().to_batches(SUMMED) if held else ():
-            words, counts = strings(part.column(0)), part.column(1).to_numpy()
-            trigrams.update(trigram_sums(words, counts))
-            yield rows([None] * len(words), np.fromiter(map(word_key, words), np.int64, len(words)), counts)
-        yield rows([*trigrams, None], [None] * (len(trigrams) + 1), [*trigrams.values(), n_texts])
 
-    for batch in batches:
-        for a, b in slices(batch, SLICE, 0):
-            held.append(document_counts(batch.column(0).slice(a, b - a)))
-            n_texts += b - a
-            if sum(t.num_rows for t in held) > COUNTED or sum(t.nbytes for t in held) > COUNTED_BYTES:
-                held = [merged()]
-                if held[0].num_rows > COUNTED // 2 or held[0].nbytes > COUNTED_BYTES // 2:
-                    yield from sums()
-                    n_texts, held = 0, []
+def _language(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From texts: the number of texts that hold each word (by its key), each trigram's sum over these words, and the number of
+        texts; summed over many texts and packed by bucket before they go on."""
+        n_texts, held = 0, []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).combine_chunks().group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def sums() -> pa.RecordBatch:
+            words, trigrams = [], []
+            for part in merged().to_batches(SUMMED) if held else ():
+                names, counts = strings(part.column(0)), part.column(1).to_numpy()
+                words.append(added(np.fromiter(map(word_key, names), np.int64, len(names)), counts))
+                trigrams.append(trigram_sums(names, counts))
+            out = [(0, _TEXTS, np.array([(0, n_texts)], _COUNT).tobytes())]
+            for kind, found in ((_WORD, words), (_TRIGRAM, trigrams)):
+                whole = np.concatenate([*found, np.zeros(0, _COUNT)])
+                out += _packed(added(whole["key"], whole["n"]), kind, buckets)
+            return _rows(out)
+
+        for batch in batches:
+            for a, b in slices(batch, SLICE, 0):
+                held.append(document_counts(batch.column(0).slice(a, b - a)))
+                n_texts += b - a
+                if sum(t.num_rows for t in held) > COUNTED or sum(t.nbytes for t in held) > COUNTED_BYTES:
+                    held = [merged()]
+                    if held[0].num_rows > COUNTED // 2 or held[0].nbytes > COUNTED_BYTES // 2:
+                        yield sums()
+                        n_texts, held = 0, []
             release()
-    yield from sums()
+        yield sums()
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up rows sorted by bucket and kind. Words of fewer than LEAST_WEIGHT texts go no further."""
+    at, held = None, []
+
+    def total() -> pa.RecordBatch:
+        counts = np.frombuffer(b"".join(held), _COUNT)
+        whole = added(counts["key"], counts["n"])
+        return _rows([(*at, (whole[whole["n"] >= LEAST_WEIGHT] if at[1] == _WORD else whole).tobytes())])
+
+    for batch in batches:
+        for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, kind) != at and held:
+                yield total()
+                held = []
+            at = bucket, kind
+            held.append(data)
+    if held:
+        yield total()
 
 
 def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray, int]:
@@ -477,17 +529,27 @@ def language(docs: DataFrame) -> tuple[dict[str, float], np.ndarray, np.ndarray,
     spark = docs.sparkSession
     ship(spark)
     plain = spread(texts(docs)).select("text")
-    counted = plain.mapInArrow(tidy(_language), "item string, key long, n long").groupBy("item", "key").agg(F.sum("n").alias("n"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = (
+        plain.mapInArrow(tidy(_language(buckets)), _PACKED)
+        .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket", "kind")
+        .mapInArrow(tidy(_add), _PACKED)
+    )
     counted = stored(spark, counted, "toxicity-language")
-    total = counted.filter("item is null and key is null").agg(F.sum("n")).first()[0] or 0
-    trigrams = counted.filter("item is not null").select("item", "n").toArrow()
+
+    def whole(kind: int) -> np.ndarray:
+        parts = counted.filter(F.col("kind") == kind).select("data").toArrow().column(0).to_pylist()
+        return np.frombuffer(b"".join(parts), _COUNT)
+
     after: Counter = Counter()
-    pairs = list(zip(*(trigrams.column(i).to_pylist() for i in (0, 1)), strict=True))
+    found = whole(_TRIGRAM)
+    pairs = list(zip(map(trigram_letters, found["key"].tolist()), found["n"].tolist(), strict=True))
     for t, n in pairs:
         after[t[:2]] += n
     chars = {t: math.log((n + 0.1) / (after[t[:2]] + 3.0)) for t, n in pairs}
-    words = counted.filter((F.col("key").isNotNull()) & (F.col("n") >= LEAST_WEIGHT)).select("key", "n").toArrow()
-    return chars, words.column(0).to_numpy(), words.column(1).to_numpy(), total
+    words = whole(_WORD)
+    return chars, words["key"].copy(), words["n"].copy(), int(whole(_TEXTS)["n"].sum())
 
 
 def _presence(model: Model):

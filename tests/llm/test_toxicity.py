@@ -1,4 +1,5 @@
 import glob
+import math
 import os
 import random
 import re
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarterlens.llm.common import shared_dir, ship
-from quarterlens.llm.toxicity import Decoder, Model, document_counts, fit, plain_words, repetitive, toxicity
+from quarterlens.llm.toxicity import Decoder, Model, document_counts, fit, language, plain_words, repetitive, toxicity, word_key
 
 
 def test_held_out_accuracy_and_folds(spark):
@@ -157,3 +158,22 @@ def test_counts_of_words_in_documents():
     got = document_counts(pa.array(texts))
     assert dict(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True)) == want
     assert document_counts(pa.array([], pa.string())).num_rows == 0
+
+
+def test_language_model_against_a_plain_count(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r["text"] or "" for r in docs.select("text").collect()]
+    words, trigrams = Counter(), Counter()
+    for t in rows:
+        words.update({w for x in t.split() for w in plain_words(x.lower())})
+    for w, n in words.items():
+        p = f"^^{w}$"
+        for i in range(len(p) - 2):
+            trigrams[p[i : i + 3]] += n
+    after = Counter()
+    for t, n in trigrams.items():
+        after[t[:2]] += n
+    chars, keys, counts, total = language(docs.repartition(5))
+    assert total == len(rows) and chars.keys() == trigrams.keys()
+    assert all(abs(chars[t] - math.log((n + 0.1) / (after[t[:2]] + 3.0))) < 1e-12 for t, n in trigrams.items())
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {word_key(w): n for w, n in words.items() if n >= 3}
