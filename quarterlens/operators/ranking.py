@@ -103,7 +103,7 @@ def navigation_links(bases: DataFrame, pages: DataFrame, links: DataFrame, key:
     tried = bases.select(key, F.posexplode(F.transform(F.array(*[F.lit(x) for x in P.NAVIGATION_PATHS]), lambda x: F.concat(base, x))).alias("path_ord", "page"))
     there = pages.filter(~contains_any(F.lower(F.coalesce(F.col("title"), F.lit(""))), P.NAVIGATION_FAILED)).select(F.col("url").alias("page")).distinct()
     found = tried.join(there, "page").join(links.filter(F.col("ord") < most).select("page", "ord", "text", F.col("url").alias("url")), "page")
-    return keep_first(found, [key, "url"], "path_ord", "ord")
+    return keep_first(found, [key, "url"], "path_ord", "ord", "text")  # the text decides between links of one place
 
 
 def cascade(

@@ -50,7 +50,7 @@ _paths = listed(P.NAVIGATION_PATHS)
 NAVIGATION = f"""{L}, co AS (SELECT unnest(range(30)) AS i), pa AS (SELECT i, unnest(range(33)) AS j, unnest({_paths}) AS path FROM co),
 there AS (SELECT i, j, 'https://c' || i || '.example.com/ir' || path AS page FROM pa WHERE (i * 7 + j) % 3 = 0 AND (i + j) % 11 <> 0),
 shown AS (SELECT 'https://c' || company_id || '.example.com/ir' || {_paths}[(link_id % 33 + 1)::INT] AS page, (link_id // 33) % 40 AS ord, text, regexp_replace(url, '/doc-[0-9]+', '/doc') AS url FROM l),
-nav AS (SELECT i AS company_id, url, text, j AS path_ord, ord FROM there JOIN shown USING (page) WHERE ord < 30 QUALIFY row_number() OVER (PARTITION BY i, url ORDER BY j, ord) = 1)"""
+nav AS (SELECT i AS company_id, url, text, j AS path_ord, ord FROM there JOIN shown USING (page) WHERE ord < 30 QUALIFY row_number() OVER (PARTITION BY i, url ORDER BY j, ord, text) = 1)"""
 SQL["navigation_links"] = f"{NAVIGATION} SELECT company_id, url, path_ord, ord FROM nav"
 # the class and validity of a link, over any relation with t, u, c
 _classed = CLASSED[CLASSED.index(", k AS (") :].replace("FROM l)", "FROM l2)")
