@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .divergence import OP11_SQL, op11_divergence
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op3_neighbours
@@ -24,6 +25,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
+    "op11_divergence": op11_divergence,
 }
 
-SQL = {"op5_exact_dedup": OP5_SQL, "op6_repeats": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_sharding": OP10_SQL}
+SQL = {
+    "op5_exact_dedup": OP5_SQL,
+    "op6_repeats": OP6_SQL,
+    "op9_near_dedup": OP9_SQL,
+    "op10_sharding": OP10_SQL,
+    "op11_divergence": OP11_SQL,
+}
