@@ -13,6 +13,7 @@ from .repeats import OP6_SQL, op6_repeats
 from .sharding import OP10_SQL, op10_sharding
 from .tokens import op2_token_counts
 from .toxicity import op4_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
     "op11_divergence": op11_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -34,4 +36,5 @@ SQL = {
     "op9_near_dedup": OP9_SQL,
     "op10_sharding": OP10_SQL,
     "op11_divergence": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
