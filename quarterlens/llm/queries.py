@@ -9,6 +9,7 @@ from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op3_neighbours
 from .packing import op8_packing
 from .pii import op1_pii
+from .quality import op12_quality
 from .repeats import OP6_SQL, op6_repeats
 from .sharding import OP10_SQL, op10_sharding
 from .tokens import op2_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
     "op11_divergence": op11_divergence,
+    "op12_quality": op12_quality,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
