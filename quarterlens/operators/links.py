@@ -2,58 +2,55 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import rules
-from ..functions.text import contains_any, nullif_empty, py_strip
+from ..functions.text import contains_any, nullif_empty
 from ..functions.urls import origin, report_paths
+from .pagetree import fitting, page_tree, select, step
+from .textscan import first_hits
 
-#: An anchor, its attributes and what it holds; and its address, in either kind of quotes or none. Names in any case.
-_ANCHOR = r"(?is)<a(\s[^>]*)?>(.*?)</a\s*>"
-_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_TAG = r"<[^>]*>"
 #: Elements that can be clicked, in the order in which they are looked for; an element that fits several comes several times.
-#: An element stands for its opening tag and the text up to the first closing tag of its kind.
-SELECTORS = [
-    ("a", r"(?is)<a[\s>].*?</a>"), ("button", r"(?is)<button[\s>].*?</button>"), ("div[onclick]", r"(?is)<div\s[^>]*onclick=.*?</div>"),
-    ("span[onclick]", r"(?is)<span\s[^>]*onclick=.*?</span>"), ("[role=button]", r"(?is)<\w+\s[^>]*role=\"button\".*?</\w+>"),
-    ("[class*=button]", r"(?is)<\w+\s[^>]*class=\"[^\"]*button.*?</\w+>"), ("[class*=link]", r"(?is)<\w+\s[^>]*class=\"[^\"]*link.*?</\w+>"),
-    ("[href]", r"(?is)<\w+\s[^>]*href=.*?</\w+>"), ("[onclick]", r"(?is)<\w+\s[^>]*onclick=.*?</\w+>"),
-    ("[class*=download]", r"(?is)<\w+\s[^>]*class=\"[^\"]*download.*?</\w+>"),
-]
+CLICKABLE = {
+    "a": [step("a")], "button": [step("button")], "div[onclick]": [step("div", has="onclick")], "span[onclick]": [step("span", has="onclick")],
+    "[role=button]": [step(equal=("role", "button"))], "[class*=button]": [step(part=("class", "button"))],
+    "[class*=link]": [step(part=("class", "link"))], "[href]": [step(has="href")], "[onclick]": [step(has="onclick")],
+    "[class*=download]": [step(part=("class", "download"))],
+}
+#: Where menus are, whatever is around them.
+MENUS = [step("nav"), step("header"), step(cls="navigation"), step(cls="menu"), step(cls="nav-menu")]
 
 
-def text_of(html: Column) -> Column:
-    return py_strip(F.regexp_replace(html, _TAG, ""))
+def may_be_clicked(tag: str, attributes: dict[str, str], *_) -> bool:
+    """Whether one of CLICKABLE may fit an element: what the page tree needs to return for them."""
+    of_class = attributes.get("class", "")
+    return tag in ("a", "button") or not attributes.keys().isdisjoint(("onclick", "href", "role")) or any(w in of_class for w in ("button", "link", "download"))
 
 
 def page_links(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """Anchors in document order: page_id, ord (from 0), href (null where an anchor has none), text. most: at most so many of
+    """Anchors in document order: page_id, url, ord (from 0), href (null where an anchor has none), text. most: at most so many of
     each page."""
-    attributes, bodies = (F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(g)) for g in (1, 2))
-    href = lambda a: nullif_empty(F.concat(*[F.regexp_extract(a, _HREF, g) for g in (1, 2, 3)]))
-    both = F.zip_with(attributes, bodies, lambda a, b: F.struct(href(a).alias("href"), b.alias("body")))
-    both = both if most is None else F.slice(both, 1, most)
-    rows = pages.select("page_id", "url", F.posexplode(both).alias("ord", "link"))
-    return rows.select("page_id", "url", "ord", F.col("link.href").alias("href"), text_of(F.col("link.body")).alias("text"))
+    rows = page_tree(pages, keep=["a"], texts=True)
+    rows = rows if most is None else rows.filter(F.col("nth") < most)
+    return rows.select("page_id", "url", F.col("nth").alias("ord"), nullif_empty(F.col("attrs")["href"]).alias("href"), "text")
 
 
 def clickable(pages: DataFrame) -> DataFrame:
-    """All clickable elements by every selector, duplicates kept: page_id, selector, ord, element."""
-    out = None
-    for i, (name, pattern) in enumerate(SELECTORS):
-        part = pages.select(
-            "page_id", F.lit(i).alias("rank"), F.lit(name).alias("selector"),
-            F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("ord", "element"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All clickable elements by every selector, duplicates kept: page_id, url, rank and selector, pre (the place in the page), tag,
+    address (href, or else what a click does), text."""
+    found = fitting(page_tree(pages, keep=may_be_clicked, texts=True), CLICKABLE)
+    address = F.coalesce(nullif_empty(F.col("attrs")["href"]), F.col("attrs")["onclick"], F.lit(""))
+    return found.select("page_id", "url", "rank", "selector", "pre", "tag", address.alias("address"), "text")
 
 
 def absolutised(links: DataFrame) -> DataFrame:
@@ -103,33 +100,18 @@ def path_frequency(links: DataFrame, url: str) -> DataFrame:
 
 
 def context_urls(pages: DataFrame, words: list[str], body: str = "html", around: int = 200, most: int = 5, year: int = 2025) -> DataFrame:
-    """Addresses within `around` characters of the first `most` hits of each word (a regular expression, in any case), and whether
-    each is a valid report link. Regular expressions give no places, so texts are parted at the hits, whose places are the sums of
-    the lengths before them; few parts of each text are looked at."""
-    address = r"https?://[^\s<>\"]{10,}"
-    text = F.coalesce(F.col(body), F.lit(""))
-    out = None
-    for rank, word in enumerate(words):
-        gaps = F.split(text, f"(?i){word}", most + 1)
-        hits = F.slice(F.regexp_extract_all(text, F.lit(f"(?i){word}"), F.lit(0)), 1, most)
-        part = pages.select("page_id", text.alias("_text"), gaps.alias("_gaps"), hits.alias("_hits"))
-        part = part.select("page_id", "_text", "_gaps", "_hits", F.posexplode("_hits").alias("_i", "hit"))
-        before = lambda parts: F.aggregate(F.transform(parts, F.length), F.lit(0), lambda a, x: a + x)
-        place = before(F.slice("_gaps", F.lit(1), F.col("_i") + 1)) + before(F.slice("_hits", F.lit(1), F.col("_i")))
-        part = part.select("page_id", "_text", "hit", "_i", place.alias("place"))
-        start = F.greatest(F.col("place") - around, F.lit(0))
-        near = F.substring("_text", start + 1, F.col("place") + F.length("hit") + around - start)
-        part = part.select(
-            "page_id", F.lit(rank).alias("rank"), F.lit(word).alias("word"), "hit", "place",
-            F.posexplode(F.regexp_extract_all(near, F.lit(address), F.lit(0))).alias("ord", "found_url"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("valid", rules.valid_report_link(F.col("found_url"), F.lit(""), year))
+    """Addresses within `around` characters of the first `most` hits of each word (in any case; Q[1-4] is any quarter), and whether each is a
+    valid report link. Whole texts; each is gone over once for all words."""
+    found = first_hits(pages, "page_id", body, [P.SPELLINGS.get(w, [w]) for w in words], most, around)
+    names = F.array(*[F.lit(w) for w in words])
+    return found.select(
+        "page_id", "rank", F.element_at(names, F.col("rank") + 1).alias("word"), "hit", "place", "ord", F.col("found").alias("found_url")
+    ).withColumn("valid", rules.valid_report_link(F.col("found_url"), F.lit(""), year))
 
 
 def fallback_reports(pages: DataFrame, body: str = "html", year: int = 2025) -> DataFrame:
     """The last resort of a search: valid addresses near a year, a quarter or a word of reports, with the lowest score."""
-    found = context_urls(pages, [str(year), str(year - 1), "Q[1-4]", *P.FALLBACK_WORDS], body, year=year).filter("valid")
+    found = context_urls(pages, [str(year), str(year - 1), *P.SPELLINGS, *P.FALLBACK_WORDS], body, year=year).filter("valid")
     return found.select(
         "page_id", "rank", "place", "ord", F.col("found_url").alias("url"), F.col("hit").alias("text"), F.lit(5.0).alias("priority"),
         F.lit(f"{year}_fallback").alias("year"), F.lit("fallback").alias("type"), F.lit("fallback_search").alias("strategy"),
@@ -209,10 +191,25 @@ def pdf_candidates(pages: DataFrame) -> DataFrame:
 
 
 def area_links(pages: DataFrame) -> DataFrame:
-    """Anchors with the part of the page they stand in, as `area`: nav (menus and headers), footer, or null; in document order."""
-    plain = page_links(pages).withColumn("area", F.lit(None).cast("string"))
-    out = plain
-    for area, tags in (("nav", "nav|header"), ("footer", "footer")):
-        blocks = F.array_join(F.regexp_extract_all("html", F.lit(rf"(?is)<({tags})[\s>].*?</\1>"), F.lit(0)), " ")
-        out = out.unionByName(page_links(pages.select("page_id", "url", blocks.alias("html"))).withColumn("area", F.lit(area)))
-    return out
+    """Anchors with the part of the page they stand in, as `area`: nav (menus and headers, by tag or class), footer (the page's first),
+    or null; in document order. An anchor comes once without an area and once for each area that it is in."""
+
+    def needed(tag: str, attributes: dict[str, str], *_) -> bool:
+        return tag in ("a", "nav", "header", "footer") or "menu" in attributes.get("class", "") or "navigation" in attributes.get("class", "")
+
+    anchor = step("a")
+    tree = page_tree(pages, keep=needed, texts=["a"])
+    within = {f"_nav{i}": [menu, anchor] for i, menu in enumerate(MENUS)} | {"_footer": [step("footer", nth=0), anchor]}
+    flagged = select(tree, within).filter(anchor())
+    areas = F.array(
+        F.struct(F.lit(True).alias("on"), F.lit(None).cast("string").alias("area")),
+        F.struct(reduce(or_, [F.col(f"_nav{i}") for i in range(len(MENUS))]).alias("on"), F.lit("nav").alias("area")),
+        F.struct(F.col("_footer").alias("on"), F.lit("footer").alias("area")),
+    )
+    return flagged.select(
+        "page_id", "url", F.col("nth").alias("ord"), nullif_empty(F.col("attrs")["href"]).alias("href"), "text", F.inline(F.filter(areas, lambda a: a["on"]))
+    ).drop("on")
+
+
+# Functions of this module go to the workers by value, so that a cluster needs no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

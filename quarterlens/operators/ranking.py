@@ -95,7 +95,7 @@ def _on_other_pages(x: Column) -> list[tuple]:
 
 
 def navigation_links(bases: DataFrame, pages: DataFrame, links: DataFrame, key: str = "company_id", most: int = 30) -> DataFrame:
-    """The first `most` links of the usual pages under each company's investor page, an address once, in order of path and place.
+    """The first `most` links of the usual pages under each company's investor page, by path and place, as often as they come.
 
     bases: key and url; pages: url and title, of which those that are not there are left out by their titles; links: page (its
     address), ord, text, url. One equi-join on addresses: the paths are a literal array."""
@@ -103,7 +103,13 @@ def navigation_links(bases: DataFrame, pages: DataFrame, links: DataFrame, key:
     tried = bases.select(key, F.posexplode(F.transform(F.array(*[F.lit(x) for x in P.NAVIGATION_PATHS]), lambda x: F.concat(base, x))).alias("path_ord", "page"))
     there = pages.filter(~contains_any(F.lower(F.coalesce(F.col("title"), F.lit(""))), P.NAVIGATION_FAILED)).select(F.col("url").alias("page")).distinct()
     found = tried.join(there, "page").join(links.filter(F.col("ord") < most).select("page", "ord", "text", F.col("url").alias("url")), "page")
-    return keep_first(found, [key, "url"], "path_ord", "ord", "text")  # the text decides between links of one place
+    return found.select(key, "url", "text", "path_ord", "ord")
+
+
+def first_of_each(reports: DataFrame, key: str = "company_id") -> DataFrame:
+    """An address of a company once: of the rows that are reports the first by path, place and text. An address may come under a text that is
+    no report and then under one that is, so reports are told apart before this."""
+    return keep_first(reports, [key, "url"], "path_ord", "ord", "text")
 
 
 def cascade(

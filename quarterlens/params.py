@@ -190,6 +190,7 @@ NAVIGATION_PATHS = [
 NAVIGATION_FAILED = ["not found", "error", "404", "403", "forbidden"]
 BUTTON_WORDS = ["download", "pdf", "earnings", "financial-report"]
 FALLBACK_WORDS = ["earnings", "financial", "report", "results", "filing"]
+SPELLINGS = {"Q[1-4]": ["Q1", "Q2", "Q3", "Q4"]}
 VIEWER_TERMS = [".pdf", "download", "filing", "doc_financials"]
 
 # PDF links
@@ -214,6 +215,50 @@ HIGH_KEYWORDS = [
     "financial results", "10-q", "press release",
 ]
 MEDIUM_KEYWORDS = ["earnings", "quarterly", "financial", "investor", "10-k"]
+# Words of single companies; a keyword search adds each with "earnings" and each with "quarterly"
+TICKER_KEYWORDS = {
+    "AMGN": [
+        "amgen", "biotechnology", "pharmaceuticals", "financials", "quarterly-earnings", "static-files", "earnings-presentation", "pdf", "q2-2025",
+    ],
+    "MSFT": [
+        "microsoft", "fy-2025-q4", "press-release-webcast", "sec-filings", "investor", "earnings", "income-statements", "financial-statements",
+    ],
+    "NKE": ["nike", "news-events-and-reports", "quarterly-earnings", "fiscal-2025", "q4-fy2025", "earnings-announcement", "investor-news"],
+    "IBM": ["ibm", "financial-reporting", "earnings-2q25", "second-quarter", "press-release"],
+    "INTC": ["intel", "financial-results", "earnings-conference-call", "press-releases", "q2-2025", "financial-results"],
+    "JPM": ["jpmorgan", "jpmorganchase", "quarterly-earnings", "investor-relations", "earnings-pdf", "second-quarter"],
+    "HON": ["honeywell", "presentations", "events-and-presentations", "earnings-presentation", "static-files", "quarterly-results"],
+    "WMT": ["walmart", "earnings-release", "earnings-presentation", "fy26-q2", "corporate"],
+    "CAT": ["caterpillar", "machinery", "construction", "cat inc"],
+    "DIS": ["disney", "entertainment", "media", "walt disney"],
+    "GS": ["goldman sachs", "investment banking", "financial services"],
+    "CVX": ["chevron", "oil", "energy", "petroleum"],
+    "MMM": ["3m", "mmm", "industrial", "materials"],
+    "PG": ["procter gamble", "consumer goods", "household products"],
+}
+# Date spellings that a page's text is searched for
+PAGE_DATES = [
+    r"(july|august|september|october|november|december)\s+\d{1,2},?\s+2025", r"q[1-4]\s+2025", r"2025\s+q[1-4]", r"fiscal\s+2025", r"fy\s*2025",
+    r"\d{2}/\d{2}/2025",
+]
+# Pages that are looked at when nothing else finds a company's reports, in order
+FIXED_PAGES = {
+    "AMZN": ["https://ir.aboutamazon.com/quarterly-results", "https://ir.aboutamazon.com/sec-filings"],
+    "AMGN": ["https://investors.amgen.com/financials/sec-filings", "https://investors.amgen.com/financials/quarterly-results"],
+    "CVX": ["https://investor.chevron.com/financial-information/quarterly-earnings", "https://investor.chevron.com/sec-filings"],
+    "GS": ["https://investor.goldmansachs.com/financial-information/quarterly-earnings", "https://investor.goldmansachs.com/financials"],
+    "JPM": ["https://ir.jpmorganchase.com/financial-information/quarterly-earnings", "https://ir.jpmorganchase.com/sec-filings"],
+    "V": ["https://investor.visa.com/financial-information/quarterly-earnings", "https://investor.visa.com/sec-filings"],
+    "WMT": ["https://corporate.walmart.com/news/financials/quarterly-earnings-reports", "https://corporate.walmart.com/financials"],
+    "HON": ["https://investor.honeywell.com/financial-information/quarterly-results", "https://investor.honeywell.com/financials/quarterly-earnings"],
+    "MSFT": ["https://www.microsoft.com/investor/earnings/fy-2025-q4/", "https://www.microsoft.com/investor/sec-filings"],
+    "UNH": ["https://www.unitedhealthgroup.com/investor/financial-information/quarterly-results", "https://investors.unitedhealthgroup.com/quarterly-earnings"],
+    "PG": ["https://us.pg.com/investor/financial-information/quarterly-results", "https://pginvestor.com/quarterly-earnings"],
+    "MMM": ["https://investors.3m.com/financial-information/quarterly-results", "https://investors.3m.com/quarterly-earnings"],
+    "DIS": ["https://www.thewaltdisneycompany.com/investors/financial-information/quarterly-results", "https://thewaltdisneycompany.com/investor-relations/financials"],
+    "DOW": ["https://investors.dow.com/financial-information/quarterly-results", "https://investors.dow.com/quarterly-earnings"],
+    "CAT": ["https://www.caterpillar.com/investors/financial-information/quarterly-results", "https://investors.caterpillar.com/quarterly-earnings"],
+}
 
 # Page patterns
 PATH_TERMS = ["report", "earning", "financial", "quarterly", "annual"]

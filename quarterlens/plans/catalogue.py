@@ -15,6 +15,7 @@ from ..params import EngineParams
 from ..sources import files
 from ..sources.files import work_folder
 from ..streaming import state_stream
+from .lists import TAIL
 
 DEFAULTS = EngineParams()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,28 +83,32 @@ def company_subset(spark, sf):
     return company_scan(spark, sf).filter(F.col("ticker").isin("AAPL", "MSFT", "V")).select("ticker", "website")
 
 
+def tree_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pages, each with more elements at its end."""
+    parts = TAIL.split("{i}")
+    tail = F.concat(*[c for part in parts for c in (F.col("page_id").cast("string"), F.lit(part))][1:])
+    return table(spark, sf, "pages").withColumn("html", F.concat("html", tail))
+
+
 @query
 def page_links(spark, sf):
-    return links.page_links(table(spark, sf, "pages"), 200).select("page_id", "ord", "href", "text")
+    return links.page_links(tree_pages(spark, sf), 200).select("page_id", "ord", "href", "text")
 
 
 @query
 def pdf_links(spark, sf):
-    found = links.page_links(table(spark, sf, "pages"))
+    found = links.page_links(tree_pages(spark, sf))
     return found.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(F.lower("href").contains(".pdf")).alias("n_pdf"))
 
 
 @query
 def absolutised_links(spark, sf):
-    return links.absolutised(links.page_links(table(spark, sf, "pages"))).select("page_id", "ord", "full")
+    return links.absolutised(links.page_links(tree_pages(spark, sf))).select("page_id", "ord", "full")
 
 
 @query
 def clickable_elements(spark, sf):
-    """Clickable elements of the pages, each with a row of buttons added at its end."""
-    more = F.lit('<p class="button-row link" role="button">go</p><span onclick="x()">do</span>')
-    found = links.clickable(table(spark, sf, "pages").withColumn("html", F.concat("html", more)))
-    return found.select("page_id", "rank", "selector", "ord", F.md5(F.col("element").cast("binary")).alias("element"))
+    return links.clickable(tree_pages(spark, sf)).drop("url")
 
 
 # -- predicates --

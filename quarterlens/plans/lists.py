@@ -103,3 +103,52 @@ DATE_PATTERNS = [
 HTML_MARKS = ["<!doctype", "<html>", "<body>", "<head>", "</html>", "<div", "<script"]
 ERROR_MARKS = ["404", "not found", "access denied", "forbidden", "error", "page not found"]
 CONTENT_TERMS = "revenue earnings quarter financial".split()
+
+# What queries add to the end of each page, {i} being its number: elements that crawled pages have and the given ones lack.
+TAIL = (
+    '<div class="Quarterly-Report box"><a class="link" href="/investor/2025/q3/earnings-{i}.pdf?a=1&amp;b=2">Q3 2025 earnings &amp; results</a></div>'
+    '<table class=data><tr><td>x<td><a href="https://investors.example.com/2025/q2/report-{i}.pdf">Q2 2025 <b>quarterly</b> report</a><tr><td><a>none</a></table>'
+    "<section id=main class='content wide'><ul><li><a href=/reports/2024/annual-{i}.xlsx>Annual report 2024</a><li><a href='#top'>top</a></ul></section>"
+    '<!-- <a href="/investor/2025/hidden.pdf">Q3 2025 hidden</a> --><script>var x = "<a href=/2025/no.pdf>no</a>";</script>'
+    '<div onclick="open({i})"><div class="button x">in</div></div><p><img class="link"><p>next <i class=button>italic</i>'
+    '<dl><dt>a<dd><a href="/filings/10-q-{i}.html">Latest 10-Q filing</a></dl><div class="menu"><a href="/ir">Investors</a></div>'
+    '<header><b><a href="/about">About</b> us</a></header><footer><a href="/late">late</a></footer>'
+    '<a href="/investor/2025/results-{i}.html"><span>October 3, 2025</span> quarterly results</a><span onclick="/financial/q3-2025-earnings-{i}.xlsx"><em>For Q3 2025</em></span>'
+    '<div><a href="/earnings/fiscal-2025/third-quarter-2025-{i}.pdf">Press Download</a><u>fiscal 2025 is on, 07/29/2025 too</u></div>'
+    '<p>See the third quarter 2025 and quarterly results at https://investors.example.com/2025/q3/doc-{i}.pdf, or the report at https://www.example.com/ir'
+)
+
+# Words of single companies in keyword searches, and pages of last resort, in order.
+TICKER_KEYWORDS = {
+    "AMGN": "amgen|biotechnology|pharmaceuticals|financials|quarterly-earnings|static-files|earnings-presentation|pdf|q2-2025".split("|"),
+    "MSFT": "microsoft|fy-2025-q4|press-release-webcast|sec-filings|investor|earnings|income-statements|financial-statements".split("|"),
+    "NKE": "nike|news-events-and-reports|quarterly-earnings|fiscal-2025|q4-fy2025|earnings-announcement|investor-news".split("|"),
+    "IBM": "ibm|financial-reporting|earnings-2q25|second-quarter|press-release".split("|"),
+    "INTC": "intel|financial-results|earnings-conference-call|press-releases|q2-2025|financial-results".split("|"),
+    "JPM": "jpmorgan|jpmorganchase|quarterly-earnings|investor-relations|earnings-pdf|second-quarter".split("|"),
+    "HON": "honeywell|presentations|events-and-presentations|earnings-presentation|static-files|quarterly-results".split("|"),
+    "WMT": "walmart|earnings-release|earnings-presentation|fy26-q2|corporate".split("|"),
+    "CAT": "caterpillar|machinery|construction|cat inc".split("|"),
+    "DIS": "disney|entertainment|media|walt disney".split("|"),
+    "GS": "goldman sachs|investment banking|financial services".split("|"),
+    "CVX": "chevron|oil|energy|petroleum".split("|"),
+    "MMM": "3m|mmm|industrial|materials".split("|"),
+    "PG": "procter gamble|consumer goods|household products".split("|"),
+}
+FIXED_PAGES = {
+    "AMZN": "https://ir.aboutamazon.com/quarterly-results https://ir.aboutamazon.com/sec-filings".split(),
+    "AMGN": "https://investors.amgen.com/financials/sec-filings https://investors.amgen.com/financials/quarterly-results".split(),
+    "CVX": "https://investor.chevron.com/financial-information/quarterly-earnings https://investor.chevron.com/sec-filings".split(),
+    "GS": "https://investor.goldmansachs.com/financial-information/quarterly-earnings https://investor.goldmansachs.com/financials".split(),
+    "JPM": "https://ir.jpmorganchase.com/financial-information/quarterly-earnings https://ir.jpmorganchase.com/sec-filings".split(),
+    "V": "https://investor.visa.com/financial-information/quarterly-earnings https://investor.visa.com/sec-filings".split(),
+    "WMT": "https://corporate.walmart.com/news/financials/quarterly-earnings-reports https://corporate.walmart.com/financials".split(),
+    "HON": "https://investor.honeywell.com/financial-information/quarterly-results https://investor.honeywell.com/financials/quarterly-earnings".split(),
+    "MSFT": "https://www.microsoft.com/investor/earnings/fy-2025-q4/ https://www.microsoft.com/investor/sec-filings".split(),
+    "UNH": "https://www.unitedhealthgroup.com/investor/financial-information/quarterly-results https://investors.unitedhealthgroup.com/quarterly-earnings".split(),
+    "PG": "https://us.pg.com/investor/financial-information/quarterly-results https://pginvestor.com/quarterly-earnings".split(),
+    "MMM": "https://investors.3m.com/financial-information/quarterly-results https://investors.3m.com/quarterly-earnings".split(),
+    "DIS": "https://www.thewaltdisneycompany.com/investors/financial-information/quarterly-results https://thewaltdisneycompany.com/investor-relations/financials".split(),
+    "DOW": "https://investors.dow.com/financial-information/quarterly-results https://investors.dow.com/quarterly-earnings".split(),
+    "CAT": "https://www.caterpillar.com/investors/financial-information/quarterly-results https://investors.caterpillar.com/quarterly-earnings".split(),
+}

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import urls
-from ..operators import discovery, documents, downloads, links, manifest, qc, ranking, state, summaries
+from ..operators import discovery, documents, downloads, links, manifest, qc, ranking, searches, state, summaries
 from ..params import EngineParams
 from ..sources import files
 from ..sources.files import work_folder
-from .catalogue import DEFAULTS, _arrivals, _entries, _named, query, report_links, table, with_ticker
+from .catalogue import DEFAULTS, _arrivals, _entries, _named, query, report_links, table, tree_pages, with_ticker
 
 
 def _text(*parts) -> Column:
@@ -59,7 +59,8 @@ def _navigation(spark, sf) -> DataFrame:
     k = F.col("link_id")
     path = F.element_at(names, (k % 33 + 1).cast("int"))
     shown = report_links(spark, sf).select(
-        F.concat(base(i), path).alias("page"), (F.floor(k / 33) % 40).alias("ord"), "text", F.regexp_replace("url", "/doc-[0-9]+", "/doc").alias("url")
+        F.concat(base(i), path).alias("page"), (F.floor(k / 33) % 40).alias("ord"), F.when(k % 4 == 0, "Webcast").otherwise(F.col("text")).alias("text"),
+        F.regexp_replace("url", "/doc-[0-9]+", "/doc").alias("url"),
     )
     return ranking.navigation_links(bases, pages, shown)
 
@@ -71,15 +72,15 @@ def navigation_links(spark, sf):
 
 @query
 def navigation_reports(spark, sf):
-    """Valid ones among the links of other pages, with their class."""
+    """Valid ones among the links of other pages, an address once, with their class. Every fourth link has a text of no report."""
     found = _navigation(spark, sf).withColumn("link_id", F.col("path_ord") * 100 + F.col("ord"))
-    hits = ranking._hits(found, DEFAULTS, ranking._on_other_pages)
+    hits = ranking.first_of_each(ranking._hits(found, DEFAULTS, ranking._on_other_pages))
     return hits.select("company_id", "url", "path_ord", "ord", F.col("class.year").alias("label"), "strategy", "score")
 
 
 def _bodies(spark, sf) -> DataFrame:
     i = F.col("page_id").cast("string")
-    body = F.concat(F.substring("html", 1, 3000), F.lit(" in Q3 2025 see https://investors.example.com/2025/q3/doc-"), i, F.lit(".pdf, or the report at "), "url")
+    body = F.concat("html", F.lit(" in Q3 2025 see https://investors.example.com/2025/q3/doc-"), i, F.lit(".pdf, or the report at "), "url")
     return table(spark, sf, "pages").withColumn("html", body)
 
 
@@ -130,10 +131,63 @@ def pdf_candidates(spark, sf):
 
 @query
 def area_links(spark, sf):
-    found = links.area_links(table(spark, sf, "pages"))
+    found = links.area_links(tree_pages(spark, sf))
     return found.groupBy("page_id", F.coalesce("area", F.lit("page")).alias("area")).agg(F.count("*").alias("n"), F.max("href").alias("last"))
 
 
+@query
+def dynamic_discovery(spark, sf):
+    found = searches.dynamic_discovery(tree_pages(spark, sf), DEFAULTS)
+    return found.select("page_id", "selector", F.col("place").cast("long").alias("place"), "url", "text", F.col("class.year").alias("label"), F.round("score", 4).alias("score"))
+
+
+@query
+def page_scan(spark, sf):
+    found = searches.page_scan(tree_pages(spark, sf), DEFAULTS)
+    return found.select("page_id", "url", "text", "pass", "matched", F.col("class.year").alias("label"), "score")
+
+
+@query
+def date_hits(spark, sf):
+    return searches.date_hits(tree_pages(spark, sf))
+
+
+def _search_links(spark, sf) -> DataFrame:
+    """Links of which some are of this year; the first hundred of every fifth company's are about nothing that a keyword finds."""
+    k, i = F.col("link_id"), F.col("company_id")
+    year = lambda c: F.when(k % 3 == 0, F.replace(c, F.lit("2022"), F.lit("2025"))).otherwise(F.col(c))
+    text = F.when((i % 5 == 2) & (F.col("nth") <= 100), F.when(k % 2 == 0, "Quarterly report").otherwise("Other 2025 report")).when(k % 11 == 0, "").otherwise(year("text"))
+    nth = F.row_number().over(Window.partitionBy("company_id").orderBy("link_id"))
+    made = with_ticker(report_links(spark, sf)).withColumn("nth", nth)
+    word = F.lower(F.col("ticker"))
+    address = F.when((k % 7 == 0) & (i % 5 != 2), F.replace(year("url"), F.lit("/doc-"), F.concat(F.lit("/investment-banking-"), word, F.lit("-earnings-release-")))).otherwise(year("url"))
+    return made.select("company_id", "link_id", "ticker", text.alias("text"), address.alias("url"))
+
+
+@query
+def keyword_search(spark, sf):
+    found = searches.keyword_search(_search_links(spark, sf), DEFAULTS)
+    return found.select("company_id", "link_id", "tier", "keyword", "url", F.col("class.year").alias("label"), "score")
+
+
+@query
+def learned_reports(spark, sf):
+    named = _search_links(spark, sf).withColumn("url", F.replace("url", F.lit("/doc-"), F.lit("/quarterly-report_")))
+    found = searches.learned_reports(named, DEFAULTS)
+    return found.select("company_id", "link_id", "text", F.col("class.year").alias("label"), F.round("score", 4).alias("score"))
+
+
+@query
+def fixed_page_reports(spark, sf):
+    """The links of companies' fixed pages; on the first page of every other company none is recent."""
+    tried = searches.fixed_pages(_companies(spark))
+    i, k, o = F.col("company_id"), F.col("link_id"), F.col("page_ord")
+    year = F.when((o == 0) & (i % 2 == 0), "2023").otherwise(F.when(k % 3 == 0, "2025").otherwise("2021"))
+    shown = report_links(spark, sf).filter("link_id % 5 < 2").withColumn("page_ord", (k % 2).cast("int")).join(F.broadcast(tried), ["company_id", "page_ord"])
+    shown = shown.select("page", (F.floor(k / 50) % 300).alias("ord"), "text", F.regexp_replace("url", "/20[0-9]{2}/", F.concat(F.lit("/"), year, F.lit("/"))).alias("url"))
+    return searches.first_page_with_reports(tried, shown).select("company_id", "page_ord", F.col("ord").cast("long").alias("ord"), "url", "text")
+
+
 # -- downloads and uploads --
 
 

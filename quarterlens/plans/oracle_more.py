@@ -49,14 +49,14 @@ SELECT company_id, arg_min(stage, (stage, place, found)) AS stage, arg_min(found
 _paths = listed(P.NAVIGATION_PATHS)
 NAVIGATION = f"""{L}, co AS (SELECT unnest(range(30)) AS i), pa AS (SELECT i, unnest(range(33)) AS j, unnest({_paths}) AS path FROM co),
 there AS (SELECT i, j, 'https://c' || i || '.example.com/ir' || path AS page FROM pa WHERE (i * 7 + j) % 3 = 0 AND (i + j) % 11 <> 0),
-shown AS (SELECT 'https://c' || company_id || '.example.com/ir' || {_paths}[(link_id % 33 + 1)::INT] AS page, (link_id // 33) % 40 AS ord, text, regexp_replace(url, '/doc-[0-9]+', '/doc') AS url FROM l),
-nav AS (SELECT i AS company_id, url, text, j AS path_ord, ord FROM there JOIN shown USING (page) WHERE ord < 30 QUALIFY row_number() OVER (PARTITION BY i, url ORDER BY j, ord, text) = 1)"""
+shown AS (SELECT 'https://c' || company_id || '.example.com/ir' || {_paths}[(link_id % 33 + 1)::INT] AS page, (link_id // 33) % 40 AS ord, CASE WHEN link_id % 4 = 0 THEN 'Webcast' ELSE text END AS text, regexp_replace(url, '/doc-[0-9]+', '/doc') AS url FROM l),
+nav AS (SELECT i AS company_id, url, text, j AS path_ord, ord FROM there JOIN shown USING (page) WHERE ord < 30)"""
 SQL["navigation_links"] = f"{NAVIGATION} SELECT company_id, url, path_ord, ord FROM nav"
 # the class and validity of a link, over any relation with t, u, c
 _classed = CLASSED[CLASSED.index(", k AS (") :].replace("FROM l)", "FROM l2)")
 SQL["navigation_reports"] = f"""{NAVIGATION}, l2 AS (SELECT *, lower(text) AS t, lower(url) AS u, lower(text || ' ' || url) AS c FROM nav){_classed}
-SELECT company_id, url, path_ord, ord, label, 'navigation_paths' AS strategy, 0.9::DOUBLE AS score FROM cl WHERE isreport AND {VALID} AND text <> ''"""
-BODIES = "b AS (SELECT page_id, substring(html, 1, 3000) || ' in Q3 2025 see https://investors.example.com/2025/q3/doc-' || page_id || '.pdf, or the report at ' || url AS body FROM pages)"
+SELECT company_id, url, path_ord, ord, label, 'navigation_paths' AS strategy, 0.9::DOUBLE AS score FROM cl WHERE isreport AND {VALID} AND text <> '' QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY path_ord, ord, text) = 1"""
+BODIES = "b AS (SELECT page_id, html || ' in Q3 2025 see https://investors.example.com/2025/q3/doc-' || page_id || '.pdf, or the report at ' || url AS body FROM pages)"
 
 
 def _near(words) -> str:
@@ -93,36 +93,158 @@ SELECT company_id, arg_min(link_id, place) AS link_id, min(place) AS place, arg_
 SQL["pdf_candidates"] = """WITH n AS (SELECT n_nationkey::BIGINT AS page_id, 'https://www.example.com/f/' || n_nationkey || '.pdf' AS a, 'https://x.example.com/' || n_nationkey || '.PDF' AS b, n_name FROM nation)
 SELECT page_id, 0 AS ord, 1 AS pass, a AS url, 'Report ' || n_name AS text FROM n UNION ALL SELECT page_id, 1, 1, b, 'file' FROM n UNION ALL SELECT page_id, 2, 2, b, 'Getfile' FROM n UNION ALL
 SELECT page_id, 3, 2, a, 'Getfile' FROM n UNION ALL SELECT page_id, 4, 2, b, 'Getfile' FROM n UNION ALL SELECT page_id, 5, 2, 'rel.pdf', 'Getfile' FROM n"""
-_anchor = "(?is)<a(\\s[^>]*)?>(.*?)</a\\s*>"
-_href = """(?is)\\shref\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))"""
-
-
-def _attribute(a: str) -> str:
-    return f"nullif(regexp_extract({a}, {quote(_href)}, 1) || regexp_extract({a}, {quote(_href)}, 2) || regexp_extract({a}, {quote(_href)}, 3), '')"
-
-
-ANCHORS = f"""a AS (SELECT page_id, url, {_attribute('attrs')} AS href, body, ord FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {quote(_anchor)}, 1)) AS attrs,
-  unnest(regexp_extract_all(html, {quote(_anchor)}, 2)) AS body, unnest(range(len(regexp_extract_all(html, {quote(_anchor)}, 1))))::INT AS ord FROM pages))"""
-_plain_text = STRIP.format("regexp_replace(body, '<[^>]*>', '', 'g')")
-SQL["page_links"] = f"WITH {ANCHORS} SELECT page_id, ord, href, {_plain_text} AS text FROM a WHERE ord < 200"
-SQL["pdf_links"] = f"WITH {ANCHORS} SELECT page_id, count(*) AS n_links, count(*) FILTER (contains(lower(href), '.pdf')) AS n_pdf FROM a GROUP BY 1"
-SQL["absolutised_links"] = f"""WITH {ANCHORS} SELECT page_id, ord, CASE WHEN href LIKE '/%' THEN split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || href ELSE href END AS full
-FROM a WHERE href LIKE '/%' OR href LIKE 'http%'"""
-SQL["area_links"] = f"""WITH p AS (SELECT page_id, 'page' AS area, html FROM pages UNION ALL
-  SELECT page_id, 'nav', array_to_string(regexp_extract_all(html, '(?is)(<nav[\\s>].*?</nav>|<header[\\s>].*?</header>)'), ' ') FROM pages UNION ALL
-  SELECT page_id, 'footer', array_to_string(regexp_extract_all(html, '(?is)<footer[\\s>].*?</footer>'), ' ') FROM pages),
-a AS (SELECT page_id, area, unnest(regexp_extract_all(html, {quote(_anchor)}, 1)) AS attrs FROM p)
-SELECT page_id, area, count(*) AS n, max({_attribute('attrs')}) AS last FROM a GROUP BY 1, 2"""
-_selectors = {
-    "a": r"(?is)<a[\s>].*?</a>", "button": r"(?is)<button[\s>].*?</button>", "div[onclick]": r"(?is)<div\s[^>]*onclick=.*?</div>", "span[onclick]": r"(?is)<span\s[^>]*onclick=.*?</span>",
-    "[role=button]": r'(?is)<\w+\s[^>]*role="button".*?</\w+>', "[class*=button]": r'(?is)<\w+\s[^>]*class="[^"]*button.*?</\w+>', "[class*=link]": r'(?is)<\w+\s[^>]*class="[^"]*link.*?</\w+>',
-    "[href]": r"(?is)<\w+\s[^>]*href=.*?</\w+>", "[onclick]": r"(?is)<\w+\s[^>]*onclick=.*?</\w+>", "[class*=download]": r'(?is)<\w+\s[^>]*class="[^"]*download.*?</\w+>',
-}
-_marked = "(html || '<p class=\"button-row link\" role=\"button\">go</p><span onclick=\"x()\">do</span>')"
-SQL["clickable_elements"] = "SELECT page_id, rank, selector, ord, md5(element) AS element FROM (" + " UNION ALL ".join(
-    f"SELECT page_id, {k} AS rank, {quote(n)} AS selector, unnest(range(len(regexp_extract_all({_marked}, {quote(p)}))))::INT AS ord, unnest(regexp_extract_all({_marked}, {quote(p)})) AS element FROM pages"
-    for k, (n, p) in enumerate(_selectors.items())
-) + ")"
+# pages as trees: the tokens of each page one after the other, with the open elements as a list
+_HREF = """(?is)\\shref\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))"""
+_token = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>"
+    r"""|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>|<[!?/][^>]*>|[^<]+|<"""
+)
+_tail = " || page_id || ".join(quote(x) for x in W.TAIL.split("{i}"))
+_blocks = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+_ends = [(_blocks, ["p"], ["button", "table", "td", "th"]), (["li"], ["li"], ["ul", "ol"]), (["dt", "dd"], ["dt", "dd"], ["dl"]), (["td", "th"], ["td", "th"], ["tr", "table"]),
+         (["tr"], ["tr"], ["table"]), (["option"], ["option"], ["select"])]
+
+
+def _innermost(names) -> str:
+    return f"coalesce(list_max(list_filter(range(1, len(w.names) + 1), lambda j: list_contains({names}, w.names[j]))), 0)"
+
+
+_cut = "CASE WHEN k.kind = 'close' THEN " + _innermost("[k.name]") + "".join(
+    f" WHEN list_contains({listed(tags)}, k.name) AND {_innermost(listed(ended))} > {_innermost(listed(stops))} THEN {_innermost(listed(ended))}" for tags, ended, stops in _ends
+) + " ELSE 0 END"
+
+
+def decoded(x: str) -> str:
+    for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', {quote(c)})"
+    return x
+
+
+def attribute(name: str, of: str = "tok") -> str:
+    pattern = quote(_HREF.replace("href", name))
+    return decoded(f"CASE WHEN regexp_matches({of}, {pattern}) THEN regexp_extract({of}, {pattern}, 1) || regexp_extract({of}, {pattern}, 2) || regexp_extract({of}, {pattern}, 3) END")
+
+
+TREE = f"""WITH RECURSIVE src AS (SELECT page_id, url, html || {_tail} AS html FROM pages),
+tok AS (SELECT page_id, url, unnest(toks) AS tok, unnest(range(len(toks)))::INT AS pos FROM (SELECT page_id, url, regexp_extract_all(html, {quote(_token)}) AS toks FROM src)),
+k AS (SELECT *, lower(regexp_extract(tok, '(?is)^</?([a-z][^\\s/>]*)', 1)) AS name, CASE WHEN regexp_matches(tok, '(?is)^<[!?]') THEN 'skip' WHEN regexp_matches(tok, '(?is)^</[a-z]') THEN 'close'
+  WHEN regexp_matches(tok, '(?is)^<(script|style|title)\\b') THEN 'raw' WHEN regexp_matches(tok, '(?is)^<(br|meta|img|hr|link|input)\\b') THEN 'void' WHEN regexp_matches(tok, '(?is)^<[a-z]') THEN 'open' ELSE 'text' END AS kind FROM tok),
+w AS (SELECT page_id, -1 AS pos, ''::VARCHAR AS kind, ''::VARCHAR AS name, []::VARCHAR[] AS names, []::INT[] AS pres, []::INT[] AS kept, 0 AS n FROM src
+  UNION ALL SELECT page_id, pos, kind, name, CASE WHEN kind = 'open' THEN list_append(left_names, name) ELSE left_names END, CASE WHEN kind = 'open' THEN list_append(left_pres, n) ELSE left_pres END, left_pres,
+    n + CASE WHEN kind IN ('open', 'void', 'raw') THEN 1 ELSE 0 END FROM
+    (SELECT *, CASE WHEN cut > 0 THEN old_names[:cut - 1] ELSE old_names END AS left_names, CASE WHEN cut > 0 THEN old_pres[:cut - 1] ELSE old_pres END AS left_pres FROM
+      (SELECT k.page_id, k.pos, k.kind, k.name, w.names AS old_names, w.pres AS old_pres, w.n, {_cut} AS cut FROM w JOIN k ON k.page_id = w.page_id AND k.pos = w.pos + 1))),
+ev AS (SELECT w.*, k.tok, k.url, n - CASE WHEN w.kind IN ('open', 'void', 'raw') THEN 1 ELSE 0 END AS before FROM w JOIN k ON k.page_id = w.page_id AND k.pos = w.pos),
+el0 AS (SELECT page_id, url, before AS pre, pos, kind, name AS tag, CASE WHEN kind = 'raw' THEN regexp_extract(tok, '^<[^>]*>') ELSE tok END AS tok, coalesce(kept[-1], -1) AS parent, len(kept) AS depth, kept FROM ev WHERE kind IN ('open', 'void', 'raw')),
+fin AS (SELECT el0.page_id, el0.pre, min(ev.pos) AS upto, min(ev.before) AS next FROM el0 JOIN ev ON ev.page_id = el0.page_id AND ev.pos > el0.pos AND NOT list_contains(ev.kept, el0.pre) WHERE el0.kind = 'open' GROUP BY 1, 2),
+whole AS (SELECT page_id, max(n) AS n, max(pos) AS pos FROM ev GROUP BY 1),
+el AS (SELECT el0.*, CASE WHEN kind = 'open' THEN coalesce(fin.next, whole.n) - 1 ELSE el0.pre END AS last, CASE WHEN kind = 'open' THEN coalesce(fin.upto, whole.pos + 1) ELSE el0.pos + 1 END AS upto,
+  row_number() OVER (PARTITION BY el0.page_id, tag ORDER BY el0.pre) - 1 AS nth FROM el0 JOIN whole ON whole.page_id = el0.page_id LEFT JOIN fin ON fin.page_id = el0.page_id AND fin.pre = el0.pre),
+says AS (SELECT page_id, pos, kept, {decoded("CASE WHEN kind = 'raw' THEN regexp_extract(tok, '(?is)^<title[^>]*>(.*?)</title', 1) ELSE tok END")} AS said FROM ev WHERE kind = 'text' OR (kind = 'raw' AND name = 'title')),
+ad AS (SELECT el.*, {attribute('href')} AS href, {attribute('onclick')} AS onclick, {attribute('class')} AS cls, {attribute('role')} AS role, {attribute('id')} AS ident FROM el),
+tx AS (SELECT ad.page_id, ad.pre, {STRIP.format("coalesce(string_agg(said, '' ORDER BY says.pos), '')")} AS text FROM ad LEFT JOIN says ON says.page_id = ad.page_id AND says.pos >= ad.pos AND says.pos < ad.upto GROUP BY 1, 2),
+o AS (SELECT ad.*, text FROM ad JOIN tx ON tx.page_id = ad.page_id AND tx.pre = ad.pre)"""
+_page_links = "a AS (SELECT page_id, url, nth AS ord, nullif(href, '') AS href, text FROM o WHERE tag = 'a')"
+SQL["page_links"] = f"{TREE}, {_page_links} SELECT page_id, ord::INT AS ord, href, text FROM a WHERE ord < 200"
+SQL["pdf_links"] = f"{TREE}, {_page_links} SELECT page_id, count(*) AS n_links, count(*) FILTER (contains(lower(href), '.pdf')) AS n_pdf FROM a GROUP BY 1"
+
+
+def full(x: str) -> str:
+    return f"CASE WHEN {x} LIKE '/%' THEN split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || {x} WHEN {x} LIKE 'http%' THEN {x} END"
+
+
+SQL["absolutised_links"] = f"{TREE}, {_page_links} SELECT page_id, ord::INT AS ord, {full('href')} AS full FROM a WHERE href LIKE '/%' OR href LIKE 'http%'"
+
+
+def inside(*ancestors: str) -> str:
+    """Whether an element (x) lies within one that fits, within one that fits and so on, from the outermost."""
+    on = "true"
+    for k, a in enumerate(ancestors):
+        on = f"EXISTS (SELECT 1 FROM ad y{k} WHERE y{k}.page_id = x.page_id AND y{k}.pre < x.pre AND x.pre <= y{k}.last AND {a.replace('y.', f'y{k}.')} AND {on.replace('x.', f'y{k}.')})"
+    return on
+
+
+_classed_as = lambda c, of="y": f"list_contains(string_split_regex(coalesce({of}.cls, ''), '\\s+'), {quote(c)})"
+_menus = " OR ".join(["y.tag IN ('nav', 'header')", *map(_classed_as, ["navigation", "menu", "nav-menu"])])
+SQL["area_links"] = f"""{TREE}, a AS (SELECT page_id, 'page' AS area, nullif(href, '') AS href FROM o WHERE tag = 'a'
+  UNION ALL SELECT page_id, 'nav', nullif(href, '') FROM o x WHERE tag = 'a' AND {inside(f'({_menus})')}
+  UNION ALL SELECT page_id, 'footer', nullif(href, '') FROM o x WHERE tag = 'a' AND {inside("y.tag = 'footer' AND y.nth = 0")})
+SELECT page_id, area, count(*) AS n, max(href) AS last FROM a GROUP BY 1, 2"""
+_click = [
+    ("a", "tag = 'a'"), ("button", "tag = 'button'"), ("div[onclick]", "tag = 'div' AND onclick IS NOT NULL"), ("span[onclick]", "tag = 'span' AND onclick IS NOT NULL"),
+    ("[role=button]", "role = 'button'"), ("[class*=button]", "contains(cls, 'button')"), ("[class*=link]", "contains(cls, 'link')"), ("[href]", "href IS NOT NULL"),
+    ("[onclick]", "onclick IS NOT NULL"), ("[class*=download]", "contains(cls, 'download')"),
+]
+CLICK = "ck AS (" + " UNION ALL ".join(f"SELECT {k} AS rank, {quote(n)} AS selector, coalesce(nullif(href, ''), onclick, '') AS address, * FROM o WHERE {c}" for k, (n, c) in enumerate(_click)) + ")"
+SQL["clickable_elements"] = f"{TREE}, {CLICK} SELECT page_id, rank, selector, pre, tag, address, text FROM ck"
+
+
+_label = CLASSED[CLASSED.index(", k AS (") :]
+
+
+def reports(rows: str, by_text: bool = True) -> str:
+    """CTEs k and cl over the rows (url, text): valid reports with their label."""
+    seen = "text" if by_text else "''"
+    valid = VALID.replace("(t || u)", "(vt || u)").replace("(c,", "(vc,")
+    made = f"(SELECT *, lower(text) AS t, lower(url) AS u, lower(text || ' ' || url) AS c, lower({seen}) AS vt, lower({seen} || ' ' || url) AS vc FROM ({rows}))"
+    return f"(WITH l AS {made}{_label} SELECT * FROM cl WHERE isreport AND {valid})"
+
+
+_like = lambda tag, w: f"x.tag = '{tag}' AND contains(lower(x.cls), '{w}')"
+_discovery = [
+    *[(f"div[class*={w}]", _like("div", w)) for w in ("report", "filing", "earning")], *[(f"section[class*={w}]", _like("section", w)) for w in ("financial", "investor")],
+    ("table tr td a", f"x.tag = 'a' AND {inside(chr(121) + '.tag = ' + quote('table'), 'y.tag = ' + quote('tr'), 'y.tag = ' + quote('td'))}"),
+    ("ul li a", f"x.tag = 'a' AND {inside('y.tag = ' + quote('ul'), 'y.tag = ' + quote('li'))}"), ("dl dd a", f"x.tag = 'a' AND {inside('y.tag = ' + quote('dl'), 'y.tag = ' + quote('dd'))}"),
+    *[(f".{c} a", f"x.tag = 'a' AND {inside(_classed_as(c))}") for c in ("content", "main", "primary")], ("#main a", f"x.tag = 'a' AND {inside('y.ident = ' + quote('main'))}"),
+]
+_found = " UNION ALL ".join(f"SELECT {k} AS rank, {quote(n)} AS selector, row_number() OVER (PARTITION BY page_id ORDER BY pre) AS place, * FROM o x WHERE {c}" for k, (n, c) in enumerate(_discovery))
+SQL["dynamic_discovery"] = f"""{TREE}, fd AS ({_found}), lk AS (SELECT page_id, selector, place, text, {full('href')} AS url FROM fd WHERE place <= 50 AND (href LIKE '/%' OR href LIKE 'http%'))
+SELECT page_id, selector, place, url, text, label, round(score, 4) AS score FROM (SELECT *, {SCORE} AS score FROM {reports('SELECT * FROM lk')}) WHERE score > 0.2"""
+_months = "july|august|september|october|november|december"
+_dates = [rf"(?:{_months})\s+\d{{1,2}},?\s+2025", r"q[1-4]\s+2025", r"2025\s+q[1-4]", r"fiscal\s+2025", r"fy\s*2025", r"\d{2}/\d{2}/2025"]
+_date_list = ", ".join(f"({k}, {quote(d)})" for k, d in enumerate(_dates))
+_own = f"ow AS (SELECT o.*, (SELECT arg_min(said, says.pos) FROM says WHERE says.page_id = o.page_id AND says.kept[-1] = o.pre AND says.pos > o.pos) AS own FROM o WHERE kind = 'open')"
+_up = lambda c: f"CASE WHEN coalesce(x.{c}, '') <> '' THEN x.{c} WHEN x.{c} IS NULL AND coalesce(y.{c}, '') <> '' THEN y.{c} END"
+_above = lambda c: f"CASE WHEN coalesce(x.{c}, '') <> '' THEN 0 WHEN x.{c} IS NULL AND coalesce(y.{c}, '') <> '' THEN 1 END"
+DATED = f"""{_own}, nr AS (SELECT x.*, coalesce({_up('href')}, {_up('onclick')}) AS address, coalesce({_above('href')}, {_above('onclick')})::INT AS above
+  FROM ow x LEFT JOIN o y ON y.page_id = x.page_id AND y.pre = x.parent WHERE {' OR '.join(f"regexp_matches(lower(x.own), {quote(d)})" for d in _dates)})"""
+SQL["date_hits"] = f"{TREE}, {DATED} SELECT page_id, pre, tag, own, address, above FROM nr"
+_indicators = ", ".join(f"({k}, {quote(w)})" for k, w in enumerate(W.PAGE_INDICATORS))
+SQL["page_scan"] = f"""{TREE}, {CLICK}, {DATED}, ind(which, word) AS (VALUES {_indicators}), dt(rank, pattern) AS (VALUES {_date_list}),
+bd AS (SELECT page_id, which, word FROM o, ind WHERE tag = 'body' AND contains(lower(text), word)),
+g AS (SELECT ck.page_id, any_value({full('address')}) AS url, any_value(text) AS text, 1 AS pass, arg_min(word, which) AS matched, rank, 0 AS first, pre, 0.95::DOUBLE AS sc FROM ck JOIN bd ON bd.page_id = ck.page_id
+  AND (contains(lower(text), word) OR contains(lower(text), replace(word, ' ', '')) OR contains(lower(address), replace(word, ' ', '-'))) WHERE address LIKE '/%' OR address LIKE 'http%' GROUP BY ck.page_id, rank, pre),
+h0 AS (SELECT DISTINCT nr.page_id, nr.pre, dt.rank, unnest(regexp_extract_all(lower(own), pattern)) AS matched FROM nr, dt),
+h AS (SELECT *, min(pre) OVER (PARTITION BY page_id, rank, matched) AS first FROM h0 QUALIFY row_number() OVER (PARTITION BY page_id, rank, matched ORDER BY pre) <= 5),
+b AS (SELECT h.page_id, {full('address')} AS url, text, 2 AS pass, matched, rank, first, h.pre, 0.9::DOUBLE AS sc FROM h JOIN nr ON nr.page_id = h.page_id AND nr.pre = h.pre WHERE address LIKE '/%' OR address LIKE 'http%'),
+every AS (SELECT * FROM {reports('SELECT * FROM g')} UNION ALL SELECT * FROM {reports('SELECT * FROM b', False)})
+SELECT page_id, url, text, pass, matched, label, sc AS score FROM every QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pass, rank, first, pre, matched) = 1"""
+# searches of a company's links
+_year = lambda c: f"CASE WHEN link_id % 3 = 0 THEN replace({c}, '2022', '2025') ELSE {c} END"
+SEARCH = f"""sl AS (SELECT company_id, link_id, ticker, nth, CASE WHEN company_id % 5 = 2 AND nth <= 100 THEN CASE WHEN link_id % 2 = 0 THEN 'Quarterly report' ELSE 'Other 2025 report' END WHEN link_id % 11 = 0 THEN '' ELSE {_year('text')} END AS text,
+  CASE WHEN link_id % 7 = 0 AND company_id % 5 <> 2 THEN replace({_year('url')}, '/doc-', '/investment-banking-' || lower(ticker) || '-earnings-release-') ELSE {_year('url')} END AS url
+  FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY link_id) AS nth FROM l))"""
+_all_words = ", ".join(f"({k}, NULL, {quote(w)})" for k, w in enumerate(W.HIGH_KEYWORDS))
+_mine = ", ".join(f"({1000 + k + 500 * j}, {quote(t)}, {quote(f'{w} {more}')})" for t, ws in W.TICKER_KEYWORDS.items() for j, more in enumerate(("earnings", "quarterly")) for k, w in enumerate(ws))
+_broad = "(0, 'earnings'), (1, 'quarterly'), (2, 'financial')"
+SQL["keyword_search"] = f"""{L}, {SEARCH}, kw(word, of, keyword) AS (VALUES {_all_words}, {_mine}), br(word, keyword) AS (VALUES {_broad}),
+f AS (SELECT sl.*, word, keyword FROM sl JOIN kw ON of IS NULL OR of = ticker WHERE nth <= 50 AND text <> '' AND (contains(lower(text), keyword) OR contains(lower(url), replace(keyword, ' ', '-')))),
+hi AS (SELECT *, 0.8::DOUBLE + CASE WHEN contains(lower(text || ' ' || url), '2025') THEN 0.1 ELSE 0.0 END + CASE WHEN contains(lower(url), 'pdf') THEN 0.1 ELSE 0.0 END AS sc FROM {reports('SELECT * EXCLUDE (ticker) FROM f')}),
+st AS (SELECT company_id, word, min(nth) AS stop FROM hi WHERE sc > 0.9 GROUP BY 1, 2),
+hk AS (SELECT hi.* FROM hi LEFT JOIN st ON st.company_id = hi.company_id AND st.word = hi.word WHERE stop IS NULL OR nth <= stop),
+m AS (SELECT *, 0.4::DOUBLE AS sc FROM {reports("SELECT sl.* EXCLUDE (ticker), word, keyword FROM sl JOIN br ON contains(lower(text), keyword) WHERE nth <= 30 AND company_id NOT IN (SELECT company_id FROM hk GROUP BY 1 HAVING count(*) >= 2)")}),
+every AS (SELECT 1 AS tier, * FROM hk UNION ALL SELECT 2, * FROM m)
+SELECT company_id, link_id, tier, keyword, url, label, sc AS score FROM every QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY tier, word, nth) = 1"""
+_name = "regexp_replace(split_part(url, '/', -1), '[-_]', ' ', 'g')"
+SQL["learned_reports"] = f"""{L}, {SEARCH}, fi AS (SELECT company_id, link_id, replace(url, '/doc-', '/quarterly-report_') AS url FROM sl WHERE nth <= 200 AND contains(lower(url), '.pdf') QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY link_id) <= 20),
+x AS (SELECT *, lower(url) AS u, lower(text) AS t, lower(text || ' ' || url) AS c FROM (SELECT *, {_name} AS text FROM fi)), y AS (SELECT * FROM x WHERE {has('u', W.FINANCIAL_URL_WORDS)}),
+z AS (WITH l AS (SELECT * FROM y){_label} SELECT *, {SCORE} AS sc FROM cl WHERE isreport) SELECT company_id, link_id, text, label, round(sc, 4) AS score FROM z WHERE sc > 0.2"""
+_fixed = ", ".join(f"({quote(t)}, {k}, {quote(u)})" for t, us in W.FIXED_PAGES.items() for k, u in enumerate(us))
+SQL["fixed_page_reports"] = f"""{L}, {COMPANIES}, fx(ticker, page_ord, page) AS (VALUES {_fixed}), tr AS (SELECT company_id, page_ord, page FROM co JOIN fx USING (ticker)),
+sh AS (SELECT page, (link_id // 50) % 300 AS ord, text, regexp_replace(url, '/20[0-9][0-9]/', '/' || CASE WHEN page_ord = 0 AND l.company_id % 2 = 0 THEN '2023' WHEN link_id % 3 = 0 THEN '2025' ELSE '2021' END || '/') AS url
+  FROM l JOIN tr ON tr.company_id = l.company_id AND tr.page_ord = link_id % 2 WHERE link_id % 5 < 2),
+hi AS (SELECT company_id, page_ord, ord, url, text FROM tr JOIN sh USING (page) WHERE ord < 200 AND {has('lower(url)', W.FALLBACK_TERMS)} AND {has('(text || url)', ['2024', '2025'])})
+SELECT * FROM hi QUALIFY page_ord = min(page_ord) OVER (PARTITION BY company_id)"""
 _report_words, _segments = ["report", "earning", "financial", "quarterly", "annual"], ["202", "upload", "document", "file"]
 _name = "lower(string_split(url, '/')[-1])"
 _lists = {
