@@ -81,7 +81,7 @@ _SOURCES = (
     (
         "name",
         False,
-        rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:" + "|".join(_TITLES) + r")\.?\x20\p{Lu}\p{Ll}{1,30}|(?:" + "|".join(_FIRST_NAMES) + r")\x20\p{Lu}\p{Ll}{1,30})(?:\x20\p{Lu}\p{Ll}{1,30})?(?!\p{L})",
+        rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:" + "|".join(_TITLES) + r")\.?\x20\p{Lu}\p{Ll}++|(?:" + "|".join(_FIRST_NAMES) + r")\x20\p{Lu}\p{Ll}++)(?:\x20\p{Lu}\p{Ll}++)?(?!\p{L})",
         lambda t: t.rlike(rf"[{_INITIALS}]\p{{Ll}}+\.?\x20\p{{Lu}}\p{{Ll}}"),
     ),
     (
@@ -93,6 +93,8 @@ _SOURCES = (
 )
 
 
+#: Characters that a text is cut into blocks of, when parts of it are put together.
+BLOCK = 1024
 #: Marks the ends of matches while a text is parted; texts that hold it are parted in another way.
 _END = "\x01"
 _MATCHES = "array<struct<source:int,match:string,gap:int,left:string,right:string>>"
@@ -309,7 +311,8 @@ def _spans(docs: DataFrame, row: Column | None = None) -> tuple[DataFrame, DataF
     )
     by_row = Window.partitionBy("row")
     earlier = by_row.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    later = by_row.orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the end backwards: a frame that reaches to the partition's end would be gone over anew for each row
+    later = by_row.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     base_end = F.max(F.when(F.col("base"), F.col("end"))).over(earlier)
     base_start = F.min(F.when(F.col("base"), F.col("start"))).over(later)
     candidates = (
@@ -398,26 +401,22 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     joined = rows.join(per, rows[own] == per["_pii_row"], "left")
     # the text between span i - 1 and span i, then span i's mark; the last part has no mark
-    n = F.size("_pii")
-    parts = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.concat(
-            F.substring(
-                F.col("text"),
-                F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_pii", i)["end"]).cast("int") + 1,
-                (
-                    F.coalesce(F.try_element_at("_pii", i + 1)["start"].cast("int"), F.length("text"))
-                    - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_pii", i)["end"]).cast("int")
-                ),
-            ),
-            F.coalesce(
-                F.concat(F.lit("["), F.upper(F.try_element_at("_pii", i + 1)["kind"]), F.lit("]")), F.lit("")
-            ),
-        ),
-    )
-    clean = F.when(F.col("_pii").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+    end_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_pii", i)["end"].cast("int"))
+    start_of = lambda i: F.coalesce(F.try_element_at("_pii", i + 1)["start"].cast("int"), F.length("text"))
+    mark = lambda i: F.coalesce(F.concat(F.lit("["), F.upper(F.try_element_at("_pii", i + 1)["kind"]), F.lit("]")), F.lit(""))
+    blocks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    parts = lambda held: F.transform(F.sequence(F.lit(0), F.size("_pii")), lambda i: F.concat(_cut(held, end_of(i), start_of(i)), mark(i)))
+    cleaned = F.get(F.transform(F.array(blocks), lambda held: F.array_join(parts(held), "")), 0)  # blocks are bound once
+    clean = F.when(F.col("_pii").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cleaned)
     return joined.withColumn("text", clean).select(*docs.columns)
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text in blocks. A substring of the whole text would be counted out from its beginning each time."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1)
+    return F.when(end <= start, F.lit("")).otherwise(F.substring(F.array_join(held, ""), start - first * BLOCK + 1, end - start))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from quarterlens.llm import pii
 from quarterlens.llm.pii import _features, expectation_maximisation, personal_data, redact, train
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -120,3 +121,27 @@ def test_names_beside_titles_and_first_names(spark):
     rows = [(1, "signed by Dr. Heike Vogel today"), (2, "dear Mary Poppins, hello"), (3, "The Xylo Band plays"), (4, "McMary Smith")]
     got = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == ("name:10:25", 1) and got[2] == ("name:5:17", 1) and got[3] == got[4] == ("", 0)
+
+
+def test_a_text_with_very_many_matches(spark):
+    """One text of 100,000 addresses: spans and redaction grow with the matches, not with their square."""
+    import time
+
+    text = "".join(f"é write to user{i}@mail{i % 7}.example.com now; " for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    found = pii.personal_data(docs).filter("doc_id = 1").first()
+    between = time.time()
+    cleaned = pii.redact(docs).filter("doc_id = 1").first().text
+    assert between - began < 60 and time.time() - between < 60
+    spans = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"user\d+@mail\d\.example\.com", text))
+    assert found.n_email == 100_000 and found.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    assert cleaned == re.sub(r"user\d+@mail\d\.example\.com", "[EMAIL]", text)
+
+
+def test_redaction_across_blocks(spark):
+    """Spans at the edges of the blocks that a text is cut into, in text beyond the basic plane."""
+    for before in (pii.BLOCK - 12, pii.BLOCK - 1, pii.BLOCK, 2 * pii.BLOCK - 5):
+        text = "😀" * before + " a@b.co " + "é" * (pii.BLOCK * 2) + " c@d.org"
+        got = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+        assert got == text.replace("a@b.co", "[EMAIL]").replace("c@d.org", "[EMAIL]")
