@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import params as P
+
 from ..functions.text import contains_any, py_strip
 from ..params import CONTENT_TERMS
 
@@ -136,3 +138,12 @@ def combined(**checks: Column) -> Column:
 
 def first_error(errors: Column) -> Column:
     return F.try_element_at(errors, F.lit(1))
+
+
+def config_problems(companies: Column, workers: Column, as_of: Column) -> Column:
+    """What is wrong with a run's settings, all of it: companies (an array of tickers) that aren't known, too few workers, no ISO date."""
+    known = F.array(*[F.lit(c[0]) for c in P.COMPANIES])
+    unknown = F.transform(F.array_except(companies, known), lambda c: F.concat(F.lit("unknown company: "), c))
+    few = F.when(workers < 1, "workers must be at least 1")
+    undated = F.when(F.length(as_of) != 10, "as_of must be an ISO date")
+    return F.concat(unknown, F.array_compact(F.array(few, undated)))

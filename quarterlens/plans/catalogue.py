@@ -74,13 +74,15 @@ def with_ticker(df: DataFrame) -> DataFrame:
 
 @query
 def company_scan(spark, sf):
-    rows = [(i, *c) for i, c in enumerate(P.COMPANIES)]
-    return spark.createDataFrame(rows, "ord int, ticker string, name string, website string")
+    """The companies with how many customers' links each has; the list is broadcast, of thirty rows."""
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(P.COMPANIES)], "ord int, ticker string, name string, website string")
+    found = table(spark, sf, "customer").groupBy((F.col("c_custkey") % 30).cast("int").alias("ord")).agg(F.count("*").alias("n_customers"))
+    return found.join(F.broadcast(rows), "ord").select("ord", "ticker", "name", "website", "n_customers")
 
 
 @query
 def company_subset(spark, sf):
-    return company_scan(spark, sf).filter(F.col("ticker").isin("AAPL", "MSFT", "V")).select("ticker", "website")
+    return company_scan(spark, sf).filter(F.col("ticker").isin("AAPL", "MSFT", "V")).select("ticker", "website", "n_customers")
 
 
 def tree_pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import discovery, documents, downloads, links, manifest, qc, ra
 from ..params import EngineParams
 from ..sources import files
 from ..sources.files import work_folder
+from ..sources.versioned import VersionedTable
 from .catalogue import DEFAULTS, _arrivals, _entries, _named, query, report_links, table, tree_pages, with_ticker
 
 
@@ -305,9 +306,13 @@ def year_weights(spark, sf):
 
 @query
 def config_problems(spark, sf):
-    tried = [EngineParams(), EngineParams(companies=["AAPL", "NONE"], workers=0), EngineParams(as_of="today")]
-    tried.append(EngineParams.from_env({"QUARTERLENS_COMPANIES": "AAPL, MSFT", "QUARTERLENS_AS_OF": "2025-05-05", "QUARTERLENS_WORKERS": "3"}))
-    return spark.createDataFrame([(i, "; ".join(p.problems()), p.as_of, p.workers) for i, p in enumerate(tried)], "i int, problems string, as_of string, workers int")
+    """Settings of runs, made of customers: some of a company that isn't known, without workers or a date."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    tickers = F.array(*[F.lit(c[0]) for c in P.COMPANIES], F.lit("NONE"))
+    companies = F.array(F.element_at(tickers, (k % 31 + 1).cast("int")), F.element_at(tickers, (n % 31 + 1).cast("int")))
+    as_of = F.when(k % 7 == 0, "today").otherwise("2025-10-10")
+    problems = qc.config_problems(companies, n - 2, as_of)
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(problems, "; ").alias("problems"))
 
 
 # -- checks --
@@ -382,39 +387,61 @@ def table_exports(spark, sf):
 # -- files --
 
 
-def _write_files(spark, sf) -> str:
-    """Reports of two companies and one hidden folder as small files: {ticker}/{period}/out/..."""
-    folder = f"{work_folder(spark)}/tree"
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = ["r.pdf", "r.txt", "r-t10.csv", "r-t2.csv", "r-p1-1.png", "s.pdf"]
-    for place in ("aapl/2025-Q1/out", "msft/2025-Q2/out", ".hidden/2025-Q2/out"):
-        for name in names:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{place}/{name}"))
-            out.writeBytes(f"{place} {name}")
-            out.close()
-    return folder
+def _reports(spark, sf) -> DataFrame:
+    """A report of each document, of the company that its source stands for: every fourth with its original, every third with an image,
+    and with as many tables as the number's remainder by three."""
+    i = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    every = F.array(*[F.struct(F.lit(f"t{k}").alias("name"), F.concat(F.lit(f"k,v\n{k},"), F.octet_length(text).cast("string")).alias("csv")) for k in (1, 2)])
+    image = F.array(F.struct(F.lit("chart").alias("name"), F.unhex(F.md5(text.cast("binary"))).alias("content")))
+    return table(spark, sf, "documents").select(
+        F.coalesce("source", F.lit("none")).alias("ticker"), _text("2025-Q", (i % 4 + 1).cast("string")).alias("period"), _text("r", i.cast("string")).alias("report"),
+        F.when(i % 4 == 0, F.concat(F.lit("%PDF-"), i.cast("string")).cast("binary")).alias("pdf"), F.col("text"), F.slice(every, F.lit(1), (i % 3).cast("int")).alias("tables"),
+        F.when(i % 3 == 0, image).otherwise(F.slice(image, 1, 0)).alias("images"), F.to_json(F.struct("lang", "n_chars")).alias("metadata"),
+    )
+
+
+def _written(spark, sf) -> str:
+    root = f"{work_folder(spark)}/tree"
+    files.write_layout(_reports(spark, sf), root)
+    return root
+
+
+@query
+def layout(spark, sf):
+    """Every document as files, read back: how many of each kind there are, and the hash of all their hashes."""
+    back = files.read_layout(spark, _written(spark, sf))
+    named = F.concat_ws(":", "filename", F.sha2("content", 256))
+    per = back.groupBy("ticker", "period", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.array_join(F.array_sort(F.collect_list(named)), ",").alias("all"))
+    return per.withColumn("all", F.sha2(F.col("all").cast("binary"), 256))
+
+
+@query
+def pruned_layout(spark, sf):
+    """The texts of one company's quarter: other folders aren't listed."""
+    back = files.read_layout(spark, _written(spark, sf)).filter("ticker = 'SRC3' AND period IN ('2025-Q4', '2025-Q9') AND kind = 'text'")
+    return back.select("report", F.decode("content", "UTF-8").alias("text"))
 
 
 @query
 def partition_tree(spark, sf):
-    return files.partition_tree(spark, _write_files(spark, sf)).select("ticker", "period", "filename", "length")
+    return files.partition_tree(spark, _written(spark, sf)).select("ticker", "period", "filename", "length")
 
 
 @query
 def output_sets(spark, sf):
-    found = files.output_sets(files.partition_tree(spark, _write_files(spark, sf)))
+    found = files.output_sets(files.partition_tree(spark, _written(spark, sf)))
     return found.select("ticker", "period", "stem", "filename", "text_file", F.array_join("table_files", ",").alias("tables"), F.array_join("image_files", ",").alias("images"))
 
 
 @query
 def object_listing(spark, sf):
-    return files.listing(spark, _write_files(spark, sf), "aapl/").filter(F.col("updated").isNotNull()).select("name", "size", "extension")
+    return files.listing(spark, _written(spark, sf), "src1/").filter(F.col("updated").isNotNull()).select("name", "size", "extension")
 
 
 @query
 def whole_texts(spark, sf):
-    found = files.whole_texts(spark, f"{_write_files(spark, sf)}/msft/2025-Q2/out")
+    found = files.whole_texts(spark, f"{_written(spark, sf)}/src1/2025-Q2/text")
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "text")
 
 
@@ -454,43 +481,37 @@ def put_states(spark, sf):
     """States put by key in two steps: those that errors left, then those of all arrivals of even users, which replace theirs."""
     path = f"{work_folder(spark)}/states"
     a = _arrivals(spark, sf)
-    files.put_by_key(state.upserted(a.filter("event_type = 'error'"), "user_id", "event_id"), path, "user_id", 8)
-    files.put_by_key(state.upserted(a.filter("user_id % 2 = 0"), "user_id", "event_id"), path, "user_id", 8)
+    files.put_by_key(state.upserted(a.filter("event_type = 'error'"), "user_id", "event_id"), path, "user_id")
+    files.put_by_key(state.upserted(a.filter("user_id % 2 = 0"), "user_id", "event_id"), path, "user_id")
     return files.by_key(spark, path)
 
 
+@query
+def backup_states(spark, sf):
+    """A backup of the states that errors left, read after all arrivals of even users and a cleaning: what was, and what is."""
+    path = f"{work_folder(spark)}/states"
+    a = _arrivals(spark, sf)
+    files.put_by_key(state.upserted(a.filter("event_type = 'error'"), "user_id", "event_id"), path, "user_id")
+    states = VersionedTable(spark, path)
+    states.pin("before")
+    files.put_by_key(state.upserted(a.filter("user_id % 2 = 0"), "user_id", "event_id"), path, "user_id")
+    files.put_by_key(state.upserted(a.filter("user_id % 4 = 0"), "user_id", "event_id"), path, "user_id")
+    states.clean(grace=0)
+    was = states.read_pin("before").select("user_id", F.col("processing_count").alias("was"))
+    return states.read().select("user_id", F.col("processing_count").alias("now")).join(was, "user_id", "full")
+
+
 @query
 def stored_objects(spark, sf):
     """Texts stored as objects with their types and metadata; some a second time, which the reader then sees."""
     root = f"{work_folder(spark)}/store"
-    n = table(spark, sf, "nation")
-    made = n.select(
-        F.concat(F.lit("parsed/"), "n_name", F.lit("/text.txt")).alias("name"), F.concat(F.lit("Text of "), "n_name").cast("binary").alias("content"),
-        F.lit("text/plain").alias("content_type"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("metadata"), "n_nationkey",
+    i = F.col("doc_id")
+    made = table(spark, sf, "documents").select(
+        _text("parsed/", i.cast("string"), "/text.txt").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+        F.lit("text/plain").alias("content_type"), F.create_map(F.lit("region"), F.col("source")).alias("metadata"), "doc_id",
     )
-    files.put_objects(made.drop("n_nationkey"), root)
-    again = made.filter("n_nationkey % 3 = 0").withColumn("content", F.lit("new").cast("binary")).withColumn("content_type", F.lit("application/json"))
-    uris = files.put_objects(again.drop("n_nationkey"), root)
+    files.put_objects(made.drop("doc_id"), root)
+    new = lambda c: made.filter("doc_id % 3 = 0").withColumn("content", F.lit(c).cast("binary")).withColumn("content_type", F.lit("application/json"))
+    uris = files.put_objects(new("new").unionByName(new("neu")).drop("doc_id"), root)  # each name twice in one put
     back = files.get_objects(spark, root).join(uris, "name", "left")
-    return back.select("name", F.col("content").cast("string").alias("content"), "content_type", F.col("metadata")["region"].alias("region"), F.col("uri").isNotNull().alias("again"))
-
-
-@query
-def layout(spark, sf):
-    """Reports as files by kind, ticker and period, read back."""
-    root = work_folder(spark)
-    n = table(spark, sf, "nation")
-    cells = F.array(F.struct(F.lit("t1").alias("name"), _text('"key"\n"', F.col("n_nationkey").cast("string"), '"').alias("csv")))
-    reports = n.select(
-        F.col("n_name").alias("ticker"), _text("2025-Q", (F.col("n_regionkey") % 4 + 1).cast("string")).alias("period"), F.lit("report").alias("name"),
-        _text("Report of ", F.col("n_name"), "\nend").alias("text"), cells.alias("tables"), F.struct(F.lit(True).alias("success"), F.lit(1).alias("pages")).alias("metadata"),
-    )
-    files.write_layout(reports, root)
-    out = None
-    for kind, back in (("text", spark.read.text(f"{root}/text")), ("tables", spark.read.text(f"{root}/tables")), ("metadata", spark.read.json(f"{root}/metadata"))):
-        value = F.col("value") if "value" in back.columns else F.to_json(F.struct("name", "pages", "success"))
-        part = back.groupBy("ticker", "period").agg(F.count("*").alias("n_lines"), F.max(value).alias("last"))
-        part = part.select(F.lit(kind).alias("kind"), F.col("ticker").cast("string"), F.col("period").cast("string"), "n_lines", "last")
-        out = part if out is None else out.unionByName(part)
-    return out
-
+    return back.select("name", F.sha2("content", 256).alias("content"), "content_type", F.col("metadata")["region"].alias("region"), F.col("uri").isNotNull().alias("again"))

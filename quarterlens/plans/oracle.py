@@ -150,8 +150,8 @@ STRIP = r"regexp_replace({0}, '^[\s\x0B\x1C-\x1F]+|[\s\x0B\x1C-\x1F]+$', '', 'g'
 
 # scans and predicates
 _values = ", ".join(f"({i}, {quote(a)}, {quote(b)}, {quote(c)})" for i, (a, b, c) in enumerate(P.COMPANIES))
-SQL["company_scan"] = f"SELECT * FROM (VALUES {_values}) v(ord, ticker, name, website)"
-SQL["company_subset"] = f"SELECT ticker, website FROM (VALUES {_values}) v(ord, ticker, name, website) WHERE ticker IN ('AAPL', 'MSFT', 'V')"
+SQL["company_scan"] = f"SELECT ord, ticker, name, website, count(*) AS n_customers FROM (VALUES {_values}) v(ord, ticker, name, website) JOIN customer ON c_custkey % 30 = ord GROUP BY ALL"
+SQL["company_subset"] = f"SELECT ticker, website, count(*) AS n_customers FROM (VALUES {_values}) v(ord, ticker, name, website) JOIN customer ON c_custkey % 30 = ord WHERE ticker IN ('AAPL', 'MSFT', 'V') GROUP BY ALL"
 SQL["valid_links"] = f"{L} SELECT link_id FROM l WHERE {VALID}"
 SQL["financial_report_links"] = f"{L} SELECT link_id FROM (SELECT link_id, replace(u, '/doc-', '/report-') AS u FROM l WHERE link_id % 3 > 0) WHERE {FINANCIAL_URL}"
 SQL["chart_links"] = f"{L} SELECT link_id FROM l WHERE {CHART}"

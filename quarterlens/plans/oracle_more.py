@@ -289,8 +289,8 @@ arg_max(CASE WHEN event_id % 2 = 0 THEN 'Timeout' ELSE 'No reports' END, event_i
 SQL["image_totals"] = """WITH p AS (SELECT source, count(*) AS n, count(DISTINCT text) AS e FROM documents GROUP BY 1)
 SELECT 100::BIGINT AS processed, count(*) FILTER (e > 0) AS with_images, sum(e)::BIGINT AS unique_images, sum(n - e)::BIGINT AS duplicate_images, sum(n)::BIGINT AS total_images FROM p"""
 SQL["year_weights"] = """SELECT (year(o_orderdate) + 24)::VARCHAR AS year, count(*) AS n, CASE year(o_orderdate) + 24 WHEN 2025 THEN 1.0 WHEN 2024 THEN 0.85 WHEN 2023 THEN 0.6 WHEN 2022 THEN 0.4 ELSE 0.0 END::DOUBLE AS weight FROM orders GROUP BY 1, 3"""
-SQL["config_problems"] = """SELECT * FROM (VALUES (0, '', '2025-10-10', 8), (1, 'unknown company: NONE; workers must be at least 1', '2025-10-10', 0), (2, 'as_of must be an ISO date', 'today', 8),
-(3, '', '2025-05-05', 3)) v(i, problems, as_of, workers)"""
+SQL["config_problems"] = f"""SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 31 = 30 OR c_nationkey % 31 = 30 THEN 'unknown company: NONE' END, CASE WHEN c_nationkey < 3 THEN 'workers must be at least 1' END,
+CASE WHEN c_custkey % 7 = 0 THEN 'as_of must be an ISO date' END) AS problems FROM customer"""
 
 # checks
 _s = STRIP.format("text")
@@ -318,20 +318,28 @@ SQL["table_exports"] = SQL["table_exports"].replace("WHEN n_nationkey % 8 <> 7 T
 )
 
 # files
-_tree = """f AS (SELECT * FROM (VALUES ('r.pdf'), ('r.txt'), ('r-t10.csv'), ('r-t2.csv'), ('r-p1-1.png'), ('s.pdf')) v(filename)),
-p AS (SELECT * FROM (VALUES ('aapl', '2025-Q1'), ('msft', '2025-Q2')) v(t, period))"""
-SQL["partition_tree"] = f"WITH {_tree} SELECT upper(t) AS ticker, period, filename, length(t || '/' || period || '/out ' || filename) AS length FROM f, p"
-SQL["output_sets"] = f"WITH {_tree} SELECT upper(t) AS ticker, period, 'r' AS stem, 'r.pdf' AS filename, 'r.txt' AS text_file, 'r-t10.csv,r-t2.csv' AS tables, 'r-p1-1.png' AS images FROM p"
-SQL["object_listing"] = f"WITH {_tree} SELECT t || '/' || period || '/out/' || filename AS name, length(t || '/' || period || '/out ' || filename) AS size, string_split(filename, '.')[-1] AS extension FROM f, p WHERE t = 'aapl'"
-SQL["whole_texts"] = f"WITH {_tree} SELECT filename AS name, t || '/' || period || '/out ' || filename AS text FROM f, p WHERE t = 'msft'"
+TREE_FILES = """rp AS (SELECT coalesce(source, 'none') AS t, '2025-Q' || (doc_id % 4 + 1) AS period, doc_id AS i, 'r' || doc_id AS report, coalesce(text, '') AS text, lang, n_chars FROM documents),
+fl AS (SELECT t, period, report, 'pdf' AS kind, report || '.pdf' AS filename, '' AS folder, encode('%PDF-' || i) AS content FROM rp WHERE i % 4 = 0
+  UNION ALL SELECT t, period, report, 'text', report || '.txt', 'text/', encode(text) FROM rp WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+  UNION ALL SELECT t, period, report, 'table', report || '-t' || k || '.csv', 'tables/', encode('k,v' || chr(10) || k || ',' || strlen(text)) FROM rp, (VALUES (1), (2)) v(k) WHERE k <= i % 3
+  UNION ALL SELECT t, period, report, 'image', report || '-p1-chart.png', 'images/', unhex(md5(text)) FROM rp WHERE i % 3 = 0
+  UNION ALL SELECT t, period, report, 'metadata', report || '.json', 'metadata/', encode('{' || concat_ws(', ', '"lang": "' || lang || '"', '"n_chars": ' || n_chars) || '}') FROM rp)"""
+SQL["layout"] = f"""WITH {TREE_FILES} SELECT upper(t) AS ticker, period, kind, count(*) AS n, sum(octet_length(content))::BIGINT AS size,
+  sha256(string_agg(filename || ':' || sha256(content), ',' ORDER BY filename || ':' || sha256(content))) AS "all" FROM fl GROUP BY 1, 2, 3"""
+SQL["pruned_layout"] = f"WITH {TREE_FILES} SELECT report, decode(content) AS text FROM fl WHERE t = 'src3' AND period = '2025-Q4' AND kind = 'text'"
+SQL["partition_tree"] = f"WITH {TREE_FILES} SELECT upper(t) AS ticker, period, filename, octet_length(content) AS length FROM fl"
+SQL["output_sets"] = f"""WITH {TREE_FILES}, st AS (SELECT upper(t) AS ticker, period, report AS stem, string_agg(filename, ',' ORDER BY filename) FILTER (kind = 'table') AS tables,
+  string_agg(filename, ',' ORDER BY filename) FILTER (kind = 'image') AS images, max(filename) FILTER (kind = 'pdf') AS filename, max(filename) FILTER (kind = 'text') AS text_file FROM fl GROUP BY 1, 2, 3)
+SELECT ticker, period, stem, filename, text_file, tables, images FROM st WHERE filename IS NOT NULL AND text_file IS NOT NULL"""
+SQL["object_listing"] = f"WITH {TREE_FILES} SELECT t || '/' || period || '/' || folder || filename AS name, octet_length(content) AS size, string_split(filename, '.')[-1] AS extension FROM fl WHERE t = 'src1'"
+SQL["whole_texts"] = f"WITH {TREE_FILES} SELECT filename AS name, text FROM fl JOIN rp USING (report) WHERE fl.t = 'src1' AND fl.period = '2025-Q2' AND kind = 'text'"
 SQL["json_objects"] = "SELECT 'A' AS ticker, count(*) AS processing_count FROM region"
 SQL["results_sink"] = "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey < 3"
 SQL["appended_lines"] = f"""{E} SELECT '2025-Q1' AS period, count(*) AS n, 0 AS stamped FROM e WHERE period = '2025-Q1' HAVING n > 0 UNION ALL
 SELECT '2025-Q2', count(*), count(*) FROM e WHERE period = '2025-Q2' AND report_type IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'left out', count(*), 0 FROM e WHERE period = '2025-Q2' AND report_type IS NULL HAVING count(*) > 0"""
-SQL["layout"] = """WITH n AS (SELECT n_name AS ticker, '2025-Q' || (n_regionkey % 4 + 1) AS period, n_nationkey FROM nation)
-SELECT 'text' AS kind, ticker, period, 2 AS n_lines, greatest('end', 'Report of ' || ticker) AS last FROM n UNION ALL SELECT 'tables', ticker, period, 2, greatest('"key"', '"' || n_nationkey || '"') FROM n UNION ALL
-SELECT 'metadata', ticker, period, 1, '{"name":"report","pages":1,"success":true}' FROM n"""
 SQL["put_states"] = f"""{A}, b AS (SELECT * FROM a WHERE user_id % 2 = 0 UNION ALL SELECT * FROM a WHERE user_id % 2 = 1 AND event_type = 'error')
 SELECT user_id, arg_max(sha256, event_id) AS sha256, arg_max(published, event_id) AS published, count(*) AS processing_count FROM b GROUP BY 1"""
-SQL["stored_objects"] = """SELECT 'parsed/' || n_name || '/text.txt' AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'Text of ' || n_name END AS content,
-CASE WHEN n_nationkey % 3 = 0 THEN 'application/json' ELSE 'text/plain' END AS content_type, n_regionkey::VARCHAR AS region, n_nationkey % 3 = 0 AS again FROM nation"""
+SQL["stored_objects"] = """SELECT 'parsed/' || doc_id || '/text.txt' AS name, sha256(CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE coalesce(text, '') END) AS content,
+CASE WHEN doc_id % 3 = 0 THEN 'application/json' ELSE 'text/plain' END AS content_type, source AS region, doc_id % 3 = 0 AS again FROM documents"""
+SQL["backup_states"] = f"""{A}, x AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS e, count(*) AS n FROM a GROUP BY 1)
+SELECT user_id, CASE WHEN user_id % 2 = 0 THEN n ELSE e END AS now, nullif(e, 0) AS was FROM x WHERE e > 0 OR user_id % 2 = 0"""

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_from_filename, ticker_from_filename
+from . import report_tree
+from .versioned import VersionedTable
 
 MANIFEST = (
     "ticker string, period string, published string, report_type string, source_url string, pdf_path string, sha256 string, "
@@ -124,7 +126,7 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def missing_objects(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,46 +157,34 @@ def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticker
 
 
 def write_layout(reports: DataFrame, root: str) -> None:
-    """Reports (ticker, period, name, text, tables: array of (name, csv), metadata) as files in folders by kind, ticker and period:
-    texts as they are, tables as their CSV lines with the table's name in the path, metadata as JSON lines."""
-    keys = ["ticker", "period"]
-    dealt = reports.repartition(*keys)
-    dealt.select(*keys, F.col("text").alias("value")).write.mode("overwrite").partitionBy(*keys).text(f"{root}/text")
-    tables = dealt.select(*keys, F.inline("tables"))
-    tables.select(*keys, F.col("name").alias("table"), F.col("csv").alias("value")).write.mode("overwrite").partitionBy(*keys, "table").text(f"{root}/tables")
-    dealt.select(*keys, "name", "metadata.*").write.mode("overwrite").partitionBy(*keys).json(f"{root}/metadata")
-
-
-def put_objects(objects: DataFrame, root: str) -> DataFrame:
-    """Stores objects (name, content, content_type, metadata: map) as rows of a table under root, and returns each one's address.
-    Later puts of a name are further versions; get_objects reads the last one."""
-    stamped = objects.withColumn("version", F.unix_micros(F.current_timestamp()))
-    stamped.write.mode("append").parquet(f"{root}/objects")
-    return objects.select("name", F.concat(F.lit(root.rstrip("/")), F.lit("/"), F.col("name")).alias("uri"))
-
-
-def get_objects(spark: SparkSession, root: str) -> DataFrame:
-    """The last version of each object: one partial aggregation on the names, in which contents do not take part."""
-    rows = spark.read.parquet(f"{root}/objects")
-    last = rows.groupBy(F.col("name").alias("_name")).agg(F.max("version").alias("_version"))
-    on = (F.col("name") == F.col("_name")) & (F.col("version") == F.col("_version"))
-    return rows.join(last, on, "left_semi").drop("version")
-
-
-def put_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Puts one row for each key into a table: rows of these keys are replaced, all others stay.
-
-    The table is parted into buckets by the key's hash, and only buckets that a new row falls into are read and written anew, so
-    a put costs what it touches. rows has one row for each key."""
-    spark = rows.sparkSession
-    new = written(rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")))
-    if exists(spark, path):
-        touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # as many as buckets at most
-        old = spark.read.schema(new.schema).parquet(path).filter(F.col("_bucket").isin(touched))
-        new = written(new.unionByName(old.join(new.select(key), key, "left_anti").select(*new.columns)))
-    dealt = new.repartition("_bucket")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
-
-
-def by_key(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_bucket")
+    """Reports (see report_tree.REPORTS) as one file each for text, table, image and metadata under {ticker}/{period}."""
+    report_tree.register(reports.sparkSession)
+    reports.write.format("report_tree").mode("append").option("path", root).save()
+
+
+def read_layout(spark: SparkSession, root: str) -> DataFrame:
+    """The files of such folders, a row each (see report_tree.FILES); filters on ticker and period prune folders."""
+    report_tree.register(spark)
+    return spark.read.format("report_tree").option("path", root).load()
+
+
+def put_objects(objects: DataFrame, root: str, order: list[str] | None = None) -> DataFrame:
+    """Stores objects (name, content, content_type, metadata: map) in a versioned table under root, and returns each one's address. Later
+    puts of a name are further versions. A name that comes twice in one put keeps the row with the greatest `order` columns, by
+    default the greatest content type and content."""
+    VersionedTable(objects.sparkSession, f"{root}/objects", "name").put(objects, order or ["content_type", "content"])
+    return objects.select("name", F.concat(F.lit(root.rstrip("/")), F.lit("/"), F.col("name")).alias("uri")).distinct()
+
+
+def get_objects(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """Each object as of a version, by default the last."""
+    return VersionedTable(spark, f"{root}/objects", "name").read(version)
+
+
+def put_by_key(rows: DataFrame, path: str, key: str, order: list[str] | None = None) -> int:
+    """Puts one row for each key into a versioned table: rows of these keys are replaced, all others stay. Returns the version."""
+    return VersionedTable(rows.sparkSession, path, key).put(rows, order)
+
+
+def by_key(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return VersionedTable(spark, path).read(version)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.versioned import VersionedTable
+
 STATE = "sha256 string, published string, processing_count long"
 
 
@@ -40,13 +41,17 @@ def decided(arrivals: DataFrame, key: str, order: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, arrivals: DataFrame, folder: str, key: str, order: str) -> DataFrame:
     """Runs a stream of (key, order, sha256, published) to its end and returns the state of each key after it.
 
-    Each micro-batch writes the states that it changed to a folder named after its number. A batch that runs again starts from
-    the same states and writes the same folder, so replays change nothing, and nothing is ever rewritten as a whole.
+    Each micro-batch puts the states that it changed into a versioned table, with its number: a batch that runs again is known by
+    it and changes nothing. The table merges its folders as they grow, so a read costs what the number of keys does, however
+    many batches there were.
     """
-    changes = f"{folder}/changes"
+    states = VersionedTable(spark, f"{folder}/states", key)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+        # a batch runs to its end, once, also if its number is known, as Spark commits its own state with it
+        batch.write.mode("overwrite").parquet(f"{folder}/batch")
+        changed = spark.read.schema(batch.schema).parquet(f"{folder}/batch")
+        states.put(changed, ["processing_count"], writer="stream", number=number)
 
     query = (
         decided(arrivals, key, order)
@@ -62,12 +67,8 @@ def stream_upsert(spark: SparkSession, arrivals: DataFrame, folder: str, key: st
 
 
 def current(spark: SparkSession, folder: str, key: str, kind: str = "long") -> DataFrame:
-    """The state of each key: the last of its changes, which is the one with the greatest count."""
-    from ..sources.files import exists
-
-    schema = f"{key} {kind}, {STATE}"
-    if not exists(spark, f"{folder}/changes"):
-        return spark.createDataFrame([], schema)
-    made = spark.read.schema(schema).parquet(f"{folder}/changes")
-    last = F.max(F.struct("processing_count", "sha256", "published")).alias("last")
-    return made.groupBy(key).agg(last).select(key, "last.sha256", "last.published", "last.processing_count")
+    """The state of each key as of the last batch."""
+    states = VersionedTable(spark, f"{folder}/states", key)
+    if states.empty():
+        return spark.createDataFrame([], f"{key} {kind}, {STATE}")
+    return states.read().select(key, "sha256", "published", "processing_count")
