@@ -59,8 +59,7 @@ def _hits(links: DataFrame, p: EngineParams, strategies: Callable[[Column], list
     page_hit = contains_any(t, P.PAGE_INDICATORS) | joined(u, P.PAGE_INDICATORS, dashed) | joined(t, P.PAGE_INDICATORS, lambda w: w.replace(" ", ""))
     facts = {
         "valid": rules.valid_report_link(url, text, p.year), "score": scoring.comprehensive_score(text, url, p.year, p.month, p.future_after),
-        "page": page_hit, "high": contains_any(t, P.HIGH_KEYWORDS) | joined(u, P.HIGH_KEYWORDS, dashed),
-        "keyword": scoring.keyword_score(text, url), "file": rules.financial_report_url(url),
+        "page": page_hit,
         "sec": rules.sec_section(url, text, p.year), "recent": rules.recent_fallback(text, url), "named": text != "",
     }
 
@@ -81,8 +80,6 @@ def _on_the_page(x: Column) -> list[tuple]:
     good = x["score"] > 0.2
     return [
         (1, "whole_page_scan", x["valid"] & x["page"], F.lit(0.95)),
-        (2, "enhanced_keyword_search", x["valid"] & x["high"], x["keyword"]),
-        (3, "learned_patterns", x["file"] & good, x["score"]),
         (4, "comprehensive_scan", x["valid"], x["score"]),
         (6, "dynamic_discovery", x["valid"] & good, x["score"]),
         (7, "sec_filings", x["sec"], F.lit(None).cast("double")),
@@ -90,6 +87,13 @@ def _on_the_page(x: Column) -> list[tuple]:
     ]
 
 
+def _searched(found: DataFrame, n: int, strategy: str) -> DataFrame:
+    """Reports that a search has found, as hits of a strategy."""
+    url = F.lower("url")
+    now = rules.skips_event(url, scoring.quarter_priority(combined(F.col("text"), F.col("url"))))
+    return found.select("*", F.lit(n).alias("n"), F.lit(strategy).alias("strategy"), now.alias("current"))
+
+
 def _on_other_pages(x: Column) -> list[tuple]:
     return [(5, "navigation_paths", x["valid"] & x["named"], F.lit(0.9))]
 
@@ -124,15 +128,23 @@ def cascade(
 
     Strategies are tried in order; their hits gather. It stops after a scan with two hits or more of which one is a current
     quarter's report, or after any with three. Rows of strategies beyond that are dropped. Hits are written once and read
-    twice: for the stops, which are one row for each company and strategy, and for the result.
+    twice: for the stops, which are one row for each company and strategy, and for the result. The second strategy is
+    searches.keyword_search (a company's own keywords need links to have its ticker), the third searches.learned_reports.
 
     navigation: links of other pages (see navigation_links), with the columns of links; without it strategy 5 has none.
     last_resort: key, order and url of addresses found in a page's text (see fallback_reports); they count for companies that no
     other link of the last strategy is found for.
     """
+    from . import searches  # which takes keep_first from here
+
     rows = _hits(links, p, _on_the_page)
+    named = links if "ticker" in links.columns else links.withColumn("ticker", F.lit(None).cast("string"))
+    second = _searched(searches.keyword_search(named, p, key, order), 2, "enhanced_keyword_search")
+    third = _searched(searches.learned_reports(links, p, key, order), 3, "learned_patterns")
+    for found in (second, third):
+        rows = rows.unionByName(found.select(*[c for c in rows.columns if c in found.columns]), allowMissingColumns=True)
     if navigation is not None:
-        rows = rows.unionByName(_hits(navigation.select(*links.columns), p, _on_other_pages))
+        rows = rows.unionByName(_hits(navigation.select(*[c for c in links.columns if c in navigation.columns]), p, _on_other_pages), allowMissingColumns=True)
     rows = written(rows)
     if last_resort is not None:
         none = last_resort.join(rows.filter("n = 8").select(key).distinct(), key, "left_anti")

@@ -292,7 +292,7 @@ def top_links_per_company(spark, sf):
 
 @query
 def strategy_cascade(spark, sf):
-    out = ranking.cascade(report_links(spark, sf), DEFAULTS)
+    out = ranking.cascade(with_ticker(report_links(spark, sf)), DEFAULTS)
     return out.groupBy("company_id", "strategy").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
 
 

@@ -101,7 +101,7 @@ def cascade_all(spark, sf):
     """The cascade with links of other pages and addresses found in texts: a company's main page has the links whose number is no
     multiple of its own number in the list (plus 2)."""
     k, i = F.col("link_id"), F.col("company_id")
-    every = report_links(spark, sf)
+    every = with_ticker(report_links(spark, sf))
     main = every.filter((k % (i + 2) != 0) & (i % 3 != 1) & (i % 3 != 2))
     other = every.filter((k % 40 == 1) & (i % 3 == 1))
     last = every.filter(k % 100 == 2).select("company_id", "link_id", "url")

@@ -206,17 +206,6 @@ SQL["top_links_per_company"] = f"""{L}, x AS (SELECT company_id, link_id, replac
 z AS (SELECT *, {CONFIDENCE} AS s FROM y), w AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY s DESC, link_id) AS place FROM z QUALIFY place <= 3)
 SELECT company_id, arg_min(link_id, place) AS link_id, count(*) AS n FROM w WHERE {ir_url('u', 'url')} GROUP BY 1"""
 _page = " OR ".join(f"contains(t, {quote(w)}) OR contains(u, {quote(w.replace(' ', '-'))}) OR contains(t, {quote(w.replace(' ', ''))})" for w in W.PAGE_INDICATORS)
-_high = " OR ".join(f"contains(t, {quote(w)}) OR contains(u, {quote(w.replace(' ', '-'))})" for w in W.HIGH_KEYWORDS)
-SQL["strategy_cascade"] = f"""{CLASSED}, b AS (SELECT company_id, link_id, {SCORE} AS score, {VALID} AS ok, ({_page}) AS page, ({_high}) AS high, {KEYWORD} AS kw, {FINANCIAL_URL} AS fin,
-  {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec, {has('u', W.FALLBACK_TERMS)} AND {has('(text || url)', ['2024', '2025'])} AS fb,
-  NOT {has('u', W.EVENT_TERMS)} AND {PRIORITY} >= 0.3 AS now FROM cl WHERE isreport),
-h AS (SELECT company_id, 1 AS n, 'whole_page_scan' AS strategy, 0.95::DOUBLE AS score, now FROM b WHERE ok AND page UNION ALL
-  SELECT company_id, 2, 'enhanced_keyword_search', kw, now FROM b WHERE ok AND high UNION ALL SELECT company_id, 3, 'learned_patterns', score, now FROM b WHERE fin AND score > 0.2 UNION ALL
-  SELECT company_id, 4, 'comprehensive_scan', score, now FROM b WHERE ok UNION ALL SELECT company_id, 6, 'dynamic_discovery', score, now FROM b WHERE ok AND score > 0.2 UNION ALL
-  SELECT company_id, 7, 'sec_filings', NULL, now FROM b WHERE sec UNION ALL SELECT company_id, 8, 'fallback_search', 0.7, now FROM b WHERE fb),
-g AS (SELECT company_id, n, count(*) AS hits, count(*) FILTER (now) AS cur FROM h GROUP BY 1, 2),
-st AS (SELECT company_id, min(n) AS stop FROM g WHERE (n <= 4 AND hits >= 2 AND cur >= 1) OR hits >= 3 GROUP BY 1)
-SELECT h.company_id, strategy, count(*) AS n, round(sum(score), 4) AS score FROM h LEFT JOIN st ON h.company_id = st.company_id WHERE stop IS NULL OR n <= stop GROUP BY 1, 2"""
 SQL["dedup_url_keep_first"] = f"{L} SELECT company_id, regexp_replace(url, '/doc-[0-9]+', '/doc', 'g') AS place, min(link_id) AS link_id FROM l GROUP BY 1, 2"
 
 # addresses

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import params as P
 from . import lists as W
-from .oracle import _NAMED, CLASSED, CONFIDENCE, KEYWORD, PDF, PRIORITY, SCORE, SQL, STRIP, VALID, A, E, L, _high, _page, _valid_by_url, has, ir_url, quote
+from .oracle import _NAMED, CLASSED, CONFIDENCE, PDF, PRIORITY, SCORE, SQL, STRIP, VALID, A, E, L, _page, _valid_by_url, has, ir_url, quote
 
 
 def listed(values) -> str:
@@ -73,20 +73,6 @@ o AS (SELECT *, {valid} AS valid FROM (SELECT *, lower(found_url) AS u FROM z))"
 SQL["context_urls"] = f"WITH {_near(['investor', 'report', 'Q[1-4]'])} SELECT page_id, word, hit, place, found_url, valid FROM o"
 SQL["fallback_reports"] = f"""WITH {_near(['2025', '2024', 'Q[1-4]', 'earnings', 'financial', 'report', 'results', 'filing'])}
 SELECT page_id, rank, place, found_url AS url, hit AS text, 5.0::DOUBLE AS priority, '2025_fallback' AS year, 'fallback' AS type, 'fallback_search' AS strategy, 0.3::DOUBLE AS score FROM o WHERE valid"""
-SQL["cascade_all"] = f"""{CLASSED}, b AS (SELECT company_id, link_id, {SCORE} AS score, {VALID} AS ok, ({_page}) AS page, ({_high}) AS high, {KEYWORD} AS kw,
-  {has('u', W.FILE_EXTENSIONS)} AND {has('u', W.FINANCIAL_URL_WORDS)} AS fin, {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec,
-  {has('u', ['.pdf', '.xlsx', '.xls', 'download', 'filing', 'earnings'])} AND {has('(text || url)', ['2024', '2025'])} AS fb,
-  NOT {has('u', ['event-details', 'conference-call', 'webcast'])} AND {PRIORITY} >= 0.3 AS now FROM cl WHERE isreport),
-m AS (SELECT * FROM b WHERE link_id % (company_id + 2) <> 0 AND company_id % 3 = 0),
-h AS (SELECT company_id, 1 AS n, 'whole_page_scan' AS strategy, 0.95::DOUBLE AS score, now FROM m WHERE ok AND page UNION ALL
-  SELECT company_id, 2, 'enhanced_keyword_search', kw, now FROM m WHERE ok AND high UNION ALL SELECT company_id, 3, 'learned_patterns', score, now FROM m WHERE fin AND score > 0.2 UNION ALL
-  SELECT company_id, 4, 'comprehensive_scan', score, now FROM m WHERE ok UNION ALL SELECT company_id, 5, 'navigation_paths', 0.9, now FROM b WHERE ok AND link_id % 40 = 1 AND company_id % 3 = 1 UNION ALL
-  SELECT company_id, 6, 'dynamic_discovery', score, now FROM m WHERE ok AND score > 0.2 UNION ALL SELECT company_id, 7, 'sec_filings', NULL, now FROM m WHERE sec UNION ALL
-  SELECT company_id, 8, 'fallback_search', 0.7, now FROM m WHERE fb UNION ALL
-  SELECT company_id, 8, 'fallback_search', 0.3, false FROM l WHERE link_id % 100 = 2 AND company_id NOT IN (SELECT company_id FROM m WHERE fb)),
-g AS (SELECT company_id, n, count(*) AS hits, count(*) FILTER (now) AS cur FROM h GROUP BY 1, 2),
-st AS (SELECT company_id, min(n) AS stop FROM g WHERE (n <= 4 AND hits >= 2 AND cur >= 1) OR hits >= 3 GROUP BY 1)
-SELECT h.company_id, strategy, count(*) AS n, round(sum(score), 4) AS score FROM h LEFT JOIN st ON h.company_id = st.company_id WHERE stop IS NULL OR n <= stop GROUP BY 1, 2"""
 SQL["first_valid_pdf"] = f"""{L}, p AS (SELECT company_id, link_id, ({PDF})::BIGINT AS score FROM l WHERE contains(u, '.pdf')),
 r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, link_id) AS place FROM p QUALIFY place <= 3)
 SELECT company_id, arg_min(link_id, place) AS link_id, min(place) AS place, arg_min(score, place) AS score FROM r WHERE link_id % 3 <> 0 GROUP BY 1"""
@@ -227,18 +213,52 @@ SEARCH = f"""sl AS (SELECT company_id, link_id, ticker, nth, CASE WHEN company_i
 _all_words = ", ".join(f"({k}, NULL, {quote(w)})" for k, w in enumerate(W.HIGH_KEYWORDS))
 _mine = ", ".join(f"({1000 + k + 500 * j}, {quote(t)}, {quote(f'{w} {more}')})" for t, ws in W.TICKER_KEYWORDS.items() for j, more in enumerate(("earnings", "quarterly")) for k, w in enumerate(ws))
 _broad = "(0, 'earnings'), (1, 'quarterly'), (2, 'financial')"
-SQL["keyword_search"] = f"""{L}, {SEARCH}, kw(word, of, keyword) AS (VALUES {_all_words}, {_mine}), br(word, keyword) AS (VALUES {_broad}),
-f AS (SELECT sl.*, word, keyword FROM sl JOIN kw ON of IS NULL OR of = ticker WHERE nth <= 50 AND text <> '' AND (contains(lower(text), keyword) OR contains(lower(url), replace(keyword, ' ', '-')))),
+
+def keyword_ctes(rel: str) -> str:
+    """kr: the reports that the keyword search finds among rel (company_id, link_id, ticker, nth, text, url)."""
+    medium = f"SELECT r.* EXCLUDE (ticker), word, keyword FROM {rel} r JOIN br ON contains(lower(text), keyword) WHERE nth <= 30 AND company_id NOT IN (SELECT company_id FROM hk GROUP BY 1 HAVING count(*) >= 2)"
+    return f"""kw(word, of, keyword) AS (VALUES {_all_words}, {_mine}), br(word, keyword) AS (VALUES {_broad}),
+f AS (SELECT r.*, word, keyword FROM {rel} r JOIN kw ON of IS NULL OR of = ticker WHERE nth <= 50 AND text <> '' AND (contains(lower(text), keyword) OR contains(lower(url), replace(keyword, ' ', '-')))),
 hi AS (SELECT *, 0.8::DOUBLE + CASE WHEN contains(lower(text || ' ' || url), '2025') THEN 0.1 ELSE 0.0 END + CASE WHEN contains(lower(url), 'pdf') THEN 0.1 ELSE 0.0 END AS sc FROM {reports('SELECT * EXCLUDE (ticker) FROM f')}),
-st AS (SELECT company_id, word, min(nth) AS stop FROM hi WHERE sc > 0.9 GROUP BY 1, 2),
-hk AS (SELECT hi.* FROM hi LEFT JOIN st ON st.company_id = hi.company_id AND st.word = hi.word WHERE stop IS NULL OR nth <= stop),
-m AS (SELECT *, 0.4::DOUBLE AS sc FROM {reports("SELECT sl.* EXCLUDE (ticker), word, keyword FROM sl JOIN br ON contains(lower(text), keyword) WHERE nth <= 30 AND company_id NOT IN (SELECT company_id FROM hk GROUP BY 1 HAVING count(*) >= 2)")}),
-every AS (SELECT 1 AS tier, * FROM hk UNION ALL SELECT 2, * FROM m)
-SELECT company_id, link_id, tier, keyword, url, label, sc AS score FROM every QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY tier, word, nth) = 1"""
-_name = "regexp_replace(split_part(url, '/', -1), '[-_]', ' ', 'g')"
-SQL["learned_reports"] = f"""{L}, {SEARCH}, fi AS (SELECT company_id, link_id, replace(url, '/doc-', '/quarterly-report_') AS url FROM sl WHERE nth <= 200 AND contains(lower(url), '.pdf') QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY link_id) <= 20),
-x AS (SELECT *, lower(url) AS u, lower(text) AS t, lower(text || ' ' || url) AS c FROM (SELECT *, {_name} AS text FROM fi)), y AS (SELECT * FROM x WHERE {has('u', W.FINANCIAL_URL_WORDS)}),
-z AS (WITH l AS (SELECT * FROM y){_label} SELECT *, {SCORE} AS sc FROM cl WHERE isreport) SELECT company_id, link_id, text, label, round(sc, 4) AS score FROM z WHERE sc > 0.2"""
+st0 AS (SELECT company_id, word, min(nth) AS stop FROM hi WHERE sc > 0.9 GROUP BY 1, 2),
+hk AS (SELECT hi.* FROM hi LEFT JOIN st0 ON st0.company_id = hi.company_id AND st0.word = hi.word WHERE stop IS NULL OR nth <= stop),
+md AS (SELECT *, 0.4::DOUBLE AS sc FROM {reports(medium)}),
+kr AS (SELECT * FROM (SELECT 1 AS tier, * FROM hk UNION ALL SELECT 2, * FROM md) QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY tier, word, nth) = 1)"""
+
+
+def learned_ctes(rel: str) -> str:
+    """lr: the reports among the first PDF files of rel, under texts from their addresses."""
+    name = "regexp_replace(split_part(url, '/', -1), '[-_]', ' ', 'g')"
+    return f"""fi AS (SELECT company_id, link_id, url FROM {rel} WHERE nth <= 200 AND contains(lower(url), '.pdf') QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY link_id) <= 20),
+fx0 AS (SELECT *, lower(url) AS u, lower(text) AS t, lower(text || ' ' || url) AS c FROM (SELECT *, {name} AS text FROM fi)), fy AS (SELECT * FROM fx0 WHERE {has('u', W.FINANCIAL_URL_WORDS)}),
+lr AS (SELECT * FROM (WITH l AS (SELECT * FROM fy){_label} SELECT *, {SCORE} AS sc FROM cl WHERE isreport) WHERE sc > 0.2)"""
+
+
+SQL["keyword_search"] = f"{L}, {SEARCH}, {keyword_ctes('sl')} SELECT company_id, link_id, tier, keyword, url, label, sc AS score FROM kr"
+SQL["learned_reports"] = f"""{L}, {SEARCH}, sm AS (SELECT * REPLACE (replace(url, '/doc-', '/quarterly-report_') AS url) FROM sl), {learned_ctes('sm')}
+SELECT company_id, link_id, text, label, round(sc, 4) AS score FROM lr"""
+
+
+def cascade_sql(main: str, more: str = "") -> str:
+    """The cascade over the links m (those of b that fit `main`), and further hits."""
+    now = f"NOT {has('u', ['event-details', 'conference-call', 'webcast'])} AND {PRIORITY} >= 0.3"
+    return f"""{CLASSED}, b AS (SELECT company_id, link_id, {SCORE} AS score, {VALID} AS ok, ({_page}) AS page,
+  {_valid_by_url} AND {has('t', ['2025', '10-q', '10-k', 'latest', 'recent'])} AS sec, {has('u', ['.pdf', '.xlsx', '.xls', 'download', 'filing', 'earnings'])} AND {has('(text || url)', ['2024', '2025'])} AS fb, {now} AS now FROM cl WHERE isreport),
+m AS (SELECT * FROM b WHERE {main}), rl AS (SELECT company_id, link_id, ticker, text, url, row_number() OVER (PARTITION BY company_id ORDER BY link_id) AS nth FROM l WHERE {main}),
+{keyword_ctes('rl')}, {learned_ctes('rl')},
+h AS (SELECT company_id, 1 AS n, 'whole_page_scan' AS strategy, 0.95::DOUBLE AS score, now FROM m WHERE ok AND page UNION ALL SELECT company_id, 2, 'enhanced_keyword_search', sc, {now} FROM kr UNION ALL
+  SELECT company_id, 3, 'learned_patterns', sc, {now} FROM lr UNION ALL SELECT company_id, 4, 'comprehensive_scan', score, now FROM m WHERE ok UNION ALL
+  SELECT company_id, 6, 'dynamic_discovery', score, now FROM m WHERE ok AND score > 0.2 UNION ALL SELECT company_id, 7, 'sec_filings', NULL, now FROM m WHERE sec UNION ALL
+  SELECT company_id, 8, 'fallback_search', 0.7, now FROM m WHERE fb{more}),
+g AS (SELECT company_id, n, count(*) AS hits, count(*) FILTER (now) AS cur FROM h GROUP BY 1, 2),
+st AS (SELECT company_id, min(n) AS stop FROM g WHERE (n <= 4 AND hits >= 2 AND cur >= 1) OR hits >= 3 GROUP BY 1)
+SELECT h.company_id, strategy, count(*) AS n, round(sum(score), 4) AS score FROM h LEFT JOIN st ON h.company_id = st.company_id WHERE stop IS NULL OR n <= stop GROUP BY 1, 2"""
+
+
+SQL["strategy_cascade"] = cascade_sql("true")
+SQL["cascade_all"] = cascade_sql("link_id % (company_id + 2) <> 0 AND company_id % 3 = 0", """
+  UNION ALL SELECT company_id, 5, 'navigation_paths', 0.9, now FROM b WHERE ok AND link_id % 40 = 1 AND company_id % 3 = 1
+  UNION ALL SELECT company_id, 8, 'fallback_search', 0.3, false FROM l WHERE link_id % 100 = 2 AND company_id NOT IN (SELECT company_id FROM m WHERE fb)""")
 _fixed = ", ".join(f"({quote(t)}, {k}, {quote(u)})" for t, us in W.FIXED_PAGES.items() for k, u in enumerate(us))
 SQL["fixed_page_reports"] = f"""{L}, {COMPANIES}, fx(ticker, page_ord, page) AS (VALUES {_fixed}), tr AS (SELECT company_id, page_ord, page FROM co JOIN fx USING (ticker)),
 sh AS (SELECT page, (link_id // 50) % 300 AS ord, text, regexp_replace(url, '/20[0-9][0-9]/', '/' || CASE WHEN page_ord = 0 AND l.company_id % 2 = 0 THEN '2023' WHEN link_id % 3 = 0 THEN '2025' ELSE '2021' END || '/') AS url
