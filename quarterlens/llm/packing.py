@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import Bpe, encode_whole
-from .common import ship, slices, spread, table, texts, tidy
+from .common import ship, slices, spread, stored, table, texts, tidy
 from .tokens import encoder
 
 SLICE = 1 << 19
@@ -20,6 +21,10 @@ CAPACITY = 2048
 END_ID = 1
 #: Leftovers are cut to this many tokens at most, and so many of their tokens are dealt into windows at a time.
 PIECE, BLOCK = 512, 64 * CAPACITY
+#: Blocks' worth of what tasks could not fill a block with, that one task of the second pass deals out.
+LAST = 8
+#: Sequences of the second pass have numbers from here on.
+SECOND = 1 << 62
 
 _packers: dict = {}
 
@@ -100,37 +105,52 @@ def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
         n += max(1, n // 64)
 
 
+class Windows:
+    """Gathers pieces (their row, with the length at its third place) and deals them into sequences, a block at a time."""
+
+    def __init__(self, capacity: int, serial: int):
+        self.capacity, self.serial, self.waiting, self.tokens = capacity, serial, [], 0
+
+    def full(self, row: tuple) -> tuple:
+        """A piece that is a sequence by itself."""
+        self.serial += 1
+        return (*row, self.serial - 1, 0)
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        self.waiting.append(row)
+        self.tokens += row[2]
+        if self.tokens >= BLOCK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        for group in windows_for([w[2] for w in self.waiting], self.capacity) if self.waiting else []:
+            offset = 0
+            for i in group:
+                yield (*self.waiting[i], self.serial, offset)
+                offset += self.waiting[i][2]
+            self.serial += 1
+        self.waiting, self.tokens = [], 0
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+
+
 def _pack(vocabulary: str, capacity: int, piece: int, end_id: int):
+    """Pieces in their sequences; those that were left when the task ended have none (-1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        serial = (context.partitionId() if context else 0) << 33
+        windows = Windows(capacity, (context.partitionId() if context else 0) << 33)
         enc = packer(vocabulary)
         rows: list[tuple] = []
-        waiting: list[tuple] = []
-        tokens = 0
-
-        def flush() -> None:
-            nonlocal serial, tokens
-            for group in windows_for([w[2] for w in waiting], capacity) if waiting else []:
-                offset = 0
-                for i in group:
-                    rows.append((*waiting[i], serial, offset))
-                    offset += waiting[i][2]
-                serial += 1
-            waiting.clear()
-            tokens = 0
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
-
+        tail = end_id.to_bytes(4, "little")
         for batch in batches:
             for a, b in slices(batch, SLICE):
                 part = batch.slice(a, b - a)
                 ids, counts = enc.encode_special(part.column(1).to_pylist())
                 raw = memoryview(ids.astype("<u4").tobytes())
-                tail = end_id.to_bytes(4, "little")
                 at = 0
                 for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
                     total, start = n + 1, 0
@@ -143,19 +163,32 @@ def _pack(vocabulary: str, capacity: int, piece: int, end_id: int):
                             crc = zlib.crc32(tail, crc)
                         row = (doc_id, start, length, crc, total)
                         if length == capacity:
-                            rows.append((*row, serial, 0))
-                            serial += 1
+                            rows.append(windows.full(row))
                         else:
-                            waiting.append(row)
-                            tokens += length
-                            if tokens >= BLOCK:
-                                flush()
+                            rows.extend(windows.add(row))
                         start = stop
                     at += n
                 if len(rows) > 50_000:
-                    yield out()
-        flush()
-        yield out()
+                    yield _batch(rows)
+                    rows = []
+        rows += [(*w, -1, -1) for w in windows.waiting]
+        yield _batch(rows)
+
+    return run
+
+
+def _pack_left(capacity: int):
+    """Pieces that are left from the first pass, in sequences of their own numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        windows = Windows(capacity, SECOND + ((context.partitionId() if context else 0) << 33))
+        for batch in batches:
+            rows: list[tuple] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                rows.extend(windows.add(row))
+            yield _batch(rows)
+        yield _batch(list(windows.flush()))
 
     return run
 
@@ -168,16 +201,27 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, piece: int
 
     A document gives as many full sequences as it has in it. What is left, cut to `piece` tokens at most, waits until a block
     of about 64 sequences' worth has gathered in the task, and is then dealt into windows of near-equal sums by
-    differencing; if a window exceeds the capacity, the window count rises and the block is dealt again. No row is
-    shuffled, but for a table of fewer partitions than cores, whose rows are dealt out and then sorted within each task.
-    Sequence ids hold the partition's number, and rows reach a task in a fixed order, so a task that runs again gives the same ids.
+    differencing; if a window exceeds the capacity, the window count rises and the block is dealt again. What a task has left at
+    its end, less than a block, is dealt out by a second pass of far fewer tasks (one for each LAST blocks' worth), so that
+    sequences are as full on many partitions as on few. Only these pieces (six numbers each) are shuffled; texts only in a
+    table of fewer partitions than cores, whose rows are dealt out and then sorted within each task.
+
+    Sequence ids hold the partition's number. The first pass is written as a table that all later steps read, so ids stay what they are
+    if an executor is lost later on, in whatever order an exchange before it gave the rows.
 
     Null and empty texts are documents of one token. Every row is packed, repeated ones too; other columns are ignored; an empty
     table gives no rows.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     schema = ", ".join(f"{n} long" for n in _NAMES)
-    return spread(texts(docs)).mapInArrow(tidy(_pack(vocabulary, capacity, piece, end_id)), schema)
+    first = spread(texts(docs)).mapInArrow(tidy(_pack(vocabulary, capacity, piece, end_id)), schema)
+    first = stored(spark, first, "packing-pieces")
+    left = first.filter("sequence_id < 0")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-tokens // (LAST * BLOCK)))
+    dealt = left.repartition(tasks, "doc_id", "start").sortWithinPartitions(*_NAMES)
+    return first.filter("sequence_id >= 0").unionByName(dealt.mapInArrow(tidy(_pack_left(capacity)), schema))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

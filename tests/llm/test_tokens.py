@@ -178,3 +178,15 @@ def test_packing_again_gives_the_same_sequences(spark):
     df = spark.createDataFrame([(i % 40, f"text {i} " * (i % 97)) for i in range(400)], "doc_id long, text string").coalesce(1)
     a, b = (sorted(map(tuple, pack(df, JSON).collect())) for _ in range(2))
     assert a == b
+
+
+def test_sequences_are_full_on_many_partitions(spark):
+    """What tasks cannot fill a block with is packed together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(64)
+    out = pack(docs, JSON)
+    total = out.selectExpr("sum(length) AS tokens", "count(DISTINCT sequence_id) AS n").first()
+    assert total.tokens / (2048 * total.n) > 0.98
+    spans = out.groupBy("sequence_id").agg({"length": "sum", "offset": "max", "*": "count"}).collect()
+    assert max(r["sum(length)"] for r in spans) <= 2048
+    pieces = out.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
