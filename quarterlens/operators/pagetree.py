@@ -142,17 +142,16 @@ def _test(which: Which) -> Callable[[str, dict[str, str], str | None], bool]:
     return lambda tag, *_: tag in tags
 
 
-def page_tree(pages: DataFrame, keep: Which = True, texts: Which = False, own: bool = False) -> DataFrame:
+def page_tree(pages: DataFrame, keep: Which = True, texts: Which = False, own: bool = False, page: bool = False) -> DataFrame:
     """A row an element of each page (page_id, url, html): pre, its number; last, that of the last element within it; parent's
     pre (-1: none), depth, tag in lower case, nth (how many of its tag come before it), attrs, text, own.
 
-    Element a is an ancestor of e if a.pre < e.pre <= a.last. keep: which elements are returned, numbered among all (the page itself
-    only if its tag is named). texts: of which the whole text within is returned, without white space at its ends. own: whether the
+    Element a is an ancestor of e if a.pre < e.pre <= a.last. keep: which elements are returned, numbered among all; page: whether
+    the page itself is. texts: of which the whole text within is returned, without white space at its ends. own: whether the
     first text right within is. near_href, near_onclick: the closest element with that attribute, itself or one around it.
     A page is parsed once, in the task that reads it; a null page has no elements. Further columns are dropped.
     """
     kept, told = _test(keep), _test(texts)
-    whole = not callable(keep) and not isinstance(keep, bool) and PAGE in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"page_id": pa.int64(), "url": pa.string(), "pre": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "tag": pa.string(),
@@ -164,7 +163,7 @@ def page_tree(pages: DataFrame, keep: Which = True, texts: Which = False, own: b
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
         for batch in batches:
-            for page, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found, text = elements(html or "")
                 seen: dict[str, int] = {}
                 near: list[tuple] = []  # of each element the closest one with an href and with an onclick, itself or around it
@@ -174,10 +173,10 @@ def page_tree(pages: DataFrame, keep: Which = True, texts: Which = False, own: b
                     near.append(tuple(pre if name in attributes else x for name, x in zip(("href", "onclick"), around, strict=True)))
                     if kept(tag, attributes, first):
                         inner = text[start:end].strip(_SPACE) if told(tag, attributes, first) else None
-                        rows.append((page, url, pre, last, parent, depth, tag, nth, list(attributes.items()), inner, first if own else None, *near[pre]))
-                if whole:
+                        rows.append((page_id, url, pre, last, parent, depth, tag, nth, list(attributes.items()), inner, first if own else None, *near[pre]))
+                if page:
                     body = next((text[e[5] : e[6]] for e in found if e[0] == "body"), text)
-                    rows.append((page, url, -1, len(found) - 1, None, -1, PAGE, 0, [], body.strip(_SPACE), None, None, None))
+                    rows.append((page_id, url, -1, len(found) - 1, None, -1, PAGE, 0, [], body.strip(_SPACE), None, None, None))
                 if len(rows) > 2000:
                     yield batch_of()
                     rows = []

@@ -139,13 +139,15 @@ def cascade(
 
     rows = _hits(links, p, _on_the_page)
     named = links if "ticker" in links.columns else links.withColumn("ticker", F.lit(None).cast("string"))
-    second = _searched(searches.keyword_search(named, p, key, order), 2, "enhanced_keyword_search")
-    third = _searched(searches.learned_reports(links, p, key, order), 3, "learned_patterns")
+    first = written(searches.first_links(named, key, order))  # a few hundred rows a company
+    second = _searched(searches.keyword_search(first, p, key, order), 2, "enhanced_keyword_search")
+    third = _searched(searches.learned_reports(first, p, key, order), 3, "learned_patterns")
     for found in (second, third):
         rows = rows.unionByName(found.select(*[c for c in rows.columns if c in found.columns]), allowMissingColumns=True)
     if navigation is not None:
         rows = rows.unionByName(_hits(navigation.select(*[c for c in links.columns if c in navigation.columns]), p, _on_other_pages), allowMissingColumns=True)
     rows = written(rows)
+    rows = rows.filter("n <> 7").unionByName(keep_first(rows.filter("n = 7"), [key], order))  # that strategy ends with its first
     if last_resort is not None:
         none = last_resort.join(rows.filter("n = 8").select(key).distinct(), key, "left_anti")
         label = {"priority": F.lit(5.0), "year": F.lit(f"{p.year}_fallback"), "type": F.lit("fallback")}

@@ -14,6 +14,7 @@ from ..functions import rules, scoring
 from ..functions.text import contains_any, nullif_empty
 from ..functions.urls import origin, text_of_url
 from ..params import EngineParams
+from ..sources.files import written
 from .links import CLICKABLE, may_be_clicked
 from .pagetree import PAGE, fitting, near_addresses, page_tree, step
 from .ranking import keep_first
@@ -73,15 +74,21 @@ def page_scan(pages: DataFrame, p: EngineParams) -> DataFrame:
     address, or that of the element around them, is a report: the first five elements of each spelling; `matched` is the
     spelling. Elements are taken in the order of selectors, spellings and places in the page.
     """
-    dates = [re.compile(d) for d in P.PAGE_DATES]
+    dates = re.compile("|".join(P.PAGE_DATES))
 
-    def dated(tag: str, attributes: dict[str, str], own: str | None) -> bool:
-        return any(d.search((own or "").lower()) for d in dates)
+    def dated(own: str | None) -> bool:
+        return dates.search((own or "").lower()) is not None
 
+    def told(tag: str, attributes: dict[str, str], own: str | None) -> bool:
+        return may_be_clicked(tag, attributes) or dated(own)
+
+    # one parse, written as what it leaves of the pages, which is read for each pass
+    tree = written(page_tree(pages, keep=told, texts=told, own=True, page=True))
     # pass 1
-    texts = page_tree(pages, keep=[PAGE]).select("page_id", words_in(F.col("text"), [[w] for w in P.PAGE_INDICATORS]).alias("on_page"))
+    texts = tree.filter(F.col("tag") == PAGE).select("page_id", words_in(F.col("text"), [[w] for w in P.PAGE_INDICATORS]).alias("on_page"))
+    tree = tree.filter(F.col("tag") != PAGE)
     click = F.coalesce(nullif_empty(F.col("attrs")["href"]), F.col("attrs")["onclick"], F.lit(""))
-    elements = page_tree(pages, keep=may_be_clicked, texts=True).withColumn("address", click).filter("address != ''")
+    elements = tree.withColumn("address", click).filter("address != ''")
     elements = elements.filter(F.col("address").startswith("/") | F.col("address").startswith("http"))
     dashed = [[w.replace(" ", "-")] for w in P.PAGE_INDICATORS]
     met = elements.withColumn("met", F.array_union(words_in(F.col("text"), _indicators()), words_in(F.col("address"), dashed))).filter(F.size("met") > 0)
@@ -92,11 +99,10 @@ def page_scan(pages: DataFrame, p: EngineParams) -> DataFrame:
         F.struct("rank", F.lit(0).alias("first"), "pre").alias("place"), F.lit(0.95).alias("score"),
     )
     # pass 2
-    tree = page_tree(pages, keep=lambda tag, attributes, own: bool(attributes.keys() & {"href", "onclick"}) or dated(tag, attributes, own), texts=dated, own=True)
     near = near_addresses(tree).filter("address IS NOT NULL")
     own = F.lower("own")
     spelled = F.flatten(F.array(*[F.transform(F.array_distinct(F.regexp_extract_all(own, F.lit(d), F.lit(0))), lambda x, i=i: F.struct(F.lit(i).alias("rank"), x.alias("matched"))) for i, d in enumerate(P.PAGE_DATES)]))
-    hits = tree.filter("text IS NOT NULL").select("page_id", "pre", F.inline(spelled))
+    hits = tree.filter("own IS NOT NULL").select("page_id", "pre", F.inline(spelled))
     by_spelling = Window.partitionBy("page_id", "rank", "matched")
     hits = hits.withColumn("nth", F.row_number().over(by_spelling.orderBy("pre"))).filter("nth <= 5").withColumn("first", F.min("pre").over(by_spelling))
     near = near.select("page_id", "pre", "text", _address(F.col("address"), F.col("url")).alias("url")).filter("url IS NOT NULL")
@@ -111,9 +117,9 @@ def page_scan(pages: DataFrame, p: EngineParams) -> DataFrame:
 def date_hits(pages: DataFrame, levels: int = 1) -> DataFrame:
     """Elements whose own text has a date of this year, with the closest address at most `levels` elements further out: page_id, pre,
     tag, own, address, above (how far out it is; both null where there is none)."""
-    dates = [re.compile(d) for d in P.PAGE_DATES]
+    dates = re.compile("|".join(P.PAGE_DATES))
     tree = page_tree(
-        pages, own=True, keep=lambda tag, attributes, own: bool(attributes.keys() & {"href", "onclick"}) or any(d.search((own or "").lower()) for d in dates)
+        pages, own=True, keep=lambda tag, attributes, own: bool(attributes.keys() & {"href", "onclick"}) or dates.search((own or "").lower()) is not None
     )
     found = near_addresses(tree, levels).filter(reduce(or_, [F.lower("own").rlike(d) for d in P.PAGE_DATES]))
     return found.select("page_id", "pre", "tag", "own", "address", "above")
@@ -128,6 +134,11 @@ def _search_words() -> tuple[list[str], dict[str, list[int]]]:
     return words, own
 
 
+def first_links(links: DataFrame, key: str = "company_id", order: str = "link_id", most: int = 200) -> DataFrame:
+    """The first links of each company, which is all that some searches look at."""
+    return links.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_place") <= most).drop("_place")
+
+
 def keyword_search(links: DataFrame, p: EngineParams, key: str = "company_id", order: str = "link_id", looked: tuple[int, int] = (50, 30)) -> DataFrame:
     """Reports by keyword, an address once: key, order, url, text, tier, keyword, class, score. links: key, order, ticker, text, url.
 

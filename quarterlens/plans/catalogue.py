@@ -89,7 +89,7 @@ def tree_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The whole pages, each with more elements at its end."""
     parts = TAIL.split("{i}")
     tail = F.concat(*[c for part in parts for c in (F.col("page_id").cast("string"), F.lit(part))][1:])
-    return table(spark, sf, "pages").withColumn("html", F.concat("html", tail))
+    return spread(table(spark, sf, "pages")).withColumn("html", F.concat("html", tail))
 
 
 @query

@@ -248,8 +248,8 @@ m AS (SELECT * FROM b WHERE {main}), rl AS (SELECT company_id, link_id, ticker,
 {keyword_ctes('rl')}, {learned_ctes('rl')},
 h AS (SELECT company_id, 1 AS n, 'whole_page_scan' AS strategy, 0.95::DOUBLE AS score, now FROM m WHERE ok AND page UNION ALL SELECT company_id, 2, 'enhanced_keyword_search', sc, {now} FROM kr UNION ALL
   SELECT company_id, 3, 'learned_patterns', sc, {now} FROM lr UNION ALL SELECT company_id, 4, 'comprehensive_scan', score, now FROM m WHERE ok UNION ALL
-  SELECT company_id, 6, 'dynamic_discovery', score, now FROM m WHERE ok AND score > 0.2 UNION ALL SELECT company_id, 7, 'sec_filings', NULL, now FROM m WHERE sec UNION ALL
-  SELECT company_id, 8, 'fallback_search', 0.7, now FROM m WHERE fb{more}),
+  SELECT company_id, 6, 'dynamic_discovery', score, now FROM m WHERE ok AND score > 0.2 UNION ALL SELECT company_id, 8, 'fallback_search', 0.7, now FROM m WHERE fb UNION ALL
+  SELECT * FROM (SELECT company_id, 7, 'sec_filings', NULL, now FROM m WHERE sec QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY link_id) = 1){more}),
 g AS (SELECT company_id, n, count(*) AS hits, count(*) FILTER (now) AS cur FROM h GROUP BY 1, 2),
 st AS (SELECT company_id, min(n) AS stop FROM g WHERE (n <= 4 AND hits >= 2 AND cur >= 1) OR hits >= 3 GROUP BY 1)
 SELECT h.company_id, strategy, count(*) AS n, round(sum(score), 4) AS score FROM h LEFT JOIN st ON h.company_id = st.company_id WHERE stop IS NULL OR n <= stop GROUP BY 1, 2"""
