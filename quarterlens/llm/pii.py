@@ -389,6 +389,9 @@ def redact(docs: DataFrame) -> DataFrame:
     Spans of a row are merged where they overlap. Each row is cut by its own spans, also if it has no doc_id or shares it.
     """
     rows, own = row_ids(docs)
+    found = "_pii"  # under a name that docs does not have
+    while found in docs.columns or f"{found}_row" in docs.columns:
+        found += "_"
     spans = _spans(rows, rows[own])[1]
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     clear = (
@@ -396,18 +399,18 @@ def redact(docs: DataFrame) -> DataFrame:
         .filter(F.col("end") > F.col("reach"))
         .withColumn("start", F.greatest("start", "reach"))
     )
-    per = clear.groupBy(F.col("row").alias("_pii_row")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_pii")
+    per = clear.groupBy(F.col("row").alias(f"{found}_row")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(found)
     )
-    joined = rows.join(per, rows[own] == per["_pii_row"], "left")
+    joined = rows.join(per, rows[own] == per[f"{found}_row"], "left")
     # the text between span i - 1 and span i, then span i's mark; the last part has no mark
-    end_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_pii", i)["end"].cast("int"))
-    start_of = lambda i: F.coalesce(F.try_element_at("_pii", i + 1)["start"].cast("int"), F.length("text"))
-    mark = lambda i: F.coalesce(F.concat(F.lit("["), F.upper(F.try_element_at("_pii", i + 1)["kind"]), F.lit("]")), F.lit(""))
+    end_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(found, i)["end"].cast("int"))
+    start_of = lambda i: F.coalesce(F.try_element_at(found, i + 1)["start"].cast("int"), F.length("text"))
+    mark = lambda i: F.coalesce(F.concat(F.lit("["), F.upper(F.try_element_at(found, i + 1)["kind"]), F.lit("]")), F.lit(""))
     blocks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    parts = lambda held: F.transform(F.sequence(F.lit(0), F.size("_pii")), lambda i: F.concat(_cut(held, end_of(i), start_of(i)), mark(i)))
+    parts = lambda held: F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.concat(_cut(held, end_of(i), start_of(i)), mark(i)))
     cleaned = F.get(F.transform(F.array(blocks), lambda held: F.array_join(parts(held), "")), 0)  # blocks are bound once
-    clean = F.when(F.col("_pii").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cleaned)
+    clean = F.when(F.col(found).isNull() | F.col("text").isNull(), F.col("text")).otherwise(cleaned)
     return joined.withColumn("text", clean).select(*docs.columns)
 
 
