@@ -49,6 +49,7 @@ _EDGE = ".,;:!?\"'()[]{}<>|«»„“”‘’…—–/\\&%#*$@^~`+=_-"
 _JUNK = re.compile(r"([^\w\s])\1\1+")
 _RUN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\s.\-_*]){2,}[.,!?]*(?!\S)|(?<!\S)[0-9@$!|+](?:[ .\-_*]{1,2}[^\s.\-_*]){2,}[.,!?]*(?!\S)")
+_BLANKS = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Where joined words may part: at what is no letter and no leetspeak, or at anything but letters and digits.
 _PARTS = (re.compile("[^\\w" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]|_"), re.compile(r"[\W_]"))
@@ -324,9 +325,10 @@ class Model:
         return self.tokens[t]
 
     def apart(self, lowered: str) -> set[str]:
-        """Feature words in passages of single letters set apart, as the decoder restores these, and as they stand."""
+        """Feature words in passages of single letters set apart, by whatever white space, as the decoder restores these, and as they
+        stand."""
         found = set()
-        for m in _SPACED.finditer(lowered):
+        for m in _SPACED.finditer(_BLANKS.sub(" ", lowered)):
             if m.group() not in self.decoder.memo:
                 self.decoder.memo[m.group()] = (self.decoder.paths(m.group(), 1)[0][1],)
             restored = self.decoder.memo[m.group()][0]

@@ -130,6 +130,9 @@ def test_blanks_are_arcs():
     assert d.paths("s t u p 1 d", 1)[0][1] == "stupid" and d.paths("y 0 u  s t u p i d", 1)[0][1] == "you stupid"
     m = Model({"idiot": 1.0, "incomprehensibilitiesnesses": 1.0}, 0.0, d)
     assert m.present("so 1 d 1 o t, he") == {"idiot"} and m.present("y o u i d i o t " * 400) == {"idiot"}
+    for blank in ("\t", "\n", "   ", " \r\n ", "\u00a0"):
+        assert m.present(blank.join("so idiot he").replace(blank + " " + blank, "  ")) == {"idiot"}, blank
+        assert m.present("you" + blank + blank.join("idiot") + blank + "there") == {"idiot"}, blank
     assert m.present("i d") == set() and m.present("x y z " * 300) == set()
     assert m.present("inc0mprehensibilitiesnesses") == {"incomprehensibilitiesnesses"} == m.present("i.n.c.o.m.p.r.e.h.e.n.s.i.b.i.l.i.t.i.e.s.n.e.s.s.e.s")
 
