@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
+from itertools import accumulate
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .. import params as P
 from ..functions import rules
 from ..functions.text import contains_any, nullif_empty
 from ..functions.urls import origin, report_paths
-from .pagetree import fitting, page_tree, select, step
+from .pagetree import fitting, page_tree, parsed, select, step
 from .textscan import first_hits
 
 #: Elements that can be clicked, in the order in which they are looked for; an element that fits several comes several times.
@@ -121,73 +122,46 @@ def fallback_reports(pages: DataFrame, body: str = "html", year: int = 2025) ->
 
 def pdf_candidates(pages: DataFrame) -> DataFrame:
     """Links to PDF files: those of all anchors; then those in and beside buttons, blocks and spans whose class or text speaks
-    of downloads, under that element's text, as often as they come. page_id, ord, pass, url, text.
-
-    What stands beside an element is a matter of the page's tree, which no regular expression gives, so pages are parsed in
-    Arrow batches, one page at a time."""
+    of downloads, under that element's text (its texts without white space at their ends), as often as they come. page_id, ord, pass,
+    url, text. What stands in and beside an element are the anchors of its interval and of its parent's, found by bisection."""
     words = P.BUTTON_WORDS
 
-    # within this function, so that it goes to the workers by value
-    class Dom(HTMLParser):
-        """The anchors of a page with their addresses and texts, and the elements that stand around each."""
-
-        _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            # element: name, class, parent, texts, anchors within
-            self.open, self.elements, self.anchors = [0], [["", None, -1, [], []]], []
-
-        def handle_starttag(self, tag, attrs):
-            given, n = dict(attrs), len(self.elements)
-            self.elements.append([tag, given.get("class"), self.open[-1], [], []])
-            if tag == "a" and given.get("href") is not None:
-                for e in (*self.open, n):
-                    self.elements[e][4].append(len(self.anchors))
-                self.anchors.append((given["href"], n))
-            if tag not in self._VOID:
-                self.open.append(n)
-
-        def handle_endtag(self, tag):
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.elements[self.open[k]][0] == tag:
-                    del self.open[k:]
-                    return
-
-        def handle_data(self, data):
-            for e in self.open:
-                self.elements[e][3].append(data)
-
-        def text(self, e: int) -> str:
-            return "".join(x.strip() for x in self.elements[e][3])
-
-    def full(page: str, href: str) -> str | None:
+    def full(page: str, href: str) -> str:
         return "/".join(page.split("/")[:3]) + href if href.startswith("/") else href
 
-    def found(page: str, html: str) -> Iterator[tuple]:
-        dom = Dom()
-        dom.feed(html)
-        dom.close()
-        pdf = [".pdf" in h.lower() for h, _ in dom.anchors]
-        for (href, e), good in zip(dom.anchors, pdf, strict=True):
-            if good and href.startswith(("/", "http")):
-                yield 1, full(page, href), dom.text(e)
-        for e, (tag, names, parent, _, anchors) in enumerate(dom.elements):
-            if tag in ("button", "div", "span") and names is not None:
-                text = dom.text(e)
-                if any(w in " ".join(names.split()).lower() or w in text.lower() for w in words):
-                    for a in (*anchors, *dom.elements[parent][4]):
-                        if pdf[a]:
-                            yield 2, full(page, dom.anchors[a][0]), text or dom.text(dom.anchors[a][1])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def candidates(page: str, html: str) -> Iterator[tuple]:
+        found, texts = parsed(html)
+        starts = list(accumulate(map(len, texts), initial=0))
+        anchors = [k for k, e in enumerate(found) if e[0] == "a" and "href" in e[1]]
+        files = [k for k in anchors if ".pdf" in found[k][1]["href"].lower()]
+
+        def said(e: list) -> str:
+            return "".join(x.strip() for x in texts[bisect_left(starts, e[5]) : bisect_left(starts, e[6])])
+
+        def within(k: int) -> list[int]:
+            return files[bisect_right(files, k) : bisect_right(files, found[k][4])] if k >= 0 else files
+
+        for k in files:
+            if found[k][1]["href"].startswith(("/", "http")):
+                yield 1, full(page, found[k][1]["href"]), said(found[k])
+        for k, e in enumerate(found):
+            if e[0] in ("button", "div", "span") and "class" in e[1]:
+                near = [*within(k), *within(e[2])]
+                text = said(e) if near else ""
+                if near and any(w in " ".join(e[1]["class"].split()).lower() or w in text.lower() for w in words):
+                    for a in near:
+                        yield 2, full(page, found[a][1]["href"]), text or said(found[a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            rows = [
-                (i, k, *x) for i, u, h in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for k, x in enumerate(found(u or "", h or ""))
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "pass", "url", "text"])
+            each = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            rows = [(i, n, *x) for i, url, html in each for n, x in enumerate(candidates(url or "", html or ""))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "ord", "pass", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, ord int, pass int, url string, text string")
+    columns = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")]
+    return pages.select(*columns).mapInArrow(run, "page_id long, ord int, pass int, url string, text string")
 
 
 def area_links(pages: DataFrame) -> DataFrame:

@@ -55,7 +55,14 @@ def _tag(html: str, at: int) -> tuple[str, dict[str, str], int]:
 
 
 def elements(html: str) -> tuple[list[list], str]:
-    """The elements of a page, [tag, attributes, parent, depth, last, from, to, own] in the order of their start tags, and its text.
+    """The elements of a page and its text (see parsed)."""
+    found, texts = parsed(html)
+    return found, "".join(texts)
+
+
+def parsed(html: str) -> tuple[list[list], list[str]]:
+    """The elements of a page, [tag, attributes, parent, depth, last, from, to, own] in the order of their start tags, and its texts
+    between tags.
 
     last is the number of the last element within; from and to are where the element's text lies in the page's; own is the first text
     right within it. Comments, declarations, scripts and styles hold neither elements nor text; character references are resolved.
@@ -124,7 +131,7 @@ def elements(html: str) -> tuple[list[list], str]:
             at = mark + 1
     say(html[waiting:])
     close(0)
-    return out, "".join(texts)
+    return out, texts
 
 
 #: Which elements: all or none, those of some tags, or those for which a function of (tag, attributes, own text) holds.

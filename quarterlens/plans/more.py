@@ -119,15 +119,7 @@ def first_valid_pdf(spark, sf):
 
 @query
 def pdf_candidates(spark, sf):
-    """A small page for each nation, with links in blocks and buttons."""
-    k = F.col("n_nationkey").cast("string")
-    html = _text(
-        '<html><body><div class="box"><p>Intro<br></p><a href="/f/', k, '.pdf">Report ', F.col("n_name"), "</a></div>"
-        '<button class="Download-now">Get <a href="https://x.example.com/', k, '.PDF">file</a></button><span class="x">none</span>'
-        "<a href='rel.pdf'>skip</a><a>none</a></body></html>",
-    )
-    pages = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("https://www.example.com/reports").alias("url"), html.alias("html"))
-    return links.pdf_candidates(pages)
+    return links.pdf_candidates(tree_pages(spark, sf))
 
 
 @query
@@ -375,13 +367,13 @@ def manifest_full(spark, sf):
 
 @query
 def table_exports(spark, sf):
-    k, n = F.col("n_nationkey"), F.col("n_name")
+    k, n = F.col("doc_id"), F.col("source")
     frame = F.when(k % 4 == 0, _text("name\n", n)).when(k % 4 == 1, F.lit("name"))
     direct = F.when(k % 4 == 1, n)
     other = F.when(k % 4 == 2, _text("h\n", n, "\n"))
     md = F.when(k % 8 != 7, _text("| name |\n|--|\n| ", n, " |"))
     e = documents.table_export(frame, direct, other, md)
-    return table(spark, sf, "nation").select("n_nationkey", e.alias("e")).select("n_nationkey", "e.method", "e.csv")
+    return table(spark, sf, "documents").select("doc_id", e.alias("e")).select("doc_id", "e.method", "e.csv")
 
 
 # -- files --

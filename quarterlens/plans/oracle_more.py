@@ -76,9 +76,7 @@ SELECT page_id, rank, place, found_url AS url, hit AS text, 5.0::DOUBLE AS prior
 SQL["first_valid_pdf"] = f"""{L}, p AS (SELECT company_id, link_id, ({PDF})::BIGINT AS score FROM l WHERE contains(u, '.pdf')),
 r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, link_id) AS place FROM p QUALIFY place <= 3)
 SELECT company_id, arg_min(link_id, place) AS link_id, min(place) AS place, arg_min(score, place) AS score FROM r WHERE link_id % 3 <> 0 GROUP BY 1"""
-SQL["pdf_candidates"] = """WITH n AS (SELECT n_nationkey::BIGINT AS page_id, 'https://www.example.com/f/' || n_nationkey || '.pdf' AS a, 'https://x.example.com/' || n_nationkey || '.PDF' AS b, n_name FROM nation)
-SELECT page_id, 0 AS ord, 1 AS pass, a AS url, 'Report ' || n_name AS text FROM n UNION ALL SELECT page_id, 1, 1, b, 'file' FROM n UNION ALL SELECT page_id, 2, 2, b, 'Getfile' FROM n UNION ALL
-SELECT page_id, 3, 2, a, 'Getfile' FROM n UNION ALL SELECT page_id, 4, 2, b, 'Getfile' FROM n UNION ALL SELECT page_id, 5, 2, 'rel.pdf', 'Getfile' FROM n"""
+
 # pages as trees: the tokens of each page one after the other, with the open elements as a list
 _HREF = """(?is)\\shref\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))"""
 _token = (
@@ -186,6 +184,15 @@ _discovery = [
 _found = " UNION ALL ".join(f"SELECT {k} AS rank, {quote(n)} AS selector, row_number() OVER (PARTITION BY page_id ORDER BY pre) AS place, * FROM o x WHERE {c}" for k, (n, c) in enumerate(_discovery))
 SQL["dynamic_discovery"] = f"""{TREE}, fd AS ({_found}), lk AS (SELECT page_id, selector, place, text, {full('href')} AS url FROM fd WHERE place <= 50 AND (href LIKE '/%' OR href LIKE 'http%'))
 SELECT page_id, selector, place, url, text, label, round(score, 4) AS score FROM (SELECT *, {SCORE} AS score FROM {reports('SELECT * FROM lk')}) WHERE score > 0.2"""
+_button_words = ["download", "pdf", "earnings", "financial-report"]
+SQL["pdf_candidates"] = f"""{TREE}, flat AS (SELECT ad.page_id, ad.pre, coalesce(string_agg({STRIP.format('said')}, '' ORDER BY says.pos), '') AS said FROM ad LEFT JOIN says ON says.page_id = ad.page_id AND says.pos >= ad.pos AND says.pos < ad.upto GROUP BY 1, 2),
+e AS (SELECT ad.*, said FROM ad JOIN flat ON flat.page_id = ad.page_id AND flat.pre = ad.pre),
+fl AS (SELECT page_id, pre, said, href AS h, CASE WHEN href LIKE '/%' THEN split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || href ELSE href END AS address FROM e WHERE tag = 'a' AND contains(lower(href), '.pdf')),
+bl AS (SELECT * FROM e x WHERE tag IN ('button', 'div', 'span') AND cls IS NOT NULL AND ({has("lower(cls)", _button_words)} OR {has("lower(said)", _button_words)})),
+nr AS (SELECT page_id, 1 AS pass, pre AS a, 0 AS b, pre AS c, address AS url, said AS text FROM fl WHERE h LIKE '/%' OR h LIKE 'http%'
+  UNION ALL SELECT bl.page_id, 2, bl.pre, 0, fl.pre, address, CASE WHEN bl.said <> '' THEN bl.said ELSE fl.said END FROM bl JOIN fl ON fl.page_id = bl.page_id AND fl.pre > bl.pre AND fl.pre <= bl.last
+  UNION ALL SELECT bl.page_id, 2, bl.pre, 1, fl.pre, address, CASE WHEN bl.said <> '' THEN bl.said ELSE fl.said END FROM bl LEFT JOIN e up ON up.page_id = bl.page_id AND up.pre = bl.parent JOIN fl ON fl.page_id = bl.page_id AND (bl.parent < 0 OR (fl.pre > up.pre AND fl.pre <= up.last)))
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pass, a, b, c) - 1)::INT AS ord, pass, url, text FROM nr"""
 _months = "july|august|september|october|november|december"
 _dates = [rf"(?:{_months})\s+\d{{1,2}},?\s+2025", r"q[1-4]\s+2025", r"2025\s+q[1-4]", r"fiscal\s+2025", r"fy\s*2025", r"\d{2}/\d{2}/2025"]
 _date_list = ", ".join(f"({k}, {quote(d)})" for k, d in enumerate(_dates))
@@ -331,10 +338,10 @@ CASE doc_id % 5 WHEN 0 THEN 'Key highlights should be a list' WHEN 2 THEN 'Too m
 SQL["manifest_full"] = f"""{E} SELECT doc_id, 'store/raw/' || ticker || '/' || period || '/r.pdf' AS pdf_path, CASE WHEN doc_id % 2 = 0 AND doc_id % 4 > 0 THEN doc_id % 9 ELSE 0 END::INT AS pages,
 CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 ELSE 0 END::INT AS tables, CASE WHEN doc_id % 2 = 0 THEN '1.0.0' END AS version, CASE WHEN confidence IS NOT NULL THEN 'store/parsed/' || ticker || '/' || period || '/structured.json' END AS record,
 confidence, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END::INT AS n_notes FROM e"""
-SQL["table_exports"] = """SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'dataframe' WHEN n_nationkey % 4 = 1 THEN 'csv' WHEN n_nationkey % 8 <> 7 THEN 'markdown' END AS method,
-CASE WHEN n_nationkey % 4 = 0 THEN 'name' || chr(10) || n_name WHEN n_nationkey % 4 = 1 THEN n_name WHEN n_nationkey % 8 <> 7 THEN '"name"' || chr(10) || '"' || n_name || '"' END AS csv FROM nation"""
-SQL["table_exports"] = SQL["table_exports"].replace("WHEN n_nationkey % 8 <> 7 THEN 'markdown'", "WHEN n_nationkey % 4 = 2 THEN 'to_dataframe' WHEN n_nationkey % 8 <> 7 THEN 'markdown'").replace(
-    "WHEN n_nationkey % 8 <> 7 THEN '\"name\"'", "WHEN n_nationkey % 4 = 2 THEN 'h' || chr(10) || n_name || chr(10) WHEN n_nationkey % 8 <> 7 THEN '\"name\"'"
+SQL["table_exports"] = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'dataframe' WHEN doc_id % 4 = 1 THEN 'csv' WHEN doc_id % 8 <> 7 THEN 'markdown' END AS method,
+CASE WHEN doc_id % 4 = 0 THEN 'name' || chr(10) || source WHEN doc_id % 4 = 1 THEN source WHEN doc_id % 8 <> 7 THEN '"name"' || chr(10) || '"' || source || '"' END AS csv FROM documents"""
+SQL["table_exports"] = SQL["table_exports"].replace("WHEN doc_id % 8 <> 7 THEN 'markdown'", "WHEN doc_id % 4 = 2 THEN 'to_dataframe' WHEN doc_id % 8 <> 7 THEN 'markdown'").replace(
+    "WHEN doc_id % 8 <> 7 THEN '\"name\"'", "WHEN doc_id % 4 = 2 THEN 'h' || chr(10) || source || chr(10) WHEN doc_id % 8 <> 7 THEN '\"name\"'"
 )
 
 # files
