@@ -157,9 +157,12 @@ def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticker
 
 
 def write_layout(reports: DataFrame, root: str) -> None:
-    """Reports (see report_tree.REPORTS) as one file each for text, table, image and metadata under {ticker}/{period}."""
-    report_tree.register(reports.sparkSession)
-    reports.write.format("report_tree").mode("append").option("path", root).save()
+    """Reports (see report_tree.REPORTS) as one file each for text, table, image and metadata under {ticker}/{period}. Tasks write
+    them aside and, once all are there, tasks move them."""
+    spark, job = reports.sparkSession, uuid.uuid4().hex
+    report_tree.register(spark)
+    reports.write.format("report_tree").mode("append").option("path", root).option("job", job).save()
+    report_tree.finish(spark, root, job)
 
 
 def read_layout(spark: SparkSession, root: str) -> DataFrame:

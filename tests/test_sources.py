@@ -1,6 +1,8 @@
 """Versioned tables and the report tree: crashes, races, backups, pruning, aborts."""
 
+import json
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +168,43 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
 def test_whole_texts_of_several_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     assert [r.text for r in files.whole_texts(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo\n"]
+
+
+def test_the_driver_gets_no_list_of_files(spark, tmp_path):
+    """What a task sends to the driver doesn't grow with its files, and the last task's file of a place stays."""
+    rows = reports(spark, *[("aapl", "2025-Q1", f"r{i}", "x") for i in range(50)]).collect()
+    sizes = []
+    for n in (1, 50):
+        writer = report_tree.ReportWriter(str(tmp_path / "tree"))
+        sizes.append(len(pickle.dumps(writer.write(iter(rows[:n])))))
+        writer.abort([])
+    assert sizes[0] == sizes[1] and not (tmp_path / "tree" / "_staging").exists()
+
+
+@pytest.mark.parametrize("by_tasks", [True, False])
+def test_places_that_come_twice(spark, tmp_path, by_tasks):
+    root = str(tmp_path / "tree")
+    parts = [reports(spark, ("aapl", "2025-Q1", "r", t), ("aapl", "2025-Q1", "r", f"{t}{t}")).coalesce(1) for t in ("b", "c", "a")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if by_tasks:
+        files.write_layout(every, root)
+    else:
+        report_tree.register(spark)
+        every.write.format("report_tree").mode("append").option("path", root).save()
+    back = files.read_layout(spark, root).filter("kind = 'text'").collect()
+    assert [bytes(r.content) for r in back] == [b"aa"] and not (tmp_path / "tree" / "_staging").exists()
+
+
+def test_moves_that_died_are_made_by_another_run(spark, tmp_path):
+    root = tmp_path / "tree"
+    report_tree.register(spark)
+    every = reports(spark, *[("aapl", "2025-Q1", f"r{i}", "x") for i in range(20)]).repartition(3)
+    every.write.format("report_tree").mode("append").option("path", str(root)).option("job", "j").save()
+    assert files.read_layout(spark, str(root)).count() == 0
+    store, at = report_tree.open_store(str(root))
+    attempt = json.loads((root / "_staging/j/committed").read_text())[1]
+    some = list(report_tree._places(store, at, "j", attempt))[::2]
+    for place in some:
+        report_tree._move(store, f"{at}/_staging/j/{attempt}/{place}", f"{at}/{place}", set())
+    report_tree.finish(spark, str(root), "j")
+    assert files.read_layout(spark, str(root)).count() == 100 and not (root / "_staging").exists()
