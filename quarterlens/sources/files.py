@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_from_filename, ticker_from_filename
-from . import report_tree
+from . import report_tree, stores
 from .versioned import VersionedTable
 
 MANIFEST = (
@@ -40,16 +41,38 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tree_files(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """Files at any depth under a folder whose place in it begins with prefix: name (place in the folder), size, updated, path. Contents
+    aren't read.
+
+    Folders are listed in tasks, level by level, into tables: no list of the files stands in the driver. Folders that can't hold such
+    files aren't listed. Spark's own reader, whose list of all files does, is left for stores that Arrow can't open, single files and
+    patterns.
+    """
+    path = path.rstrip("/")
+    if not stores.has_folder(path):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        name = F.element_at(F.split(F.col("path"), f"/{re.escape(path.rsplit('/', 1)[-1])}/"), -1)
+        return found.select(name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("updated"), "path").filter(F.col("name").startswith(prefix))
+    base = re.sub("^file:/*", "file:/", path if "://" in path or path.startswith("file:") else f"file:{path}")
+    level, every = spark.createDataFrame([("",)], "folder string"), None
+    while every is None or not level.isEmpty():
+        dealt = level.repartition(spark.sparkContext.defaultParallelism)
+        here = written(dealt.mapInArrow(stores.lister(path, prefix), stores.ENTRIES))
+        level = here.filter("folder").select(F.concat("name", F.lit("/")).alias("folder"))
+        held = here.filter("NOT folder").select("name", "size", "updated", F.concat(F.lit(f"{base}/"), "name").alias("path"))
+        every = held if every is None else every.unionByName(held)
+    return every
+
+
 def listing(spark: SparkSession, path: str, prefix: str = "", pattern: str = "*") -> DataFrame:
-    """Files under a folder whose place in it begins with prefix: name (place in the folder), size, updated, extension. Contents
-    aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    base = path.rstrip("/").rsplit("/", 1)[-1]
-    name = F.element_at(F.split(F.col("path"), f"/{base}/"), -1)
-    return files.select(
-        name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("updated"),
-        F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).alias("extension"),
-    ).filter(F.col("name").startswith(prefix))
+    """Files under a folder whose place in it begins with prefix, and whose own name is of the pattern: name (place in the folder),
+    size, updated, extension. Contents aren't read."""
+    name = F.col("name")
+    named = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    return tree_files(spark, path, prefix).filter(F.element_at(F.split(name, "/"), -1).rlike(rf"(?s)\A(?:{named})\z")).select(
+        "name", "size", "updated", F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).alias("extension")
+    )
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -70,14 +93,11 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf", recursi
 
 def partition_tree(spark: SparkSession, path: str) -> DataFrame:
     """Files under {ticker}/{period}/...: ticker (upper case), period, file; folders that begin with a dot are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    full = F.concat(F.lit("/"), "name")
     inside = r"/([^/.][^/]*)/([^/.][^/]*)/(?:[^/]+/)*([^/]+)$"
-    base = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
-    rest = F.element_at(F.split(F.col("path"), F.concat(F.lit("/"), base, F.lit("/"))), -1)
-    full = F.concat(F.lit("/"), rest)
-    return files.select(
+    return tree_files(spark, path).select(
         F.upper(F.regexp_extract(full, inside, 1)).alias("ticker"), F.regexp_extract(full, inside, 2).alias("period"),
-        F.regexp_extract(full, inside, 3).alias("filename"), "path", "length",
+        F.regexp_extract(full, inside, 3).alias("filename"), "path", F.col("size").alias("length"),
     ).filter("ticker <> ''")
 
 

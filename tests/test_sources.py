@@ -208,3 +208,26 @@ def test_moves_that_died_are_made_by_another_run(spark, tmp_path):
         report_tree._move(store, f"{at}/_staging/j/{attempt}/{place}", f"{at}/{place}", set())
     report_tree.finish(spark, str(root), "j")
     assert files.read_layout(spark, str(root)).count() == 100 and not (root / "_staging").exists()
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    """A listing reads no file of the tree, nor its list in the driver, and has what Spark's own reader has."""
+    root = tmp_path / "a b" / "tree"
+    for name in ("a/2025-Q1/r.pdf", "a/2025-Q1/text/r.TXT", "a/_x/s.txt", "a/_y=1/s.txt", "ab/tree/t-1.csv", "b/.h/u.txt", "b/v", "w.txt", "_SUCCESS", "_metadata"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "empty").mkdir()
+    own = {(r.path, r.length, r.modificationTime) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).collect()}
+    assert {(r.path, r.size, r.updated) for r in files.tree_files(spark, str(root)).collect()} == own and len(own) == 6
+    for form in (f"{root}/", f"file:{root}", f"file://{root}"):
+        every = files.listing(spark, form)
+        assert not [f for f in every.inputFiles() if f.startswith(f"file://{str(root).replace(' ', '%20')}")]
+        assert {(r.name, r.extension) for r in every.collect()} == {
+            ("a/2025-Q1/r.pdf", "pdf"), ("a/2025-Q1/text/r.TXT", "txt"), ("a/_y=1/s.txt", "txt"), ("ab/tree/t-1.csv", "csv"), ("b/v", ""), ("w.txt", "txt")
+        }
+    names = lambda *more: {r.name for r in files.listing(spark, str(root), *more).collect()}
+    assert names("a") == {"a/2025-Q1/r.pdf", "a/2025-Q1/text/r.TXT", "a/_y=1/s.txt", "ab/tree/t-1.csv"} and names("a/2025-Q1/t") == {"a/2025-Q1/text/r.TXT"}
+    assert names("", "?.{txt,pdf}") == {"a/2025-Q1/r.pdf", "a/_y=1/s.txt", "w.txt"} and names("a/", "*.pdf") == {"a/2025-Q1/r.pdf"}
+    assert files.listing(spark, str(root / "w.txt")).count() == 1 and files.listing(spark, str(root / "empty")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.listing(spark, str(root / "none")).count()
