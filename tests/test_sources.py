@@ -231,3 +231,11 @@ def test_files_are_listed_in_tasks(spark, tmp_path):
     assert files.listing(spark, str(root / "w.txt")).count() == 1 and files.listing(spark, str(root / "empty")).count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.listing(spark, str(root / "none")).count()
+
+
+def test_output_sets_hold_no_list_in_the_driver(spark, tmp_path):
+    files.write_layout(reports(spark, ("aapl", "2025-Q1", "r", "x")), str(tmp_path / "tree"))
+    (tmp_path / "tree/aapl/2025-Q1/r.pdf").write_text("%PDF")
+    found = files.output_sets(files.partition_tree(spark, str(tmp_path / "tree")))
+    assert not [f for f in found.inputFiles() if "/tree/" in f]
+    assert [(r.text_file, r.table_files, r.image_files) for r in found.collect()] == [("r.txt", ["r-t1.csv", "r-t2.csv"], ["r-p1-i_x.png"])]
