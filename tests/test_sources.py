@@ -239,3 +239,14 @@ def test_output_sets_hold_no_list_in_the_driver(spark, tmp_path):
     found = files.output_sets(files.partition_tree(spark, str(tmp_path / "tree")))
     assert not [f for f in found.inputFiles() if "/tree/" in f]
     assert [(r.text_file, r.table_files, r.image_files) for r in found.collect()] == [("r.txt", ["r-t1.csv", "r-t2.csv"], ["r-p1-i_x.png"])]
+
+
+def test_partition_tree_is_listed_in_tasks(spark, tmp_path):
+    root = tmp_path / "t" / "t"  # the folder's own name comes again in its path and below it
+    for name in ("aapl/2025-Q1/a/b/c.txt", "t/t/t/d.pdf", ".x/2025-Q1/e.txt", "msft/f.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    tree = files.partition_tree(spark, str(root))
+    assert not [f for f in tree.inputFiles() if f.endswith((".txt", ".pdf"))]
+    assert {(r.ticker, r.period, r.filename, r.length) for r in tree.collect()} == {("AAPL", "2025-Q1", "c.txt", 22), ("T", "t", "d.pdf", 11)}
+    assert {r.path for r in tree.collect()} == {f"file:{root}/aapl/2025-Q1/a/b/c.txt", f"file:{root}/t/t/t/d.pdf"}
