@@ -250,3 +250,12 @@ def test_partition_tree_is_listed_in_tasks(spark, tmp_path):
     assert not [f for f in tree.inputFiles() if f.endswith((".txt", ".pdf"))]
     assert {(r.ticker, r.period, r.filename, r.length) for r in tree.collect()} == {("AAPL", "2025-Q1", "c.txt", 22), ("T", "t", "d.pdf", 11)}
     assert {r.path for r in tree.collect()} == {f"file:{root}/aapl/2025-Q1/a/b/c.txt", f"file:{root}/t/t/t/d.pdf"}
+
+
+@pytest.mark.parametrize("name", ["pruned_layout"])
+def test_queries_move_their_files_in_tasks(spark, sf, monkeypatch, name):
+    import __spark_entry__
+
+    jobs, plain = [], report_tree.finish
+    monkeypatch.setattr(report_tree, "finish", lambda *a: jobs.append(a[2]) or plain(*a))
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0 and len(jobs) == 1
