@@ -252,7 +252,7 @@ def test_partition_tree_is_listed_in_tasks(spark, tmp_path):
     assert {r.path for r in tree.collect()} == {f"file:{root}/aapl/2025-Q1/a/b/c.txt", f"file:{root}/t/t/t/d.pdf"}
 
 
-@pytest.mark.parametrize("name", ["pruned_layout"])
+@pytest.mark.parametrize("name", ["pruned_layout", "whole_texts"])
 def test_queries_move_their_files_in_tasks(spark, sf, monkeypatch, name):
     import __spark_entry__
 
