@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlens.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from quarterlens.llm.common import row_ids, ship, shared_dir, stored, table
+from quarterlens.llm.common import row_ids, ship, shared_dir, stored, table, without
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rows, own = row_ids(docs)  # rows that share a doc_id, or have none, are judged one by one
     scored = toxicity.toxicity(rows.select(F.col(own).alias("doc_id"), "text"), model)
-    rejected = stored(spark, scored.filter("predicted = 1").select(F.col("doc_id").alias("_toxic_id")), "pipeline-toxic")
-    return rows.join(rejected, rows[own] == rejected["_toxic_id"], "left_anti").select(*docs.columns)
+    rejected = stored(spark, scored.filter("predicted = 1").select("doc_id"), "pipeline-toxic")
+    return without(rows, own, rejected).select(*docs.columns)
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

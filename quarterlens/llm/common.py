@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bits of a filter of ids, and of each of its parts.
+FILTER, FILTER_PART = 1 << 25, 1 << 15
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -82,6 +84,48 @@ def row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.sparkSession, docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
+def flagged(df: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
+    """df with a further column: false where df's column is surely not among ids (a table of one column), true where it may be.
+
+    A filter of FILTER bits, built by partial aggregation, tells them apart at the scan, before any exchange. It's as large as that at
+    most, so it may be broadcast; the more ids there are, the more rows are true.
+    """
+    place, part, bits = (_free(df, x) for x in ("_place", "_part", "_bits"))
+    placed = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    held = (
+        ids.select(placed(ids[ids.columns[0]]).alias("p"))
+        .groupBy(F.expr(f"p div {FILTER_PART}").alias(part))
+        .agg(F.bitmap_construct_agg(F.col("p") % FILTER_PART).alias(bits))
+    )
+    at = F.col(place) % FILTER_PART
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (
+        df.withColumn(place, placed(df[column]))
+        .withColumn(part, F.expr(f"{place} div {FILTER_PART}"))
+        .join(F.broadcast(held), part, "left")  # FILTER / FILTER_PART rows of FILTER_PART / 8 bytes at most
+        .withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+        .drop(place, part, bits)
+    )
+
+
+def without(rows: DataFrame, own: str, gone: DataFrame) -> DataFrame:
+    """rows but those whose id, in the column own and never null, is among gone (a table of one column). Only rows that a filter can't
+    tell from those (see flagged) leave the scan, and are compared with all of gone."""
+    flag = _free(rows, "_may")
+    told = flagged(rows, own, gone, flag)
+    doubtful = told.filter(F.col(flag)).drop(flag)
+    named = gone.toDF(_free(rows, "_gone"))
+    stay = doubtful.join(named, doubtful[own] == named[named.columns[0]], "left_anti")
+    return told.filter(~F.col(flag)).drop(flag).union(stay)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor, and keeps their Arrow batches to 2 MB (or to what the
     session says, if that is not Spark's own default of 64 MB): executor and worker each hold some of them beside the heap."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy
+from .common import discard, row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy, without
 
 SLICE = 2 << 20
 SEEN = 100_000
@@ -134,12 +134,12 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
     Null texts count as empty; empty texts form one group. Rows that repeat a doc_id and a text are told apart: of
     rows that tie on the largest doc_id, exactly one is kept. A null doc_id counts as the smallest. An empty table gives no rows.
     """
-    return _duplicates(texts(docs).withColumn("row", F.lit(None).cast("long")), bits).drop("row")
+    return _duplicates(texts(docs).withColumn("row", F.lit(None).cast("long")), bits)[0].drop("row")
 
 
-def _duplicates(rows: DataFrame, bits: int = 64) -> DataFrame:
-    """Of (doc_id, text, row): see exact_duplicates. row: an id of each row, by which ties on the doc_id are decided; where it's
-    null, rows are numbered here."""
+def _duplicates(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """Of (doc_id, text, row): see exact_duplicates; and the stored tables that the result reads. row: an id of each row, by which ties
+    on the doc_id are decided; where it's null, rows are numbered here."""
     spark = rows.sparkSession
     ship(spark)
     cut = stored(spark, spread(rows).mapInArrow(tidy(_cut(bits)), _CUT), "exact-cut")
@@ -173,7 +173,7 @@ def _duplicates(rows: DataFrame, bits: int = 64) -> DataFrame:
         F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
     )
     joined = keyed.join(groups, (keyed["recipe"] == groups["r"]) & (keyed["apart"] == groups["a"]))
-    return joined.select(
+    result = joined.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -181,15 +181,17 @@ def _duplicates(rows: DataFrame, bits: int = 64) -> DataFrame:
         "text_sha256",
         "row",
     )
+    return result, [cut, clashes]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns: of equal texts the row with the largest doc_id (null counts as the
     smallest), and of rows that tie on it the last one in the order of the table."""
     rows, own = row_ids(docs)
-    result = _duplicates(texts(rows.select("doc_id", "text", own), own).withColumnRenamed(own, "row"))
-    kept = stored(docs.sparkSession, result.filter("kept").select(F.col("row").alias("_kept_row")), "exact-kept")
-    return rows.join(kept, rows[own] == kept["_kept_row"], "left_semi").select(*docs.columns)
+    result, read = _duplicates(texts(rows.select("doc_id", "text", own), own).withColumnRenamed(own, "row"))
+    gone = stored(docs.sparkSession, result.filter("not kept").select("row"), "exact-gone")
+    discard(*read)
+    return without(rows, own, gone).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy
+from .common import discard, flagged, release, row_ids, ship, slices, spread, stored, table, text_bytes, texts, tidy, without
 from .links import components
 
 SLICE = 1 << 19
@@ -28,8 +28,6 @@ FIRST, MORE = 4, 16
 #: Pairs of sketches that are compared at a time, and shingles that a task keeps for further checks.
 BLOCK, HELD = 1 << 20, 1 << 22
 
-#: Bits of the filter that holds back texts which no pair names (4 MB at most, whatever the corpus holds).
-FILTER, FILTER_PART = 1 << 25, 1 << 15
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 1_024
 
@@ -429,6 +427,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     one document of several texts: each row is returned, and what one text links is linked for the doc_id. Null doc_ids
     get their text's component, if a row with a doc_id has the same set, and are not kept. Other columns are ignored; an empty table gives no rows.
     """
+    return _near(docs, percent)[0]
+
+
+def _near(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """See near_duplicates; and the stored tables that the result reads."""
     spark = docs.sparkSession
     ship(spark)
     plain = texts(docs)
@@ -507,7 +510,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = rows.join(named, rows["k"] == named["key"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), [signed, classes]
 
 
 def _screened(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -519,24 +522,8 @@ def _screened(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
 
 
 def _named(plain: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of plain whose doc_id may be among the nodes: a filter of FILTER bits, built by partial aggregation, holds most
-    others back at the scan, before any exchange. It's as large as that at most, so it may be broadcast; the more nodes
-    there are, the more rows pass."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    bits = (
-        nodes.select(place("node").alias("p"))
-        .groupBy(F.expr(f"p div {FILTER_PART}").alias("part"))
-        .agg(F.bitmap_construct_agg(F.col("p") % FILTER_PART).alias("bits"))
-    )
-    at = F.col("p") % FILTER_PART
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (
-        plain.withColumn("p", place("doc_id"))
-        .withColumn("part", F.expr(f"p div {FILTER_PART}"))
-        .join(F.broadcast(bits), "part")  # FILTER / FILTER_PART rows of FILTER_PART / 8 bytes at most
-        .filter(F.getbit(byte, (at % 8).cast("int")) == 1)
-        .select("doc_id", "text")
-    )
+    """Rows of plain whose doc_id may be among the nodes; most others are held back at the scan."""
+    return flagged(plain, "doc_id", nodes, "may").filter("may").select("doc_id", "text")
 
 
 def _linked(pairs: DataFrame, light: DataFrame, plain: DataFrame, percent: int) -> DataFrame:
@@ -566,9 +553,10 @@ def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     all others. Of a component the row with the least doc_id stays; in a table with such rows, the first one.
     """
     rows, own = row_ids(docs)
-    result = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), percent)
-    kept = result.filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return rows.join(kept, rows[own] == kept["_kept_id"], "left_semi").select(*docs.columns)
+    result, read = _near(rows.select(F.col(own).alias("doc_id"), "text"), percent)
+    gone = stored(docs.sparkSession, result.filter("not kept").select("doc_id"), "near-gone")
+    discard(*read)
+    return without(rows, own, gone).select(*docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

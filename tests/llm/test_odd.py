@@ -1,11 +1,12 @@
 """Operators on further columns with clashing names, on empty tables and on very long texts."""
 
 import hashlib
+import os
 
 import public_tokenizers as P
 import pytest
 
-from quarterlens.llm import bpe, exact_dedup, pii, sharding
+from quarterlens.llm import bpe, common, exact_dedup, near_dedup, pii, sharding
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 CLASHING = "text string, doc_id long, size long, shard string, row string, part string, key string, keep_id string, group_size string, kind string, _pii string"
@@ -47,3 +48,24 @@ def test_redaction_of_null_and_empty_texts(spark):
 def test_round_trip_of_very_long_texts(spark, text):
     r = bpe.round_trips(clashing(spark, (1, text)), RANKS).first()
     assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_rows_without_those_that_go(spark):
+    """Exactly the named rows go, whatever the columns' names are, and few others meet them in a join."""
+    names = ["id", "_PLACE", "_part", "_bits", "_may", "_gone", "p"]
+    rows = [(i, *[f"{c}{i}" for c in names[1:]]) for i in range(-500, 500)]
+    docs = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} string" for c in names[1:]))
+    for gone in ([], [-500, 3, 499, 10**12, 3], list(range(-500, 500))):
+        left = common.without(docs, "id", spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        assert left.columns == names and sorted(tuple(r) for r in left.collect()) == sorted(r for r in rows if r[0] not in set(gone))
+    told = common.flagged(docs, "id", spark.createDataFrame([(3,), (4,)], "x long"), "f").filter("f").collect()
+    assert {3, 4} <= {r.id for r in told} and len(told) < 10
+
+
+def test_stages_remove_what_their_results_do_not_read(spark):
+    docs = spark.createDataFrame([(i, f"text of {i % 3} and some more words") for i in range(9)], "doc_id long, text string")
+    place = common.shared_dir(spark).removeprefix("file://")
+    were = set(os.listdir(place))
+    assert exact_dedup.keep_one(docs).count() == 3 and near_dedup.keep_one(docs).count() == 3
+    left = {x.rsplit("-", 32)[0] for x in set(os.listdir(place)) - were}
+    assert not [x for x in left if x.startswith(("exact-cut", "exact-clashes", "near-signed", "near-classes"))]
