@@ -21,6 +21,9 @@ MANIFEST = (
     "structured struct<engine:string,model:string,path:string,confidence:double>, notes array<string>, _written_at string"
 )
 
+#: Bytes of files that a task reads, about.
+_TASK = 1 << 26
+
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, in the cluster's own place if it names one."""
@@ -41,9 +44,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tree_files(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+def tree_files(spark: SparkSession, path: str, prefix: str = "", inner: str = "") -> DataFrame:
     """Files at any depth under a folder whose place in it begins with prefix: name (place in the folder), size, updated, path. Contents
-    aren't read.
+    aren't read. Of inner folders only those whose place has a match of inner are listed, where Arrow can open the store.
 
     Folders are listed in tasks, level by level, into tables: no list of the files stands in the driver. Folders that can't hold such
     files aren't listed. Spark's own reader, whose list of all files does, is left for stores that Arrow can't open, single files and
@@ -59,7 +62,7 @@ def tree_files(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     while every is None or not level.isEmpty():
         dealt = level.repartition(spark.sparkContext.defaultParallelism)
         here = written(dealt.mapInArrow(stores.lister(path, prefix), stores.ENTRIES))
-        level = here.filter("folder").select(F.concat("name", F.lit("/")).alias("folder"))
+        level = here.filter(F.col("folder") & F.col("name").rlike(inner)).select(F.concat("name", F.lit("/")).alias("folder"))
         held = here.filter("NOT folder").select("name", "size", "updated", F.concat(F.lit(f"{base}/"), "name").alias("path"))
         every = held if every is None else every.unionByName(held)
     return every
@@ -146,7 +149,15 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """The files right in a folder, or in folders key=value below it, each as one text: path, text; empty files give no row. As in
+    tree_files, tasks list them, and read them; Spark's own reader, whose list of them stands in the driver, is left for the same cases."""
+    if not stores.has_folder(path):
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = tree_files(spark, path, inner="=[^/]*$").filter("size > 0")
+    total = found.agg(F.sum("size")).first()[0] or 0
+    dealt = found.select("name", "path").repartition(max(spark.sparkContext.defaultParallelism, total // _TASK))
+    read = dealt.mapInArrow(stores.reader(path), "path string, content binary")
+    return read.select("path", F.col("content").cast("string").alias("text"))
 
 
 def missing_objects(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

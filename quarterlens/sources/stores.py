@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -13,6 +14,10 @@ from pyspark import cloudpickle
 #: What a folder holds: the place of each file and folder in the whole tree; a folder has no size.
 ENTRIES = "name string, folder boolean, size long, updated timestamp"
 _BATCH = 10_000
+#: Bytes of contents in a batch, but for its last file's.
+_HELD = 1 << 22
+#: What java.net.URI escapes in a path.
+_ESCAPED = re.compile(r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]')
 
 
 def open_store(root: str) -> tuple[pafs.FileSystem, str]:
@@ -36,6 +41,34 @@ def hidden(name: str) -> bool:
     return name[0] == "." or (name[0] == "_" and "=" not in name) or name.endswith("._COPYING_")
 
 
+def reader(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over batches of files' places in a tree and their paths: each file's path, escaped as Spark's _metadata.file_path is, and content.
+    Few contents are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = open_store(root.rstrip("/"))
+        paths, contents, held = [], [], 0
+
+        def full() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+            paths.clear()
+            contents.clear()
+            return batch
+
+        for batch in batches:
+            for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{at}/{name}") as stream:
+                    paths.append(_ESCAPED.sub(lambda c: quote(c[0], safe=""), path))
+                    contents.append(stream.read())
+                held += len(contents[-1])
+                if held >= _HELD or len(paths) == _BATCH:
+                    yield full()
+                    held = 0
+        yield full()
+
+    return run
+
+
 def lister(root: str, prefix: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over batches of folders' places in a tree ("" for its root, others ending in a slash): what each holds, without hidden names and
     without what can't be or hold a file whose place begins with prefix."""

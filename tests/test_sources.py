@@ -170,6 +170,30 @@ def test_whole_texts_of_several_lines(spark, tmp_path):
     assert [r.text for r in files.whole_texts(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo\n"]
 
 
+def test_whole_texts_are_listed_and_read_in_tasks(spark, tmp_path):
+    """What Spark's own reader reads, without a list of the files in the driver."""
+    root = tmp_path / "a b"
+    for name in ("flat/a.txt", 'flat/ü %20[#?"{}^`|\\<>].txt', "flat/\x7f\xa0\u2003\u2028\u3000\u200b.txt", "flat/.h.txt", "flat/_h.txt", "flat/_SUCCESS", "keyed/k=1/b.txt", "keyed/k=2/l=x/b.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"\xef\xbb\xbfone\r\n\xff\x00" + name.encode())
+    (root / "flat/empty.txt").touch()
+    for at, n in (("flat", 3), ("keyed/k=2", 1)):
+        own = spark.read.text(str(root / at), wholetext=True).selectExpr("_metadata.file_path AS path", "hex(value) AS text").collect()
+        for form in (f"{root / at}", f"{root / at}/", f"file:{root / at}", f"file://{root / at}"):
+            found = files.whole_texts(spark, form)
+            assert not [f for f in found.inputFiles() if f.endswith(".txt")]
+            assert sorted(map(tuple, found.selectExpr("path", "hex(text)").collect())) == sorted(map(tuple, own)) and len(own) == n
+    root = root / "flat"
+    assert files.whole_texts(spark, str(tmp_path / "a b/keyed")).count() == 2
+    (root / "inner").mkdir()
+    (root / "inner/c.txt").write_text("c")
+    assert files.whole_texts(spark, str(root)).count() == 3 and files.whole_texts(spark, str(root / "inner")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert files.whole_texts(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.whole_texts(spark, str(tmp_path / "no")).count()
+
+
 def test_the_driver_gets_no_list_of_files(spark, tmp_path):
     """What a task sends to the driver doesn't grow with its files, and the last task's file of a place stays."""
     rows = reports(spark, *[("aapl", "2025-Q1", f"r{i}", "x") for i in range(50)]).collect()
