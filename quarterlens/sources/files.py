@@ -190,10 +190,9 @@ def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticker
 def write_layout(reports: DataFrame, root: str) -> None:
     """Reports (see report_tree.REPORTS) as one file each for text, table, image and metadata under {ticker}/{period}. Tasks write
     them aside and, once all are there, tasks move them."""
-    spark, job = reports.sparkSession, uuid.uuid4().hex
-    report_tree.register(spark)
-    reports.write.format("report_tree").mode("append").option("path", root).option("job", job).save()
-    report_tree.finish(spark, root, job)
+    job = uuid.uuid4().hex
+    report_tree.put_aside(reports, root, job)
+    report_tree.finish(reports.sparkSession, root, job)
 
 
 def read_layout(spark: SparkSession, root: str) -> DataFrame:
@@ -202,6 +201,12 @@ def read_layout(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("report_tree").option("path", root).load()
 
 
+def read_folders(spark: SparkSession, root: str, tickers: list[str], periods: list[str]) -> DataFrame:
+    """The same for some tickers (upper case) and periods, where what stands beside the driver must be little: no other folder is listed,
+    and the format isn't needed."""
+    return report_tree.in_folders(spark, root, tickers, periods)
+
+
 def put_objects(objects: DataFrame, root: str, order: list[str] | None = None) -> DataFrame:
     """Stores objects (name, content, content_type, metadata: map) in a versioned table under root, and returns each one's address. Later
     puts of a name are further versions. A name that comes twice in one put keeps the row with the greatest `order` columns, by

@@ -7,13 +7,13 @@ import json
 import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
@@ -30,6 +30,8 @@ _KINDS = {"text": "text", "tables": "table", "images": "image", "metadata": "met
 _STAGING = "_staging"
 #: Places in a batch of their list.
 _BATCH = 10_000
+#: Reports of a batch that stand as Python values at a time; bytes of contents in a batch, but for its last file's.
+_ROWS, _HELD = 256, 1 << 22
 
 
 def _files(store: pafs.FileSystem, at: str) -> Iterator[pafs.FileInfo]:
@@ -193,6 +195,22 @@ def _sweep(store: pafs.FileSystem, at: str, job: str) -> None:
         store.delete_dir(left)
 
 
+def put_aside(reports: DataFrame, root: str, job: str) -> None:
+    """Writes reports aside and notes which tasks' files count, for `finish`, as a write with the option job does, but without the Python
+    processes that the write of a data source keeps beside the driver. Of each task the driver gets the name of its folder."""
+    writer = ReportWriter(root, job)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for i in range(0, batch.num_rows, _ROWS) for row in batch.slice(i, _ROWS).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([writer.write(rows).attempt], pa.string())], names=["attempt"])
+
+    try:
+        writer.commit([Written(r.attempt) for r in reports.mapInArrow(put, "attempt string").collect()])
+    except BaseException:
+        writer.abort([])
+        raise
+
+
 def finish(spark: SparkSession, root: str, job: str) -> None:
     """Moves the files of a committed write to their places, in tasks. A run that dies leaves what isn't moved yet aside, and another run
     with the same job moves the rest."""
@@ -220,6 +238,34 @@ def finish(spark: SparkSession, root: str, job: str) -> None:
     _sweep(store, at, job)
 
 
+def in_folders(spark: SparkSession, root: str, tickers: Iterable[str], periods: Iterable[str]) -> DataFrame:
+    """What the data source gives for In filters on ticker and period, a task for each folder too, but without the Python processes that
+    its planning keeps beside the driver."""
+    reader = ReportReader(root, [])
+    reader.wanted = {"ticker": set(tickers), "period": set(periods)}
+    folders, schema = reader.partitions(), ["ticker", "period", "kind", "report", "filename", "path", "size", "content"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def full() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) or [()] * len(schema)
+            kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema)
+
+        for n in (n for batch in batches for n in batch.column(0).to_pylist()):
+            for row in reader.read(folders[n]):
+                held.append(row)
+                size += len(row[-1])
+                if size >= _HELD or len(held) == _BATCH:
+                    yield full()
+                    size = 0
+        yield full()
+
+    return spark.range(0, len(folders), 1, max(1, len(folders))).mapInArrow(read, FILES)
+
+
 def _chunks(values: Iterator[str]) -> Iterator[list[str]]:
     while chunk := list(itertools.islice(values, _BATCH)):
         yield chunk

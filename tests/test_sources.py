@@ -283,3 +283,25 @@ def test_queries_move_their_files_in_tasks(spark, sf, monkeypatch, name):
     jobs, plain = [], report_tree.finish
     monkeypatch.setattr(report_tree, "finish", lambda *a: jobs.append(a[2]) or plain(*a))
     assert __spark_entry__.queries()[name](spark, sf).count() > 0 and len(jobs) == 1
+
+
+@pytest.mark.parametrize("name", ["output_sets"])
+def test_queries_need_no_data_source(spark, sf, monkeypatch, name):
+    """Writing and planning a data source in Python keeps processes of 30 MB each beside the driver."""
+    import __spark_entry__
+
+    made, plain = [], report_tree.register
+    monkeypatch.setattr(report_tree, "register", lambda s: made.append(s) or plain(s))
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0 and not made
+
+
+def test_some_folders_as_the_data_source_reads_them(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tree")
+    files.write_layout(reports(spark, *[(t, f"2025-Q{q}", "r", "x") for t in ("aapl", "msft", "ibm") for q in (1, 2)]), root)
+    listed, plain = [], report_tree._folders
+    monkeypatch.setattr(report_tree, "_folders", lambda store, at: listed.append(at) or plain(store, at))
+    found = files.read_folders(spark, root, ["MSFT", "IBM"], ["2025-Q2", "2025-Q3"])
+    assert {os.path.basename(x) for x in listed} == {"tree", "msft", "ibm"}
+    own = files.read_layout(spark, root).filter("ticker IN ('MSFT', 'IBM') AND period IN ('2025-Q2', '2025-Q3')")
+    assert found.schema == own.schema and sorted(map(str, found.collect())) == sorted(map(str, own.collect())) and found.count() == 10
+    assert files.read_folders(spark, root, ["X"], ["2025-Q1"]).count() == 0 == files.read_folders(spark, f"{root}/none", ["X"], ["2025-Q1"]).count()
