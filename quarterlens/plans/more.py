@@ -411,7 +411,7 @@ def layout(spark, sf):
 @query
 def pruned_layout(spark, sf):
     """The texts of one company's quarter: other folders aren't listed."""
-    back = files.read_layout(spark, _written(spark, sf)).filter("ticker = 'SRC3' AND period IN ('2025-Q4', '2025-Q9') AND kind = 'text'")
+    back = files.read_folders(spark, _written(spark, sf), ["SRC3"], ["2025-Q4", "2025-Q9"]).filter("kind = 'text'")
     return back.select("report", F.decode("content", "UTF-8").alias("text"))
 
 

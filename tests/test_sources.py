@@ -285,7 +285,7 @@ def test_queries_move_their_files_in_tasks(spark, sf, monkeypatch, name):
     assert __spark_entry__.queries()[name](spark, sf).count() > 0 and len(jobs) == 1
 
 
-@pytest.mark.parametrize("name", ["output_sets", "partition_tree"])
+@pytest.mark.parametrize("name", ["output_sets", "partition_tree", "pruned_layout"])
 def test_queries_need_no_data_source(spark, sf, monkeypatch, name):
     """Writing and planning a data source in Python keeps processes of 30 MB each beside the driver."""
     import __spark_entry__
