@@ -276,6 +276,30 @@ def test_partition_tree_is_listed_in_tasks(spark, tmp_path):
     assert {r.path for r in tree.collect()} == {f"file:{root}/aapl/2025-Q1/a/b/c.txt", f"file:{root}/t/t/t/d.pdf"}
 
 
+def test_partition_tree_sends_no_names_to_the_driver(spark, tmp_path):
+    """What the tasks of the whole query, write and moves included, send to the driver doesn't grow with its files."""
+    import __spark_entry__
+
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def sent() -> dict[int, int]:
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, quantiles, spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s.resultSize() for s in map(stages.apply, range(stages.size()))}
+
+    found = []
+    for n in (60, 3000):
+        made = spark.range(0, n, 1, 1).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "concat('src', id % 2) AS source", "1L AS n_chars")
+        made.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        before = sent()
+        rows = __spark_entry__.queries()["partition_tree"](spark, f"{tmp_path}/{n}")
+        rows.write.format("noop").mode("overwrite").save()
+        found.append((sum(size for k, size in sent().items() if k not in before), rows.count()))
+    (few, some), (many, more) = found
+    assert more > 40 * some and many - few < more - some, found  # less than a byte a file
+
+
 @pytest.mark.parametrize("name", ["pruned_layout", "whole_texts"])
 def test_queries_move_their_files_in_tasks(spark, sf, monkeypatch, name):
     import __spark_entry__
